@@ -172,7 +172,8 @@ def add_rot_profile(df: DataFrame, t: str = "_text", out: str = "_rot") -> DataF
     df = _stage(df, **{out + "_w": F.regexp_extract_all(F.col(t), F.lit(WORDS), 0)})
     w = F.col(out + "_w")
     df = _stage(df, **{out + "_cand": F.when(F.size(w) >= 5, F.array_join(w, " "))})
-    df = _stage(df, **{out + "_counts": stats.letter_counts(F.lower(F.col(out + "_cand")))})
+    cand = F.col(out + "_cand")
+    df = _stage(df, **{out + "_counts": F.when(cand.isNotNull(), stats.letter_counts(F.lower(cand)))})
     counts = F.col(out + "_counts")
     df = _stage(df, **{out + "_n": F.aggregate(counts, F.lit(0), lambda a, x: a + x)})
     n = F.col(out + "_n")

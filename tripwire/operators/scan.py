@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tripwire import constants as K
 from tripwire.operators import detectors as D
 from tripwire.params import ScanParams
+from tripwire.plans.strategy import pushdown_barrier
 
 # Registered user detectors: name -> fn(text Column) -> Column(array<finding>)
 _EXTRA_DETECTORS: dict[str, Callable[[Column], Column]] = {}
@@ -113,17 +114,20 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
                  F.when(t.isNull() | short, F.lit("")).otherwise(p).alias("decoded_payload"))
     score = score_of(F.col("findings"))
     d = d.select("*", score.alias("risk_score"))
-    return d.select(
+    out = d.select(
         *keep, *([F.col("_text").alias("text")] if with_text else []),
         "risk_score", verdict_of(F.col("risk_score")).alias("verdict"),
         (F.col("risk_score") >= K.MALICIOUS_AT).alias("requires_confirmation"),
         "decoded_payload", F.size("findings").alias("n_findings"), "findings")
+    return pushdown_barrier(out)
 
 
 def findings_table(verdicts: DataFrame, keep: Iterable[str] = ("msg_id",)) -> DataFrame:
     """Exploded findings: one row per (message, finding) with rank and weight."""
-    f = F.col("f")
-    return (verdicts.select(*keep, F.explode("findings").alias("f"))
-            .select(*keep, f["ord"].alias("ord"), f["severity"].alias("severity"), f["code"].alias("code"),
-                    f["detail"].alias("detail"), f["decoded"].alias("decoded"),
-                    severity_rank(f["severity"]).alias("sev_rank"), severity_weight(f["severity"]).alias("weight")))
+    # ``inline`` yields the struct fields as columns directly (no per-field
+    # extraction on the generator output, which nested-column pruning would
+    # otherwise push back into the scan expression once per field)
+    return (verdicts.select(*keep, F.inline_outer("findings")).where(F.col("ord").isNotNull())
+            .select(*keep, "ord", "severity", "code", "detail", "decoded",
+                    severity_rank(F.col("severity")).alias("sev_rank"),
+                    severity_weight(F.col("severity")).alias("weight")))

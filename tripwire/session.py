@@ -23,6 +23,8 @@ def get_spark(master: str | None = None, app: str = "tripwire", shuffle_partitio
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("TRIPWIRE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -90,7 +90,7 @@ def transactions_from_events(ev: DataFrame) -> DataFrame:
                                         F.lpad(_lhex(e * 1000), 64, "0")))
             .when(e % 4 == 3, F.lit("0xdeadbeef")).otherwise(F.lit("0x")))
     return ev.select(
-        e.alias("tx_id"), u.alias("account"), F.col("ts"),
+        e.alias("tx_id"), u.alias("account"), F.col("ts").cast("timestamp").alias("ts"),
         (F.col("value") * 10).cast("decimal(18,2)").alias("amount_usd"),
         F.when(e % 50 == 8, F.lit(None).cast("string")).otherwise(pad40(u)).alias("from_addr"),
         F.when(e % 50 == 7, F.lit("notanaddr")).otherwise(pad40(e % 97)).alias("to_addr"),
@@ -120,5 +120,6 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(k == 3, F.lit("/guard reset daily"))
            .when(k == 4, F.lit("/guard set daily 0"))
            .otherwise(F.lit("/guard allowlist add nope")))
-    ops = ev.select(F.lit(-1).cast("bigint").alias("session_id"), e.alias("seq"), "ts", cmd.alias("command"))
+    ops = ev.select(F.lit(-1).cast("bigint").alias("session_id"), e.alias("seq"),
+                    F.col("ts").cast("timestamp").alias("ts"), cmd.alias("command"))
     return gate.unionByName(ops)
