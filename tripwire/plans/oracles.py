@@ -312,3 +312,116 @@ SELECT msg_id, '0x' AS kind, CAST(i - 1 AS INTEGER) AS idx, c0[i] AS hex FROM v,
 UNION ALL
 SELECT msg_id, 'bare' AS kind, CAST(i - 1 AS INTEGER) AS idx, cb[i] AS hex FROM v, range(1, len(cb) + 1) AS g(i)"""
 
+
+# --------------------------------------------------------------------------- transactions
+ADDR_OK = "regexp_full_match({c}, '0[xX][0-9a-fA-F]{{40}}')"
+PRE = f"""pre AS (
+ SELECT *, error IS NULL AS success FROM (
+  SELECT *, CASE
+   WHEN from_addr IS NULL OR to_addr IS NULL OR value_wei IS NULL OR data IS NULL OR chain_id IS NULL THEN
+    'Missing required fields: ' || concat_ws(', ', CASE WHEN chain_id IS NULL THEN 'chain_id' END, CASE WHEN data IS NULL THEN 'data' END,
+      CASE WHEN from_addr IS NULL THEN 'from_' END, CASE WHEN to_addr IS NULL THEN 'to' END, CASE WHEN value_wei IS NULL THEN 'value' END)
+   WHEN NOT {ADDR_OK.format(c='to_addr')} THEN 'Invalid recipient address: ''' || to_addr || ''''
+   WHEN NOT {ADDR_OK.format(c='from_addr')} THEN 'Invalid sender address: ''' || from_addr || ''''
+   WHEN value_wei < 0 THEN 'Invalid value: ''' || CAST(value_wei AS VARCHAR) || ''' — must be a non-negative number'
+   END AS error,
+   CAST(value_wei AS DOUBLE) / 1e18 AS eth, CAST(value_wei AS DOUBLE) / 1e18 * 3000.0 AS usd
+  FROM transactions))"""
+
+_rules_usd, _details_usd = violations_sql("usd", "0.0")
+FLAGS = f"""concat_ws(' | ',
+   CASE WHEN usd > 500.0 THEN 'POLICY:SINGLE_TX_LIMIT — ' || {money('usd')} || ' exceeds the single-transaction limit of $500.00.' END,
+   CASE WHEN usd > 2000.0 THEN 'POLICY:DAILY_LIMIT — This transaction would bring the daily total to ' || {money('0.0 + usd')} || ', exceeding the daily limit of $2,000.00.' END,
+   CASE WHEN lower(to_addr) IN ('0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead')
+     THEN 'SUSPICIOUS_RECIPIENT:burn/null address — funds will be unrecoverable' END)"""
+WARNINGS = """concat_ws(' | ',
+   CASE WHEN lower(to_addr) IN ('0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead')
+     THEN 'Sending to the burn/null address is irreversible.' END,
+   CASE WHEN lower(to_addr) = lower(from_addr) THEN 'Sender and recipient are the same address.' END)"""
+GAS = "CAST(CASE WHEN data NOT IN ('0x','0X','','0x0') THEN 21000 + (length(data) // 2) * 16 ELSE 21000 END AS BIGINT)"
+ERC20 = "(starts_with(lower(data), '0xa9059cbb') AND length(data) >= 138 AND regexp_full_match(substr(data, 75, 64), '[0-9a-fA-F]+'))"
+
+ORACLES["tx_validate"] = f"WITH {TRANSACTIONS}, {PRE} SELECT tx_id, success, error FROM pre"
+ORACLES["tx_value_usd"] = f"WITH {TRANSACTIONS}, {PRE} SELECT tx_id, round(eth, 8) AS value_eth, round(usd, 2) AS value_usd_est FROM pre WHERE success"
+ORACLES["tx_gas"] = f"""WITH {TRANSACTIONS}, {PRE} SELECT tx_id, data NOT IN ('0x','0X','','0x0') AS is_contract_call, {GAS} AS gas_estimate
+FROM pre WHERE success"""
+ORACLES["tx_flags"] = f"WITH {TRANSACTIONS}, {PRE} SELECT tx_id, {FLAGS} AS policy_flags, {WARNINGS} AS warnings FROM pre WHERE success"
+ORACLES["erc20_transfers"] = f"""WITH {TRANSACTIONS}, {PRE}
+SELECT tx_id, '0x' || right(substr(data, 11, 64), 40) AS erc20_to, lower(substr(data, 75, 64)) AS amount_hex,
+ CASE WHEN ltrim(substr(data, 75, 64), '0') = '' THEN '0'
+  ELSE CAST(TRY_CAST(('0x' || ltrim(substr(data, 75, 64), '0'))::UHUGEINT AS DECIMAL(38,0)) AS VARCHAR) END AS amount
+FROM pre WHERE success AND {ERC20}"""
+ORACLES["tx_precheck"] = f"""WITH {TRANSACTIONS}, {PRE}
+SELECT tx_id, success, error,
+ CASE WHEN success THEN round(eth, 8) END AS value_eth, CASE WHEN success THEN round(usd, 2) END AS value_usd_est,
+ CASE WHEN success THEN {GAS} END AS gas_estimate, CASE WHEN success THEN data NOT IN ('0x','0X','','0x0') END AS is_contract_call,
+ CASE WHEN success THEN CAST(CASE WHEN {ERC20} THEN 1 ELSE 0 END AS BIGINT) END AS n_transfers,
+ CASE WHEN success THEN {FLAGS} END AS policy_flags, CASE WHEN success THEN {WARNINGS} END AS warnings
+FROM pre"""
+
+_r1, _d1 = violations_sql("amount_usd", "0.0")
+ORACLES["policy_single"] = f"WITH {TRANSACTIONS} SELECT tx_id, {_r1} AS rules, {_d1} AS details FROM transactions"
+
+RUNNING = """run AS (SELECT *, coalesce(sum(amount_usd) OVER (PARTITION BY account, day ORDER BY ts, tx_id
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before FROM transactions)"""
+ORACLES["daily_running_spend"] = f"""WITH {TRANSACTIONS}, {RUNNING}
+SELECT tx_id, account, day, spend_before, spend_before + amount_usd AS projected FROM run"""
+_r2, _d2 = violations_sql("amount_usd", "spend_before")
+ORACLES["policy_daily"] = f"WITH {TRANSACTIONS}, {RUNNING} SELECT tx_id, {_r2} AS rules, {_d2} AS details FROM run"
+
+ORACLES["daily_accepted_spend"] = f"""WITH RECURSIVE {TRANSACTIONS},
+o AS (SELECT tx_id, account, day, amount_usd, row_number() OVER (PARTITION BY account, day ORDER BY ts, tx_id) AS rn FROM transactions),
+f(tx_id, account, day, rn, amount_usd, accepted_before, accepted, total) AS (
+ SELECT tx_id, account, day, rn, amount_usd, CAST(0 AS DECIMAL(18,2)),
+  amount_usd::DOUBLE <= 500.0 AND amount_usd::DOUBLE <= 2000.0,
+  CAST(CASE WHEN amount_usd::DOUBLE <= 500.0 AND amount_usd::DOUBLE <= 2000.0 THEN amount_usd ELSE 0 END AS DECIMAL(18,2))
+ FROM o WHERE rn = 1
+ UNION ALL
+ SELECT o.tx_id, o.account, o.day, o.rn, o.amount_usd, f.total,
+  o.amount_usd::DOUBLE <= 500.0 AND (f.total + o.amount_usd)::DOUBLE <= 2000.0,
+  CAST(f.total + CASE WHEN o.amount_usd::DOUBLE <= 500.0 AND (f.total + o.amount_usd)::DOUBLE <= 2000.0 THEN o.amount_usd ELSE 0 END AS DECIMAL(18,2))
+ FROM f JOIN o ON o.account = f.account AND o.day = f.day AND o.rn = f.rn + 1)
+SELECT tx_id, account, day, accepted_before, accepted FROM f"""
+
+# --------------------------------------------------------------------------- command log
+ORACLES["command_parse"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}
+SELECT session_id, seq, kind, value, address, valid FROM parsed"""
+
+ORACLES["allowlist_state"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED},
+ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid)
+SELECT address FROM (SELECT address, arg_max(present, (ts, seq)) AS present FROM ev GROUP BY address) WHERE present"""
+
+ORACLES["spend_with_reset"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
+rs AS (SELECT ts, row_number() OVER (ORDER BY ts, seq) AS segment FROM parsed WHERE kind = 'reset_daily'),
+seg AS (SELECT t.*, coalesce((SELECT max(segment) FROM rs WHERE rs.ts <= t.ts), 0) AS segment FROM transactions t)
+SELECT tx_id, CAST(segment AS BIGINT) AS segment, coalesce(sum(amount_usd) OVER (PARTITION BY account, day, segment ORDER BY ts, tx_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before FROM seg"""
+
+ORACLES["policy_asof"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS}, {RUNNING},
+sets AS (SELECT ts, seq, kind, value FROM parsed WHERE kind IN ('set_daily','set_limit') AND valid),
+lim AS (SELECT r.tx_id,
+  coalesce((SELECT arg_max(value, (ts, seq)) FROM sets WHERE kind = 'set_limit' AND sets.ts <= r.ts), 500.0) AS single_limit,
+  coalesce((SELECT arg_max(value, (ts, seq)) FROM sets WHERE kind = 'set_daily' AND sets.ts <= r.ts), 2000.0) AS daily_limit
+ FROM run r)
+SELECT r.tx_id, single_limit, daily_limit,
+ concat_ws(',', CASE WHEN amount_usd::DOUBLE > single_limit THEN 'SINGLE_TX_LIMIT' END,
+  CASE WHEN (spend_before::DOUBLE + amount_usd::DOUBLE) > daily_limit THEN 'DAILY_LIMIT' END) AS rules
+FROM run r JOIN lim USING (tx_id)"""
+
+ORACLES["allowlist_asof"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
+ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
+st AS (SELECT t.tx_id, t.to_addr,
+  (SELECT count(*) FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev WHERE ev.ts <= t.ts GROUP BY address) WHERE p) AS list_size,
+  coalesce((SELECT arg_max(present, (ts, seq)) FROM ev WHERE ev.address = lower(t.to_addr) AND ev.ts <= t.ts), false) AS listed
+ FROM transactions t)
+SELECT tx_id, CAST(list_size AS BIGINT) AS list_size, listed,
+ CASE WHEN list_size > 0 AND coalesce(to_addr, '') <> '' AND NOT listed THEN
+  'Recipient ' || CASE WHEN length(to_addr) > 10 THEN left(to_addr, 10) || '…' ELSE to_addr END
+  || ' is not in the approved allowlist. Add with: /guard allowlist add ' || to_addr ELSE '' END AS details
+FROM st"""
+
+ORACLES["allowlist_violation"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
+ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
+al AS (SELECT address FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev GROUP BY address) WHERE p)
+SELECT tx_id, to_addr FROM transactions
+WHERE coalesce(to_addr, '') <> '' AND lower(to_addr) NOT IN (SELECT address FROM al) AND (SELECT count(*) FROM al) > 0"""
