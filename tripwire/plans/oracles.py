@@ -425,3 +425,7 @@ ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WH
 al AS (SELECT address FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev GROUP BY address) WHERE p)
 SELECT tx_id, to_addr FROM transactions
 WHERE coalesce(to_addr, '') <> '' AND lower(to_addr) NOT IN (SELECT address FROM al) AND (SELECT count(*) FROM al) > 0"""
+
+ORACLES["stream_daily_spend"] = ORACLES["daily_accepted_spend"].replace(
+    "SELECT tx_id, account, day, accepted_before, accepted FROM f",
+    "SELECT tx_id, account, day, accepted_before, accepted, false AS late FROM f")

@@ -471,3 +471,18 @@ def gate_outcomes(spark, sf):
 for _old, _new in [("daily_running_spend_q", "daily_running_spend"), ("daily_accepted_spend_q", "daily_accepted_spend"),
                    ("auto_decode_q", "auto_decode")]:
     QUERIES[_new] = QUERIES.pop(_old)
+
+
+# ------------------------------------------------------------------ streaming
+@query
+def stream_scan(spark, sf):
+    """File stream of conversation turns through the scan (append sink), read back."""
+    from tripwire.streaming.jobs import stream_scan as run
+    return run(spark, sf)
+
+
+@query
+def stream_daily_spend(spark, sf):
+    """Payments stream with per-account state; equals the batch accepted-spend fold."""
+    from tripwire.streaming.jobs import stream_daily_spend as run
+    return run(spark, sf)
