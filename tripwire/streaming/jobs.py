@@ -66,7 +66,8 @@ SPEND_STATE = T.StructType([T.StructField("day", T.DateType()), T.StructField("t
                             T.StructField("last_ts", T.TimestampType()), T.StructField("last_id", T.LongType())])
 
 
-def _spend_state_fn(params: PolicyParams):
+def _spend_state_fn(single_limit: float, daily_limit: float):
+    # the closure captures plain floats only: workers need nothing from this package
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "tx_id"], kind="stable")
         day, total, last_ts, last_id = (state.get if state.exists else (None, "0", None, None))
@@ -81,7 +82,7 @@ def _spend_state_fn(params: PolicyParams):
             if d != day:
                 day, total = d, Decimal(0)
             a = Decimal(0) if amt is None else amt
-            ok = amt is not None and float(a) <= params.single_limit and float(total + a) <= params.daily_limit
+            ok = amt is not None and float(a) <= single_limit and float(total + a) <= daily_limit
             out.append((tx_id, key[0], d, total, ok, False))
             if ok:
                 total += a
@@ -95,5 +96,5 @@ def stream_daily_spend(spark: SparkSession, sf_dir: str, params: PolicyParams =
     tx = S.transactions_from_events(_file_stream(spark, sf_dir, "events", EVENTS))
     tx = tx.select("tx_id", "account", "ts", "amount_usd").withWatermark("ts", "1 day")
     out = tx.groupBy("account").applyInPandasWithState(
-        _spend_state_fn(params), SPEND_OUT, SPEND_STATE, "append", GroupStateTimeout.NoTimeout)
+        _spend_state_fn(params.single_limit, params.daily_limit), SPEND_OUT, SPEND_STATE, "append", GroupStateTimeout.NoTimeout)
     return spark.read.parquet(_run(out, "stream_daily_spend"))
