@@ -16,7 +16,7 @@ from tripwire import constants as K
 from tripwire.functions import codecs, stats
 from tripwire.functions.text import cut, cut_ellipsis, py_fixed, py_percent
 from tripwire.params import ScanParams
-from tripwire.regex import B, NOT_WS, WS, to_java
+from tripwire.regex import B_AFTER_WORD, B_BEFORE_WORD, NOT_WS, WS, literal_prefix, to_java
 
 FINDING = T.StructType([
     T.StructField("severity", T.StringType()),
@@ -31,9 +31,10 @@ SEV_RANK = {s: i for i, s in enumerate(K.SEVERITY_ORDER)}
 # Candidate extractors (Java syntax).  Possessive runs keep matching linear:
 # backtracking into a run can never produce a match here.
 B64_CANDIDATE = r"(?<![A-Za-z0-9+/\-_])([A-Za-z0-9+/\-_]{16,}+={0,2}+)(?![A-Za-z0-9+/\-_=])"
-HEX0X_CANDIDATE = B + r"0x([0-9a-fA-F]{8,}+)" + B
-HEX0X_DECODE_CANDIDATE = B + r"0x([0-9a-fA-F]{6,}+)" + B
-HEX_BARE_CANDIDATE = B + r"([0-9a-fA-F]{16,}+)" + B
+# hex digits and 'x' are word characters, so each \b is a one-sided test
+HEX0X_CANDIDATE = B_BEFORE_WORD + r"0x([0-9a-fA-F]{8,}+)" + B_AFTER_WORD
+HEX0X_DECODE_CANDIDATE = B_BEFORE_WORD + r"0x([0-9a-fA-F]{6,}+)" + B_AFTER_WORD
+HEX_BARE_CANDIDATE = B_BEFORE_WORD + r"([0-9a-fA-F]{16,}+)" + B_AFTER_WORD
 WORDS = r"[A-Za-z]{3,}+"
 LONG_RUN = NOT_WS + r"{24,}+"
 INVISIBLE_CLASS = "[" + "".join(
@@ -173,15 +174,20 @@ def add_rot_profile(df: DataFrame, t: str = "_text", out: str = "_rot") -> DataF
     w = F.col(out + "_w")
     df = _stage(df, **{out + "_cand": F.when(F.size(w) >= 5, F.array_join(w, " "))})
     cand = F.col(out + "_cand")
-    df = _stage(df, **{out + "_counts": F.when(cand.isNotNull(), stats.letter_counts(F.lower(cand)))})
+    # letters only, lower-cased, computed once; the 26 counts then read this column
+    df = _stage(df, **{out + "_lc": F.translate(F.lower(cand), " ", "")})
+    lc = F.col(out + "_lc")
+    df = _stage(df, **{out + "_counts": F.when(lc.isNotNull(), stats.letter_counts(lc))})
     counts = F.col(out + "_counts")
-    df = _stage(df, **{out + "_n": F.aggregate(counts, F.lit(0), lambda a, x: a + x)})
+    df = _stage(df, **{out + "_n": F.length(lc)})   # letters-only string: its length is the total
     n = F.col(out + "_n")
     df = _stage(df, **{out + "_chis": F.when(counts.isNotNull(), F.transform(
         F.sequence(F.lit(0), F.lit(25)), lambda r: stats.chi_squared(counts, r, n)))})
     chis = F.col(out + "_chis")
-    best = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda r: F.struct(
-        F.element_at(chis, r + 1).alias("chi2"), r.alias("rot"))))
+    # arg-min without a lambda over ``chis``: a staged column referenced once inside a
+    # lambda would be inlined into it and recomputed for every element
+    pairs = F.arrays_zip(F.slice(chis, 2, 25).alias("chi2"), F.sequence(F.lit(1), F.lit(25)).alias("rot"))
+    best = F.array_min(pairs)
     return _stage(df, **{out + "_chi0": F.element_at(chis, 1), out + "_best": best})
 
 
@@ -219,17 +225,23 @@ def add_entropy(df: DataFrame, p: ScanParams = ScanParams(), t: str = "_text", o
 
 
 # --------------------------------------------------------------------------- keywords
-def compiled_patterns(patterns=None) -> list[tuple[str, str, str]]:
-    """Registry entries as (java_regex, label, severity)."""
-    return [(to_java(p), label, sev) for p, label, sev in (patterns or K.INJECTION_PATTERNS)]
+def compiled_patterns(patterns=None) -> list[tuple[str, str, str, str | None]]:
+    """Registry entries as (java_regex, label, severity, required_literal)."""
+    return [(to_java(p), label, sev, literal_prefix(p)) for p, label, sev in (patterns or K.INJECTION_PATTERNS)]
 
 
 def keyword_hits(lower_text: Column, patterns=None) -> Column:
-    """array<struct<pos,label,severity,rank>> of matched entries (registry order); input lower-cased."""
-    hits = [F.when(lower_text.rlike(rx), F.struct(
+    """array<struct<pos,label,severity,rank>> of matched entries (registry order); input lower-cased.
+
+    A pattern's regex only runs on texts that contain its leading word (a plain
+    substring test), which skips almost every text for almost every pattern."""
+    def test(rx, lit):
+        m = lower_text.rlike(rx)
+        return m if lit is None else (lower_text.contains(lit) & m)
+    hits = [F.when(test(rx, lit), F.struct(
         F.lit(i).alias("pos"), F.lit(label).alias("label"), F.lit(sev).alias("severity"),
         F.lit(SEV_RANK[sev]).alias("rank")))
-        for i, (rx, label, sev) in enumerate(compiled_patterns(patterns))]
+        for i, (rx, label, sev, lit) in enumerate(compiled_patterns(patterns))]
     return F.array_compact(F.array(*hits))
 
 

@@ -17,6 +17,9 @@ NOT_W = r"[^\p{L}\p{N}_]"
 D = r"\p{Nd}"
 # Python \b: word/non-word transition
 B = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+# \b right before / right after a character that is itself a word character
+B_BEFORE_WORD = r"(?<![\p{L}\p{N}_])"
+B_AFTER_WORD = r"(?![\p{L}\p{N}_])"
 # str.isprintable() is False exactly for categories C* and Z* other than ' '
 NON_PRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 
@@ -24,6 +27,20 @@ _CLASS_MACROS = {"s": WS, "S": NOT_WS, "w": W, "W": NOT_W, "d": D}
 _INNER_CLASS = {"s": r"\t-\r\x1c-\x20\x85\p{Z}", "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}
 
 
+def literal_prefix(pattern: str) -> str | None:
+    """The word a pattern must start with (``\\bword...``), for a cheap ``contains`` pre-check."""
+    if not pattern.startswith("\\b"):
+        return None
+    j = 2
+    while j < len(pattern) and (pattern[j].isalnum() or pattern[j] == "_"):
+        j += 1
+    nxt = pattern[j : j + 1]
+    lit = pattern[2:j]
+    if nxt in ("?", "*", "{") and lit:
+        lit = lit[:-1]                      # last char is optional
+    return lit or None
+
+
 def to_java(pattern: str, ignore_case: bool = False) -> str:
     """Rewrite the escapes of a Python regex so Java matches like Python.
 
@@ -41,7 +58,14 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             elif not in_class and nxt in _CLASS_MACROS:
                 out.append(_CLASS_MACROS[nxt])
             elif not in_class and nxt == "b":
-                out.append(B)
+                after = pattern[i + 2 : i + 3]
+                before = pattern[i - 1 : i] if i > 0 and pattern[i - 2 : i - 1] != "\\" else ""
+                if after and (after.isalnum() or after == "_"):
+                    out.append(B_BEFORE_WORD)       # next char is a word char
+                elif before and (before.isalnum() or before == "_"):
+                    out.append(B_AFTER_WORD)        # previous char is a word char
+                else:
+                    out.append(B)
             else:
                 out.append(ch + nxt)
             i += 2
