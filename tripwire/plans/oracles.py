@@ -429,3 +429,28 @@ WHERE coalesce(to_addr, '') <> '' AND lower(to_addr) NOT IN (SELECT address FROM
 ORACLES["stream_daily_spend"] = ORACLES["daily_accepted_spend"].replace(
     "SELECT tx_id, account, day, accepted_before, accepted FROM f",
     "SELECT tx_id, account, day, accepted_before, accepted, false AS late FROM f")
+
+# --------------------------------------------------------------------------- decode-dependent queries
+from tripwire.plans import oracle_scan as _OS  # noqa: E402
+
+ORACLES["decode_base64"] = f"""WITH {MESSAGES}, {_OS.decode_ctes('messages')}
+SELECT msg_id, CAST(idx AS INTEGER) AS idx, blob, CASE WHEN ok THEN txt END AS decoded FROM b64d"""
+
+ORACLES["decode_hex"] = f"""WITH {MESSAGES}, {_OS.decode_ctes('messages')}
+SELECT msg_id, kind, CAST(idx AS INTEGER) AS idx, hex, CASE WHEN ok THEN txt END AS decoded FROM hexd"""
+
+ORACLES["detect_base64"] = f"""WITH {MESSAGES}, {LONG_MESSAGES}, {_OS.decode_ctes('lm')}
+SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY idx) - 1 AS INTEGER) AS idx, 'HIGH' AS severity,
+ 'BASE64_PAYLOAD' AS code, 'Base64-encoded content detected. Decoded: "' || {_OS.snippet_ellipsis('txt', 120)} || '"' AS detail,
+ txt AS decoded FROM b64d WHERE ok"""
+
+ORACLES["detect_hex"] = f"""WITH {MESSAGES}, {LONG_MESSAGES}, {_OS.decode_ctes('lm')}
+SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id, kind ORDER BY idx) - 1 AS INTEGER) AS idx,
+ CASE kind WHEN '0x' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE kind WHEN '0x' THEN 'HEX_PAYLOAD' ELSE 'HEX_BLOB' END AS code,
+ CASE kind WHEN '0x' THEN 'Hex-encoded payload detected (0x-prefix). Decoded: "' ELSE 'Bare hex blob detected. Decoded: "' END
+ || left(txt, 120) || '"' AS detail, txt AS decoded FROM hexd WHERE ok"""
+
+SCAN = _OS.scan_ctes("messages")
+ORACLES["scan_verdicts"] = f"WITH {MESSAGES}, {SCAN} SELECT * FROM verdicts"
+ORACLES["stream_scan"] = ORACLES["scan_verdicts"]
+ORACLES["scan_findings"] = f"WITH {MESSAGES}, {SCAN} SELECT msg_id, ord, severity, code, detail, decoded, CAST(sev_rank AS BIGINT) AS sev_rank, CAST(weight AS BIGINT) AS weight FROM findings"
