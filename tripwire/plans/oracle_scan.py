@@ -86,7 +86,9 @@ def utf8_ctes(prefix: str, src: str, bin_col: str) -> tuple[str, str]:
 
 
 def printable_ok(txt: str, min_len: int) -> str:
-    nonprint = f"(length({txt}) - length(regexp_replace({txt}, '[\\pC\\pZ]', '', 'g')) - (length({txt}) - length(replace({txt}, ' ', ''))))"
+    # RE2's \\pC lacks unassigned code points (Cn); a character in no category at all is one
+    cls = "[\\pC\\pZ]|[^\\pL\\pM\\pN\\pP\\pS\\pZ\\pC]"
+    nonprint = f"(length({txt}) - length(regexp_replace({txt}, '{cls}', '', 'g')) - (length({txt}) - length(replace({txt}, ' ', ''))))"
     return f"(length({txt}) >= {min_len} AND (length({txt}) - {nonprint}) / greatest(length({txt}), 1) > 0.75)"
 
 

@@ -454,3 +454,59 @@ SCAN = _OS.scan_ctes("messages")
 ORACLES["scan_verdicts"] = f"WITH {MESSAGES}, {SCAN} SELECT * FROM verdicts"
 ORACLES["stream_scan"] = ORACLES["scan_verdicts"]
 ORACLES["scan_findings"] = f"WITH {MESSAGES}, {SCAN} SELECT msg_id, ord, severity, code, detail, decoded, CAST(sev_rank AS BIGINT) AS sev_rank, CAST(weight AS BIGINT) AS weight FROM findings"
+
+ORACLES["risk_score"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT msg_id, CAST(least(100, sum(weight)) AS BIGINT) AS risk_score,
+ CASE WHEN least(100, sum(weight)) >= 60 THEN 'MALICIOUS' WHEN least(100, sum(weight)) >= 25 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict
+FROM findings GROUP BY msg_id"""
+
+ORACLES["first_payload"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT v.msg_id, v.decoded_payload, (SELECT arg_min(code, ord) FROM findings f WHERE f.msg_id = v.msg_id AND f.decoded <> '') AS source_code
+FROM verdicts v WHERE v.decoded_payload <> ''"""
+
+ORACLES["deep_rescan"] = f"WITH {MESSAGES}, {SCAN} SELECT msg_id, severity, detail FROM f_kw2"
+
+ORACLES["threat_rollup"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT m.source, v.verdict, count(*) AS n, CAST(sum(v.risk_score) AS BIGINT) AS total_score
+FROM verdicts v JOIN messages m USING (msg_id) GROUP BY ROLLUP (m.source, v.verdict)"""
+
+ORACLES["threat_codes"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT code, severity, count(*) AS n_findings, count(DISTINCT msg_id) AS n_messages FROM findings GROUP BY code, severity"""
+
+ORACLES["threat_hourly"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT date_trunc('hour', m.ts) AS hour, v.verdict, count(*) AS n FROM verdicts v JOIN messages m USING (msg_id) GROUP BY 1, 2"""
+
+ORACLES["confirm_queue"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT v.msg_id, 'MALICIOUS scan — score ' || CAST(v.risk_score AS VARCHAR) || '/100' AS summary, CAST(v.risk_score AS INTEGER) AS risk_score,
+ coalesce((SELECT string_agg(code, ', ' ORDER BY ord) FROM (SELECT code, ord FROM findings f WHERE f.msg_id = v.msg_id
+   AND f.severity IN ('CRITICAL','HIGH') ORDER BY ord LIMIT 4)), '') AS codes,
+ left(m.text, 80) AS input
+FROM verdicts v JOIN messages m USING (msg_id) WHERE v.requires_confirmation"""
+
+_LEVEL = ("CASE code WHEN 'INVISIBLE_UNICODE' THEN 'WARNING' WHEN 'ZALGO_COMBINING' THEN 'WARNING' "
+          "WHEN 'INJECTION_KEYWORD' THEN 'WARNING' WHEN 'UNVERIFIED_INTENT' THEN 'WARNING' WHEN 'TOO_SHORT' THEN 'DEBUG' "
+          "WHEN 'SCAN_ERROR' THEN 'ERROR' ELSE 'INFO' END")
+ORACLES["audit_events"] = f"""WITH {MESSAGES}, {SCAN}
+SELECT f.msg_id, sha256(m.text) AS text_sha256, 'finding' AS event, f.code, {_LEVEL} AS level, f.severity,
+ CAST(NULL AS INTEGER) AS risk_score FROM findings f JOIN messages m USING (msg_id)
+UNION ALL
+SELECT v.msg_id, sha256(m.text), 'verdict', v.verdict, CASE WHEN v.verdict = 'MALICIOUS' THEN 'WARNING' ELSE 'DEBUG' END,
+ CAST(NULL AS VARCHAR), CAST(v.risk_score AS INTEGER) FROM verdicts v JOIN messages m USING (msg_id)"""
+
+DOCS = "docs AS (SELECT doc_id AS msg_id, text, false AS user_initiated_transfer FROM documents)"
+ORACLES["document_verdicts"] = f"""WITH {DOCS}, {_OS.scan_ctes('docs')}
+SELECT msg_id AS doc_id, risk_score, verdict, codes FROM verdicts"""
+
+ORACLES["gate_outcomes"] = f"""WITH {MESSAGES}, {SCAN}, {COMMAND_LOG}, {PARSED},
+ev AS (SELECT m.session_id, m.seq, m.ts, 0 AS kind, v.msg_id, CAST(NULL AS VARCHAR) AS cmd
+   FROM verdicts v JOIN messages m USING (msg_id) WHERE v.requires_confirmation
+ UNION ALL SELECT session_id, seq, ts, 1, CAST(NULL AS BIGINT), kind FROM parsed WHERE kind IN ('confirm','cancel')),
+gw AS (SELECT *, lead(kind) OVER o AS nk, lead(cmd) OVER o AS nc, lead(ts) OVER o AS nts, lag(kind) OVER o AS pk, lag(msg_id) OVER o AS pm
+ FROM ev WINDOW o AS (PARTITION BY session_id ORDER BY ts, seq, kind))
+SELECT session_id, msg_id, seq, 'scan' AS event,
+ CASE WHEN nk IS NULL THEN 'PENDING' WHEN nk = 0 THEN 'SUPERSEDED' WHEN nc = 'confirm' THEN 'CONFIRMED' ELSE 'CANCELLED' END AS outcome,
+ CASE WHEN nk = 1 THEN nts END AS decided_ts FROM gw WHERE kind = 0
+UNION ALL
+SELECT session_id, CASE WHEN pk = 0 THEN pm END, seq, 'command',
+ CASE WHEN pk IS NULL OR pk <> 0 THEN 'NOTHING_PENDING' WHEN cmd = 'confirm' THEN 'CONFIRMED' ELSE 'CANCELLED' END, ts
+FROM gw WHERE kind = 1"""
