@@ -510,3 +510,93 @@ UNION ALL
 SELECT session_id, CASE WHEN pk = 0 THEN pm END, seq, 'command',
  CASE WHEN pk IS NULL OR pk <> 0 THEN 'NOTHING_PENDING' WHEN cmd = 'confirm' THEN 'CONFIRMED' ELSE 'CANCELLED' END, ts
 FROM gw WHERE kind = 1"""
+
+# --------------------------------------------------------------------------- auto decode, snapshot, reports
+_AH0 = LEFT_B + "0x([0-9a-fA-F]+)(" + WORD + "*)"
+_AHB = LEFT_B + "([0-9a-fA-F]+)(" + WORD + "*)"
+_U_AD, _U_AD_LAST = _OS.utf8_ctes("adu", "adb", "bin")
+ORACLES["auto_decode"] = f"""WITH {MESSAGES}, {_OS.decode_ctes('messages')},
+adm AS (SELECT msg_id,
+  list_transform(regexp_extract_all(text, {q(_AH0)}, 0), lambda m: regexp_extract(m, {q(_AH0)}, 1) || '|' || regexp_extract(m, {q(_AH0)}, 2)) AS m0,
+  list_transform(regexp_extract_all(text, {q(_AHB)}, 0), lambda m: regexp_extract(m, {q(_AHB)}, 1) || '|' || regexp_extract(m, {q(_AHB)}, 2)) AS mb
+ FROM messages),
+adl AS (SELECT msg_id,
+  list_filter(list_transform(list_filter(m0, lambda m: ends_with(m, '|')), lambda m: rtrim(m, '|')), lambda h: length(h) >= 6) AS c0,
+  list_filter(list_transform(list_filter(mb, lambda m: ends_with(m, '|')), lambda m: rtrim(m, '|')), lambda h: length(h) >= 16 AND length(h) % 2 = 0) AS cb
+ FROM adm),
+adc AS (SELECT msg_id, 0 AS br, i AS idx, c0[i] AS h FROM adl, range(1, len(c0) + 1) AS g(i)
+ UNION ALL SELECT msg_id, 1, i, cb[i] FROM adl, range(1, len(cb) + 1) AS g(i)),
+adb AS (SELECT msg_id, br, idx, CASE WHEN length(h) % 2 = 0 THEN try(unhex(h)) END AS bin FROM adc),
+{_U_AD},
+adh AS (SELECT msg_id, br, arg_min(txt, idx) AS txt FROM {_U_AD_LAST} WHERE coalesce({_OS.printable_ok('txt', 3)}, false) GROUP BY msg_id, br),
+b64first AS (SELECT msg_id, arg_min(txt, idx) AS txt FROM b64d WHERE ok GROUP BY msg_id),
+mt AS (SELECT msg_id, len(toks) AS nt, list_filter(toks, lambda x: regexp_full_match(x, '[.\\-]+')) AS mt
+ FROM (SELECT msg_id, string_split_regex(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '{WS}+') AS toks FROM messages)),
+mor AS (SELECT msg_id, array_to_string(list_transform(mt, lambda t: {MORSE_CASE}), '') AS txt FROM mt WHERE nt >= 4 AND len(mt) / nt >= 0.6),
+{ROT_PROFILE.replace('{src}', 'messages')},
+rotf AS (SELECT msg_id, cand, list_filter(range(1, 26), lambda r: chi[r + 1] < chi[1] * 0.4 AND chi[1] > 100 AND chi[r + 1] < 35)[1] AS r FROM chis),
+rot AS (SELECT msg_id, CASE WHEN r = 13 THEN 'ROT13' ELSE 'ROT' || CAST(r AS VARCHAR) END AS enc,
+  translate(cand, '{ABC}', {ROT_ALPHABETS}[r + 1]) AS txt FROM rotf WHERE r IS NOT NULL),
+pick AS (SELECT m.msg_id,
+  CASE WHEN b.txt IS NOT NULL THEN 'Base64' WHEN h0.txt IS NOT NULL THEN 'Hex (0x)' WHEN hb.txt IS NOT NULL THEN 'Hex'
+   WHEN mo.txt IS NOT NULL THEN 'Morse' ELSE ro.enc END AS encoding,
+  coalesce(b.txt, h0.txt, hb.txt, mo.txt, ro.txt) AS plaintext
+ FROM messages m LEFT JOIN b64first b USING (msg_id) LEFT JOIN (SELECT * FROM adh WHERE br = 0) h0 USING (msg_id)
+  LEFT JOIN (SELECT * FROM adh WHERE br = 1) hb USING (msg_id) LEFT JOIN mor mo USING (msg_id) LEFT JOIN rot ro USING (msg_id))
+SELECT msg_id, encoding, plaintext FROM pick WHERE encoding IS NOT NULL"""
+
+ORACLES["policy_snapshot"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
+ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
+al AS (SELECT address FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev GROUP BY address) WHERE p),
+lastd AS (SELECT account, max(day) AS last_day FROM transactions GROUP BY account)
+SELECT t.account, l.last_day, sum(t.amount_usd) AS spend_last_day,
+ coalesce((SELECT arg_max(value, (ts, seq)) FROM parsed WHERE kind = 'set_limit' AND valid), 500.0) AS single_limit,
+ coalesce((SELECT arg_max(value, (ts, seq)) FROM parsed WHERE kind = 'set_daily' AND valid), 2000.0) AS daily_limit,
+ (SELECT count(*) FROM al) AS allowlist_size
+FROM transactions t JOIN lastd l ON t.account = l.account AND t.day = l.last_day GROUP BY t.account, l.last_day"""
+
+ORACLES["report_markdown"] = f"""WITH {MESSAGES}, {SCAN},
+fl AS (SELECT msg_id, string_agg('| ' || severity || ' | `' || code || '` | ' || left(replace(detail, '|', '\\|'), 120) || ' |', chr(10) ORDER BY ord) AS rows
+ FROM findings GROUP BY msg_id)
+SELECT v.msg_id, '## 🛡️ Tripwire Security Scan Report' || chr(10) || chr(10) || '**Risk Score:** ' || CAST(v.risk_score AS VARCHAR) || '/100  ' || chr(10)
+ || '**Verdict:** ' || v.verdict || '  ' || chr(10) || '**Input preview:** `' || left(m.text, 100) || '`' || chr(10) || chr(10)
+ || CASE WHEN fl.rows IS NULL THEN '_No threats detected._'
+    ELSE '### Findings' || chr(10) || chr(10) || '| Severity | Code | Detail |' || chr(10) || '|---|---|---|' || chr(10) || fl.rows END
+ || CASE WHEN v.decoded_payload <> '' THEN chr(10) || chr(10) || '### Decoded Payload' || chr(10) || '```' || chr(10) || left(v.decoded_payload, 500)
+    || chr(10) || '```' ELSE '' END AS report_markdown
+FROM verdicts v JOIN messages m USING (msg_id) LEFT JOIN fl USING (msg_id)"""
+
+_SEP = "━" * 44
+_RULE = "─" * 44
+_SEV_EMOJI = "CASE severity WHEN 'CRITICAL' THEN '🚨' WHEN 'HIGH' THEN '🔴' WHEN 'MEDIUM' THEN '🟡' WHEN 'LOW' THEN '🟢' WHEN 'INFO' THEN 'ℹ️ ' ELSE '' END"
+ORACLES["report_text"] = f"""WITH {MESSAGES}, {SCAN},
+fl AS (SELECT msg_id, string_agg('  [' || severity || '] ' || {_SEV_EMOJI} || ' ' || detail, chr(10) ORDER BY sev_rank, ord) AS rows,
+  string_agg(CASE WHEN severity IN ('CRITICAL','HIGH') THEN code END, ', ' ORDER BY sev_rank, ord) AS hc
+ FROM findings GROUP BY msg_id),
+hc4 AS (SELECT msg_id, string_agg(code, ', ' ORDER BY sev_rank, ord) AS codes FROM (
+  SELECT msg_id, code, sev_rank, ord, row_number() OVER (PARTITION BY msg_id ORDER BY sev_rank, ord) AS k
+  FROM findings WHERE severity IN ('CRITICAL','HIGH')) WHERE k <= 4 GROUP BY msg_id)
+SELECT v.msg_id, '{_SEP}' || chr(10) || '🛡️  TRIPWIRE SECURITY SCAN  v1.0.0' || chr(10) || '{_SEP}' || chr(10)
+ || 'Input   : ' || replace(left(m.text, 80), chr(10), ' ') || CASE WHEN length(m.text) > 80 THEN '…' ELSE '' END || chr(10)
+ || 'Score   : ' || CAST(v.risk_score AS VARCHAR) || '/100' || chr(10)
+ || 'Verdict : ' || CASE v.verdict WHEN 'CLEAN' THEN '✅' WHEN 'SUSPICIOUS' THEN '⚠️ ' ELSE '🚫' END || ' ' || v.verdict || chr(10)
+ || chr(10) || CASE WHEN fl.rows IS NULL THEN '  No threats detected.' ELSE 'FINDINGS' || chr(10) || fl.rows END
+ || CASE WHEN v.decoded_payload <> '' THEN chr(10) || chr(10) || 'DECODED PAYLOAD' || chr(10) || '  ' || left(v.decoded_payload, 200)
+    || CASE WHEN length(v.decoded_payload) > 200 THEN '…' ELSE '' END ELSE '' END
+ || chr(10) || chr(10) || CASE v.verdict WHEN 'MALICIOUS' THEN '⛔ Do NOT execute this input. Malicious content confirmed.'
+    WHEN 'SUSPICIOUS' THEN '⚠️  Review findings carefully before proceeding.' ELSE '✅ Input appears safe to process.' END
+ || CASE WHEN v.requires_confirmation THEN chr(10) || chr(10) || '{_RULE}' || chr(10) || '🔐 HUMAN CONFIRMATION REQUIRED' || chr(10) || '{_RULE}'
+    || chr(10) || '  A malicious payload has been detected.' || chr(10) || '  No action has been taken yet.' || chr(10) || chr(10)
+    || '  Risk Score  : ' || CAST(v.risk_score AS VARCHAR) || '/100' || chr(10) || '  Detections  : ' || coalesce(hc4.codes, 'see findings above')
+    || chr(10) || chr(10) || '  ⚠️  Proceeding means you accept full responsibility.' || chr(10) || chr(10)
+    || '  ✅  /guard confirm   — override and proceed' || chr(10) || '  ❌  /guard cancel    — abort (recommended)' ELSE '' END
+ || chr(10) || '{_SEP}' AS report_text
+FROM verdicts v JOIN messages m USING (msg_id) LEFT JOIN fl USING (msg_id) LEFT JOIN hc4 USING (msg_id)"""
+
+ORACLES["report_json"] = f"""WITH {MESSAGES}, {SCAN},
+fl AS (SELECT msg_id, list({{'severity': severity, 'code': code, 'detail': detail, 'decoded': decoded}} ORDER BY ord) AS fs
+ FROM findings GROUP BY msg_id)
+SELECT v.msg_id, CAST(to_json({{'input_preview': left(m.text, 200), 'risk_score': CAST(v.risk_score AS INTEGER), 'verdict': v.verdict,
+  'decoded_payload': v.decoded_payload,
+  'findings': coalesce(fl.fs, []::STRUCT(severity VARCHAR, code VARCHAR, detail VARCHAR, decoded VARCHAR)[])}}) AS VARCHAR) AS report_json
+FROM verdicts v JOIN messages m USING (msg_id) LEFT JOIN fl USING (msg_id)"""
