@@ -600,3 +600,24 @@ SELECT v.msg_id, CAST(to_json({{'input_preview': left(m.text, 200), 'risk_score'
   'decoded_payload': v.decoded_payload,
   'findings': coalesce(fl.fs, []::STRUCT(severity VARCHAR, code VARCHAR, detail VARCHAR, decoded VARCHAR)[])}}) AS VARCHAR) AS report_json
 FROM verdicts v JOIN messages m USING (msg_id) LEFT JOIN fl USING (msg_id)"""
+
+ORACLES["stream_gate"] = f"SELECT * FROM ({ORACLES['gate_outcomes']}) WHERE outcome <> 'PENDING'"
+
+ORACLES["stream_policy"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
+sets AS (SELECT ts, seq, kind, value FROM parsed WHERE kind IN ('set_daily','set_limit') AND valid),
+lim AS (SELECT t.tx_id, t.amount_usd,
+  coalesce((SELECT arg_max(value, (ts, seq)) FROM sets WHERE kind = 'set_limit' AND sets.ts <= t.ts), 500.0) AS single_limit,
+  coalesce((SELECT arg_max(value, (ts, seq)) FROM sets WHERE kind = 'set_daily' AND sets.ts <= t.ts), 2000.0) AS daily_limit
+ FROM transactions t)
+SELECT tx_id, single_limit, daily_limit, amount_usd::DOUBLE > single_limit AS over_single FROM lim"""
+
+ORACLES["gate_decision"] = f"""WITH {MESSAGES}, {SCAN}, {TRANSACTIONS}, {RUNNING}, {PRE.replace('FROM transactions', 'FROM run')},
+mv AS (SELECT m.session_id, m.ts, m.seq, v.msg_id, v.requires_confirmation FROM verdicts v JOIN messages m USING (msg_id)),
+j AS (SELECT p.*, mv.msg_id, mv.requires_confirmation FROM pre p ASOF LEFT JOIN mv ON p.account = mv.session_id AND p.ts >= mv.ts)
+SELECT tx_id, msg_id,
+ CASE WHEN coalesce(requires_confirmation, false) THEN 'BLOCK_CONFIRM'
+  WHEN amount_usd::DOUBLE > 500.0 OR (spend_before::DOUBLE + amount_usd::DOUBLE) > 2000.0 THEN 'BLOCK_POLICY'
+  WHEN success AND (usd > 500.0 OR usd > 2000.0 OR lower(to_addr) IN ('0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead'))
+   THEN 'BLOCK_DRYRUN'
+  ELSE 'ALLOW' END AS decision
+FROM j"""

@@ -486,3 +486,24 @@ def stream_daily_spend(spark, sf):
     """Payments stream with per-account state; equals the batch accepted-spend fold."""
     from tripwire.streaming.jobs import stream_daily_spend as run
     return run(spark, sf)
+
+
+@query
+def stream_gate(spark, sf):
+    """Confirmation gate as keyed streaming state (final decisions only)."""
+    from tripwire.streaming.jobs import stream_gate as run
+    return run(spark, sf)
+
+
+@query
+def stream_policy(spark, sf):
+    """Payments stream joined as-of with the policy in force (static side from the command log)."""
+    from tripwire.streaming.jobs import stream_policy as run
+    return run(spark, sf)
+
+
+@query
+def gate_decision(spark, sf):
+    """Scan -> policy -> precheck -> allow, one decision per payment request."""
+    from tripwire.operators.decision import gate_decision as run
+    return run(_tx(spark, sf), _verdicts(spark, sf))

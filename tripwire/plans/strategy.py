@@ -90,3 +90,19 @@ def pushdown_barrier(df: DataFrame) -> DataFrame:
     one-element array per row inside the same codegen stage.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
+def asof_small_join(rows: DataFrame, intervals: DataFrame, ts: str, start: str = "start_ts", end: str = "end_ts",
+                    limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Range join against a *small* interval table (e.g. policy versions) by broadcast.
+
+    Used where the row side is a stream (no day horizon is known).  The interval
+    side must be proven small (optimizer estimate); otherwise this refuses
+    rather than planning a nested-loop join over two large inputs.
+    """
+    size = estimated_bytes(intervals)
+    if size > limit_bytes:
+        raise ValueError(f"interval table estimated at {size} bytes, above the {limit_bytes}-byte broadcast bound")
+    iv = F.broadcast(intervals)
+    cond = (rows[ts] >= iv[start]) & (iv[end].isNull() | (rows[ts] < iv[end]))
+    return rows.join(iv, cond, "left")

@@ -98,3 +98,74 @@ def stream_daily_spend(spark: SparkSession, sf_dir: str, params: PolicyParams =
     out = tx.groupBy("account").applyInPandasWithState(
         _spend_state_fn(params.single_limit, params.daily_limit), SPEND_OUT, SPEND_STATE, "append", GroupStateTimeout.NoTimeout)
     return spark.read.parquet(_run(out, "stream_daily_spend"))
+
+
+GATE_OUT = T.StructType([
+    T.StructField("session_id", T.LongType()), T.StructField("msg_id", T.LongType()), T.StructField("seq", T.LongType()),
+    T.StructField("event", T.StringType()), T.StructField("outcome", T.StringType()),
+    T.StructField("decided_ts", T.TimestampType()),
+])
+GATE_STATE = T.StructType([T.StructField("pending_msg", T.LongType()), T.StructField("pending_seq", T.LongType())])
+
+
+def _gate_state_fn():
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "kind"], kind="stable")
+        pending_msg, pending_seq = state.get if state.exists else (None, None)
+        out = []
+        for kind, msg_id, seq, ts, cmd in zip(ev["kind"], ev["msg_id"], ev["seq"], ev["ts"], ev["cmd"]):
+            if kind == 0:                                   # malicious scan: (over)writes the slot
+                if pending_msg is not None:
+                    out.append((key[0], pending_msg, pending_seq, "scan", "SUPERSEDED", None))
+                pending_msg, pending_seq = int(msg_id), int(seq)
+            else:                                           # confirm / cancel
+                verdict = "CONFIRMED" if cmd == "confirm" else "CANCELLED"
+                if pending_msg is None:
+                    out.append((key[0], None, int(seq), "command", "NOTHING_PENDING", ts))
+                else:
+                    out.append((key[0], pending_msg, pending_seq, "scan", verdict, ts))
+                    out.append((key[0], pending_msg, int(seq), "command", verdict, ts))
+                    pending_msg, pending_seq = None, None
+        if pending_msg is None:
+            state.remove()
+        else:
+            state.update((pending_msg, pending_seq))
+        yield pd.DataFrame(out, columns=[f.name for f in GATE_OUT.fields])
+    return fn
+
+
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmation gate as keyed state per session over the message stream.
+
+    Only final decisions are emitted (a scan still pending stays in state); the
+    output equals the batch ``gate_outcomes`` without its PENDING rows.
+    """
+    from tripwire.operators.commands import parse_commands
+    msgs = S.messages_from_conversations(_file_stream(spark, sf_dir, "conversations", CONVERSATIONS))
+    v = scan_messages(msgs, keep=("msg_id", "session_id", "seq", "ts"))
+    scans = v.where("requires_confirmation").select(
+        "session_id", "seq", "ts", F.lit(0).alias("kind"), "msg_id", F.lit(None).cast("string").alias("cmd"))
+    gate_cmds = msgs.where((F.col("session_id") + F.col("seq")) % 3 == 0).select(
+        "session_id", "seq", "ts", F.when((F.col("msg_id") % 7).isin(0, 3), F.lit("/guard confirm"))
+        .otherwise(F.lit("/GUARD cancel")).alias("command"))
+    cmds = parse_commands(gate_cmds).where(F.col("kind").isin("confirm", "cancel")).select(
+        "session_id", "seq", "ts", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("msg_id"),
+        F.col("kind").alias("cmd"))
+    ev = scans.unionByName(cmds).withWatermark("ts", "1 day")
+    out = ev.groupBy("session_id").applyInPandasWithState(
+        _gate_state_fn(), GATE_OUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return spark.read.parquet(_run(out, "stream_gate"))
+
+
+def stream_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream-static as-of join: each payment gets the limits in force at its time,
+    from the command log (static side, small) - and the single-payment check."""
+    from tripwire.operators.commands import parse_commands, policy_versions
+    from tripwire.plans.strategy import asof_small_join
+    tx = S.transactions_from_events(_file_stream(spark, sf_dir, "events", EVENTS)).select("tx_id", "ts", "amount_usd")
+    pv = policy_versions(parse_commands(S.command_log(spark, sf_dir))).select(
+        "start_ts", "end_ts", "single_limit", "daily_limit")
+    j = asof_small_join(tx, pv, "ts")
+    out = j.select("tx_id", "single_limit", "daily_limit",
+                   (F.col("amount_usd").cast("double") > F.col("single_limit")).alias("over_single"))
+    return spark.read.parquet(_run(out, "stream_policy"))
