@@ -5,8 +5,7 @@ Counts are taken once; the 25 Caesar rotations only permute the count vector
 and re-counting the text 25 times.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +53,60 @@ def shannon_entropy(blob: Column) -> Column:
         return p * F.log2(p)
 
     return F.when(n > 0, -fsum(F.transform(distinct, term))).otherwise(F.lit(0.0))
+
+
+# --------------------------------------------------------------------------- vectorised form
+def _make_chis_numpy(freq_values: tuple):
+    """Build the batch function as a closure over plain values, so Python workers
+    unpickle it without importing this package."""
+    def chis_numpy(letters):
+        """chi2 for rotations 0..25 of each letters-only lower-case string (None stays None).
+
+        One ``bincount`` over the whole Arrow batch gives the 26 counts of every
+        row; the 26 rotations are then column permutations.  Operations and their
+        order match the column-expression form (and Python): E_k = f_k * n / 100,
+        term = (c - E_k)^2 / E_k, summed a..z with Neumaier compensation.
+        """
+        import numpy as np
+
+        freq = np.array(freq_values, dtype=np.float64)
+        valid = letters.notna().to_numpy()
+        vals = letters[valid]
+        out = [None] * len(letters)
+        if len(vals) == 0:
+            return out
+        lens = vals.str.len().to_numpy()
+        flat = np.frombuffer("".join(vals.tolist()).encode("ascii"), dtype=np.uint8).astype(np.int64) - 97
+        rows = np.repeat(np.arange(len(vals)), lens)
+        counts = np.bincount(rows * 26 + flat, minlength=len(vals) * 26).reshape(len(vals), 26).astype(np.float64)
+        n = lens.astype(np.float64)
+        expected = (freq[None, :] * n[:, None]) / 100.0            # rows x 26
+        s = np.zeros((len(vals), 26))
+        c = np.zeros((len(vals), 26))
+        for k in range(26):
+            obs = counts[:, (k - np.arange(26)) % 26]               # rows x rotations
+            d = obs - expected[:, k:k + 1]
+            x = (d * d) / expected[:, k:k + 1]
+            t = s + x
+            c += np.where(np.abs(s) >= np.abs(x), (s - t) + x, (x - t) + s)
+            s = t
+        chis = s + c
+        for j, i in enumerate(np.flatnonzero(valid)):
+            out[i] = chis[j].tolist()
+        return out
+    return chis_numpy
+
+
+def chi_squared_all(letters: Column) -> Column:
+    """array<double>(26): chi2 of rotations 0..25, from a letters-only lower-case column.
+
+    Arrow-batched pandas UDF: the Python side sees whole batches, never rows."""
+    from pyspark.sql.functions import pandas_udf
+
+    fn = _make_chis_numpy(tuple(_FREQ))
+
+    @pandas_udf("array<double>")
+    def _chis(s: pd.Series) -> pd.Series:
+        return pd.Series(fn(s))
+
+    return _chis(letters)

@@ -152,37 +152,39 @@ def morse_tokens(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t.rlike(r"^[.\-]+\z"))
 
 
+# a token is a maximal run of non-space characters; a Morse token is one made only of '.'/'-'
+MORSE_TOKEN = r"(?<!" + NOT_WS + r")[.\-]++(?!" + NOT_WS + r")"
+ANY_TOKEN = NOT_WS + "++"
+
+
 def add_morse(df: DataFrame, p: ScanParams = ScanParams(), t: str = "_text", out: str = "_mor") -> DataFrame:
-    df = _stage(df, **{out + "_t": ws_tokens(F.col(t))})
-    df = _stage(df, **{out + "_m": morse_tokens(F.col(out + "_t")), out + "_nt": F.size(F.col(out + "_t"))})
-    mt, ntok = F.col(out + "_m"), F.col(out + "_nt")
-    ratio = F.size(mt) / ntok
+    """Two counting passes decide whether the Morse rule can fire (tokens >= 4 and
+    Morse share >= threshold); only those rows are split into tokens and decoded."""
+    text = F.col(t)
+    df = _stage(df, **{out + "_nm": F.regexp_count(text, F.lit(MORSE_TOKEN)),
+                       out + "_nt": F.greatest(F.regexp_count(text, F.lit(ANY_TOKEN)), F.lit(1))})
+    nm, ntok = F.col(out + "_nm"), F.col(out + "_nt")
+    ratio = nm / ntok
     fire = (ntok >= 4) & (ratio >= p.morse_token_ratio)
-    df = _stage(df, **{out + "_dec": F.when(fire, codecs.morse_decode(mt))})
+    df = _stage(df, **{out + "_dec": F.when(fire, codecs.morse_decode(morse_tokens(ws_tokens(text))))})
     dec = F.col(out + "_dec")
-    detail = _fmt(K.DETAIL_MORSE, n=F.size(mt).cast("string"), pct=py_percent(ratio, 0), decoded=dec)
+    detail = _fmt(K.DETAIL_MORSE, n=nm.cast("string"), pct=py_percent(ratio, 0), decoded=dec)
     return _stage(df, **{out: F.when(dec.isNotNull(), finding("HIGH", "MORSE_ENCODING", detail, dec))})
 
 
 # --------------------------------------------------------------------------- caesar / rot
 def add_rot_profile(df: DataFrame, t: str = "_text", out: str = "_rot") -> DataFrame:
     """Adds ``{out}_cand`` (words >= 3 letters joined by ' ', when >= 5 words),
-    ``{out}_counts`` (a..z counts), ``{out}_chis`` (chi2 for rotations 0..25),
+    ``{out}_chis`` (chi2 for rotations 0..25),
     ``{out}_chi0`` and ``{out}_best`` = struct(chi2, rot), arg-min over 1..25 with
     ties to the smaller rotation (struct ordering = strict ``<`` scan)."""
     df = _stage(df, **{out + "_w": F.regexp_extract_all(F.col(t), F.lit(WORDS), 0)})
     w = F.col(out + "_w")
     df = _stage(df, **{out + "_cand": F.when(F.size(w) >= 5, F.array_join(w, " "))})
     cand = F.col(out + "_cand")
-    # letters only, lower-cased, computed once; the 26 counts then read this column
+    # letters only, lower-cased: one Arrow-batched pass gives counts and all 26 chi2
     df = _stage(df, **{out + "_lc": F.translate(F.lower(cand), " ", "")})
-    lc = F.col(out + "_lc")
-    df = _stage(df, **{out + "_counts": F.when(lc.isNotNull(), stats.letter_counts(lc))})
-    counts = F.col(out + "_counts")
-    df = _stage(df, **{out + "_n": F.length(lc)})   # letters-only string: its length is the total
-    n = F.col(out + "_n")
-    df = _stage(df, **{out + "_chis": F.when(counts.isNotNull(), F.transform(
-        F.sequence(F.lit(0), F.lit(25)), lambda r: stats.chi_squared(counts, r, n)))})
+    df = _stage(df, **{out + "_chis": stats.chi_squared_all(F.col(out + "_lc"))})
     chis = F.col(out + "_chis")
     # arg-min without a lambda over ``chis``: a staged column referenced once inside a
     # lambda would be inlined into it and recomputed for every element

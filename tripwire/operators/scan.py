@@ -67,7 +67,7 @@ def _first_decoded(arr: Column) -> Column:
 
 def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col: str = "text",
                   uit_col: str | None = "user_initiated_transfer", keep: Iterable[str] = ("msg_id",),
-                  patterns=None, with_text: bool = False) -> DataFrame:
+                  patterns=None, with_text: bool = False, extra_detectors=None) -> DataFrame:
     """One verdict row per input row.
 
     Output: ``keep`` columns, risk_score, verdict, requires_confirmation,
@@ -87,7 +87,7 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
     d = D.add_entropy(d, params)
     d = D.add_keywords(d, patterns=patterns)
     d = D.add_intent(d)
-    extra = list(_EXTRA_DETECTORS.values())
+    extra = list(_EXTRA_DETECTORS.values()) + list(extra_detectors or [])
     if extra:
         d = d.select("*", *[fn(F.col("_text")).alias(f"_x{i}") for i, fn in enumerate(extra)])
     t = F.col("_text")

@@ -621,3 +621,10 @@ SELECT tx_id, msg_id,
    THEN 'BLOCK_DRYRUN'
   ELSE 'ALLOW' END AS decision
 FROM j"""
+
+# the documented custom detector (substring 'suspicious_pattern') runs after the built-in ones
+_CUSTOM = SCAN.replace(
+    "UNION ALL SELECT * FROM f_short),",
+    "UNION ALL SELECT * FROM f_short UNION ALL SELECT msg_id, 11, 0, 'HIGH', 'CUSTOM_DETECTION', 'Custom pattern found.', ''"
+    " FROM lm WHERE contains(text, 'suspicious_pattern')),")
+ORACLES["custom_detector"] = f"WITH {MESSAGES}, {_CUSTOM} SELECT * FROM verdicts"

@@ -507,3 +507,13 @@ def gate_decision(spark, sf):
     """Scan -> policy -> precheck -> allow, one decision per payment request."""
     from tripwire.operators.decision import gate_decision as run
     return run(_tx(spark, sf), _verdicts(spark, sf))
+
+
+@query
+def custom_detector(spark, sf):
+    """Full scan with a user detector (pandas UDF) plugged in after the built-in ones."""
+    from tripwire.operators.custom import custom_detector as det
+    v = scan_messages(_msgs(spark, sf), keep=("msg_id",), extra_detectors=[det])
+    return v.select("msg_id", F.col("risk_score").cast("bigint").alias("risk_score"), "verdict",
+                    "requires_confirmation", "decoded_payload", F.col("n_findings").cast("bigint").alias("n_findings"),
+                    F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
