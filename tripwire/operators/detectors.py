@@ -35,8 +35,9 @@ B64_CANDIDATE = r"(?<![A-Za-z0-9+/\-_])([A-Za-z0-9+/\-_]{16,}+={0,2}+)(?![A-Za-z
 HEX0X_CANDIDATE = B_BEFORE_WORD + r"0x([0-9a-fA-F]{8,}+)" + B_AFTER_WORD
 HEX0X_DECODE_CANDIDATE = B_BEFORE_WORD + r"0x([0-9a-fA-F]{6,}+)" + B_AFTER_WORD
 HEX_BARE_CANDIDATE = B_BEFORE_WORD + r"([0-9a-fA-F]{16,}+)" + B_AFTER_WORD
-WORDS = r"[A-Za-z]{3,}+"
-LONG_RUN = NOT_WS + r"{24,}+"
+# runs are only tried where they start (lookbehind), which keeps the scan linear
+WORDS = r"(?<![A-Za-z])[A-Za-z]{3,}+"
+LONG_RUN = r"(?<!" + NOT_WS + ")" + NOT_WS + r"{24,}+"
 INVISIBLE_CLASS = "[" + "".join(
     (r"\x{%X}" % lo) if lo == hi else (r"\x{%X}-\x{%X}" % (lo, hi)) for lo, hi in K.INVISIBLE_RANGES) + "]"
 COMBINING_CLASS = r"\p{M}"
