@@ -74,15 +74,9 @@ def hex_decode_printable(h: Column, min_len: int = 3) -> Column:
     return F.when(printable_ok(txt, min_len), txt)
 
 
-def morse_map() -> Column:
-    pairs = []
-    for code, letter in MORSE.items():
-        pairs += [F.lit(code), F.lit(letter)]
-    return F.create_map(*pairs)
-
-
 def morse_decode(tokens: Column) -> Column:
     """Map each dot/dash token to its letter, '?' when unknown, joined without spaces."""
-    table = morse_map()
+    pairs = ", ".join(f"'{code}', '{letter}'" for code, letter in MORSE.items())
+    table = F.expr(f"map({pairs})")
     return F.array_join(
         F.transform(tokens, lambda t: F.coalesce(F.call_function("try_element_at", table, t), F.lit("?"))), "")

@@ -78,15 +78,17 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
     text = F.col(text_col)
     uit = F.col(uit_col) if uit_col and uit_col in df.columns else F.lit(False)
     d = df.select(*keep, text.alias("_text"), uit.alias("_uit"))
-    d = D.add_invisible(d)
-    d = D.add_zalgo(d, params)
-    d = D.add_base64(d)
-    d = D.add_hex(d)
-    d = D.add_morse(d, params)
-    d = D.add_caesar(d)
-    d = D.add_entropy(d, params)
-    d = D.add_keywords(d, patterns=patterns)
-    d = D.add_intent(d)
+    lanes = D.Lanes(d)
+    D.add_invisible(lanes.lane())
+    D.add_zalgo(lanes.lane(), params)
+    D.add_base64(lanes.lane())
+    D.add_hex(lanes.lane())
+    D.add_morse(lanes.lane(), params)
+    D.add_caesar(lanes.lane())
+    D.add_entropy(lanes.lane(), params)
+    D.add_keywords(lanes.lane(), patterns=patterns)
+    D.add_intent(lanes.lane())
+    d = lanes.apply()
     extra = list(_EXTRA_DETECTORS.values()) + list(extra_detectors or [])
     if extra:
         d = d.select("*", *[fn(F.col("_text")).alias(f"_x{i}") for i, fn in enumerate(extra)])
