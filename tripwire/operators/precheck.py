@@ -46,6 +46,8 @@ def python_int16_digits(raw: Column) -> Column:
 
 def precheck(tx: DataFrame, params: PolicyParams = PolicyParams(), daily_total: Column | None = None,
              allowlist_active: Column | None = None, in_allowlist: Column | None = None) -> DataFrame:
+    """Staged so each derived value (validation error, USD value, call-data digits,
+    violations) is computed once and later steps read it as a column."""
     to, frm, val, data = F.col("to_addr"), F.col("from_addr"), F.col("value_wei"), F.col("data")
     missing = _missing(tx)
     error = (F.when(F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")))
@@ -53,34 +55,40 @@ def precheck(tx: DataFrame, params: PolicyParams = PolicyParams(), daily_total:
              .when(~frm.rlike(ADDRESS_RE), F.concat(F.lit("Invalid sender address: '"), frm, F.lit("'")))
              .when(val < 0, F.concat(F.lit("Invalid value: '"), val.cast("string"),
                                      F.lit("' — must be a non-negative number"))))
-    d = tx.select("*", error.alias("error"))
-    ok = F.col("error").isNull()
     eth = val.cast("double") / F.lit(1e18)
-    usd = eth * F.lit(params.eth_usd)
-    d = d.select("*", F.when(ok, eth).alias("_eth"), F.when(ok, usd).alias("_usd"))
-    pv = violations(F.col("_usd"), daily_total if daily_total is not None else F.lit(0.0), to,
-                    F.lit(params.single_limit), F.lit(params.daily_limit), allowlist_active, in_allowlist)
-    is_burn = F.lower(to).isin(*K.BURN_ADDRESSES)
+    erc20 = F.lower(data).startswith(K.ERC20_TRANSFER_SELECTOR) & (F.length(data) >= 138)
+    extra = [c for c in [daily_total, allowlist_active, in_allowlist] if c is not None]
+    d = tx.select("*", error.alias("error"), eth.alias("_eth"), (eth * F.lit(params.eth_usd)).alias("_usd"),
+                  F.lower(to).alias("_to_lc"), (~data.isin(*K.NON_CALL_DATA)).alias("_is_call"),
+                  F.when(erc20, python_int16_digits(F.substring(data, 75, 64))).alias("_digits"),
+                  *[c.alias(f"_x{i}") for i, c in enumerate(extra)])
+    xs = iter([F.col(f"_x{i}") for i in range(len(extra))])
+    dt = next(xs) if daily_total is not None else F.lit(0.0)
+    aa = next(xs) if allowlist_active is not None else None
+    ia = next(xs) if in_allowlist is not None else None
+    ok = F.col("error").isNull()
+    digits = F.col("_digits")
+    pv = violations(F.col("_usd"), dt, to, F.lit(params.single_limit), F.lit(params.daily_limit), aa, ia)
+    transfer = F.when(digits.isNotNull(), F.struct(
+        F.lit("ERC-20 transfer").alias("type"),
+        F.concat(F.lit("0x"), F.substring(F.substring(data, 11, 64), -40, 40)).alias("to"),
+        F.lower(digits).alias("amount_hex"), uint256_decimal(digits).alias("amount")))
+    d = d.select("*", F.when(ok, pv).alias("_pv"), F.array_compact(F.array(transfer)).alias("_tt"))
+    is_burn = F.col("_to_lc").isin(*K.BURN_ADDRESSES)
     flags = F.concat(
-        F.transform(pv, lambda v: F.concat(F.lit("POLICY:"), v["rule"], F.lit(" — "), v["detail"])),
+        F.transform(F.col("_pv"), lambda v: F.concat(F.lit("POLICY:"), v["rule"], F.lit(" — "), v["detail"])),
         F.array_compact(F.array(F.when(is_burn, F.lit(
             "SUSPICIOUS_RECIPIENT:burn/null address — funds will be unrecoverable")))))
     warnings = F.array_compact(F.array(
         F.when(is_burn, F.lit("Sending to the burn/null address is irreversible.")),
-        F.when(F.lower(to) == F.lower(frm), F.lit("Sender and recipient are the same address."))))
-    is_call = ~data.isin(*K.NON_CALL_DATA)
+        F.when(F.col("_to_lc") == F.lower(frm), F.lit("Sender and recipient are the same address."))))
+    is_call = F.col("_is_call")
     gas = F.when(is_call, F.lit(K.BASE_GAS) + F.floor(F.length(data) / 2).cast("bigint") * K.GAS_PER_BYTE) \
         .otherwise(F.lit(K.BASE_GAS)).cast("bigint")
-    erc20 = F.lower(data).startswith(K.ERC20_TRANSFER_SELECTOR) & (F.length(data) >= 138)
-    digits = python_int16_digits(F.substring(data, 75, 64))
-    transfer = F.when(erc20 & digits.isNotNull(), F.struct(
-        F.lit("ERC-20 transfer").alias("type"),
-        F.concat(F.lit("0x"), F.substring(F.substring(data, 11, 64), -40, 40)).alias("to"),
-        F.lower(digits).alias("amount_hex"), uint256_decimal(digits).alias("amount")))
     return pushdown_barrier(d.select(
         *tx.columns, ok.alias("success"), ok.alias("simulated"), "error",
         F.when(ok, F.round(F.col("_eth"), 8)).alias("value_eth"),
         F.when(ok, F.round(F.col("_usd"), 2)).alias("value_usd_est"),
         F.when(ok, gas).alias("gas_estimate"), F.when(ok, is_call).alias("is_contract_call"),
-        F.when(ok, F.array_compact(F.array(transfer))).alias("token_transfers"),
+        F.when(ok, F.col("_tt")).alias("token_transfers"),
         F.when(ok, flags).alias("policy_flags"), F.when(ok, warnings).alias("warnings")))
