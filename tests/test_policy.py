@@ -107,3 +107,20 @@ def test_gate_outcomes(spark):
     g = {(r.event, r.seq): r.outcome for r in C.gate_outcomes(v, C.parse_commands(log)).collect()}
     assert g == {("scan", 1): "SUPERSEDED", ("scan", 3): "CONFIRMED", ("command", 4): "CONFIRMED",
                  ("command", 5): "NOTHING_PENDING", ("scan", 6): "PENDING"}
+
+
+def test_neighbors_equals_lead_lag(spark):
+    import random
+    from tripwire.plans.strategy import neighbors
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randint(0, 3), i, t0 + dt.timedelta(seconds=rnd.randint(0, 400)), rnd.randint(0, 1))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, seq long, ts timestamp, kind int")
+    a = neighbors(df, ["k"], "ts", ["ts", "seq", "kind"], ["seq", "kind"], chunk_seconds=7)
+    w = Window.partitionBy("k").orderBy("ts", "seq", "kind")
+    v = F.struct("seq", "kind")
+    b = df.select("*", F.lead(v).over(w).alias("_next"), F.lag(v).over(w).alias("_prev"))
+    norm = lambda d: sorted((r.seq, tuple(r._next) if r._next else None, tuple(r._prev) if r._prev else None)  # noqa
+                            for r in d.collect())
+    assert norm(a) == norm(b)

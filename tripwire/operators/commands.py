@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tripwire.operators.policy import COMMAND_PREFIX
 from tripwire.params import PolicyParams
-from tripwire.plans.strategy import pushdown_barrier
+from tripwire.plans.strategy import neighbors, pushdown_barrier
 from tripwire.regex import WS
 
 ADDRESS_FULL = r"(?i)^0x[0-9a-f]{40}\z"
@@ -165,20 +165,21 @@ def gate_outcomes(verdicts: DataFrame, parsed: DataFrame) -> DataFrame:
         "session_id", "seq", "ts", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("msg_id"),
         F.col("kind").alias("cmd"))
     ev = scans.unionByName(cmds)
-    w = Window.partitionBy("session_id").orderBy("ts", "seq", "kind")
-    nxt_kind, nxt_cmd, nxt_ts = F.lead("kind").over(w), F.lead("cmd").over(w), F.lead("ts").over(w)
-    prv_kind, prv_msg = F.lag("kind").over(w), F.lag("msg_id").over(w)
-    e = ev.select("*", nxt_kind.alias("nk"), nxt_cmd.alias("nc"), nxt_ts.alias("nts"),
-                  prv_kind.alias("pk"), prv_msg.alias("pm"))
-    scan_out = e.where("kind = 0").select(
-        "session_id", "msg_id", "seq", "ts",
-        F.when(F.col("nk").isNull(), "PENDING").when(F.col("nk") == 0, "SUPERSEDED")
-        .when(F.col("nc") == "confirm", "CONFIRMED").otherwise("CANCELLED").alias("outcome"),
-        F.when(F.col("nk") == 1, F.col("nts")).alias("decided_ts"))
-    cmd_out = e.where("kind = 1").select(
-        "session_id", F.when(F.col("pk") == 0, F.col("pm")).alias("msg_id"), "seq", "ts",
-        F.when(F.col("pk") != 0, F.lit("NOTHING_PENDING")).when(F.col("pk").isNull(), F.lit("NOTHING_PENDING"))
-        .when(F.col("cmd") == "confirm", F.lit("CONFIRMED")).otherwise(F.lit("CANCELLED")).alias("outcome"),
-        F.col("ts").alias("decided_ts"))
-    return scan_out.select("*", F.lit("scan").alias("event")).unionByName(
-        cmd_out.select("*", F.lit("command").alias("event")))
+    # lead/lag per session without a session-wide window (skew-safe, see plans.strategy.neighbors)
+    e = neighbors(ev, ["session_id"], "ts", ["ts", "seq", "kind"], ["kind", "cmd", "ts", "msg_id"])
+    e = e.select("*", F.col("_next")["kind"].alias("nk"), F.col("_next")["cmd"].alias("nc"),
+                 F.col("_next")["ts"].alias("nts"), F.col("_prev")["kind"].alias("pk"),
+                 F.col("_prev")["msg_id"].alias("pm"))
+    is_scan = F.col("kind") == 0
+    scan_outcome = (F.when(F.col("nk").isNull(), "PENDING").when(F.col("nk") == 0, "SUPERSEDED")
+                    .when(F.col("nc") == "confirm", "CONFIRMED").otherwise("CANCELLED"))
+    cmd_outcome = (F.when(F.col("pk").isNull() | (F.col("pk") != 0), F.lit("NOTHING_PENDING"))
+                   .when(F.col("cmd") == "confirm", F.lit("CONFIRMED")).otherwise(F.lit("CANCELLED")))
+    # one pass over the events: both outcome kinds come from the same row set
+    return e.select(
+        "session_id",
+        F.when(is_scan, F.col("msg_id")).when(F.col("pk") == 0, F.col("pm")).alias("msg_id"),
+        "seq", "ts",
+        F.when(is_scan, scan_outcome).otherwise(cmd_outcome).alias("outcome"),
+        F.when(is_scan, F.when(F.col("nk") == 1, F.col("nts"))).otherwise(F.col("ts")).alias("decided_ts"),
+        F.when(is_scan, F.lit("scan")).otherwise(F.lit("command")).alias("event"))

@@ -106,3 +106,29 @@ def asof_small_join(rows: DataFrame, intervals: DataFrame, ts: str, start: str =
     iv = F.broadcast(intervals)
     cond = (rows[ts] >= iv[start]) & (iv[end].isNull() | (rows[ts] < iv[end]))
     return rows.join(iv, cond, "left")
+
+
+def neighbors(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], cols: Sequence[str],
+              chunk_seconds: int = 60) -> DataFrame:
+    """Add ``_next`` / ``_prev``: struct of ``cols`` of the following / preceding row of
+    the same ``keys`` in ``order`` (whose first column is ``ts``); NULL at the ends.
+
+    Equals ``lead``/``lag`` over ``partitionBy(keys)``, but the window runs per
+    (keys, time chunk), so one hot key is spread over many tasks.  Chunk
+    boundaries are stitched from a per-chunk first/last summary (one row per
+    chunk), so only that small table is windowed per key.
+    """
+    chunk = F.floor(F.unix_micros(F.col(ts)) / F.lit(chunk_seconds * 1_000_000))
+    rows = df.select("*", chunk.alias("_chunk"), F.struct(*[F.col(c) for c in cols]).alias("_v"),
+                     F.struct(*[F.col(c) for c in order]).alias("_o"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows = rows.select("*", F.lead("_v").over(w).alias("_in_next"), F.lag("_v").over(w).alias("_in_prev"))
+    summary = rows.groupBy(*keys, "_chunk").agg(F.min_by("_v", "_o").alias("_first"),
+                                                F.max_by("_v", "_o").alias("_last"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk")
+    summary = summary.select(*keys, "_chunk", F.lead("_first").over(wc).alias("_chunk_next"),
+                             F.lag("_last").over(wc).alias("_chunk_prev"))
+    j = rows.join(summary, on=[*keys, "_chunk"], how="inner")
+    return j.select(*df.columns,
+                    F.coalesce(F.col("_in_next"), F.col("_chunk_next")).alias("_next"),
+                    F.coalesce(F.col("_in_prev"), F.col("_chunk_prev")).alias("_prev"))
