@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tripwire.operators.policy import violations, with_day
 from tripwire.operators.precheck import precheck
 from tripwire.params import PolicyParams
-from tripwire.plans.strategy import asof_intervals_join, running_sum
+from tripwire.plans.strategy import asof_intervals_join, neighbors, running_sum
 
 
 def message_intervals(verdicts: DataFrame) -> DataFrame:
-    """Per session: [ts, next message ts) with that message's verdict (messages are few per session)."""
-    w = Window.partitionBy("session_id").orderBy("ts", "seq")
-    return verdicts.select("session_id", "msg_id", "requires_confirmation", F.col("ts").alias("m_start"),
-                           F.lead("ts").over(w).alias("m_end"))
+    """Per session: [ts, next message ts) with that message's verdict.
+
+    The next message is found with the skew-safe ``neighbors`` (time-chunked
+    windows), so one very long session is not a single task."""
+    v = verdicts.select("session_id", "msg_id", "seq", "ts", "requires_confirmation")
+    n = neighbors(v, ["session_id"], "ts", ["ts", "seq"], ["ts"])
+    return n.select("session_id", "msg_id", "requires_confirmation", F.col("ts").alias("m_start"),
+                    F.col("_next")["ts"].alias("m_end"))
 
 
 def gate_decision(tx: DataFrame, verdicts: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
