@@ -110,3 +110,19 @@ def test_fixture_totals_sf0001(spark):
                         "INVISIBLE_UNICODE": 6, "ZALGO_COMBINING": 6, "UNVERIFIED_INTENT": 13, "TOO_SHORT": 4}
     scores = [r.risk_score for r in v.collect()]
     assert all(0 <= s <= 100 for s in scores)
+
+
+def test_findings_sink_partitioned_by_severity(spark):
+    import os
+    import uuid
+
+    from tripwire.operators.sinks import write_findings
+    from tripwire.session import scratch_path
+    v = scan_messages(tables.messages(spark, SF0001))
+    path = scratch_path(spark, f"findings-{uuid.uuid4().hex}")
+    write_findings(v, path)
+    parts = sorted(p for p in os.listdir(path) if p.startswith("severity="))
+    assert parts == ["severity=CRITICAL", "severity=HIGH", "severity=INFO", "severity=MEDIUM"]
+    back = spark.read.parquet(path)
+    assert back.count() == findings_table(v).count()
+    assert back.where("severity = 'CRITICAL'").select("code").distinct().count() >= 1
