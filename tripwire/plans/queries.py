@@ -120,7 +120,9 @@ def threat_codes(spark, sf):
 @query
 def threat_hourly(spark, sf):
     v = _verdicts(spark, sf)
-    return v.groupBy(F.window("ts", "1 hour").start.alias("hour"), "verdict").agg(F.count("*").alias("n"))
+    # UTC wall-clock timestamps (NTZ) so results do not depend on the client's time zone
+    return v.groupBy(F.window("ts", "1 hour").start.cast("timestamp_ntz").alias("hour"), "verdict") \
+        .agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ single detectors
@@ -464,7 +466,8 @@ def policy_snapshot(spark, sf):
 def gate_outcomes(spark, sf):
     v = _verdicts(spark, sf)
     g = C.gate_outcomes(v, _parsed(spark, sf))
-    return g.select("session_id", "msg_id", "seq", "event", "outcome", "decided_ts")
+    return g.select("session_id", "msg_id", "seq", "event", "outcome",
+                    F.col("decided_ts").cast("timestamp_ntz").alias("decided_ts"))
 
 
 # registry names without the helper suffix
@@ -492,7 +495,9 @@ def stream_daily_spend(spark, sf):
 def stream_gate(spark, sf):
     """Confirmation gate as keyed streaming state (final decisions only)."""
     from tripwire.streaming.jobs import stream_gate as run
-    return run(spark, sf)
+    g = run(spark, sf)
+    return g.select(*[c for c in g.columns if c != "decided_ts"],
+                    F.col("decided_ts").cast("timestamp_ntz").alias("decided_ts"))
 
 
 @query
