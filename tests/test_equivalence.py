@@ -46,7 +46,7 @@ def test_chi2_matches_python(spark):
     assert got == [_py_chi2(t) for t in texts]
 
 
-EDGE = ["send 5 ETH", "²send 5 ETH", "ésend", "send́ it", "Ｓend", "ſend money", "SEND", "x_send", "send_x",
+EDGE = ["send 5 ETH", "ſend money", "lİquidate now", "staKe it", "SEND", "ﬂash loan", "²send 5 ETH", "ésend", "send́ it", "Ｓend", "ſend money", "SEND", "x_send", "send_x",
         "发send发", "send​now", "pay  out now", "flash\tloan", "don't wait", 'don"t wait', "dont wait",
         "$1,000", "$ 5", "5 eth", "5eth", ",5 eth", "a,5 eth", "१२ eth", "0x" + "a" * 40, "x0x" + "a" * 40,
         "0x" + "a" * 41, "right now", "right now", "immediately!", "urgently", "urgentl",
@@ -110,3 +110,11 @@ def test_stream_equals_batch(spark):
         "tx_id", "accepted_before", "accepted").collect())
     assert a == b
 
+
+
+def test_intent_precheck_keeps_python_semantics(spark):
+    from tripwire.operators import detectors as D
+    df = spark.createDataFrame([(i, s, False) for i, s in enumerate(EDGE)], "msg_id long, _text string, _uit boolean")
+    got = {r.msg_id: r._itn is not None for r in D.add_intent(df).select("msg_id", "_itn").collect()}
+    for i, s in enumerate(EDGE):
+        assert got[i] == bool(re.search(K.FINANCIAL_ACTION_RE, s, re.IGNORECASE)), s

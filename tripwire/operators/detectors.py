@@ -318,9 +318,29 @@ def intent_signals(text: Column) -> Column:
         F.when(text.rlike(ADDR_JAVA), F.lit(K.SIGNAL_NAMES[2]))))
 
 
+# Literal stems every financial verb alternative contains (lower case)
+FIN_STEMS = ["transfer", "send", "withdraw", "move", "approve", "swap", "bridge", "stake", "claim", "delegate",
+             "revoke", "mint", "burn", "vote", "liquidate", "deposit", "drain", "execute", "disburse", "pay", "flash"]
+
+
+def _fin_possible(text: Column) -> Column:
+    """Necessary condition for the case-insensitive verb regex, as cheap substring tests.
+
+    Besides ASCII, only 'İ' (U+0130), 'ſ' (U+017F) and 'ı' (U+0131) are
+    case-equivalent to ASCII letters without ``lower`` mapping them there
+    (Kelvin sign lowers to 'k'), so they are mapped first."""
+    lc = F.lower(F.translate(text, "\u0130\u017f\u0131", "isi"))
+    hit = None
+    for stem in FIN_STEMS:
+        c = lc.contains(stem)
+        hit = c if hit is None else (hit | c)
+    return hit
+
+
 def add_intent(df: DataFrame, t: str = "_text", uit: str = "_uit", out: str = "_itn") -> DataFrame:
     text = F.col(t)
-    fire = text.rlike(FIN_JAVA) & ~F.coalesce(F.col(uit), F.lit(False))
+    df = _stage(df, **{out + "_p": _fin_possible(text) & ~F.coalesce(F.col(uit), F.lit(False))})
+    fire = F.col(out + "_p") & text.rlike(FIN_JAVA)
     df = _stage(df, **{out + "_s": F.when(fire, intent_signals(text))})
     sig = F.col(out + "_s")
     high = F.size(sig) > 0
