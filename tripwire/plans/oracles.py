@@ -490,7 +490,7 @@ ORACLES["audit_events"] = f"""WITH {MESSAGES}, {SCAN}
 SELECT f.msg_id, sha256(m.text) AS text_sha256, 'finding' AS event, f.code, {_LEVEL} AS level, f.severity,
  CAST(NULL AS INTEGER) AS risk_score FROM findings f JOIN messages m USING (msg_id)
 UNION ALL
-SELECT v.msg_id, sha256(m.text), 'verdict', v.verdict, CASE WHEN v.verdict = 'MALICIOUS' THEN 'WARNING' ELSE 'DEBUG' END,
+SELECT v.msg_id, sha256(m.text), 'verdict', v.verdict, 'DEBUG',
  CAST(NULL AS VARCHAR), CAST(v.risk_score AS INTEGER) FROM verdicts v JOIN messages m USING (msg_id)"""
 
 DOCS = "docs AS (SELECT doc_id AS msg_id, text, false AS user_initiated_transfer FROM documents)"
@@ -628,3 +628,18 @@ _CUSTOM = SCAN.replace(
     "UNION ALL SELECT * FROM f_short UNION ALL SELECT msg_id, 11, 0, 'HIGH', 'CUSTOM_DETECTION', 'Custom pattern found.', ''"
     " FROM lm WHERE contains(text, 'suspicious_pattern')),")
 ORACLES["custom_detector"] = f"WITH {MESSAGES}, {_CUSTOM} SELECT * FROM verdicts"
+
+
+# full operator audit: scan events + allowlist changes + human gate decisions + dry-run results
+ORACLES["audit_log"] = f"""SELECT msg_id AS ref_id, 'scan' AS source, event, code, level, severity FROM ({ORACLES['audit_events']})
+UNION ALL
+SELECT seq, 'command', 'allowlist', CASE kind WHEN 'allowlist_add' THEN 'ALLOWLIST_ADD' ELSE 'ALLOWLIST_REMOVE' END, 'INFO', NULL
+FROM (WITH {MESSAGES}, {COMMAND_LOG}, {PARSED} SELECT * FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid)
+UNION ALL
+SELECT seq, 'command', 'gate', CASE outcome WHEN 'CONFIRMED' THEN 'HUMAN_CONFIRMED' ELSE 'HUMAN_CANCELLED' END,
+ CASE outcome WHEN 'CONFIRMED' THEN 'WARNING' ELSE 'INFO' END, NULL
+FROM ({ORACLES['gate_outcomes']}) WHERE event = 'command' AND outcome IN ('CONFIRMED','CANCELLED')
+UNION ALL
+SELECT tx_id, 'payment', 'dry_run', CASE WHEN flags <> '' THEN 'DRY_RUN_FLAGS' ELSE 'DRY_RUN' END,
+ CASE WHEN flags <> '' THEN 'WARNING' ELSE 'INFO' END, NULL
+FROM (WITH {TRANSACTIONS}, {PRE} SELECT tx_id, {FLAGS} AS flags FROM pre WHERE success)"""

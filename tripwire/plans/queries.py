@@ -522,3 +522,28 @@ def custom_detector(spark, sf):
     return v.select("msg_id", F.col("risk_score").cast("bigint").alias("risk_score"), "verdict",
                     "requires_confirmation", "decoded_payload", F.col("n_findings").cast("bigint").alias("n_findings"),
                     F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
+
+
+@query
+def audit_log(spark, sf):
+    """Operator audit: scan events, allowlist changes, human confirm/cancel, dry-run results."""
+    lit_null = F.lit(None).cast("string")
+    v = _verdicts(spark, sf, with_text=True)
+    scan = R.audit_events(v).select(
+        F.col("msg_id").alias("ref_id"), F.lit("scan").alias("source"), "event", "code", "level", "severity")
+    parsed = _parsed(spark, sf)
+    allow = parsed.where(F.col("kind").isin("allowlist_add", "allowlist_remove") & F.col("valid")).select(
+        F.col("seq").alias("ref_id"), F.lit("command").alias("source"), F.lit("allowlist").alias("event"),
+        F.when(F.col("kind") == "allowlist_add", "ALLOWLIST_ADD").otherwise("ALLOWLIST_REMOVE").alias("code"),
+        F.lit("INFO").alias("level"), lit_null.alias("severity"))
+    g = C.gate_outcomes(v, parsed)
+    gate = g.where((F.col("event") == "command") & F.col("outcome").isin("CONFIRMED", "CANCELLED")).select(
+        F.col("seq").alias("ref_id"), F.lit("command").alias("source"), F.lit("gate").alias("event"),
+        F.when(F.col("outcome") == "CONFIRMED", "HUMAN_CONFIRMED").otherwise("HUMAN_CANCELLED").alias("code"),
+        F.when(F.col("outcome") == "CONFIRMED", "WARNING").otherwise("INFO").alias("level"), lit_null.alias("severity"))
+    flagged = F.size("policy_flags") > 0
+    dry = _pre(spark, sf).where("success").select(
+        F.col("tx_id").alias("ref_id"), F.lit("payment").alias("source"), F.lit("dry_run").alias("event"),
+        F.when(flagged, "DRY_RUN_FLAGS").otherwise("DRY_RUN").alias("code"),
+        F.when(flagged, "WARNING").otherwise("INFO").alias("level"), lit_null.alias("severity"))
+    return scan.unionByName(allow).unionByName(gate).unionByName(dry)
