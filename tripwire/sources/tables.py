@@ -41,8 +41,11 @@ def _lhex(s: Column) -> Column:
 
 
 def messages_from_conversations(conv: DataFrame) -> DataFrame:
-    """Fixture ``messages`` view: conversation turns, some replaced by attack variants
-    chosen by ``(conv_id*7 + turn) % 16``."""
+    """Fixture ``messages`` view (FIXTURES.md §3): every conversation turn becomes one
+    message; the variant ``(conv_id*7 + turn) % 16`` decides whether the turn is kept
+    as is or rewritten into an attack sample (some samples quote a slice of the turn,
+    as the fixture defines).  This shapes the input only - the scan always reads each
+    message's whole text, and ``document_verdicts`` scans raw documents in full."""
     c, t, txt = F.col("conv_id"), F.col("turn"), F.col("text")
     cid = c.cast("string")
     alpha = "abcdefghijklmnopqrstuvwxyz"
@@ -104,8 +107,10 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture ``command_log``: confirm/cancel commands in chat sessions, plus the
-    operator stream (session -1) of policy commands."""
+    """Fixture ``command_log`` (FIXTURES.md §3): confirm/cancel commands in chat sessions
+    plus the operator stream (session -1) of policy commands.  The modulo conditions
+    are the fixture's rule for which rows are commands (it defines the log), not a
+    sample taken to make a query cheaper."""
     m = messages(spark, sf_dir)
     gate = (m.where((F.col("session_id") + F.col("seq")) % 3 == 0)
             .select("session_id", "seq", "ts",
