@@ -643,3 +643,18 @@ UNION ALL
 SELECT tx_id, 'payment', 'dry_run', CASE WHEN flags <> '' THEN 'DRY_RUN_FLAGS' ELSE 'DRY_RUN' END,
  CASE WHEN flags <> '' THEN 'WARNING' ELSE 'INFO' END, NULL
 FROM (WITH {TRANSACTIONS}, {PRE} SELECT tx_id, {FLAGS} AS flags FROM pre WHERE success)"""
+
+ORACLES["scan_errors"] = f"WITH {MESSAGES}, {SCAN} SELECT msg_id, code, detail FROM findings WHERE severity = 'INFO'"
+
+_r3, _d3 = violations_sql("amount_usd", "spend_before")
+ORACLES["policy_check"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS}, {RUNNING},
+ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
+st AS (SELECT r.*,
+  (SELECT count(*) FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev WHERE ev.ts <= r.ts GROUP BY address) WHERE p) AS list_size,
+  coalesce((SELECT arg_max(present, (ts, seq)) FROM ev WHERE ev.address = lower(r.to_addr) AND ev.ts <= r.ts), false) AS listed
+ FROM run r),
+al AS (SELECT *, list_size > 0 AND coalesce(to_addr, '') <> '' AND NOT listed AS aviol FROM st)
+SELECT tx_id, concat_ws(',', NULLIF({_r3}, ''), CASE WHEN aviol THEN 'ALLOWLIST_VIOLATION' END) AS rules,
+ concat_ws(' ', NULLIF({_d3}, ''), CASE WHEN aviol THEN 'Recipient ' || CASE WHEN length(to_addr) > 10 THEN left(to_addr, 10) || '…' ELSE to_addr END
+  || ' is not in the approved allowlist. Add with: /guard allowlist add ' || to_addr END) AS details
+FROM al"""

@@ -547,3 +547,31 @@ def audit_log(spark, sf):
         F.when(flagged, "DRY_RUN_FLAGS").otherwise("DRY_RUN").alias("code"),
         F.when(flagged, "WARNING").otherwise("INFO").alias("level"), lit_null.alias("severity"))
     return scan.unionByName(allow).unionByName(gate).unionByName(dry)
+
+
+@query
+def policy_check(spark, sf):
+    """Full policy rule per payment: single limit, daily total (earlier attempts that day),
+    and the allowlist in force at payment time - all violations, in that order."""
+    tx = with_day(_tx(spark, sf))
+    parsed = _parsed(spark, sf)
+    d = running_sum(tx, ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
+    iv = C.allowlist_intervals(parsed).select("address", "present", F.col("start_ts").alias("a_start"),
+                                              F.col("end_ts").alias("a_end"))
+    sz = C.allowlist_size_intervals(parsed).select("size", "start_ts", "end_ts")
+    d = d.select("*", F.lower("to_addr").alias("to_lower"))
+    j = asof_intervals_join(d, sz, "ts")
+    j = asof_intervals_join(j, iv, "ts", start="a_start", end="a_end", keys=[("to_lower", "address")])
+    p = PolicyParams()
+    v = violations(F.col("amount_usd"), F.col("spend_before"), F.col("to_addr"), F.lit(p.single_limit),
+                   F.lit(p.daily_limit), F.coalesce(F.col("size"), F.lit(0)) > 0,
+                   F.coalesce(F.col("present"), F.lit(False)))
+    return j.select("tx_id", F.array_join(F.transform(v, lambda x: x["rule"]), ",").alias("rules"),
+                    F.array_join(F.transform(v, lambda x: x["detail"]), " ").alias("details"))
+
+
+@query
+def scan_errors(spark, sf):
+    """INFO findings: inputs that were not fully scanned (too short, or NULL text)."""
+    t = findings_table(_verdicts(spark, sf))
+    return t.where(F.col("severity") == "INFO").select("msg_id", "code", "detail")
