@@ -19,7 +19,8 @@ from tripwire.operators.policy import daily_accepted_spend, daily_running_spend,
 from tripwire.operators.precheck import precheck
 from tripwire.operators.scan import findings_table, scan_messages, score_of, verdict_of
 from tripwire.params import PolicyParams, ScanParams
-from tripwire.plans.strategy import asof_intervals_join, broadcast_if_small, pushdown_barrier, running_sum
+from tripwire.plans.strategy import (asof_intervals_join, broadcast_if_small, pushdown_barrier, running_sum,
+                                     with_known_size)
 from tripwire.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,7 +442,7 @@ def allowlist_state(spark, sf):
 def allowlist_violation(spark, sf):
     """Payments whose recipient is not on the final allowlist (anti-join), when it is non-empty."""
     tx = _tx(spark, sf).where(F.coalesce(F.col("to_addr"), F.lit("")) != "")
-    al = C.allowlist_state(_parsed(spark, sf))
+    al = with_known_size(C.allowlist_state(_parsed(spark, sf)))
     bad = tx.join(broadcast_if_small(al), F.lower(tx["to_addr"]) == al["address"], "left_anti")
     nonempty = al.select(F.count("*")).scalar() > 0
     return bad.where(nonempty).select("tx_id", "to_addr")

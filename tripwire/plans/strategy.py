@@ -33,6 +33,26 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
+def with_known_size(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Give a derived table a measured size.
+
+    The optimizer's estimate for a table derived from large sources (e.g. policy
+    intervals built from a command log carved out of a message table) is an
+    upper bound taken from those sources, so a tiny table can look huge.  When
+    the estimate is over the broadcast bound, the table is written to the
+    shared checkpoint folder and read back: its estimate is then its real file
+    size, and the broadcast decision is made on that.  This also cuts lineage.
+    """
+    if estimated_bytes(df) <= limit_bytes:
+        return df
+    import uuid
+
+    from tripwire.session import scratch_path
+    path = scratch_path(df.sparkSession, f"sized-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str, value: str, out: str,
                 exclusive: bool = True, chunk_seconds: int = 1) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys`` in
@@ -66,6 +86,7 @@ def asof_intervals_join(rows: DataFrame, intervals: DataFrame, ts: str, start: s
     ``(day, keys)`` plus a range filter; the interval side is broadcast when its
     estimate is small.
     """
+    intervals = with_known_size(intervals)
     # open intervals run to the last day present in ``rows`` (a scalar subquery)
     hz = horizon if horizon is not None else rows.agg(F.max(F.to_date(F.col(ts)))).scalar()
     first_day = F.to_date(F.col(start))
@@ -100,6 +121,7 @@ def asof_small_join(rows: DataFrame, intervals: DataFrame, ts: str, start: str =
     side must be proven small (optimizer estimate); otherwise this refuses
     rather than planning a nested-loop join over two large inputs.
     """
+    intervals = with_known_size(intervals, limit_bytes)
     size = estimated_bytes(intervals)
     if size > limit_bytes:
         raise ValueError(f"interval table estimated at {size} bytes, above the {limit_bytes}-byte broadcast bound")
