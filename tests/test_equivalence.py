@@ -118,3 +118,22 @@ def test_intent_precheck_keeps_python_semantics(spark):
     got = {r.msg_id: r._itn is not None for r in D.add_intent(df).select("msg_id", "_itn").collect()}
     for i, s in enumerate(EDGE):
         assert got[i] == bool(re.search(K.FINANCIAL_ACTION_RE, s, re.IGNORECASE)), s
+
+
+def test_entropy_relational_equals_hof(spark):
+    """Relational form (explode characters, group, sum -p log2 p) equals the HOF form."""
+    from tripwire.operators import detectors as D
+    from tripwire.sources import tables
+    m = tables.messages(spark, SF0001)
+    blobs = m.select("msg_id", F.posexplode(D.entropy_blobs(F.col("text"))).alias("idx", "blob"))
+    hof = {(r.msg_id, r.idx): r.e for r in blobs.select("msg_id", "idx", stats.shannon_entropy(F.col("blob")).alias("e"))
+           .collect()}
+    chars = blobs.select("msg_id", "idx", F.length("blob").alias("n"),
+                         F.explode(F.regexp_extract_all("blob", F.lit("(?s)."), 0)).alias("ch"))
+    counts = chars.groupBy("msg_id", "idx", "n", "ch").count()
+    rel = counts.groupBy("msg_id", "idx").agg(
+        (-F.sum((F.col("count") / F.col("n")) * F.log2(F.col("count") / F.col("n")))).alias("e"))
+    got = {(r.msg_id, r.idx): r.e for r in rel.collect()}
+    assert set(got) == set(hof) and len(hof) > 0
+    for k, v in hof.items():
+        assert abs(got[k] - v) < 1e-12

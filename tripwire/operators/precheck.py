@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tripwire import constants as K
 from tripwire.operators.policy import violations
 from tripwire.params import PolicyParams
-from tripwire.plans.strategy import pushdown_barrier
+from tripwire.plans.strategy import ensure_parallelism, pushdown_barrier
 from tripwire.regex import WS
 
 ADDRESS_RE = r"(?i)^0x[0-9a-f]{40}\z"   # Python's '$' would also accept a trailing newline
@@ -58,6 +58,7 @@ def precheck(tx: DataFrame, params: PolicyParams = PolicyParams(), daily_total:
     eth = val.cast("double") / F.lit(1e18)
     erc20 = F.lower(data).startswith(K.ERC20_TRANSFER_SELECTOR) & (F.length(data) >= 138)
     extra = [c for c in [daily_total, allowlist_active, in_allowlist] if c is not None]
+    tx = ensure_parallelism(tx)
     d = tx.select("*", error.alias("error"), eth.alias("_eth"), (eth * F.lit(params.eth_usd)).alias("_usd"),
                   F.lower(to).alias("_to_lc"), (~data.isin(*K.NON_CALL_DATA)).alias("_is_call"),
                   F.when(erc20, python_int16_digits(F.substring(data, 75, 64))).alias("_digits"),

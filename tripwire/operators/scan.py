@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tripwire import constants as K
 from tripwire.operators import detectors as D
 from tripwire.params import ScanParams
-from tripwire.plans.strategy import pushdown_barrier
+from tripwire.plans.strategy import ensure_parallelism, pushdown_barrier
 
 # Registered user detectors: name -> fn(text Column) -> Column(array<finding>)
 _EXTRA_DETECTORS: dict[str, Callable[[Column], Column]] = {}
@@ -77,7 +77,7 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
     keep = list(keep)
     text = F.col(text_col)
     uit = F.col(uit_col) if uit_col and uit_col in df.columns else F.lit(False)
-    d = df.select(*keep, text.alias("_text"), uit.alias("_uit"))
+    d = ensure_parallelism(df.select(*keep, text.alias("_text"), uit.alias("_uit")))
     lanes = D.Lanes(d)
     D.add_invisible(lanes.lane())
     D.add_zalgo(lanes.lane(), params)
