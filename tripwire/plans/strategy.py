@@ -166,9 +166,14 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
     try:
+        plan = df._jdf.queryExecution().executedPlan()
+        # a shuffled input already has its parallelism; asking an adaptive plan for
+        # its partitions would execute its shuffle stages early, so leave it alone
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or "Exchange" in plan.toString():
+            return df
         parts = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - partition count unavailable
+    except Exception:  # pragma: no cover - plan or partition count unavailable
         return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if parts < slots else df
