@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tripwire.llm import bpe, exact_dedup
+from tripwire.llm import bpe, exact_dedup, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op6_token_orc": token_orc.op6_token_orc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 LLM_ORACLES = {
+    "op4_url_filter": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
