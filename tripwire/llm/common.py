@@ -6,13 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch handled at a time by Python operators; texts of one slice live together in a worker.
 SLICE_ROWS = 512
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +46,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes in column ``text`` (one row at least)."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) if text >= 0 else None
+        start = 0
+        while start < batch.num_rows:
+            stop = min(batch.num_rows, start + rows)
+            if ends is not None:
+                before = ends[start - 1] if start else 0
+                stop = min(stop, max(start + 1, int(np.searchsorted(ends, before + size))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def arrow_batch(schema: T.StructType, columns: Sequence) -> pa.RecordBatch:
@@ -86,3 +97,31 @@ class BoundedCache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class TokenTable:
+    """A row of numbers for each distinct token, computed once for all new tokens of a slice; bounded in size."""
+
+    def __init__(self, width: int, compute, limit: int = 400_000, dtype=np.float64):
+        self.width, self.compute, self.limit, self.dtype = width, compute, limit, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((1024, self.width), self.dtype)
+
+    def places(self, texts: Sequence[Sequence[str]]) -> Iterator[np.ndarray]:
+        """For each list of tokens their rows in ``values``; valid until the next call."""
+        if len(self.known) > self.limit:
+            self.clear()
+        lacking = list(set().union(*texts).difference(self.known))
+        if lacking:
+            first = len(self.known)
+            if first + len(lacking) > len(self.values):
+                grown = np.zeros((max(2 * len(self.values), first + len(lacking)), self.width), self.dtype)
+                grown[:first] = self.values[:first]
+                self.values = grown
+            self.values[first:first + len(lacking)] = self.compute(lacking)
+            self.known.update(zip(lacking, range(first, first + len(lacking))))
+        for tokens in texts:
+            yield np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
