@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tripwire.llm import bpe, exact_dedup, language_id, token_orc, url_filter
+from tripwire.llm import bpe, exact_dedup, language_id, quality, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_token_orc": token_orc.op6_token_orc,
     "op7_language_id": language_id.op7_language_id,
+    "op8_quality": quality.op8_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
