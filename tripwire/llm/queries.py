@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripwire.llm import bpe, exact_dedup, language_id, quality, token_orc, url_filter
+from tripwire.llm import ann, bpe, exact_dedup, language_id, quality, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ LLM_QUERIES = {
     "op6_token_orc": token_orc.op6_token_orc,
     "op7_language_id": language_id.op7_language_id,
     "op8_quality": quality.op8_quality,
+    "op9_ann": ann.op9_ann,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
