@@ -17,29 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwire.llm.common import text_or_empty
+from tripwire.llm.sieve import SIEVE_BITS, passes, sieve
 
 PREFIX_CHARS = 256
-SIEVE_BITS = 1 << 23    # 1 MB
-
-
-def _slot(bits: int, *keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(bits))
-
-
-def sieve(groups: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
-    """Bitmap rows (``_bucket``, ``_bits``) of the hashes of ``keys``: at most ``bits`` / 8 bytes in all."""
-    slot = _slot(bits, *keys)
-    return (groups.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_position"))
-            .groupBy("_bucket").agg(F.bitmap_construct_agg("_position").alias("_bits")))
-
-
-def passes(rows: DataFrame, screen: DataFrame, keys: Sequence[str], bits: int, flag: str) -> DataFrame:
-    """``rows`` with a boolean ``flag``: whether the hash of ``keys`` is set in the sieve."""
-    slot = _slot(bits, *keys)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.bitmap_bit_position(slot) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.getbit(byte, F.pmod(F.bitmap_bit_position(slot), F.lit(8)).cast("int"))
-    return (rows.join(F.broadcast(screen), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
-            .select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias(flag)))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = (),
@@ -59,12 +39,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = rows.withColumn("_length", F.octet_length("_text"))
     lengths = rows.groupBy("_length").count().filter("count > 1")
-    rows = passes(rows, sieve(lengths, ["_length"], sieve_bits), ["_length"], sieve_bits, "_shared_length")
+    rows = passes(rows, sieve(lengths, ["_length"], sieve_bits), ["_length"], "_shared_length", sieve_bits)
 
     rows = rows.withColumn("_prefix", F.when(F.col("_shared_length"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
     keys = ["_length", "_prefix"]
     prefixes = rows.filter("_shared_length").groupBy(*keys).count().filter("count > 1")
-    rows = passes(rows, sieve(prefixes, keys, sieve_bits), keys, sieve_bits, "_shared_prefix")
+    rows = passes(rows, sieve(prefixes, keys, sieve_bits), keys, "_shared_prefix", sieve_bits)
 
     # 33 bytes for rows without company: spread out, and never equal to a 32-byte digest
     alone = F.concat(F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), F.lit(b"\0" * 17))

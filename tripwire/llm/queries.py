@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tripwire.llm import ann, bpe, exact_dedup, language_id, quality, token_orc, url_filter
+from tripwire.llm import ann, bpe, exact_dedup, language_id, line_dedup, quality, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_token_orc": token_orc.op6_token_orc,
     "op7_language_id": language_id.op7_language_id,
@@ -15,6 +16,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op3_line_dedup": line_dedup.oracle(),
     "op4_url_filter": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
