@@ -125,3 +125,9 @@ class TokenTable:
             self.known.update(zip(lacking, range(first, first + len(lacking))))
         for tokens in texts:
             yield np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, by: Sequence[str], salts: int = 16) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` (one row a ``key``): a group's rows are dealt to ``salts`` tasks by the columns ``by``."""
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tripwire.llm import ann, bpe, exact_dedup, language_id, line_dedup, quality, token_orc, url_filter
+from tripwire.llm import ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, quality, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_token_orc": token_orc.op6_token_orc,
     "op7_language_id": language_id.op7_language_id,
     "op8_quality": quality.op8_quality,
