@@ -1,22 +1,53 @@
-"""Corpus pipeline (under construction): the BPE stage alone."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, mixing, tokens.
+
+Each stage reads what the stage before has written and works on all of it.
+The first four return the columns of ``documents``; the last returns the
+token counts and digests of the texts, encoded and decoded.
+"""
 
 from __future__ import annotations
 
-from tripwire.llm import bpe
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripwire.llm import bpe, language_id, line_dedup, mixing, near_dedup
 from tripwire.llm.common import table, written
 
+#: Languages, weighted shingles and tokens aren't expressed in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def tokenize(spark, docs, sf_dir):
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or without a language that is likelier than the others together, go."""
+    return language_id.identified(docs, language_id.fitted(docs))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go from all texts but the first; ``n_chars`` follows, every document stays."""
+    rows = line_dedup.line_dedup(docs).select("row.*")
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in rows.columns else rows
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dedup.without_near_duplicates(docs).select("row.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated up to the limit; rows come in the order of the mixture's blocks."""
+    return mixing.mixed(docs).select("row.*")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs)
 
 
-STAGES = [("bpe", tokenize)]
+STAGES = [("language ID", identify), ("line dedup", drop_lines), ("near dedup", drop_near_duplicates), ("mixing", mix), ("BPE", tokenize)]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

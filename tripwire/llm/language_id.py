@@ -31,6 +31,7 @@ VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
 TRAIN_ROWS = 4000       # documents a language, about
 ROUNDS = 2
+LEAST_SCORE = 0.5       # a text below it is rejected
 SMOOTHING = 0.1
 LATTICE_CHARS = 48      # words up to this length go through the joint lattice, longer ones alone
 SCALE = 32.0            # keeps products of probabilities in range: one factor a character
@@ -153,6 +154,13 @@ class Model:
     def __init__(self, languages: list[str], probabilities: np.ndarray):
         self.languages, self.probabilities = languages, probabilities
 
+    def choose(self, total: np.ndarray) -> tuple[str, float]:
+        """The likeliest language and its share; ``total`` has the log-likelihoods and the number of words."""
+        if total[-1] == 0 or not self.languages:
+            return UNKNOWN, 0.0
+        best = int(total[:-1].argmax())
+        return self.languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())
+
     def scorer(self, vocabulary: Pieces) -> TokenTable:
         """Per token its log-likelihoods, and as last column its number of words."""
         def compute(tokens: list[str]) -> np.ndarray:
@@ -237,23 +245,31 @@ def predict(docs: DataFrame, model: Model, vocabulary: str | None = None, id_col
         own = held.value
         scorer = own.scorer(pieces(vocabulary))
         for batch in slices(batches):
-            names, scores = [], []
-            for at in scorer.places([(t or "").split() for t in batch.column(1).to_pylist()]):
-                total = scorer.values[at].sum(axis=0)
-                if total[-1] == 0 or not own.languages:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                best = int(total[:-1].argmax())
-                names.append(own.languages[best])
-                scores.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
-            yield arrow_batch(LABELLED, [batch.column(0), batch.column(2), names, scores])
+            chosen = [own.choose(scorer.values[at].sum(axis=0)) for at in scorer.places([(t or "").split() for t in batch.column(1).to_pylist()])]
+            yield arrow_batch(LABELLED, [batch.column(0), batch.column(2), [x for x, _ in chosen], [x for _, x in chosen]])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out")).mapInArrow(run, LABELLED)
 
 
+def identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
+    """The whole rows of ``docs`` whose text has a language with at least ``least_score``; one narrow pass, no join."""
+    held, schema, column = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held.value.scorer(pieces(vocabulary))
+        for batch in slices(batches, text=column):
+            chosen = [held.value.choose(scorer.values[at].sum(axis=0))
+                      for at in scorer.places([(t or "").split() for t in batch.column(column).to_pylist()])]
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least_score for name, score in chosen], pa.bool_()))
+    return docs.mapInArrow(run, schema)
+
+
+def fitted(docs: DataFrame, vocabulary: str | None = None) -> Model:
+    """Fit on the rows that aren't held out."""
+    return fit(docs.filter(~held_out("doc_id")).select("doc_id", "lang", "text"), vocabulary)
+
+
 def language_id(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Fit on the rows that aren't held out, then label all."""
-    return predict(docs, fit(docs.filter(~held_out("doc_id")).select("doc_id", "lang", "text"), vocabulary), vocabulary)
+    return predict(docs, fitted(docs, vocabulary), vocabulary)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

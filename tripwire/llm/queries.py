@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tripwire.llm import ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, quality, token_orc, url_filter
+from tripwire.llm import ann, bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_dedup": near_dedup.op5_near_dedup,
@@ -17,6 +18,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op2_mixing": mixing.ORACLE,
     "op3_line_dedup": line_dedup.oracle(),
     "op4_url_filter": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
