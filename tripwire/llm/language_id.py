@@ -167,12 +167,14 @@ class Model:
             words = [marked(t) for t in tokens]
             distinct = list(dict.fromkeys(w for ws in words for w in ws))
             out = np.zeros((len(tokens), len(self.languages) + 1))
-            if distinct:
+            if distinct and self.languages:
                 place = {w: i for i, w in enumerate(distinct)}
                 scores = word_scores(distinct, self.probabilities, vocabulary)
                 of = np.array([i for i, ws in enumerate(words) for _ in ws], np.int64)
                 np.add.at(out[:, :-1], of, scores[[place[w] for ws in words for w in ws]])
                 np.add.at(out[:, -1], of, 1)
+            elif distinct:
+                out[:, -1] = [len(ws) for ws in words]
             return out
         return TokenTable(len(self.languages) + 1, compute)
 
