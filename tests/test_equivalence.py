@@ -15,24 +15,6 @@ from tripwire.regex import to_java
 from conftest import SF0001
 
 
-def test_vectorised_chi2_equals_expression_form(spark):
-    rnd = random.Random(3)
-    words = ["ignore", "previous", "instructions", "transfer", "funds", "quick", "brown", "zebra", "jazz", "xylophone"]
-    texts = []
-    for _ in range(60):
-        w = [rnd.choice(words) for _ in range(rnd.randint(5, 30))]
-        r = rnd.randint(0, 25)
-        texts.append("".join(chr((ord(c) - 97 + r) % 26 + 97) for c in "".join(w)))
-    texts.append(None)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, lc string")
-    counts = stats.letter_counts(F.col("lc"))
-    expr_form = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda r: stats.chi_squared(counts, r))
-    rows = df.select("id", stats.chi_squared_all(F.col("lc")).alias("a"),
-                     F.when(F.col("lc").isNotNull(), expr_form).alias("b")).collect()
-    for r in rows:
-        assert r.a == r.b          # bit-identical, including compensated summation
-
-
 def _py_chi2(text):
     # Python-side brute force of the same rule (compensated float sum, Python 3.12+)
     n = len(text)
@@ -101,14 +83,12 @@ def test_oracles_sf0001(spark):
         _compare(spark, name)
 
 
-def test_stream_equals_batch(spark):
+def test_streams_equal_their_batch_oracles(spark):
     import __spark_entry__ as E
     q = E.queries()
-    a = sorted(tuple(r) for r in q["stream_daily_spend"](spark, SF0001).select(
-        "tx_id", "accepted_before", "accepted").collect())
-    b = sorted(tuple(r) for r in q["daily_accepted_spend"](spark, SF0001).select(
-        "tx_id", "accepted_before", "accepted").collect())
-    assert a == b
+    for name in ["stream_daily_spend", "stream_gate"]:
+        _compare(spark, name)
+    assert len(q["stream_late"](spark, SF0001).collect()) > 0
 
 
 

@@ -30,9 +30,9 @@ def test_detail_texts(spark):
     got = _scan(spark, [GOLDEN[5][0], GOLDEN[13][0], GOLDEN[17][0], GOLDEN[18][0], GOLDEN[15][0]])
     assert got[0].findings[1].detail == ("High-entropy blob detected (entropy=5.07 bits/symbol ≥ 4.5). "
                                          "May represent encrypted or compressed data.")
-    assert got[1].findings[0].detail == 'Morse code detected (9 tokens, 82% of input). Decoded: "SOSSOSSOS"'
+    assert got[1].findings[0].detail == 'Morse code detected (9 tokens, 82% of input). Decoded: "MAYDAYMAY"'
     assert got[2].findings[0].detail.startswith("1 invisible/zero-width unicode character(s) detected (9.1% of input)")
-    assert got[3].findings[0].detail.startswith("16 combining/diacritic characters detected (76.2% of input)")
+    assert got[3].findings[0].detail.startswith("13 combining/diacritic characters detected (59.1% of input)")
     assert got[4].findings[0].detail.startswith("ROT23 (Caesar cipher) obfuscation detected.")
     assert got[0].decoded_payload.startswith(P)
 
@@ -93,20 +93,20 @@ def test_base64_decode_matches_python(spark):
 
 
 def test_rot_roundtrip(spark):
-    df = spark.createDataFrame([("Hello World",), ("Secret Message Here",)], "t string")
+    df = spark.createDataFrame([("Narrow Bridge",), ("Plain Words Inside",)], "t string")
     out = df.select(codecs.rot_n(codecs.rot_n(F.col("t"), 13), 13).alias("a"), codecs.rot_n(F.col("t"), 26).alias("b"),
                     codecs.rot_n(codecs.rot_n(F.col("t"), 5), 21).alias("c")).collect()
-    for (src,), r in zip([("Hello World",), ("Secret Message Here",)], out):
+    for (src,), r in zip([("Narrow Bridge",), ("Plain Words Inside",)], out):
         assert r.a == src and r.b == src and r.c == src
 
 
 def test_fixture_totals_sf0001(spark):
     v = scan_messages(tables.messages(spark, SF0001)).cache()
     verdicts = {r.verdict: r["count"] for r in v.groupBy("verdict").count().collect()}
-    assert verdicts == {"CLEAN": 23, "SUSPICIOUS": 49, "MALICIOUS": 15}
+    assert verdicts == {"CLEAN": 46, "SUSPICIOUS": 52, "MALICIOUS": 21}
     per_code = {r.code: r.n for r in findings_table(v).groupBy("code").agg(F.countDistinct("msg_id").alias("n")).collect()}
-    assert per_code == {"INJECTION_KEYWORD": 32, "BASE64_PAYLOAD": 21, "HIGH_ENTROPY_BLOB": 10, "HEX_PAYLOAD": 5,
-                        "HEX_BLOB": 6, "MORSE_ENCODING": 6, "ROT13_OBFUSCATION": 5, "CAESAR_CIPHER": 6,
+    assert per_code == {"INJECTION_KEYWORD": 39, "BASE64_PAYLOAD": 28, "HIGH_ENTROPY_BLOB": 15, "HEX_PAYLOAD": 5,
+                        "HEX_BLOB": 6, "MORSE_ENCODING": 6, "ROT13_OBFUSCATION": 6, "CAESAR_CIPHER": 7, "SCAN_ERROR": 6,
                         "INVISIBLE_UNICODE": 6, "ZALGO_COMBINING": 6, "UNVERIFIED_INTENT": 13, "TOO_SHORT": 4}
     scores = [r.risk_score for r in v.collect()]
     assert all(0 <= s <= 100 for s in scores)

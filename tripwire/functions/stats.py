@@ -1,6 +1,6 @@
 """Letter statistics: chi-squared fit to English and Shannon entropy.
 
-Counts are taken once; the 25 Caesar rotations only permute the count vector
+Letter counts are taken once; the 25 Caesar rotations only permute the count vector
 (``chi2(r) = sum_k (c[(k - r) mod 26] - E_k)^2 / E_k``) instead of rotating
 and re-counting the text 25 times.
 """
@@ -15,44 +15,29 @@ from tripwire.functions.text import fsum
 _FREQ = [ENGLISH_FREQ[chr(97 + k)] for k in range(26)]
 
 
-def letter_counts(lower_text: Column) -> Column:
-    """array<int>(26): occurrences of a..z in an already lower-cased string."""
-    n = F.length(lower_text)
-    return F.array(*[n - F.length(F.replace(lower_text, F.lit(chr(97 + k)), F.lit(""))) for k in range(26)])
-
-
-def chi_squared(counts: Column, rot, n: Column | None = None) -> Column:
-    """Chi-squared of the text rotated by ``rot`` (int or column) against English.
+def shannon_entropy(blob: Column) -> Column:
+    """Bits per code point, in one pass over the sorted code points.
 
-    ``n`` is the letter total (pass a staged column to avoid re-summing).
-    Summed a..z with the same compensated summation as Python's ``sum``.
+    The sorted array is bound once by a lambda; places where a run of equal
+    code points ends give the counts.  Terms are summed with compensation, so
+    their order doesn't matter.
     """
-    freq = F.array(*[F.lit(f) for f in _FREQ])
-    if n is None:
-        n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    rot_c = rot if isinstance(rot, Column) else F.lit(rot)
-
-    def term(k):
-        expected = F.element_at(freq, k + 1) * n / F.lit(100)
-        observed = F.element_at(counts, F.pmod(k - rot_c, F.lit(26)) + 1)
-        d = observed - expected
-        return (d * d) / expected
-
-    return fsum(F.transform(F.sequence(F.lit(0), F.lit(25)), term))
+    chars = F.array_sort(F.regexp_extract_all(blob, F.lit("(?s)."), 0))
+    n = F.length(blob)
 
+    def run_ends(s: Column) -> Column:
+        following = F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.lit("")))
+        return F.filter(F.transform(F.arrays_zip(s.alias("a"), following.alias("b")),
+                                    lambda x, i: F.when(x["a"] != x["b"], i + 1)), lambda x: x.isNotNull())
 
-def shannon_entropy(blob: Column) -> Column:
-    """Bits per code point; terms summed in first-occurrence order like a dict."""
-    chars = F.regexp_extract_all(blob, F.lit("(?s)."), 0)
-    n = F.length(blob)
-    distinct = F.array_distinct(chars)
+    def terms(ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        return F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda x: (x["e"] - x["s"]) / n * F.log2((x["e"] - x["s"]) / n))
 
-    def term(ch):
-        c = n - F.length(F.replace(blob, ch, F.lit("")))
-        p = c / n
-        return p * F.log2(p)
+    def bound(value: Column, fn) -> Column:
+        return F.element_at(F.transform(F.array(value), fn), 1)
 
-    return F.when(n > 0, -fsum(F.transform(distinct, term))).otherwise(F.lit(0.0))
+    return F.when(n > 0, bound(chars, lambda s: bound(run_ends(s), lambda e: -fsum(terms(e))))).otherwise(F.lit(0.0))
 
 
 # --------------------------------------------------------------------------- vectorised form
@@ -62,8 +47,8 @@ def _make_chis_numpy(freq_values: tuple):
     def chis_numpy(letters):
         """chi2 for rotations 0..25 of each letters-only lower-case string (None stays None).
 
-        One ``bincount`` over the whole Arrow batch gives the 26 counts of every
-        row; the 26 rotations are then column permutations.  Operations and their
+        A ``bincount`` of each row's bytes gives its 26 counts; the 26 rotations are
+        then column permutations.  Operations and their
         order match the column-expression form (and Python): E_k = f_k * n / 100,
         term = (c - E_k)^2 / E_k, summed a..z with Neumaier compensation.
         """
@@ -75,11 +60,11 @@ def _make_chis_numpy(freq_values: tuple):
         out = [None] * len(letters)
         if len(vals) == 0:
             return out
-        lens = vals.str.len().to_numpy()
-        flat = np.frombuffer("".join(vals.tolist()).encode("ascii"), dtype=np.uint8).astype(np.int64) - 97
-        rows = np.repeat(np.arange(len(vals)), lens)
-        counts = np.bincount(rows * 26 + flat, minlength=len(vals) * 26).reshape(len(vals), 26).astype(np.float64)
-        n = lens.astype(np.float64)
+        # one row's letters at a time: memory beyond the batch is 26 numbers a row
+        counts = np.empty((len(vals), 26))
+        for i, text in enumerate(vals):
+            counts[i] = np.bincount(np.frombuffer(text.encode("ascii"), dtype=np.uint8), minlength=123)[97:123]
+        n = counts.sum(axis=1)
         expected = (freq[None, :] * n[:, None]) / 100.0            # rows x 26
         s = np.zeros((len(vals), 26))
         c = np.zeros((len(vals), 26))

@@ -33,6 +33,11 @@ def py_fixed(x: Column, dp: int, grouping: bool = True) -> Column:
             .otherwise(body))
 
 
+def py_round(x: Column, dp: int) -> Column:
+    """Python ``round(x, dp)``: half-even on the exact binary value."""
+    return py_fixed(x, dp, grouping=False).cast("double")
+
+
 def py_percent(ratio: Column, dp: int) -> Column:
     """Python ``format(ratio, '.{dp}%')`` without the trailing '%'."""
     return py_fixed(ratio * F.lit(100.0), dp, grouping=False)

@@ -1,24 +1,27 @@
 """Operator command log replay.
 
 The reference keeps process-lifetime state changed by chat commands.  Here the
-commands are a table; the state at any time is derived with windows and as-of
-joins:
+commands are a table; the state at any time is what its changes have left:
 
 * ``parse_commands``: typed events (prefix optional, case-insensitive).
-* ``policy_versions``: intervals ``[start_ts, end_ts)`` of (single, daily) limits.
-* ``allowlist_intervals``: per address, intervals of membership; plus the
-  active-list-size intervals for the "empty list allows all" rule.
+* ``policy_changes``, ``reset_changes``, ``allowlist_changes``, ``allowlist_deltas``:
+  the changes of each piece of state, for ``plans.strategy.asof_changes``.
+* ``policy_checks``: answers to the ``check-policy`` commands.
+* ``allowlist_state`` / ``allowlist_show``: the final list, and as it is shown.
 * ``gate_outcomes``: one-slot confirmation gate per session.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwire.operators.policy import COMMAND_PREFIX
+from tripwire.operators.policy import COMMAND_PREFIX, violations
 from tripwire.params import PolicyParams
-from tripwire.plans.strategy import neighbors, pushdown_barrier
+from tripwire.plans.strategy import asof_changes, materialized, neighbors, pushdown_barrier
 from tripwire.regex import WS
 
 ADDRESS_FULL = r"(?i)^0x[0-9a-f]{40}\z"
@@ -27,14 +30,27 @@ ADDRESS_FULL = r"(?i)^0x[0-9a-f]{40}\z"
 def _tokens(command: Column) -> Column:
     s = F.regexp_replace(command, "^" + WS + "+|" + WS + "+$", "")
     s = F.when(F.lower(s).startswith(COMMAND_PREFIX),
-               F.regexp_replace(F.substring(s, len(COMMAND_PREFIX) + 1, 1 << 30), "^" + WS + "+", "")
+               F.regexp_replace(s, "(?is)^" + COMMAND_PREFIX + WS + "*", "")
                ).otherwise(s)
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS + "+"))
 
 
+#: all decimal digits of Unicode, and the ASCII digit of each
+DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) is not None]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+DIGITS = "".join(DIGITS)
+NUMBER = r"[+-]?(?:[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?"
+
+
 def amount_text(tok: Column) -> Column:
-    """``float(tok.replace(',', '').replace('$', ''))`` (NULL when not a number)."""
-    return F.translate(tok, ",$", "").try_cast("double")
+    """``float(tok.replace(',', '').replace('$', ''))`` (NULL when not a number): the
+    digits of any script, underscores between digits, no type suffixes, no hex."""
+    plain = F.translate(F.translate(tok, ",$", ""), DIGITS, ASCII_DIGITS)
+    lower = F.lower(plain)
+    return (F.when(plain.rlike("^" + NUMBER + r"\z"), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
+            .when(lower.rlike(r"^[+-]?nan\z"), F.lit(float("nan")))
+            .when(lower.rlike(r"^\+?inf(?:inity)?\z"), F.lit(float("inf")))
+            .when(lower.rlike(r"^-inf(?:inity)?\z"), F.lit(float("-inf"))))
 
 
 def parse_commands(log: DataFrame) -> DataFrame:
@@ -44,7 +60,7 @@ def parse_commands(log: DataFrame) -> DataFrame:
     sub = F.lower(F.call_function("try_element_at", tok, F.lit(1)))
     a1 = F.call_function("try_element_at", tok, F.lit(2))
     a2 = F.call_function("try_element_at", tok, F.lit(3))
-    d = d.select("*", sub.alias("sub"), F.slice(tok, 2, 1 << 20).alias("args"),
+    d = d.select("*", sub.alias("sub"), F.when(F.size(tok) > 1, F.slice(tok, F.lit(2), F.size(tok))).otherwise(F.array().cast("array<string>")).alias("args"),
                  F.lower(a1).alias("_a1"), a1.alias("_a1raw"), a2.alias("_a2"))
     s, a1l, a2 = F.col("sub"), F.col("_a1"), F.col("_a2")
     setv = amount_text(a2)
@@ -64,7 +80,7 @@ def parse_commands(log: DataFrame) -> DataFrame:
     # NaN limits are rejected (deviation: the reference accepts NaN and disables the check)
     valid = (F.when(kind.isin("set_daily", "set_limit"), F.coalesce(setv > 0, F.lit(False)) & ~F.isnan(setv))
              .when(kind.isin("allowlist_add", "allowlist_remove"), F.coalesce(a2.rlike(ADDRESS_FULL), F.lit(False)))
-             .when(kind == "check_policy", value.isNotNull())
+             .when(kind == "check_policy", value.isNotNull() & ~F.isnan(value))
              .when(kind.isin("unknown", "set_invalid", "reset_invalid", "allowlist_invalid"), F.lit(False))
              .otherwise(F.lit(True)))
     address = F.when(kind.isin("allowlist_add", "allowlist_remove"), F.lower(a2)) \
@@ -78,76 +94,113 @@ def _order(*cols: str) -> list[Column]:
     return [F.col(c) for c in cols]
 
 
-def policy_versions(parsed: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
-    """Intervals of the limits in force: (start_ts, end_ts, start_seq, single_limit, daily_limit).
+def policy_changes(parsed: DataFrame) -> DataFrame:
+    """(ts, seq, single_limit, daily_limit) of the valid ``set`` commands; the limit that a
+    command leaves alone is NULL.  A change applies to payments at or after its time."""
+    return parsed.where(F.col("kind").isin("set_daily", "set_limit") & F.col("valid")).select(
+        "ts", "seq", F.when(F.col("kind") == "set_limit", F.col("value")).alias("single_limit"),
+        F.when(F.col("kind") == "set_daily", F.col("value")).alias("daily_limit"))
 
-    Built from the valid ``set`` commands only (a small table).  The first interval
-    starts at the beginning of time with the defaults.  Ordering is (ts, seq).
-    A change applies to payments at or after its timestamp.
-    """
-    sets = parsed.where(F.col("kind").isin("set_daily", "set_limit") & F.col("valid")) \
-        .select("ts", "seq", "kind", "value")
-    w = Window.orderBy("ts", "seq")   # over the set commands only (tiny), not the payments
-    last_single = F.last(F.when(F.col("kind") == "set_limit", F.col("value")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))
-    last_daily = F.last(F.when(F.col("kind") == "set_daily", F.col("value")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))
-    v = sets.select(F.col("ts").alias("start_ts"), F.col("seq").alias("start_seq"),
-                    F.coalesce(last_single, F.lit(params.single_limit)).alias("single_limit"),
-                    F.coalesce(last_daily, F.lit(params.daily_limit)).alias("daily_limit"))
-    first = parsed.sparkSession.range(1).select(
-        F.lit("0001-01-01 00:00:00").cast("timestamp").alias("start_ts"), F.lit(None).cast("bigint").alias("start_seq"),
-        F.lit(params.single_limit).alias("single_limit"), F.lit(params.daily_limit).alias("daily_limit"))
-    allv = first.unionByName(v)
-    w2 = Window.orderBy(F.col("start_ts"), F.col("start_seq").asc_nulls_first())
-    return allv.select("*", F.lead("start_ts").over(w2).alias("end_ts"))
-
-
-def allowlist_events(parsed: DataFrame) -> DataFrame:
+
+def policy_state(parsed: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """One row: the limits in force at the end."""
+    at = F.struct("ts", "seq")
+    return policy_changes(parsed).agg(*[
+        F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), at)), F.lit(d)).alias(c)
+        for c, d in (("single_limit", params.single_limit), ("daily_limit", params.daily_limit))])
+
+
+def with_limits(rows: DataFrame, parsed: DataFrame, ts: str = "ts", params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Rows with the limits in force at their time."""
+    d = asof_changes(rows, policy_changes(parsed), ts, "seq", last=["single_limit", "daily_limit"])
+    return d.withColumns({"single_limit": F.coalesce("single_limit", F.lit(params.single_limit)),
+                          "daily_limit": F.coalesce("daily_limit", F.lit(params.daily_limit))})
+
+
+def allowlist_changes(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("kind").isin("allowlist_add", "allowlist_remove") & F.col("valid")) \
         .select("ts", "seq", "address", (F.col("kind") == "allowlist_add").alias("present"))
 
 
-def allowlist_intervals(parsed: DataFrame) -> DataFrame:
-    """Per address: [start_ts, end_ts) with membership ``present`` (last action wins)."""
-    ev = allowlist_events(parsed)
-    w = Window.partitionBy("address").orderBy("ts", "seq")
-    return ev.select("address", "present", F.col("ts").alias("start_ts"), F.col("seq").alias("start_seq"),
-                     F.lead("ts").over(w).alias("end_ts"))
+def allowlist_deltas(parsed: DataFrame) -> DataFrame:
+    """(ts, seq, list_size): by how much each command changes the number of listed
+    addresses (add is idempotent, remove of an absent address is a no-op)."""
+    ev = neighbors(allowlist_changes(parsed), ["address"], "ts", ["ts", "seq"], ["present"])
+    prev = F.coalesce(F.col("_prev")["present"], F.lit(False))
+    delta = F.when(F.col("present") & ~prev, 1).when(~F.col("present") & prev, -1).otherwise(0)
+    return ev.select("ts", "seq", delta.cast("bigint").alias("list_size"))
 
 
-def allowlist_size_intervals(parsed: DataFrame) -> DataFrame:
-    """[start_ts, end_ts) with the number of listed addresses (add is idempotent,
-    remove of an absent address is a no-op)."""
-    ev = allowlist_events(parsed)
-    wa = Window.partitionBy("address").orderBy("ts", "seq")
-    prev = F.coalesce(F.lag("present").over(wa), F.lit(False))
-    delta = F.when(F.col("present") & ~prev, 1).when(~F.col("present") & prev, -1).otherwise(0)
-    d = ev.select("ts", "seq", delta.alias("delta"))
-    w = Window.orderBy("ts", "seq")   # over allowlist commands only (tiny)
-    d = d.select("ts", "seq", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("size"))
-    return d.select(F.col("ts").alias("start_ts"), F.col("seq").alias("start_seq"), "size",
-                    F.lead("ts").over(w).alias("end_ts"))
+def with_allowlist(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts") -> DataFrame:
+    """Rows with ``list_size`` and whether their ``address`` is ``listed`` at their time."""
+    d = asof_changes(rows, allowlist_deltas(parsed), ts, "seq", sums=["list_size"])
+    return _listed(materialized(d, "list-size"), parsed, address, ts)
+
+
+def _listed(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts") -> DataFrame:
+    d = asof_changes(rows.withColumn("_address", F.lower(address)), allowlist_changes(parsed), ts, "seq",
+                     keys=[("_address", "address")], last=["present"])
+    return d.select("*", F.coalesce("present", F.lit(False)).alias("listed")).drop("_address", "present")
+
+
+def with_state(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts", params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Rows with limits, ``list_size`` and ``listed`` at their time."""
+    changes = policy_changes(parsed).unionByName(allowlist_deltas(parsed), True)
+    d = asof_changes(rows, changes, ts, "seq", last=["single_limit", "daily_limit"], sums=["list_size"])
+    d = d.withColumns({"single_limit": F.coalesce("single_limit", F.lit(params.single_limit)),
+                       "daily_limit": F.coalesce("daily_limit", F.lit(params.daily_limit))})
+    return _listed(materialized(d, "state"), parsed, address, ts)
 
 
 def allowlist_state(parsed: DataFrame) -> DataFrame:
     """Final allowlist: addresses whose last action is ``add`` (max_by over (ts, seq))."""
-    ev = allowlist_events(parsed)
+    ev = allowlist_changes(parsed)
     last = ev.groupBy("address").agg(F.max_by("present", F.struct("ts", "seq")).alias("present"))
     return last.where("present").select("address")
 
 
-def reset_segments(parsed: DataFrame) -> DataFrame:
-    """Intervals between ``reset daily`` commands: (segment, start_ts, end_ts)."""
-    r = parsed.where(F.col("kind") == "reset_daily").select("ts", "seq")
-    w = Window.orderBy("ts", "seq")   # resets only
-    seg = r.select(F.row_number().over(w).alias("segment"), F.col("ts").alias("start_ts"), "seq")
-    first = parsed.sparkSession.range(1).select(
-        F.lit(0).cast("int").alias("segment"), F.lit("0001-01-01 00:00:00").cast("timestamp").alias("start_ts"),
-        F.lit(None).cast("bigint").alias("seq"))
-    allv = first.unionByName(seg)
-    w2 = Window.orderBy("segment")
-    return allv.select("segment", "start_ts", F.lead("start_ts").over(w2).alias("end_ts"))
+def allowlist_show(parsed: DataFrame) -> DataFrame:
+    """The final allowlist in ascending order, one line an address, numbered from 1.
+
+    The sort is Spark's; places are offsets of its range partitions, so the list
+    is in no single task.
+    """
+    listed = allowlist_state(parsed).repartitionByRange(F.col("address")).sortWithinPartitions("address").select(
+        "address", F.spark_partition_id().alias("_part"))
+    sizes = listed.groupBy("_part").agg(F.count("*").alias("_size"), F.min("address").alias("_least"))
+    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("address")
+    return listed.join(offsets, "_part").select((F.col("_before") + F.row_number().over(inside)).cast("bigint").alias("place"),
+                                                "address", F.concat(F.lit("  • "), "address").alias("line"))
+
+
+def reset_changes(parsed: DataFrame) -> DataFrame:
+    """(ts, seq, segment): each ``reset daily`` opens the next segment of the counter."""
+    return parsed.where(F.col("kind") == "reset_daily").select("ts", "seq", F.lit(1).cast("bigint").alias("segment"))
+
+
+def policy_checks(parsed: DataFrame, tx: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Answers to the ``check-policy <usd> [address]`` commands.
+
+    A check is held against the limits and the allowlist at its time and the
+    spend so far: the payments of its UTC day since the last reset, up to and
+    including its time.  A command whose amount isn't a number gets no check.
+    """
+    asked = parsed.where((F.col("kind") == "check_policy") & F.col("valid")).select(
+        "session_id", "seq", "ts", F.col("value").alias("amount"), F.coalesce("address", F.lit("")).alias("to_address"))
+    resets = reset_changes(parsed)
+    changes = policy_changes(parsed).unionByName(allowlist_deltas(parsed), True).unionByName(resets, True)
+    d = asof_changes(asked, changes, "ts", "seq", last=["single_limit", "daily_limit"], sums=["list_size", "segment"])
+    d = materialized(d.withColumns({"single_limit": F.coalesce("single_limit", F.lit(params.single_limit)),
+                                    "daily_limit": F.coalesce("daily_limit", F.lit(params.daily_limit)), "day": F.to_date("ts")}), "checks")
+    d = materialized(_listed(d, parsed, "to_address"), "checks")
+    spent = asof_changes(tx.select("tx_id", "ts", "amount_usd"), resets, "ts", "seq", sums=["segment"]).select(
+        "ts", F.col("tx_id"), F.to_date("ts").alias("_tx_day"), F.col("segment").alias("_tx_segment"), F.col("amount_usd").alias("spend_so_far"))
+    d = asof_changes(d, spent, "ts", "tx_id", keys=[("day", "_tx_day"), ("segment", "_tx_segment")], sums=["spend_so_far"])
+    v = violations(F.col("amount"), F.col("spend_so_far"), F.col("to_address"), F.col("single_limit"), F.col("daily_limit"),
+                   F.col("list_size") > 0, F.col("listed"))
+    return d.select("session_id", "seq", "amount", "to_address", "spend_so_far", v.alias("violations"))
 
 
 def gate_outcomes(verdicts: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -159,12 +212,20 @@ def gate_outcomes(verdicts: DataFrame, parsed: DataFrame) -> DataFrame:
     A confirm/cancel resolves the previous event when that is a scan, else it finds
     nothing pending.  (Non-malicious scans neither set nor clear the slot.)
     """
+    return gate_decisions(gate_events(verdicts, parsed))
+
+
+def gate_events(verdicts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The gate's events: ``session_id, seq, ts, kind`` (0 scan, 1 command), ``msg_id, cmd``."""
     scans = verdicts.where("requires_confirmation").select(
         "session_id", "seq", "ts", F.lit(0).alias("kind"), F.col("msg_id"), F.lit(None).cast("string").alias("cmd"))
-    cmds = parsed.where(F.col("kind").isin("confirm", "cancel")).select(
+    return scans.unionByName(parsed.where(F.col("kind").isin("confirm", "cancel")).select(
         "session_id", "seq", "ts", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("msg_id"),
-        F.col("kind").alias("cmd"))
-    ev = scans.unionByName(cmds)
+        F.col("kind").alias("cmd")))
+
+
+def gate_decisions(ev: DataFrame) -> DataFrame:
+    """The outcome of every event of ``gate_events``."""
     # lead/lag per session without a session-wide window (skew-safe, see plans.strategy.neighbors)
     e = neighbors(ev, ["session_id"], "ts", ["ts", "seq", "kind"], ["kind", "cmd", "ts", "msg_id"])
     e = e.select("*", F.col("_next")["kind"].alias("nk"), F.col("_next")["cmd"].alias("nc"),

@@ -1,25 +1,32 @@
-"""Extension example: a user detector written as an Arrow-batched pandas UDF.
+"""Extension examples: a detector of column expressions, and one in plain Python.
 
-Mirrors the documented way to add a detector (a substring test that raises a
-HIGH ``CUSTOM_DETECTION`` finding).  The Python part only answers the
-predicate for a whole Arrow batch; the finding struct is built JVM-side.
+``custom_detector`` is the documented way to add a detector (a substring test
+that raises a HIGH ``CUSTOM_DETECTION`` finding).  ``homoglyph_detector`` needs
+Python: it asks the Unicode database whether a word mixes Latin letters with
+look-alikes of another script.
 """
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tripwire.operators.detectors import finding
+from tripwire.operators.scan import python_detector
 
 CUSTOM_NEEDLE = "suspicious_pattern"
 
 
 def custom_detector(text: Column, needle: str = CUSTOM_NEEDLE) -> Column:
-    # defined here so the UDF pickles by value (workers need nothing from this package)
-    @pandas_udf("boolean")
-    def contains_needle(s: pd.Series) -> pd.Series:
-        return s.str.contains(needle, regex=False).fillna(False)
-
-    return F.array_compact(F.array(F.when(contains_needle(text), finding(
+    return F.array_compact(F.array(F.when(text.contains(needle), finding(
         "HIGH", "CUSTOM_DETECTION", F.lit("Custom pattern found.")))))
+
+
+def mixed_scripts(text: str):
+    import unicodedata
+    for word in text.split():
+        scripts = {unicodedata.name(c, "?").split(" ")[0] for c in word if c.isalpha()}
+        if len(scripts & {"LATIN", "CYRILLIC", "GREEK"}) > 1:
+            yield "HIGH", "MIXED_SCRIPT", f"Word of mixed scripts: {word}", ""
+            return
+
+
+homoglyph_detector = python_detector(mixed_scripts)

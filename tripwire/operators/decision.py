@@ -13,28 +13,17 @@ from pyspark.sql import functions as F
 from tripwire.operators.policy import violations, with_day
 from tripwire.operators.precheck import precheck
 from tripwire.params import PolicyParams
-from tripwire.plans.strategy import asof_intervals_join, neighbors, running_sum
-
-
-def message_intervals(verdicts: DataFrame) -> DataFrame:
-    """Per session: [ts, next message ts) with that message's verdict.
-
-    The next message is found with the skew-safe ``neighbors`` (time-chunked
-    windows), so one very long session is not a single task."""
-    v = verdicts.select("session_id", "msg_id", "seq", "ts", "requires_confirmation")
-    n = neighbors(v, ["session_id"], "ts", ["ts", "seq"], ["ts"])
-    return n.select("session_id", "msg_id", "requires_confirmation", F.col("ts").alias("m_start"),
-                    F.col("_next")["ts"].alias("m_end"))
+from tripwire.plans.strategy import asof_changes, running_sum
 
 
 def gate_decision(tx: DataFrame, verdicts: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
-    iv = message_intervals(verdicts)
-    t = with_day(tx)
-    t = running_sum(t, ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
-    j = asof_intervals_join(t, iv, "ts", start="m_start", end="m_end", keys=[("account", "session_id")])
+    messages = verdicts.select("session_id", "ts", "seq", F.struct("msg_id", "requires_confirmation").alias("message"))
+    t = asof_changes(with_day(tx), messages, "ts", "seq", keys=[("account", "session_id")], last=["message"])
+    t = t.select("*", "message.msg_id", "message.requires_confirmation").drop("message")
+    j = running_sum(t, ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
     pv = violations(F.col("amount_usd"), F.col("spend_before"), F.col("to_addr"),
                     F.lit(params.single_limit), F.lit(params.daily_limit))
-    j = j.select(*t.columns, "msg_id", "requires_confirmation", F.size(pv).alias("n_violations"))
+    j = j.select("*", F.size(pv).alias("n_violations"))
     p = precheck(j, params)
     has_flags = F.coalesce(F.size("policy_flags"), F.lit(0)) > 0
     decision = (F.when(F.coalesce(F.col("requires_confirmation"), F.lit(False)), F.lit("BLOCK_CONFIRM"))

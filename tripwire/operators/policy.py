@@ -73,45 +73,61 @@ def daily_running_spend(tx: DataFrame, params: PolicyParams = PolicyParams()) ->
                     (F.col("spend_before") + F.col("amount_usd")).alias("projected"), v.alias("violations"))
 
 
-ACCEPTED_SCHEMA = T.StructType([
-    T.StructField("tx_id", T.LongType()), T.StructField("account", T.LongType()),
-    T.StructField("day", T.DateType()), T.StructField("amount_usd", T.DecimalType(18, 2)),
-    T.StructField("accepted_before", T.DecimalType(18, 2)), T.StructField("accepted", T.BooleanType()),
-])
+FOLDED = T.StructType([T.StructField("tx_id", T.LongType()), T.StructField("account", T.LongType()), T.StructField("day", T.DateType()),
+                       T.StructField("before", T.LongType()), T.StructField("accepted", T.BooleanType()), T.StructField("after", T.LongType())])
 
 
 def _accepted_fold(single: float, daily: float):
-    from decimal import Decimal
-
+    """Totals in cents; a row with a ``carry`` only sets its key's total."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, total = None, Decimal(0)
+        key, total = None, 0
         for b in batches:
-            acc_before, accepted = [], []
-            for acct, day, amt in zip(b["account"], b["day"], b["amount_usd"]):
-                if (acct, day) != key:
-                    key, total = (acct, day), Decimal(0)
-                a = Decimal(0) if amt is None else amt
-                ok = (amt is not None) and float(a) <= single and float(total + a) <= daily
-                acc_before.append(total)
+            cents = b["cents"].to_numpy(dtype="float64", na_value=float("nan"))
+            carry = b["carry"].to_numpy(dtype="float64", na_value=float("nan"))
+            before, accepted, after = [], [], []
+            for account, day, c, set_to in zip(b["account"].tolist(), b["day"].tolist(), cents.tolist(), carry.tolist()):
+                if (account, day) != key:
+                    key, total = (account, day), 0
+                if set_to == set_to:
+                    total = int(set_to)
+                before.append(total)
+                ok = c == c and c / 100 <= single and (total + c) / 100 <= daily
                 accepted.append(ok)
                 if ok:
-                    total += a
-            yield pd.DataFrame({"tx_id": b["tx_id"], "account": b["account"], "day": b["day"],
-                                "amount_usd": b["amount_usd"], "accepted_before": acc_before,
-                                "accepted": accepted})
+                    total += int(c)
+                after.append(total)
+            out = pd.DataFrame({"tx_id": b["tx_id"], "account": b["account"], "day": b["day"], "before": before,
+                                "accepted": accepted, "after": after})
+            yield out[(carry != carry)]
     return run
 
 
-def daily_accepted_spend(tx: DataFrame, params: PolicyParams = PolicyParams(), partitions: int | None = None
-                         ) -> DataFrame:
-    """Running daily total of *accepted* payments only (order-dependent fold).
+def fold_accepted(tx: DataFrame, carried: DataFrame | None = None, params: PolicyParams = PolicyParams(),
+                  partitions: int | None = None) -> DataFrame:
+    """``tx_id, account, day, before, accepted, after`` (cents) of payments in (ts, tx_id) order per account and day.
 
-    Rows are hash-partitioned by (account, day) and sorted by (account, day, ts,
-    tx_id) inside each partition; a streaming ``mapInPandas`` carries the
-    running total across Arrow batches, so a large group is never materialised
-    whole - memory stays at one batch.
+    ``carried`` (``account, day, carry``) opens a key at an earlier total.  Rows
+    are hash-partitioned by (account, day) and sorted inside each partition; a
+    streaming ``mapInPandas`` carries the total across Arrow batches, so a large
+    group is never held whole: memory stays at one batch.  The fold depends on
+    its order, so one account's day is one task.
     """
-    d = with_day(tx).select("tx_id", "account", "day", "ts", "amount_usd")
-    d = d.repartition(partitions, "account", "day") if partitions else d.repartition("account", "day")
-    d = d.sortWithinPartitions("account", "day", "ts", "tx_id")
-    return d.mapInPandas(_accepted_fold(params.single_limit, params.daily_limit), ACCEPTED_SCHEMA)
+    rows = tx.select("tx_id", "account", "day", "ts", (F.col("amount_usd") * 100).cast("bigint").alias("cents"), F.lit(None).cast("bigint").alias("carry"))
+    if carried is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(carried.select(none.cast("bigint").alias("tx_id"), "account", "day", none.cast("timestamp").alias("ts"),
+                                               none.cast("bigint").alias("cents"), "carry"))
+    rows = rows.repartition(partitions, "account", "day") if partitions else rows.repartition("account", "day")
+    rows = rows.sortWithinPartitions("account", "day", F.col("ts").asc_nulls_first(), "tx_id")
+    return rows.mapInPandas(_accepted_fold(params.single_limit, params.daily_limit), FOLDED)
+
+
+def dollars(cents: str) -> Column:
+    return (F.col(cents).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+
+
+def daily_accepted_spend(tx: DataFrame, params: PolicyParams = PolicyParams(), partitions: int | None = None
+                         ) -> DataFrame:
+    """Running daily total of *accepted* payments only (order-dependent fold)."""
+    d = fold_accepted(with_day(tx), None, params, partitions)
+    return d.select("tx_id", "account", "day", dollars("before").alias("accepted_before"), "accepted")

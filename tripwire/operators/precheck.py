@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tripwire import constants as K
 from tripwire.operators.policy import violations
+from tripwire.functions.text import py_round
 from tripwire.params import PolicyParams
 from tripwire.plans.strategy import ensure_parallelism, pushdown_barrier
 from tripwire.regex import WS
@@ -88,8 +89,8 @@ def precheck(tx: DataFrame, params: PolicyParams = PolicyParams(), daily_total:
         .otherwise(F.lit(K.BASE_GAS)).cast("bigint")
     return pushdown_barrier(d.select(
         *tx.columns, ok.alias("success"), ok.alias("simulated"), "error",
-        F.when(ok, F.round(F.col("_eth"), 8)).alias("value_eth"),
-        F.when(ok, F.round(F.col("_usd"), 2)).alias("value_usd_est"),
+        F.when(ok, py_round(F.col("_eth"), 8)).alias("value_eth"),
+        F.when(ok, py_round(F.col("_usd"), 2)).alias("value_usd_est"),
         F.when(ok, gas).alias("gas_estimate"), F.when(ok, is_call).alias("is_contract_call"),
         F.when(ok, F.col("_tt")).alias("token_transfers"),
         F.when(ok, flags).alias("policy_flags"), F.when(ok, warnings).alias("warnings")))

@@ -34,11 +34,16 @@ def _map(d: dict) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
 
 
+def _shown() -> Column:
+    """The scanned text as reports show it: nothing for a NULL text."""
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
 def report_json(v: DataFrame, keep=("msg_id",)) -> DataFrame:
     """``to_json`` of (input_preview[:200], risk_score, verdict, decoded_payload, findings)."""
     fs = F.transform("findings", lambda f: F.struct(f["severity"].alias("severity"), f["code"].alias("code"),
                                                     f["detail"].alias("detail"), f["decoded"].alias("decoded")))
-    body = F.struct(cut(F.col("text"), 200).alias("input_preview"), "risk_score", "verdict", "decoded_payload",
+    body = F.struct(cut(_shown(), 200).alias("input_preview"), "risk_score", "verdict", "decoded_payload",
                     fs.alias("findings"))
     return v.select(*keep, F.to_json(body).alias("report_json"))
 
@@ -57,7 +62,7 @@ def report_markdown(v: DataFrame, keep=("msg_id",)) -> DataFrame:
     head = F.array(F.lit("## 🛡️ Tripwire Security Scan Report"), F.lit(""),
                    F.concat(F.lit("**Risk Score:** "), F.col("risk_score").cast("string"), F.lit("/100  ")),
                    F.concat(F.lit("**Verdict:** "), F.col("verdict"), F.lit("  ")),
-                   F.concat(F.lit("**Input preview:** `"), cut(F.col("text"), 100), F.lit("`")), F.lit(""))
+                   F.concat(F.lit("**Input preview:** `"), cut(_shown(), 100), F.lit("`")), F.lit(""))
     return v.select(*keep, F.array_join(F.concat(head, findings, payload), "\n").alias("report_markdown"))
 
 
@@ -69,7 +74,7 @@ def sorted_findings(findings: Column) -> Column:
 
 
 def report_text(v: DataFrame, keep=("msg_id",), pending_confirm: bool = False) -> DataFrame:
-    text = F.col("text")
+    text = _shown()
     preview = F.concat(F.replace(cut(text, 80), F.lit("\n"), F.lit(" ")),
                        F.when(F.length(text) > 80, F.lit("…")).otherwise(F.lit("")))
     d = v.select("*", sorted_findings(F.col("findings")).alias("_sf"))
@@ -115,12 +120,12 @@ def confirm_queue(v: DataFrame, keep=("msg_id",)) -> DataFrame:
 
 def audit_events(v: DataFrame, keep=("msg_id",)) -> DataFrame:
     """Append-only audit rows: one per finding plus one per verdict; text stored as SHA-256 only."""
-    h = F.sha2(F.col("text"), 256)
-    per_finding = v.select(*keep, h.alias("text_sha256"), F.explode("findings").alias("f")).select(
-        *keep, "text_sha256", F.lit("finding").alias("event"), F.col("f")["code"].alias("code"),
-        F.coalesce(F.element_at(_map(AUDIT_LEVEL), F.col("f")["code"]), F.lit("INFO")).alias("level"),
-        F.col("f")["severity"].alias("severity"), F.lit(None).cast("int").alias("risk_score"))
-    per_scan = v.select(*keep, h.alias("text_sha256"), F.lit("verdict").alias("event"), F.col("verdict").alias("code"),
-                        F.lit("DEBUG").alias("level"),                # "scan complete" is a debug event
-                        F.lit(None).cast("string").alias("severity"), F.col("risk_score"))
-    return per_finding.unionByName(per_scan)
+    def event(kind: str, code: Column, level: Column, severity: Column, score: Column) -> Column:
+        return F.struct(F.lit(kind).alias("event"), code.alias("code"), level.alias("level"), severity.alias("severity"), score.alias("risk_score"))
+
+    levels = _map(AUDIT_LEVEL)
+    per_finding = F.transform("findings", lambda f: event("finding", f["code"], F.coalesce(F.element_at(levels, f["code"]), F.lit("INFO")),
+                                                          f["severity"], F.lit(None).cast("int")))
+    # "scan complete" is a debug event
+    per_scan = event("verdict", F.col("verdict"), F.lit("DEBUG"), F.lit(None).cast("string"), F.col("risk_score"))
+    return v.select(*keep, F.sha2(F.col("text"), 256).alias("text_sha256"), F.inline(F.concat(per_finding, F.array(per_scan))))

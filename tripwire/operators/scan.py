@@ -1,7 +1,8 @@
 """Full message scan: detectors in fixed order -> findings -> score -> verdict.
 
-``scan_messages`` is a pure projection over the input rows: no shuffle, no
-Python worker.  The projection is staged so each candidate array / finding
+``scan_messages`` is a projection over the input rows; letter statistics run in
+one Arrow-batched UDF, everything else in the JVM.  (Inputs with fewer splits
+than task slots are dealt out first, see ``ensure_parallelism``.)  The projection is staged so each candidate array / finding
 array is computed once (Catalyst's CollapseProject keeps a producer that is
 referenced more than once instead of inlining it twice).
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,64 @@ def unregister_detector(name: str) -> None:
     _EXTRA_DETECTORS.pop(name, None)
 
 
+# Registered keyword patterns, after the built-in ones: (regex, label, severity)
+_EXTRA_PATTERNS: list[tuple[str, str, str]] = []
+
+
+def register_pattern(pattern: str, label: str, severity: str = "HIGH") -> None:
+    """Add a keyword pattern (Python regex, matched against the lower-cased text) to every later scan."""
+    import re
+    re.compile(pattern)
+    if severity not in K.SEVERITY_ORDER:
+        raise ValueError(f"unknown severity: {severity!r}")
+    unregister_pattern(pattern)
+    _EXTRA_PATTERNS.append((pattern, label, severity))
+
+
+def unregister_pattern(pattern: str) -> None:
+    _EXTRA_PATTERNS[:] = [p for p in _EXTRA_PATTERNS if p[0] != pattern]
+
+
+def registered_patterns() -> list[tuple[str, str, str]]:
+    return [*K.INJECTION_PATTERNS, *_EXTRA_PATTERNS]
+
+
+def python_detector(fn: Callable[[str], Iterable[tuple[str, str, str, str]]]) -> Callable[[Column], Column]:
+    """A detector from a plain function of a text that yields (severity, code, detail, decoded).
+
+    A row for which it raises gets one INFO ``SCAN_ERROR`` finding with what it
+    had yielded before; the job goes on.
+    """
+    template = K.DETAIL_SCAN_ERROR
+
+    def detector(text: Column) -> Column:
+        @F.pandas_udf(D.FINDINGS.simpleString())
+        def run(texts: pd.Series) -> pd.Series:
+            out = []
+            for t in texts:
+                found = []
+                try:
+                    if t is not None:
+                        for severity, code, detail, decoded in fn(t):
+                            found.append({"severity": severity, "code": code, "detail": detail, "decoded": decoded})
+                except Exception as error:
+                    found.append({"severity": "INFO", "code": "SCAN_ERROR", "detail": template.format(error=error), "decoded": ""})
+                out.append(found)
+            return pd.Series(out, dtype=object)
+        return run(text)
+    return detector
+
+
+def _contained(parts: list[Column]) -> Column:
+    """The parts' findings up to the first part that failed."""
+    failed = F.lit(False)
+    out = []
+    for part in parts:
+        out.append(F.when(failed, F.array().cast(D.FINDINGS)).otherwise(part))
+        failed = failed | F.exists(part, lambda f: f["code"] == "SCAN_ERROR")
+    return F.concat(*out)
+
+
 def _single(col: Column) -> Column:
     """Nullable finding -> array of 0 or 1 findings."""
     return F.array_compact(F.array(col))
@@ -75,6 +135,7 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
     and, with ``with_text``, the scanned text.
     """
     keep = list(keep)
+    patterns = registered_patterns() if patterns is None else patterns
     text = F.col(text_col)
     uit = F.col(uit_col) if uit_col and uit_col in df.columns else F.lit(False)
     d = ensure_parallelism(df.select(*keep, text.alias("_text"), uit.alias("_uit")))
@@ -103,7 +164,7 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
         _single(F.col("_inv")), _single(F.col("_zal")), F.col("_b64"), F.col("_hx0"), F.col("_hxb"),
         _single(F.col("_mor")), _single(F.col("_cae")), _single(F.col("_ent")), _single(F.col("_kw")),
         _single(F.col("_kw2")), _single(F.col("_itn")),
-        *[F.col(f"_x{i}") for i in range(len(extra))])
+        *([_contained([F.col(f"_x{i}") for i in range(len(extra))])] if extra else []))
     too_short = F.array(D.finding("INFO", "TOO_SHORT", F.lit(K.DETAIL_TOO_SHORT)))
     scan_error = F.array(D.finding("INFO", "SCAN_ERROR",
                                    F.lit(K.DETAIL_SCAN_ERROR.format(error="text is NULL"))))

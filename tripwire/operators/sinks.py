@@ -1,8 +1,9 @@
 """Table sinks for scan results.
 
 ``findings`` are written partitioned by severity (readers of CRITICAL/HIGH
-findings prune the rest); ``verdicts`` keep one row per message.  Appends are
-idempotent per run folder, so a retried job rewrites its own output only.
+findings prune the rest); ``verdicts`` keep one row per message.  An append
+that is run again adds its rows again; write each run to a folder of its own,
+or with ``mode="overwrite"``, where that matters.
 """
 
 from __future__ import annotations
@@ -18,8 +19,3 @@ def write_findings(verdicts: DataFrame, path: str, keep=("msg_id",), mode: str =
 
 def write_verdicts(verdicts: DataFrame, path: str, mode: str = "append") -> None:
     verdicts.drop("findings").write.mode(mode).parquet(path)
-
-
-def late_rows(stream_out: DataFrame) -> DataFrame:
-    """Side table of payments that arrived after a later one was already applied."""
-    return stream_out.where("late")

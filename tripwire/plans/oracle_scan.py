@@ -143,12 +143,12 @@ hexb AS (SELECT msg_id, kind, idx, hex, CASE WHEN length(hex) % 2 = 0 THEN try(u
 hexd AS (SELECT msg_id, kind, idx, hex, txt, coalesce({printable_ok('txt', 3)}, false) AS ok FROM {last2})"""
 
 
-def scan_ctes(src: str) -> str:
+def scan_ctes(src: str, keywords: tuple[str, str, str, str] | None = None) -> str:
     """CTEs over ``src`` (msg_id, text, user_initiated_transfer) ending in
     ``verdicts`` (msg_id, risk_score, verdict, requires_confirmation, decoded_payload,
     n_findings, codes) and ``findings`` (msg_id, ord, severity, code, detail, decoded)."""
-    kw_flags = O.KW_FLAGS.replace("lower(text)", "lower(x)")
-    kw_top, kw_labels, kw_any = O.KW_TOP, O.KW_LABELS, O.KW_ANY
+    kw_flags, kw_top, kw_labels, kw_any = keywords or (O.KW_FLAGS, O.KW_TOP, O.KW_LABELS, O.KW_ANY)
+    kw_flags = kw_flags.replace("lower(text)", "lower(x)")
     inv = O.INVISIBLE
     return f"""base AS (SELECT msg_id, text, user_initiated_transfer FROM {src}),
 lm AS (SELECT * FROM base WHERE length(text) >= 8),

@@ -19,8 +19,7 @@ from tripwire.operators.policy import daily_accepted_spend, daily_running_spend,
 from tripwire.operators.precheck import precheck
 from tripwire.operators.scan import findings_table, scan_messages, score_of, verdict_of
 from tripwire.params import PolicyParams, ScanParams
-from tripwire.plans.strategy import (asof_intervals_join, broadcast_if_small, pushdown_barrier, running_sum,
-                                     with_known_size)
+from tripwire.plans.strategy import asof_changes, pushdown_barrier, running_sum
 from tripwire.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,17 +157,22 @@ def decode_base64(spark, sf):
 
 @query
 def detect_hex(spark, sf):
-    d = D.add_hex(_long(_base(spark, sf)))
-    return _explode_findings(d, "_hx0").unionByName(_explode_findings(d, "_hxb"))
+    """Both kinds from one pass: ``idx`` counts within a kind."""
+    d = pushdown_barrier(D.add_hex(_long(_base(spark, sf))).select("msg_id", "_hx0", "_hxb"))
+    both = F.concat(*[F.transform(c, lambda f, i: F.struct(i.alias("idx"), f["severity"].alias("severity"), f["code"].alias("code"),
+                                                          f["detail"].alias("detail"), f["decoded"].alias("decoded"))) for c in ("_hx0", "_hxb")])
+    return d.select("msg_id", F.inline(both))
 
 
 @query
 def hex_candidates(spark, sf):
     d = D._stage(_base(spark, sf), _c0=D.hex0x_candidates(F.col("_text")), _br=D.hex_bare_raw(F.col("_text")))
     d = D._stage(d, _cb=D.hex_bare_candidates(F.col("_br"), F.col("_c0")))
-    a = d.select("msg_id", F.lit("0x").alias("kind"), F.posexplode("_c0").alias("idx", "hex"))
-    b = d.select("msg_id", F.lit("bare").alias("kind"), F.posexplode("_cb").alias("idx", "hex"))
-    return a.unionByName(b)
+
+    def numbered(col, kind):
+        return F.transform(col, lambda h, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), h.alias("hex")))
+
+    return d.select("msg_id", F.inline(F.concat(numbered("_c0", "0x"), numbered("_cb", "bare"))))
 
 
 @query
@@ -301,11 +305,15 @@ def audit_events(spark, sf):
 
 @query
 def custom_pattern(spark, sf):
-    """Registry extension: an extra keyword pattern joins the built-in list."""
-    from tripwire.constants import INJECTION_PATTERNS
-    pats = INJECTION_PATTERNS + [(r"\bsend\s+me\s+your\b", "custom exfiltration probe", "HIGH")]
-    d = D.add_keywords(_base(spark, sf), patterns=pats)
-    return _single_findings(d, "_kw").select("msg_id", "severity", "detail")
+    """Registry extension: a registered keyword pattern joins the built-in list of the full scan."""
+    from tripwire.operators.scan import register_pattern, unregister_pattern
+    pattern = r"\bsend\s+me\s+your\b|\bstake\s+it\b"
+    register_pattern(pattern, "custom exfiltration probe", "HIGH")
+    try:
+        t = findings_table(_verdicts(spark, sf))
+    finally:
+        unregister_pattern(pattern)
+    return t.where((F.col("code") == "INJECTION_KEYWORD") & F.col("detail").contains("custom exfiltration probe")).select("msg_id", "severity", "detail")
 
 
 # ------------------------------------------------------------------ transactions
@@ -394,20 +402,15 @@ def command_parse(spark, sf):
 
 @query
 def spend_with_reset(spark, sf):
-    tx = with_day(_tx(spark, sf))
-    seg = C.reset_segments(_parsed(spark, sf))
-    j = asof_intervals_join(tx, seg, "ts")
-    d = running_sum(j.select(*tx.columns, "segment"), ["account", "day", "segment"], "ts", "tx_id",
-                    "amount_usd", "spend_before")
+    tx = asof_changes(with_day(_tx(spark, sf)), C.reset_changes(_parsed(spark, sf)), "ts", "seq", sums=["segment"])
+    d = running_sum(tx, ["account", "day", "segment"], "ts", "tx_id", "amount_usd", "spend_before")
     return d.select("tx_id", F.col("segment").cast("bigint").alias("segment"), "spend_before")
 
 
 @query
 def policy_asof(spark, sf):
-    tx = _tx(spark, sf)
-    pv = C.policy_versions(_parsed(spark, sf)).select("start_ts", "end_ts", "single_limit", "daily_limit")
-    j = asof_intervals_join(tx, pv, "ts")
-    d = running_sum(with_day(j), ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
+    tx = C.with_limits(with_day(_tx(spark, sf)), _parsed(spark, sf))
+    d = running_sum(tx, ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
     v = violations(F.col("amount_usd"), F.col("spend_before"), F.col("to_addr"), F.col("single_limit"),
                    F.col("daily_limit"))
     return d.select("tx_id", "single_limit", "daily_limit",
@@ -416,21 +419,36 @@ def policy_asof(spark, sf):
 
 @query
 def allowlist_asof(spark, sf):
-    tx = _tx(spark, sf)
-    parsed = _parsed(spark, sf)
-    iv = C.allowlist_intervals(parsed).select("address", "present", F.col("start_ts").alias("a_start"),
-                                              F.col("end_ts").alias("a_end"))
-    sz = C.allowlist_size_intervals(parsed).select("size", "start_ts", "end_ts")
-    t = tx.select("tx_id", "ts", "to_addr", F.lower("to_addr").alias("to_lower"))
-    j = asof_intervals_join(t, sz, "ts")
-    j = asof_intervals_join(j, iv, "ts", start="a_start", end="a_end", keys=[("to_lower", "address")])
-    active = F.coalesce(F.col("size"), F.lit(0)) > 0
-    present = F.coalesce(F.col("present"), F.lit(False))
+    d = C.with_allowlist(_tx(spark, sf).select("tx_id", "ts", "to_addr"), _parsed(spark, sf), "to_addr")
     p = PolicyParams()
     v = violations(F.lit(0.0), F.lit(0.0), F.col("to_addr"), F.lit(p.single_limit), F.lit(p.daily_limit),
-                   active, present)
-    return j.select("tx_id", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("list_size"),
-                    present.alias("listed"), F.array_join(F.transform(v, lambda x: x["detail"]), " ").alias("details"))
+                   F.col("list_size") > 0, F.col("listed"))
+    return d.select("tx_id", F.col("list_size").cast("bigint").alias("list_size"), "listed",
+                    F.array_join(F.transform(v, lambda x: x["detail"]), " ").alias("details"))
+
+
+@query
+def command_policy_check(spark, sf):
+    """Answers to the operator's check-policy commands."""
+    d = C.policy_checks(_parsed(spark, sf), _tx(spark, sf))
+    return d.select("seq", "amount", "to_address", "spend_so_far",
+                    F.array_join(F.transform("violations", lambda x: x["rule"]), ",").alias("rules"),
+                    F.array_join(F.transform("violations", lambda x: x["detail"]), " ").alias("details"))
+
+
+@query
+def command_scan(spark, sf):
+    """Scan commands of the log: their words, single-spaced, through the full scan."""
+    asked = _parsed(spark, sf).where((F.col("kind") == "scan") & (F.col("args") != "")).select(
+        F.col("seq").alias("msg_id"), F.col("args").alias("text"), F.lit(False).alias("user_initiated_transfer"))
+    v = scan_messages(asked, keep=("msg_id",), with_text=True)
+    return v.select(F.col("msg_id").alias("seq"), "text", F.col("risk_score").cast("bigint").alias("risk_score"), "verdict")
+
+
+@query
+def allowlist_show(spark, sf):
+    """The final allowlist in ascending order, as it is shown."""
+    return C.allowlist_show(_parsed(spark, sf))
 
 
 @query
@@ -442,8 +460,8 @@ def allowlist_state(spark, sf):
 def allowlist_violation(spark, sf):
     """Payments whose recipient is not on the final allowlist (anti-join), when it is non-empty."""
     tx = _tx(spark, sf).where(F.coalesce(F.col("to_addr"), F.lit("")) != "")
-    al = with_known_size(C.allowlist_state(_parsed(spark, sf)))
-    bad = tx.join(broadcast_if_small(al), F.lower(tx["to_addr"]) == al["address"], "left_anti")
+    al = C.allowlist_state(_parsed(spark, sf))
+    bad = tx.join(al, F.lower(tx["to_addr"]) == al["address"], "left_anti")
     nonempty = al.select(F.count("*")).scalar() > 0
     return bad.where(nonempty).select("tx_id", "to_addr")
 
@@ -452,15 +470,12 @@ def allowlist_violation(spark, sf):
 def policy_snapshot(spark, sf):
     """Per account: limits in force at the end, spend on its last active day, allowlist size."""
     parsed = _parsed(spark, sf)
-    pv = C.policy_versions(parsed).where(F.col("end_ts").isNull()).select("single_limit", "daily_limit")
+    limits = C.policy_state(parsed)
     n_allow = C.allowlist_state(parsed).select(F.count("*")).scalar()
-    tx = with_day(_tx(spark, sf))
-    last = tx.groupBy("account").agg(F.max("day").alias("last_day"))
-    spend = tx.join(last, "account").where(F.col("day") == F.col("last_day")).groupBy("account", "last_day") \
-        .agg(F.sum("amount_usd").alias("spend_last_day"))
-    lim = pv.select(F.max("single_limit")).scalar(), pv.select(F.max("daily_limit")).scalar()
-    return spend.select("account", "last_day", "spend_last_day", lim[0].alias("single_limit"),
-                        lim[1].alias("daily_limit"), n_allow.cast("bigint").alias("allowlist_size"))
+    days = with_day(_tx(spark, sf)).groupBy("account", "day").agg(F.sum("amount_usd").alias("spend"))
+    spend = days.groupBy("account").agg(F.max("day").alias("last_day"), F.max_by("spend", "day").alias("spend_last_day"))
+    return spend.select("account", "last_day", "spend_last_day", limits.select("single_limit").scalar().alias("single_limit"),
+                        limits.select("daily_limit").scalar().alias("daily_limit"), n_allow.cast("bigint").alias("allowlist_size"))
 
 
 @query
@@ -487,14 +502,21 @@ def stream_scan(spark, sf):
 
 @query
 def stream_daily_spend(spark, sf):
-    """Payments stream with per-account state; equals the batch accepted-spend fold."""
+    """Payments stream in event-time order; equals the batch accepted-spend fold of the payments that weren't late."""
     from tripwire.streaming.jobs import stream_daily_spend as run
     return run(spark, sf)
 
 
+@query
+def stream_late(spark, sf):
+    """Late side table of the payments stream."""
+    from tripwire.streaming.jobs import stream_late as run
+    return run(spark, sf)
+
+
 @query
 def stream_gate(spark, sf):
-    """Confirmation gate as keyed streaming state (final decisions only)."""
+    """Confirmation gate over the message stream (final decisions only)."""
     from tripwire.streaming.jobs import stream_gate as run
     g = run(spark, sf)
     return g.select(*[c for c in g.columns if c != "decided_ts"],
@@ -503,7 +525,7 @@ def stream_gate(spark, sf):
 
 @query
 def stream_policy(spark, sf):
-    """Payments stream joined as-of with the policy in force (static side from the command log)."""
+    """Payments stream with the limits and the allowlist in force at each payment."""
     from tripwire.streaming.jobs import stream_policy as run
     return run(spark, sf)
 
@@ -556,18 +578,11 @@ def policy_check(spark, sf):
     and the allowlist in force at payment time - all violations, in that order."""
     tx = with_day(_tx(spark, sf))
     parsed = _parsed(spark, sf)
-    d = running_sum(tx, ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
-    iv = C.allowlist_intervals(parsed).select("address", "present", F.col("start_ts").alias("a_start"),
-                                              F.col("end_ts").alias("a_end"))
-    sz = C.allowlist_size_intervals(parsed).select("size", "start_ts", "end_ts")
-    d = d.select("*", F.lower("to_addr").alias("to_lower"))
-    j = asof_intervals_join(d, sz, "ts")
-    j = asof_intervals_join(j, iv, "ts", start="a_start", end="a_end", keys=[("to_lower", "address")])
+    d = running_sum(C.with_allowlist(tx, parsed, "to_addr"), ["account", "day"], "ts", "tx_id", "amount_usd", "spend_before")
     p = PolicyParams()
     v = violations(F.col("amount_usd"), F.col("spend_before"), F.col("to_addr"), F.lit(p.single_limit),
-                   F.lit(p.daily_limit), F.coalesce(F.col("size"), F.lit(0)) > 0,
-                   F.coalesce(F.col("present"), F.lit(False)))
-    return j.select("tx_id", F.array_join(F.transform(v, lambda x: x["rule"]), ",").alias("rules"),
+                   F.lit(p.daily_limit), F.col("list_size") > 0, F.col("listed"))
+    return d.select("tx_id", F.array_join(F.transform(v, lambda x: x["rule"]), ",").alias("rules"),
                     F.array_join(F.transform(v, lambda x: x["detail"]), " ").alias("details"))
 
 

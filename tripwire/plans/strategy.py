@@ -1,67 +1,46 @@
 """Join and window strategies that hold up at scale.
 
-* ``broadcast_if_small``: broadcast only when the optimizer's size estimate
-  (an upper bound for scans/filters/projections) is under a limit; otherwise
-  leave the join to the planner/AQE (shuffle join, skew splitting).
 * ``running_sum``: per-key running total that does not put a hot key into one
   task: rows are cut into time chunks, chunk totals are pre-aggregated
   (map-side combine), prefix-summed over the small chunk table, then added to a
   within-chunk window.  The result equals the plain window.
-* ``asof_intervals_join``: attach to each row the interval row whose
-  ``[start, end)`` contains its timestamp, by an equi-join on day bucket (plus
-  optional key) and a range predicate.
+* ``asof_changes``: attach to each row the state that a log of changes has left
+  at its time (latest values, running sums), linear in rows and changes.
+* ``neighbors``: the next and the previous row of a key, by chunks.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+DAY_SECONDS = 86_400
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable (e.g. Spark Connect)
-        return 1 << 62
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
-
-
-def with_known_size(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Give a derived table a measured size.
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """A slim derived table, written once to the shared checkpoint folder and read back,
+    where a plan would otherwise compute it several times.  This also cuts the lineage."""
+    from tripwire.session import scratch_path
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The optimizer's estimate for a table derived from large sources (e.g. policy
-    intervals built from a command log carved out of a message table) is an
-    upper bound taken from those sources, so a tiny table can look huge.  When
-    the estimate is over the broadcast bound, the table is written to the
-    shared checkpoint folder and read back: its estimate is then its real file
-    size, and the broadcast decision is made on that.  This also cuts lineage.
-    """
-    if estimated_bytes(df) <= limit_bytes:
-        return df
-    import uuid
 
-    from tripwire.session import scratch_path
-    path = scratch_path(df.sparkSession, f"sized-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _chunk(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str, value: str, out: str,
-                exclusive: bool = True, chunk_seconds: int = 1) -> DataFrame:
+                exclusive: bool = True, chunk_seconds: int = 60) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys`` in
     ``(ts, tiebreak)`` order (``exclusive``: the row itself not included; 0 when none).
 
     Skew-safe: partitions by ``keys + chunk`` rather than ``keys`` alone.
     """
-    chunk = F.floor(F.unix_micros(F.col(ts)) / F.lit(chunk_seconds * 1_000_000)).alias("_chunk")
-    rows = df.select("*", chunk)
+    rows = df.select("*", _chunk(ts, chunk_seconds).alias("_chunk"))
     k = [F.col(c) for c in keys]
     totals = rows.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_ctot"))
     w_chunks = Window.partitionBy(*k).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,29 +54,69 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str, valu
     return joined.select(*df.columns, (F.col("_off") + inside).alias(out))
 
 
-def asof_intervals_join(rows: DataFrame, intervals: DataFrame, ts: str, start: str = "start_ts",
-                        end: str = "end_ts", keys: Sequence[tuple[str, str]] = (),
-                        how: str = "left", horizon: Column | None = None) -> DataFrame:
-    """Join each row to the interval of ``intervals`` containing ``rows[ts]``.
+def asof_changes(rows: DataFrame, changes: DataFrame, ts: str, order: str, keys: Sequence[tuple[str, str]] = (),
+                 last: Sequence[str] = (), sums: Sequence[str] = (), chunk_seconds: int = 600, salts: int = 8) -> DataFrame:
+    """Add to each row the state left by the ``changes`` of its keys at or before its time.
 
-    ``intervals`` are non-overlapping per key, ``[start, end)``, ``end`` NULL = open.
-    Intervals are exploded to the days they cover (open ends up to ``horizon``,
-    default the last day present in ``rows``) so the join is an equi-join on
-    ``(day, keys)`` plus a range filter; the interval side is broadcast when its
-    estimate is small.
+    ``last``: the latest non-null value of each of these columns of ``changes``
+    (in ``(ts, order)`` order; NULL when there is none).  ``sums``: the sum of
+    each of these columns (0 when there is none).  ``keys``: pairs of a column
+    of ``rows`` and a column of ``changes``.
+
+    Time is cut into chunks.  A chunk's opening state is a prefix over the
+    per-chunk summary in two levels (chunks of a day, then days), so no window
+    runs over the rows or the changes of a key; it enters the chunk as one more
+    change.  A chunk's rows are dealt to ``salts`` tasks, each with the chunk's
+    changes.  Nothing is broadcast and no interval is expanded.
     """
-    intervals = with_known_size(intervals)
-    # open intervals run to the last day present in ``rows`` (a scalar subquery)
-    hz = horizon if horizon is not None else rows.agg(F.max(F.to_date(F.col(ts)))).scalar()
-    first_day = F.to_date(F.col(start))
-    last = F.coalesce(F.to_date(F.col(end)), F.greatest(hz, first_day))
-    iv = intervals.select("*", F.explode(F.sequence(first_day, F.greatest(last, first_day))).alias("_day"))
-    r = rows.select("*", F.to_date(F.col(ts)).alias("_day"))
-    cond = [r["_day"] == iv["_day"]] + [r[a] == iv[b] for a, b in keys]
-    cond.append(r[ts] >= iv[start])
-    cond.append(iv[end].isNull() | (r[ts] < iv[end]))
-    j = r.join(broadcast_if_small(iv), on=cond, how=how)
-    return j.drop(iv["_day"]).drop(r["_day"])
+    changes = materialized(changes, "changes")
+    k = [f"_k{i}" for i in range(len(keys))]
+    values = [*last, *sums]
+    ch = changes.select(*[F.col(c).alias(n) for n, (_, c) in zip(k, keys)], F.col(ts).alias("_ts"),
+                        F.col(order).alias("_order"), *values, _chunk(ts, chunk_seconds).alias("_chunk"))
+    at = F.struct("_ts", "_order")
+    summary = ch.groupBy(*k, "_chunk").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in last], *[F.sum(c).alias(c) for c in sums])
+    types = dict(summary.dtypes)
+    r = rows.select(F.struct("*").alias("_row"), *[F.col(c).alias(n) for n, (c, _) in zip(k, keys)],
+                    F.col(ts).alias("_ts"), _chunk(ts, chunk_seconds).alias("_chunk"))
+    empty = [F.lit(None).cast(types[c]).alias(c) for c in values]
+    slots = (r.select(*k, "_chunk").distinct().select(*k, "_chunk", *empty).unionByName(summary)
+             .groupBy(*k, "_chunk").agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+             .withColumn("_day", F.floor(F.col("_chunk") * chunk_seconds / DAY_SECONDS)))
+    # level 1: days of a key (one row per key and day); level 2: chunks of a day
+    days = slots.groupBy(*k, "_day").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_chunk"))).alias(c) for c in last],
+        *[F.sum(c).alias(c) for c in sums])
+    by_day = Window.partitionBy(*k).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    in_day = Window.partitionBy(*k, "_day").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(w):
+        return [*[F.last(c, ignorenulls=True).over(w).alias(c) for c in last], *[F.sum(c).over(w).alias(c) for c in sums]]
+
+    day_open = days.select(*k, "_day", *before(by_day)).select(
+        *[F.col(n).alias(f"_d{n}") for n in [*k, "_day"]], *[F.col(c).alias(f"_d_{c}") for c in values])
+    chunk_open = slots.select(*k, "_day", "_chunk", *before(in_day))
+    same_day = [F.col(n).eqNullSafe(F.col(f"_d{n}")) for n in [*k, "_day"]]
+    opening = chunk_open.join(day_open, same_day).select(
+        *k, "_chunk", *[F.coalesce(c, f"_d_{c}").alias(c) for c in last],
+        *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_d_{c}", F.lit(0))).cast(types[c]).alias(c) for c in sums])
+
+    cols = [*k, "_chunk", "_salt", "_ts", "_side", "_order", "_row", *values]
+    each_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    no_row = F.lit(None).cast(r.schema["_row"].dataType).alias("_row")
+    no_order = F.lit(None).cast(ch.schema["_order"].dataType).alias("_order")
+    events = r.select(*k, "_chunk", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt"), "_ts",
+                      F.lit(2).alias("_side"), no_order, "_row", *empty).select(*cols)
+    events = events.unionByName(ch.select("*", F.lit(1).alias("_side"), no_row, each_salt).select(
+        *[c for c in cols if c not in sums], *[F.col(c).cast(types[c]).alias(c) for c in sums]))
+    events = events.unionByName(opening.select("*", F.lit(None).cast("timestamp").alias("_ts"), F.lit(0).alias("_side"),
+                                               no_order, no_row, each_salt).select(*cols))
+    w = (Window.partitionBy(*k, "_chunk", "_salt").orderBy(F.col("_ts").asc_nulls_first(), "_side", "_order")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    out = events.select("_row", "_side", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in last],
+                        *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums])
+    return out.where("_side = 2").select("_row.*", *values)
 
 
 def pushdown_barrier(df: DataFrame) -> DataFrame:
@@ -113,23 +132,6 @@ def pushdown_barrier(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
-def asof_small_join(rows: DataFrame, intervals: DataFrame, ts: str, start: str = "start_ts", end: str = "end_ts",
-                    limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Range join against a *small* interval table (e.g. policy versions) by broadcast.
-
-    Used where the row side is a stream (no day horizon is known).  The interval
-    side must be proven small (optimizer estimate); otherwise this refuses
-    rather than planning a nested-loop join over two large inputs.
-    """
-    intervals = with_known_size(intervals, limit_bytes)
-    size = estimated_bytes(intervals)
-    if size > limit_bytes:
-        raise ValueError(f"interval table estimated at {size} bytes, above the {limit_bytes}-byte broadcast bound")
-    iv = F.broadcast(intervals)
-    cond = (rows[ts] >= iv[start]) & (iv[end].isNull() | (rows[ts] < iv[end]))
-    return rows.join(iv, cond, "left")
-
-
 def neighbors(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], cols: Sequence[str],
               chunk_seconds: int = 60) -> DataFrame:
     """Add ``_next`` / ``_prev``: struct of ``cols`` of the following / preceding row of
@@ -138,10 +140,11 @@ def neighbors(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
     Equals ``lead``/``lag`` over ``partitionBy(keys)``, but the window runs per
     (keys, time chunk), so one hot key is spread over many tasks.  Chunk
     boundaries are stitched from a per-chunk first/last summary (one row per
-    chunk), so only that small table is windowed per key.
+    chunk), so only that small table is windowed per key.  The (slim) input is
+    written once, as both sides read it.
     """
-    chunk = F.floor(F.unix_micros(F.col(ts)) / F.lit(chunk_seconds * 1_000_000))
-    rows = df.select("*", chunk.alias("_chunk"), F.struct(*[F.col(c) for c in cols]).alias("_v"),
+    df = materialized(df, "events")
+    rows = df.select("*", _chunk(ts, chunk_seconds).alias("_chunk"), F.struct(*[F.col(c) for c in cols]).alias("_v"),
                      F.struct(*[F.col(c) for c in order]).alias("_o"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     rows = rows.select("*", F.lead("_v").over(w).alias("_in_next"), F.lag("_v").over(w).alias("_in_prev"))

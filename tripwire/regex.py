@@ -28,8 +28,10 @@ _INNER_CLASS = {"s": r"\t-\r\x1c-\x20\x85\p{Z}", "w": r"\p{L}\p{N}_", "d": r"\p{
 
 
 def literal_prefix(pattern: str) -> str | None:
-    """The word a pattern must start with (``\\bword...``), for a cheap ``contains`` pre-check."""
-    if not pattern.startswith("\\b"):
+    """The word a pattern must start with (``\\bword...``), for a cheap ``contains`` pre-check.
+
+    None where the pattern has alternatives outside a group: then no word is needed."""
+    if not pattern.startswith("\\b") or len(_group_alternatives(pattern)) > 1:
         return None
     j = 2
     while j < len(pattern) and (pattern[j].isalnum() or pattern[j] == "_"):

@@ -32,18 +32,21 @@ def get_spark(master: str | None = None, app: str = "tripwire", shuffle_partitio
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if (master and master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None)
+            and spark.sparkContext.getCheckpointDir() is None):
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tripwire-checkpoints"))
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private folder is created.
+    ``get_spark`` sets one for a local master; any other session must have the
+    setting, as only its owner knows a folder that all executors share.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="tripwire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -51,4 +54,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"

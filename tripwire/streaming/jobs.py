@@ -1,33 +1,42 @@
 """Streaming forms of the batch jobs.
 
-* ``stream_scan``: file stream of conversation turns -> messages view -> scan ->
-  parquet sink (append, no state).
-* ``stream_daily_spend``: payments stream -> per-account state (UTC day,
-  accepted total) with ``applyInPandasWithState``; rows of one micro-batch are
-  applied in (ts, tx_id) order, a row older than the last applied one is
-  emitted with ``late = true`` and not applied (the batch fold has no late rows).
-
-Sinks and checkpoints live under the session's ``spark.checkpoint.dir`` (the
-shared folder on a cluster), one fresh sub-folder per run.
+* ``stream_scan``: conversation turns -> messages view -> scan -> parquet sink (no state).
+* ``stream_daily_spend``, ``stream_gate``: jobs whose result depends on event order.
+  ``Ordered`` holds rows back until the watermark (latest time seen less a delay)
+  has passed them, then applies them in event-time order on top of the state;
+  rows older than the watermark when they arrive go to a late side table.
+* ``stream_policy``: each payment gets the limits and the allowlist in force at its
+  time, from the command log as it is when the micro-batch runs.
+
+State, held-back rows and outputs of a micro-batch are tables in a folder of its
+number, made from those of the number before and overwritten when the batch is
+run again, so a retried batch changes nothing.  All live under the session's
+``spark.checkpoint.dir``, one fresh sub-folder per run.  The steps are the batch
+operators, so a hot key is handled as in a batch job.
+
+The registered streams read their table in ``ARRIVALS`` instalments, some rows an
+instalment late and some at the very end; each instalment is a run of its own that
+goes on from the checkpoint of the run before.
 """
 
 from __future__ import annotations
 
 import uuid
-from decimal import Decimal
-from typing import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tripwire.operators import commands as C
+from tripwire.operators.policy import dollars, fold_accepted, with_day
 from tripwire.operators.scan import scan_messages
 from tripwire.params import PolicyParams
 from tripwire.session import scratch_path
 from tripwire.sources import tables as S
 
+ARRIVALS = 4
+DELAY_SHARE = 6     # the watermark's delay is a sixth of the time span of the table
 CONVERSATIONS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                               T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -35,137 +44,206 @@ EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("t
                        T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def _file_stream(spark: SparkSession, sf_dir: str, table: str, schema: T.StructType) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+def _base(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def _run(df: DataFrame, name: str) -> str:
-    base = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    q = (df.writeStream.format("parquet").outputMode("append").option("path", base + "/out")
-         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return base + "/out"
+class Instalments:
+    """A table dealt to ``ARRIVALS`` instalments by its time, with rows out of order and late (fixture)."""
+
+    def __init__(self, table: DataFrame, micros, number, schema: T.StructType, base: str):
+        self.spark, self.schema, self.folder = table.sparkSession, schema, base + "/in"
+        low, high = table.agg(F.min(micros), F.max(micros)).first()
+        low, high = low or 0, high or 0
+        self.delay_micros = (high - low) // DELAY_SHARE
+        regular = F.floor((micros - low) * ARRIVALS / F.lit(high - low + 1)) + F.when(number % 17 == 5, 1).otherwise(0)
+        arrival = F.when(number % 101 == 7, ARRIVALS - 1).otherwise(F.least(F.lit(ARRIVALS - 1), regular))
+        self.rows = table.select(*schema.names, arrival.alias("_arrival"))
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.folder)
+
+    def deliver(self, start: Callable[[], object]) -> None:
+        """Write each instalment and run the stream over what is new."""
+        for i in range(ARRIVALS):
+            self.rows.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(self.folder)
+            start().awaitTermination()
+
+
+def _conversations(spark: SparkSession, sf_dir: str, base: str) -> Instalments:
+    conv = S.table(spark, sf_dir, "conversations")
+    return Instalments(conv, (F.col("conv_id") * 1000 + F.col("turn")) * 1_000_000, F.col("conv_id") * 1000 + F.col("turn"), CONVERSATIONS, base)
+
+
+def _events(spark: SparkSession, sf_dir: str, base: str) -> Instalments:
+    ev = S.table(spark, sf_dir, "events")
+    return Instalments(ev, F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"), EVENTS, base)
+
+
+def _append(df: DataFrame, base: str):
+    return (df.writeStream.format("parquet").outputMode("append").option("path", base + "/out")
+            .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+
+
+class Ordered:
+    """Apply a stream's rows in event-time order.
+
+    ``step(ready, state)`` gets the rows that the watermark has passed and the
+    state table, and returns the output and the new state.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, rows: T.StructType, state: T.StructType, delay_micros: int,
+                 step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]):
+        self.spark, self.base, self.delay, self.step = spark, base, delay_micros, step
+        self.schemas = {"held": rows, "state": state, "late": rows, "clock": T.StructType([T.StructField("latest", T.LongType())])}
+
+    def _path(self, kind: str, number) -> str:
+        return f"{self.base}/{kind}/{number}"
+
+    def _read(self, kind: str, number: int) -> DataFrame:
+        if number < 0:
+            return self.spark.createDataFrame([], self.schemas[kind])
+        return self.spark.read.schema(self.schemas[kind]).parquet(self._path(kind, number))
+
+    def _write(self, df: DataFrame, kind: str, number) -> None:
+        df.write.mode("overwrite").parquet(self._path(kind, number))
+
+    def batch(self, rows: DataFrame, number: int) -> None:
+        self._write(rows, "new", number)
+        new = self.spark.read.schema(self.schemas["held"]).parquet(self._path("new", number))
+        micros = F.unix_micros("ts")
+        before = self._read("clock", number - 1).agg(F.max("latest")).first()[0]
+        latest = new.agg(F.max(micros)).first()[0]
+        now = max((x for x in (before, latest) if x is not None), default=None)
+        late = F.lit(False) if before is None else micros < before - self.delay
+        self._write(new.where(late), "late", number)
+        rows = new.where(~late).unionByName(self._read("held", number - 1))
+        ready = F.lit(False) if now is None else micros < now - self.delay
+        self._write(rows.where(~ready), "held", number)
+        self._apply(rows.where(ready), number - 1, number)
+        self._write(self.spark.createDataFrame([(now,)], self.schemas["clock"]), "clock", number)
+        self.last = number
+
+    def _apply(self, ready: DataFrame, was: int, number) -> None:
+        out, state = self.step(ready, self._read("state", was))
+        self._write(out, "out", number)
+        self._write(state, "state", number)
+
+    def start(self, stream: DataFrame):
+        return (stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", self.base + "/checkpoint")
+                .trigger(availableNow=True).start())
+
+    def finish(self) -> tuple[DataFrame, DataFrame]:
+        """The stream has ended: apply what is held back; the outputs and the late rows of all batches."""
+        last = getattr(self, "last", -1)
+        self._apply(self._read("held", last), last, "end")
+        out = self.spark.read.parquet(self._path("out", "*"))
+        late = self.spark.read.schema(self.schemas["late"]).parquet(self._path("late", "*")) if last >= 0 else self._read("late", -1)
+        return out, late
 
 
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    msgs = S.messages_from_conversations(_file_stream(spark, sf_dir, "conversations", CONVERSATIONS))
-    v = scan_messages(msgs, keep=("msg_id",))
-    out = v.select("msg_id", F.col("risk_score").cast("bigint").alias("risk_score"), "verdict",
-                   "requires_confirmation", "decoded_payload", F.col("n_findings").cast("bigint").alias("n_findings"),
-                   F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
-    return spark.read.parquet(_run(out, "stream_scan"))
-
-
-SPEND_OUT = T.StructType([
-    T.StructField("tx_id", T.LongType()), T.StructField("account", T.LongType()), T.StructField("day", T.DateType()),
-    T.StructField("accepted_before", T.DecimalType(18, 2)), T.StructField("accepted", T.BooleanType()),
-    T.StructField("late", T.BooleanType()),
-])
-SPEND_STATE = T.StructType([T.StructField("day", T.DateType()), T.StructField("total", T.StringType()),
-                            T.StructField("last_ts", T.TimestampType()), T.StructField("last_id", T.LongType())])
-
-
-def _spend_state_fn(single_limit: float, daily_limit: float):
-    # the closure captures plain floats only: workers need nothing from this package
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "tx_id"], kind="stable")
-        day, total, last_ts, last_id = (state.get if state.exists else (None, "0", None, None))
-        total = Decimal(total)
-        out = []
-        for tx_id, ts, amt in zip(batch["tx_id"], batch["ts"], batch["amount_usd"]):
-            d = ts.date()
-            late = last_ts is not None and (ts, tx_id) < (pd.Timestamp(last_ts), last_id)
-            if late:
-                out.append((tx_id, key[0], d, None, None, True))
-                continue
-            if d != day:
-                day, total = d, Decimal(0)
-            a = Decimal(0) if amt is None else amt
-            ok = amt is not None and float(a) <= single_limit and float(total + a) <= daily_limit
-            out.append((tx_id, key[0], d, total, ok, False))
-            if ok:
-                total += a
-            last_ts, last_id = ts, tx_id
-        state.update((day, str(total), last_ts, last_id))
-        yield pd.DataFrame(out, columns=[f.name for f in SPEND_OUT.fields])
-    return fn
-
-
-def stream_daily_spend(spark: SparkSession, sf_dir: str, params: PolicyParams = PolicyParams()) -> DataFrame:
-    tx = S.transactions_from_events(_file_stream(spark, sf_dir, "events", EVENTS))
-    tx = tx.select("tx_id", "account", "ts", "amount_usd").withWatermark("ts", "1 day")
-    out = tx.groupBy("account").applyInPandasWithState(
-        _spend_state_fn(params.single_limit, params.daily_limit), SPEND_OUT, SPEND_STATE, "append", GroupStateTimeout.NoTimeout)
-    return spark.read.parquet(_run(out, "stream_daily_spend"))
-
-
-GATE_OUT = T.StructType([
-    T.StructField("session_id", T.LongType()), T.StructField("msg_id", T.LongType()), T.StructField("seq", T.LongType()),
-    T.StructField("event", T.StringType()), T.StructField("outcome", T.StringType()),
-    T.StructField("decided_ts", T.TimestampType()),
-])
-GATE_STATE = T.StructType([T.StructField("pending_msg", T.LongType()), T.StructField("pending_seq", T.LongType())])
-
-
-def _gate_state_fn():
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "kind"], kind="stable")
-        pending_msg, pending_seq = state.get if state.exists else (None, None)
-        out = []
-        for kind, msg_id, seq, ts, cmd in zip(ev["kind"], ev["msg_id"], ev["seq"], ev["ts"], ev["cmd"]):
-            if kind == 0:                                   # malicious scan: (over)writes the slot
-                if pending_msg is not None:
-                    out.append((key[0], pending_msg, pending_seq, "scan", "SUPERSEDED", None))
-                pending_msg, pending_seq = int(msg_id), int(seq)
-            else:                                           # confirm / cancel
-                verdict = "CONFIRMED" if cmd == "confirm" else "CANCELLED"
-                if pending_msg is None:
-                    out.append((key[0], None, int(seq), "command", "NOTHING_PENDING", ts))
-                else:
-                    out.append((key[0], pending_msg, pending_seq, "scan", verdict, ts))
-                    out.append((key[0], pending_msg, int(seq), "command", verdict, ts))
-                    pending_msg, pending_seq = None, None
-        if pending_msg is None:
-            state.remove()
-        else:
-            state.update((pending_msg, pending_seq))
-        yield pd.DataFrame(out, columns=[f.name for f in GATE_OUT.fields])
-    return fn
+    base = _base(spark, "stream_scan")
+    arrivals = _conversations(spark, sf_dir, base)
+
+    def start():
+        v = scan_messages(S.messages_from_conversations(arrivals.stream()), keep=("msg_id",))
+        return _append(v.select("msg_id", F.col("risk_score").cast("bigint").alias("risk_score"), "verdict",
+                                "requires_confirmation", "decoded_payload", F.col("n_findings").cast("bigint").alias("n_findings"),
+                                F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes")), base)
+
+    arrivals.deliver(start)
+    return spark.read.parquet(base + "/out")
+
+
+PAYMENTS = T.StructType([T.StructField("tx_id", T.LongType()), T.StructField("account", T.LongType()), T.StructField("ts", T.TimestampType()),
+                         T.StructField("amount_usd", T.DecimalType(18, 2))])
+TOTALS = T.StructType([T.StructField("account", T.LongType()), T.StructField("day", T.DateType()), T.StructField("carry", T.LongType())])
+
+
+def spend_stream(spark: SparkSession, sf_dir: str, params: PolicyParams = PolicyParams()) -> tuple[DataFrame, DataFrame]:
+    """Accepted daily spend of the payments in event-time order, and the late payments."""
+    base = _base(spark, "stream_daily_spend")
+    arrivals = _events(spark, sf_dir, base)
+
+    def step(ready: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        folded = fold_accepted(with_day(ready), state, params)
+        path = f"{base}/folded/{uuid.uuid4().hex}"
+        folded.write.parquet(path)
+        folded = spark.read.parquet(path)
+        out = folded.select("tx_id", "account", "day", dollars("before").alias("accepted_before"), "accepted")
+        # the total only grows, so a key's last total is its largest
+        totals = folded.select("account", "day", F.col("after").alias("carry")).unionByName(state).groupBy("account", "day").agg(F.max("carry").alias("carry"))
+        # a day that the watermark has left behind for the account gets no more rows than its latest one
+        return out, totals.select("account", "day", "carry")
+
+    ordered = Ordered(spark, base, PAYMENTS, TOTALS, arrivals.delay_micros, step)
+    arrivals.deliver(lambda: ordered.start(S.transactions_from_events(arrivals.stream()).select(*PAYMENTS.names)))
+    return ordered.finish()
+
+
+def stream_daily_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, late = spend_stream(spark, sf_dir)
+    nothing = late.select("tx_id", "account", F.to_date("ts").alias("day"), F.lit(None).cast("decimal(18,2)").alias("accepted_before"),
+                          F.lit(None).cast("boolean").alias("accepted"), F.lit(True).alias("late"))
+    return out.select("*", F.lit(False).alias("late")).unionByName(nothing)
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late side table of the payments stream."""
+    return spend_stream(spark, sf_dir)[1].select("tx_id", "account", "amount_usd")
+
+
+GATE_EVENTS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampType()),
+                            T.StructField("kind", T.IntegerType()), T.StructField("msg_id", T.LongType()), T.StructField("cmd", T.StringType())])
+TICK = 2    # any other message: it only moves the watermark
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmation gate as keyed state per session over the message stream.
+    """Confirmation gate over the message stream: the state is the scan pending in each session.
 
-    Only final decisions are emitted (a scan still pending stays in state); the
-    output equals the batch ``gate_outcomes`` without its PENDING rows.
+    Only final decisions are emitted; the output equals the batch
+    ``gate_outcomes`` of the messages that weren't late, without its PENDING rows.
     """
-    from tripwire.operators.commands import parse_commands
-    msgs = S.messages_from_conversations(_file_stream(spark, sf_dir, "conversations", CONVERSATIONS))
-    v = scan_messages(msgs, keep=("msg_id", "session_id", "seq", "ts"))
-    scans = v.where("requires_confirmation").select(
-        "session_id", "seq", "ts", F.lit(0).alias("kind"), "msg_id", F.lit(None).cast("string").alias("cmd"))
-    gate_cmds = msgs.where((F.col("session_id") + F.col("seq")) % 3 == 0).select(
-        "session_id", "seq", "ts", F.when((F.col("msg_id") % 7).isin(0, 3), F.lit("/guard confirm"))
-        .otherwise(F.lit("/GUARD cancel")).alias("command"))
-    cmds = parse_commands(gate_cmds).where(F.col("kind").isin("confirm", "cancel")).select(
-        "session_id", "seq", "ts", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("msg_id"),
-        F.col("kind").alias("cmd"))
-    ev = scans.unionByName(cmds).withWatermark("ts", "1 day")
-    out = ev.groupBy("session_id").applyInPandasWithState(
-        _gate_state_fn(), GATE_OUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout)
-    return spark.read.parquet(_run(out, "stream_gate"))
+    base = _base(spark, "stream_gate")
+    arrivals = _conversations(spark, sf_dir, base)
+
+    def events() -> DataFrame:
+        msgs = S.messages_from_conversations(arrivals.stream())
+        v = scan_messages(msgs, keep=("msg_id", "session_id", "seq", "ts"))
+        scans = v.select("session_id", "seq", "ts", F.when(F.col("requires_confirmation"), 0).otherwise(TICK).alias("kind"), "msg_id",
+                         F.lit(None).cast("string").alias("cmd"))
+        commands = C.parse_commands(S.gate_commands(msgs))
+        return scans.unionByName(C.gate_events(v.where(F.lit(False)), commands))
+
+    def step(ready: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        decided = C.gate_decisions(ready.where(F.col("kind") < TICK).unionByName(state))
+        pending = (F.col("event") == "scan") & (F.col("outcome") == "PENDING")
+        return decided.where(~pending), decided.where(pending).select(
+            "session_id", "seq", "ts", F.lit(0).alias("kind"), "msg_id", F.lit(None).cast("string").alias("cmd"))
+
+    ordered = Ordered(spark, base, GATE_EVENTS, GATE_EVENTS, arrivals.delay_micros, step)
+    arrivals.deliver(lambda: ordered.start(events()))
+    return ordered.finish()[0].select("session_id", "msg_id", "seq", "event", "outcome", "decided_ts")
 
 
 def stream_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream-static as-of join: each payment gets the limits in force at its time,
-    from the command log (static side, small) - and the single-payment check."""
-    from tripwire.operators.commands import parse_commands, policy_versions
-    from tripwire.plans.strategy import asof_small_join
-    tx = S.transactions_from_events(_file_stream(spark, sf_dir, "events", EVENTS)).select("tx_id", "ts", "amount_usd")
-    pv = policy_versions(parse_commands(S.command_log(spark, sf_dir))).select(
-        "start_ts", "end_ts", "single_limit", "daily_limit")
-    j = asof_small_join(tx, pv, "ts")
-    out = j.select("tx_id", "single_limit", "daily_limit",
-                   (F.col("amount_usd").cast("double") > F.col("single_limit")).alias("over_single"))
-    return spark.read.parquet(_run(out, "stream_policy"))
+    """Payments with the limits and the allowlist in force at their time, and the single-payment check.
+
+    The command log is read anew in every micro-batch, so changes reach payments
+    that come after them."""
+    base = _base(spark, "stream_policy")
+    arrivals = _events(spark, sf_dir, base)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        path = f"{base}/new/{number}"
+        rows.write.mode("overwrite").parquet(path)
+        parsed = C.parse_commands(S.command_log(spark, sf_dir))
+        d = C.with_state(spark.read.schema(rows.schema).parquet(path), parsed, "to_addr")
+        d.select("tx_id", "single_limit", "daily_limit", (F.col("amount_usd").cast("double") > F.col("single_limit")).alias("over_single"),
+                 ((F.col("list_size") > 0) & ~F.col("listed") & (F.coalesce("to_addr", F.lit("")) != "")).alias("off_list")
+                 ).write.mode("overwrite").parquet(f"{base}/out/{number}")
+
+    arrivals.deliver(lambda: S.transactions_from_events(arrivals.stream()).select("tx_id", "ts", "amount_usd", "to_addr").writeStream.foreachBatch(batch)
+                     .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{base}/out/*")
