@@ -20,6 +20,7 @@ from tripwire.llm.common import text_or_empty
 from tripwire.llm.sieve import SIEVE_BITS, passes, sieve
 
 PREFIX_CHARS = 256
+SALTS = 16      # tasks that a group of copies is dealt to in the last join
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = (),
@@ -52,7 +53,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        .otherwise(alone).alias("_content"))
     groups = (rows.filter("_shared_prefix AND octet_length(_content) = 32").groupBy("_content")
               .agg(F.max("doc_id").alias("_largest"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"))
-    joined = rows.join(groups, "_content", "left")
+    # a group has one row here, a copy for each salt; its members, however many, are dealt to SALTS tasks
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["_content", "_salt"], "left")
     keep = F.when(F.col("_size").isNotNull(), F.col("_largest")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
                          F.col("doc_id").eqNullSafe(keep).alias("kept"), *[F.col(c).alias(n) for c, n in zip(carried, names)])
