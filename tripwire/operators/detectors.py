@@ -8,6 +8,8 @@ Nothing needs a shuffle; only the letter statistics leave the JVM.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from tripwire import constants as K
 from tripwire.functions import codecs, stats
 from tripwire.functions.text import cut, cut_ellipsis, py_fixed, py_percent
 from tripwire.params import ScanParams
-from tripwire.regex import B_AFTER_WORD, B_BEFORE_WORD, NOT_WS, WS, literal_prefix, to_java
+from tripwire.regex import B_AFTER_WORD, B_BEFORE_WORD, NOT_WS, WS, _group_alternatives, literal_prefix, to_java
 
 FINDING = T.StructType([
     T.StructField("severity", T.StringType()),
@@ -316,9 +318,8 @@ def intent_signals(text: Column) -> Column:
         F.when(text.rlike(ADDR_JAVA), F.lit(K.SIGNAL_NAMES[2]))))
 
 
-# Literal stems every financial verb alternative contains (lower case)
-FIN_STEMS = ["transfer", "send", "withdraw", "move", "approve", "swap", "bridge", "stake", "claim", "delegate",
-             "revoke", "mint", "burn", "vote", "liquidate", "deposit", "drain", "execute", "disburse", "pay", "flash"]
+# the literal start of each alternative of the verb pattern (all are lower case)
+FIN_STEMS = [re.match("[a-z]+", verb).group() for verb in _group_alternatives(re.fullmatch(r"\\b\((.*)\)\\b", K.FINANCIAL_ACTION_RE).group(1))]
 
 
 def _fin_possible(text: Column) -> Column:
