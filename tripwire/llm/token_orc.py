@@ -33,13 +33,42 @@ from tripwire.llm.bpe import VOCABULARY
 from tripwire.llm.common import arrow_batch, fresh_path, slices, table
 
 END_ID = 2
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 JOINED_RUNS = 500
 STRIPE_BYTES = 64 << 20
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()),
                      T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
+class _Runs(dict):
+    """Ids of known runs; an unknown one gets a place that is filled when the slice's new runs are encoded."""
+
+    def __init__(self, added: list[str]):
+        super().__init__()
+        self.added, self.old, self.fresh, self.open = added, {}, {}, False
+
+    def alone(self, run: str) -> bool:
+        """Whether a run after a space is encoded alike wherever it stands."""
+        return (bool(run) and run[0].isprintable() and run[-1].isprintable() and not run[0].isspace() and not run[-1].isspace()
+                and not any(a in run for a in self.added))
+
+    def __missing__(self, run: str):
+        found = self.old.get(run)
+        if found is None:
+            if not self.alone(run):
+                self.open = True
+                return b""
+            found = self.fresh[run] = bytearray()
+        self[run] = found
+        return found
+
+    def turn(self, entries: int) -> None:
+        """Keep two generations of about ``entries`` runs."""
+        if len(self) > entries:
+            self.old = dict(self)
+            self.clear()
+
+
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library, each distinct run once."""
 
@@ -53,45 +82,44 @@ class LibraryEncoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.added = [t["content"] for t in spec["added_tokens"]]
         self.lengths = np.zeros(1 + max(spec["model"]["vocab"].values()), np.int64)      # bytes of each id
         for string, i in spec["model"]["vocab"].items():
             self.lengths[i] = len(string)       # one character a byte in this format
-        self.cache_entries, self.runs = cache_entries, {}
+        self.cache_entries, self.runs = cache_entries, _Runs([t["content"] for t in spec["added_tokens"]])
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _alone(self, run: str) -> bool:
-        """Whether a run after a space is encoded alike wherever it stands."""
-        return (bool(run) and run[0].isprintable() and run[-1].isprintable() and not run[0].isspace() and not run[-1].isspace()
-                and not any(a in run for a in self.added))
-
-    def _learn(self, runs: list[str]) -> None:
-        """Encode many runs as one text; a run's ids are those of its bytes."""
-        alone = [r for r in runs if self._alone(r)]
-        for start in range(0, len(alone), JOINED_RUNS):
-            some = alone[start:start + JOINED_RUNS]
-            ids = self._encode([" " + " ".join(some)])[0]
-            ends = np.cumsum([1 + len(r.encode()) for r in some])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            self.runs.update((r, ids[a:b].tobytes()) for r, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist()))
-        self.runs.update((r, None) for r in runs if not self._alone(r))
+    def _learn(self) -> None:
+        """Encode the new runs, many as one text; a run's ids are those of its bytes."""
+        fresh, runs = self.runs.fresh, self.runs
+        names = list(fresh)
+        for start in range(0, len(names), JOINED_RUNS):
+            some = names[start:start + JOINED_RUNS]
+            joined = " " + " ".join(some)
+            ids = self._encode([joined])[0]
+            ends = np.cumsum([1 + len(r) for r in some] if joined.isascii() else [1 + len(r.encode()) for r in some])
+            cuts = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()
+            raw, at = ids.tobytes(), 0
+            for run, cut in zip(some, cuts):
+                fresh[run][:] = runs[run] = raw[at:cut]
+                at = cut
+        fresh.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.runs) > self.cache_entries:
-            self.runs = {}
-        self._learn(list(set().union(*(s[1:] for s in split)).difference(self.runs)))
-        found = self.runs.__getitem__
-        rests: list[bytes | None] = []
-        for s in split:
-            try:
-                rests.append(b"".join(map(found, s[1:])) if len(s) == 1 or self._alone(s[0][-1:]) else None)
-            except TypeError:       # a run that doesn't stand alone: the library gets the whole text
-                rests.append(None)
-        heads = self._encode([t if r is None else s[0] for t, s, r in zip(texts, split, rests)])
-        return [h.tobytes() + (r or b"") for h, r in zip(heads, rests)]
+        runs = self.runs
+        runs.turn(self.cache_entries)
+        find, heads, rests = runs.__getitem__, [], []
+        for text in texts:
+            first, *others = text.split(" ")
+            runs.open = False
+            rest = list(map(find, others))
+            if others and (runs.open or not runs.alone(first[-1:])):    # the library gets the whole text
+                first, rest = text, []
+            heads.append(first)
+            rests.append(rest)
+        self._learn()
+        return [h.tobytes() + b"".join(r) for h, r in zip(self._encode(heads), rests)]
 
 
 @lru_cache(maxsize=1)
