@@ -43,36 +43,77 @@ LABELLED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h
 
 
 class Pieces:
-    """The vocabulary's pieces by string, their prefixes as -1, and one more id for any other character."""
-
-    def __init__(self, path: str):
+    """The vocabulary's pieces by the hash of their characters, and one more id, ``other``, for any character that is no piece."""
+
+    SLOT_BITS = 20
+    BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)     # odd multipliers
+
+    def __init__(self, strings: dict[str, int], other: int):
+        self.other, self.size = other, other + 1
+        self.longest = max(map(len, strings))
+        known = sorted((self._hash(s), i) for s, i in strings.items())
+        self.hashes = np.array([h for h, _ in known], np.uint64)
+        self.ids = np.array([i for _, i in known], np.int64)
+        self.whole = self._marks(self.hashes)
+        self.begun = self._marks(np.array([self._hash(s[:n]) for s in strings for n in range(1, len(s))], np.uint64))
+
+    @classmethod
+    def load(cls, path: str) -> "Pieces":
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        strings = [model.id_to_piece(i) for i in range(model.vocab_size())]
-        self.other, self.size = len(strings), len(strings) + 1
-        self.ids: dict[str, int] = {}
-        for i, s in enumerate(strings):
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-                for end in range(1, len(s)):
-                    self.ids.setdefault(s[:end], -1)
-                self.ids[s] = i
+        return cls({model.id_to_piece(i): i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))},
+                   model.vocab_size())
+
+    def _hash(self, string: str) -> int:
+        h = 0
+        for c in string:
+            h = (h * int(self.BASE) + ord(c) + 1) % (1 << 64)
+        return h
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * self.SPREAD) >> np.uint64(64 - self.SLOT_BITS)
+
+    def _marks(self, hashes: np.ndarray) -> np.ndarray:
+        marks = np.zeros(1 << self.SLOT_BITS, bool)
+        marks[self._slots(hashes)] = True
+        return marks
 
     def edges(self, words: list[str]) -> np.ndarray:
-        """All pieces of all words: columns word, start, end, piece id; in the order of words."""
-        out, get, other = [], self.ids.get, self.other
-        for w, word in enumerate(words):
-            for start in range(len(word)):
-                single = False
-                for end in range(start + 1, len(word) + 1):
-                    piece = get(word[start:end])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        single |= end == start + 1
-                        out.append((w, start, end, piece))
-                if not single:
-                    out.append((w, start, start + 1, other))
-        return np.array(out, np.int64).reshape(-1, 4)
+        """All pieces of all words: columns word, start, end, piece id; in the order of words and starts."""
+        lengths = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        firsts = np.cumsum(lengths) - lengths
+        word = np.repeat(np.arange(len(words)), lengths)
+        ends = np.repeat(firsts + lengths, lengths)
+        at, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        found_at, found_length, found_id = [], [], []
+        for length in range(1, self.longest + 1):
+            inside = at + length <= ends[at]
+            at, hashes = at[inside], hashes[inside] * self.BASE + codes[at[inside] + length - 1]
+            if not len(at):
+                break
+            slots = self._slots(hashes)
+            some = np.flatnonzero(self.whole[slots])
+            place = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+            equal = self.hashes[place] == hashes[some]
+            some, ids = some[equal], self.ids[place[equal]]
+            if length == 1:
+                single = np.full(len(codes), self.other)
+                single[at[some]] = ids
+                found_at.append(at)
+                found_id.append(single)
+                found_length.append(np.ones(len(codes), np.int64))
+            else:
+                found_at.append(at[some])
+                found_id.append(ids)
+                found_length.append(np.full(len(some), length))
+            more = self.begun[slots]
+            at, hashes = at[more], hashes[more]
+        at, length, ids = (np.concatenate(x) for x in (found_at, found_length, found_id))
+        order = np.argsort(at, kind="stable")
+        at, length, ids = at[order], length[order], ids[order]
+        start = at - firsts[word[at]]
+        return np.column_stack([word[at], start, start + length, ids])
 
 
 @lru_cache(maxsize=1)
@@ -80,7 +121,7 @@ def pieces(path: str | None = None) -> Pieces:
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path(VOCABULARY)
-    return Pieces(path)
+    return Pieces.load(path)
 
 
 def _sweep(edges: np.ndarray, weight: np.ndarray, sums: np.ndarray, come: int, go: int, order: range) -> None:
