@@ -41,9 +41,9 @@ def line_key(words: Column) -> Column:
 
 def template_lines(docs: DataFrame, depth: int) -> DataFrame:
     """The lines with words: ``doc_id``, ``text_key``, ``words``, ``leaf``."""
-    lines = (docs.filter("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"),
-                                                    F.explode(F.split("text", "\n", -1)).alias("line"))
-             .select("doc_id", "text_key", masked(F.col("line")).alias("words")).filter("words <> ''"))
+    # the generator makes ``words`` a column of its own, so the expressions over it don't repeat the masking
+    lines = docs.filter("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"),
+                                                   F.explode(F.transform(F.split("text", "\n", -1), masked)).alias("words")).filter("words <> ''")
     tokens = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     return lines.select("*", F.xxhash64(tokens, F.substring_index("words", " ", depth)).alias("leaf"))
 
