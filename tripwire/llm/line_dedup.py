@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import table, written
+from tripwire.llm.common import salted_join, table, written
 from tripwire.llm.sieve import passes, sieve
 
 DEPTH = 3               # leading tokens that choose the leaf
@@ -66,10 +66,11 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
                  .select("line_key", F.when(F.col("share") >= min_constant, line_key(F.concat(F.lit("template "), F.array_join("shape", " "))))
                          .otherwise(F.col("line_key")).alias("template")))
 
-    of = held.select("line_key", "text_key", "doc_id").join(templates, "line_key")
+    # lines and templates that many texts hold are dealt to several tasks
+    of = salted_join(held.select("line_key", "text_key", "doc_id"), templates, "line_key", ["text_key"])
     recurring = (of.groupBy("template").agg(F.countDistinct("text_key").alias("texts"), F.min(F.struct("doc_id", "text_key")).alias("first"))
                  .filter(F.col("texts") >= min_texts).select("template", F.col("first.text_key").alias("keeper")))
-    return (of.join(recurring, "template").filter(F.col("text_key") != F.col("keeper"))
+    return (salted_join(of, recurring, "template", ["text_key"]).filter(F.col("text_key") != F.col("keeper"))
             .groupBy("text_key").agg(F.collect_set("line_key").alias("drop")))
 
 
