@@ -15,8 +15,10 @@ cells that can hold one; then the shingles of those cells are counted exactly.
 
 A bucket's members aren't paired with each other.  They are compared with the
 bucket's first member; those left outside its class are compared, as further
-pivots, in rounds whose number of pivots doubles, until every pair of a bucket
-is compared or known to be in one class.  Texts of equal words are one node.
+pivots, in rounds of more and more pivots, until every pair of a bucket is
+compared, known to be in one class, or out of reach: two texts can't be more
+similar than the shingles that they share with any other text of such buckets
+allow.  Texts of equal words are one node.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.common import TokenTable, arrow_batch, salted_join, slices, table, written
+from tripwire.llm.common import BoundedCache, arrow_batch, salted_join, slices, table, written
 from tripwire.llm.components import connected_components
 from tripwire.llm.sieve import passes, sieve
 
@@ -48,6 +50,9 @@ SLOTS = 1 << 15                 # rows of the table of random numbers
 CHUNK = 48                      # members verified against one pivot in a task, about
 FANIN = 64                      # sketches added in a task
 FLUSH = 2_000_000
+WORD_ENTRIES = 400_000
+FIRST_PIVOTS, MORE_PIVOTS = 16, 16     # of a bucket in the first round, and how many times more in each further one
+PRUNINGS = 2
 EDGE = re.compile(r"^\W+|\W+$")
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))     # fixed values: multipliers of a 64-bit finalizer
 
@@ -55,6 +60,8 @@ SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
                        T.StructField("buckets", T.ArrayType(T.LongType()))])
 SKETCHED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("task", T.LongType()), T.StructField("cells", T.BinaryType())])
 COUNTED = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("documents", T.LongType())])
+WEIGHED = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("weight", T.DoubleType()),
+                        T.StructField("total", T.DoubleType())])
 VERIFIED = T.StructType([T.StructField("pivot", T.BinaryType()), T.StructField("member", T.BinaryType()), T.StructField("similarity", T.DoubleType())])
 
 
@@ -64,20 +71,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hashes(tokens: list[str]) -> np.ndarray:
-    """Per token the hash of its lower-cased word without marks at its ends; 0 for a token without a word."""
-    words = (EDGE.sub("", t.lower()) for t in tokens)
-    return np.array([xxhash.xxh3_64_intdigest(w) or 1 if w else 0 for w in words], np.uint64)[:, None]
+def _word_hash(token: str) -> int:
+    """The hash of a token's lower-cased word without marks at its ends; 0 for a token without a word."""
+    word = EDGE.sub("", token.lower())
+    return xxhash.xxh3_64_intdigest(word) or 1 if word else 0
 
 
-def word_table() -> TokenTable:
-    return TokenTable(1, _word_hashes, dtype=np.uint64)
+def word_table() -> BoundedCache:
+    return BoundedCache(_word_hash, WORD_ENTRIES)
 
 
-def words_of(texts: list[str], words: TokenTable) -> Iterator[np.ndarray]:
+def words_of(texts: list[str], words: BoundedCache) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order."""
-    for at in words.places([t.split() for t in texts]):
-        hashes = words.values[at, 0]
+    for text in texts:
+        tokens = text.split()
+        hashes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
         yield hashes[hashes != 0]
 
 
@@ -157,7 +165,7 @@ def band_keys(samples: np.ndarray, rows: int = BAND_SAMPLES) -> np.ndarray:
     return keys
 
 
-def _document_shingles(batch: pa.RecordBatch, column: int, words: TokenTable) -> Iterator[np.ndarray]:
+def _document_shingles(batch: pa.RecordBatch, column: int, words: BoundedCache) -> Iterator[np.ndarray]:
     for hashes in words_of([t or "" for t in batch.column(column).to_pylist()], words):
         yield shingles(hashes)[0]
 
@@ -276,6 +284,32 @@ def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
     return asked.join(texts, "content").groupBy("pivot", "chunk").applyInArrow(verify, VERIFIED)
 
 
+def bounds(texts: DataFrame, held: Broadcast, similarity: float) -> DataFrame:
+    """``node``, ``total``, ``shared``: a text's weight, and its weight on shingles that another of ``texts`` holds too.
+
+    The similarity of two texts is at most that of the smaller shared weight to
+    the rest of both, so pairs and whole texts below it need no comparison.
+    Texts that can reach ``similarity`` with no other are left out, and the
+    weights taken anew among the others.  ``node`` is the hash of ``content``.
+    """
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, words = held.value, word_table()
+        for batch in slices(batches, rows=64):
+            for node, hashes in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist(), words)):
+                shingle, times = shingles(hashes)
+                weight = weights(shingle, times)
+                yield arrow_batch(WEIGHED, [np.full(len(shingle), node), shingle.view(np.int64), weight, np.full(len(shingle), weight.sum())])
+
+    rows = written(texts.select(F.xxhash64("content").alias("node"), "text").mapInArrow(weigh, WEIGHED), "weights")
+    alive = None
+    for _ in range(PRUNINGS):
+        mine = rows if alive is None else rows.join(alive.select("node"), "node", "left_semi")
+        common = mine.groupBy("shingle").count().filter("count > 1").select("shingle")
+        sums = mine.join(common, "shingle", "left_semi").groupBy("node").agg(F.sum("weight").alias("shared"), F.max("total").alias("total"))
+        alive = written(sums.filter(F.col("shared") >= F.col("total") * (similarity - 1e-9)), "bounds")
+    return alive
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``text_key`` and ``label`` of every row; rows of one label are a class.  ``docs`` has ``doc_id``, ``text``, ``text_key``."""
     spark = docs.sparkSession
@@ -295,20 +329,30 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     def compared(pairs: DataFrame) -> DataFrame:
         return written(verified(pairs, texts, held), "similarities")
 
+    def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("label", F.coalesce("label", "member"))
+
     done = compared(buckets.filter("member <> pivot").select("pivot", "member").distinct())
-    links = done.filter(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-    labels = connected_components(links)
-    pivots = 1
+    labels = connected_components(done.filter(F.col("similarity") >= similarity).select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+
+    # buckets of several classes: their members that can have another link at all
+    open_ = with_labels(buckets.select("bucket", "member"), labels).groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    left = written(buckets.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "member"), "open-buckets")
+    able = bounds(texts.join(left.select(F.col("member").alias("content")).distinct(), "content", "left_semi"), held, similarity)
+    left = written(left.withColumn("node", F.xxhash64("member")).join(able, "node").select("bucket", "member", "shared", "total"), "able-members")
+    pivots = FIRST_PIVOTS
     while True:
         # of each bucket, the members outside its first member's class, in order; the first so many become pivots
-        named = buckets.select("bucket", "pivot", "member").join(labels.select(F.col("node").alias("member"), "label"), "member", "left").select(
-            "bucket", "pivot", "member", F.coalesce("label", "member").alias("label"))
-        first = named.filter("member = pivot").select("bucket", F.col("label").alias("first_label"))
+        named = with_labels(left, labels)
+        first = named.groupBy("bucket").agg(F.min_by("label", "member").alias("first_label"))
         named = written(named.join(first, "bucket"), "named")
         in_order = Window.partitionBy("bucket").orderBy("member")
-        outside = (named.filter("label <> first_label").select("bucket", F.col("member").alias("outsider"), F.col("label").alias("outside_label"),
-                                                               F.row_number().over(in_order).alias("place")).filter(F.col("place") <= pivots))
-        both = named.join(outside, "bucket").filter("label <> outside_label AND member <> outsider AND member <> pivot")
+        outside = (named.filter("label <> first_label").select(
+            "bucket", F.col("member").alias("outsider"), F.col("label").alias("outside_label"), F.col("shared").alias("outside_shared"),
+            F.col("total").alias("outside_total"), F.row_number().over(in_order).alias("place")).filter(F.col("place") <= pivots))
+        least = F.least("shared", "outside_shared")
+        reach = least >= (similarity - 1e-9) * (F.col("total") + F.col("outside_total") - least)
+        both = named.join(outside, (named["bucket"] == outside["bucket"]) & (F.col("label") != F.col("outside_label")) & reach)
         pairs = both.select(F.least("outsider", "member").alias("pivot"), F.greatest("outsider", "member").alias("member")).distinct()
         known = done.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
         pairs = written(pairs.join(known, ["pivot", "member"], "left_anti"), "pairs")
@@ -320,7 +364,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
             labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh))
         if most <= pivots:
             break
-        pivots *= 4
+        pivots *= MORE_PIVOTS
     named = labels.select(F.col("node").alias("content"), "label")
     return salted_join(signed.select("doc_id", "text_key", "content"), named, "content", ["text_key", "doc_id"]).select(
         "doc_id", "text_key", F.coalesce("label", "content").alias("label"))
