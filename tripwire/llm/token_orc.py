@@ -46,11 +46,12 @@ class _Runs(dict):
     def __init__(self, added: list[str]):
         super().__init__()
         self.added, self.old, self.fresh, self.open = added, {}, {}, False
+        self.with_marks = not any(a.isalnum() for a in added)     # then letters and digits alone hold no added token
 
     def alone(self, run: str) -> bool:
         """Whether a run after a space is encoded alike wherever it stands."""
-        return (bool(run) and run[0].isprintable() and run[-1].isprintable() and not run[0].isspace() and not run[-1].isspace()
-                and not any(a in run for a in self.added))
+        return (self.with_marks and run.isalnum()) or (bool(run) and run[0].isprintable() and run[-1].isprintable() and not run[0].isspace() and not run[-1].isspace()
+                                                       and not any(a in run for a in self.added))
 
     def __missing__(self, run: str):
         found = self.old.get(run)
