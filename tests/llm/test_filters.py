@@ -68,3 +68,15 @@ def test_line_dedup_against_sql(docs_of, sql):
     assert "logged in" in kept[0].text and "logged in" not in kept[1].text       # the first text keeps its line
     assert kept[100].text is None and kept[101].text == "" and kept[0].words == "x"
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_lines_of_fields_are_only_equal_to_themselves(docs_of):
+    rows = []
+    for i in range(12):
+        own = [f"{i} {i + 30} {i * 7}", f"2024-01-{i + 10}", f"total sum {i} {i + 1} {i + 2}", f"https://a.org/x{i}", f"第{i}段の文章はほかのどの段落ともちがう内容である",
+               f"see also the note 第{i}段の文章はほかのどの段落ともちがう内容である", f"so says the {'ในวันนี้เราไปตลาด' * 2}{chr(0x0e01 + i)}", f"here is the blob {'ab9' * 30}{i}"]
+        rows.append((i, "\n".join([*own, f"user {i} logged in from host h{i}", "7 8 9"])))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs_of(rows)).select("row.doc_id", "row.text", "dropped").collect()}
+    assert got[0].text == rows[0][1]
+    for i in range(1, 12):      # the log line and the equal row go, all others differ
+        assert got[i].text == "\n".join(rows[i][1].split("\n")[:8]) and got[i].dropped == 2

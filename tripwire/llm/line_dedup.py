@@ -1,10 +1,13 @@
 """Line dedup with a log-template tree.
 
-A line's tokens are its words; words with digits are variable fields from the
-start.  The tree has a fixed depth: a leaf is a token count and the leading
+A line's tokens are its words; short words with digits are variable fields from
+the start, where the line's other words are enough and most of it.  Any other
+line with digits (a table row, a date, a paragraph without spaces) is only equal
+to itself.  The tree has a fixed depth: a leaf is a token count and the leading
 tokens.  Inside a leaf a token that enough texts hold at its place is constant,
-any other is a variable field; a line whose constant share is high enough has
-the template of its constants, another line is its own template.  A template
+any other is a variable field; a line whose share of constants without digits is
+high enough, and whose fields are short, has the template of its constants,
+another line is its own template.  A template
 that enough different texts hold is recurring, and its lines are dropped from
 all texts but the one of the smallest document id.  Exact copies are one text
 here, so copies of a document lose the same lines or none.
@@ -25,32 +28,48 @@ from tripwire.llm.sieve import passes, sieve
 
 DEPTH = 3               # leading tokens that choose the leaf
 MIN_TEXTS = 10          # different texts that make a template recurring, and a token constant
-MIN_CONSTANT = 0.7      # share of constant tokens that makes a template
+MIN_CONSTANT = 0.7      # share of constant tokens that makes a template; fields are not constant
+MIN_FIXED = 3           # constant tokens of a template at least
 FIELD = "<*>"
+#: A field has up to 64 characters; in scripts without spaces, where a word can be a paragraph, up to 8.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+SHORT = rf"(?:[^ {UNSPACED}]{{1,64}}|[^ ]{{1,8}})"
 
 
-def masked(line: Column) -> Column:
-    """The line's words, single-spaced, with words that hold a digit as variable fields."""
-    spaced = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
-    return F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+def spaced(line: Column) -> Column:
+    """The line's words, single-spaced."""
+    return F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+
+
+def masked(words: Column, min_constant: float) -> Column:
+    """A line's words with short words that hold a digit as variable fields; only where the others are ``MIN_FIXED`` and that share of it."""
+    every = F.split(words, " ")
+    fixed = F.size(F.filter(every, lambda w: ~w.rlike("[0-9]")))
+    fields = F.regexp_replace(words, rf"(?<![^ ])(?=[^ 0-9]*+[0-9]){SHORT}(?![^ ])", FIELD)
+    return F.when(words.rlike("[0-9]") & (fixed >= MIN_FIXED) & (fixed / F.size(every) >= min_constant), fields).otherwise(words)
 
 
 def line_key(words: Column) -> Column:
     return F.unhex(F.md5(words.cast("binary")))
 
 
-def template_lines(docs: DataFrame, depth: int) -> DataFrame:
+def masked_lines(text: Column, min_constant: float) -> Column:
+    # two transforms: the second uses the spaced line several times
+    return F.transform(F.transform(F.split(text, "\n", -1), spaced), lambda words: masked(words, min_constant))
+
+
+def template_lines(docs: DataFrame, depth: int, min_constant: float) -> DataFrame:
     """The lines with words: ``doc_id``, ``text_key``, ``words``, ``leaf``."""
     # the generator makes ``words`` a column of its own, so the expressions over it don't repeat the masking
     lines = docs.filter("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"),
-                                                   F.explode(F.transform(F.split("text", "\n", -1), masked)).alias("words")).filter("words <> ''")
+                                                   F.explode(masked_lines(F.col("text"), min_constant)).alias("words")).filter("words <> ''")
     tokens = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     return lines.select("*", F.xxhash64(tokens, F.substring_index("words", " ", depth)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """``text_key`` and ``drop``: the keys of the lines that the text loses; only for texts that lose any."""
-    lines = template_lines(docs, depth)
+    lines = template_lines(docs, depth, min_constant)
     busy = lines.groupBy("leaf").count().filter(F.col("count") >= min_texts)
     held = written(passes(lines, sieve(busy, ["leaf"]), ["leaf"], "busy").filter("busy").withColumn("line_key", line_key(F.col("words")))
                    .groupBy("leaf", "line_key", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), "template-lines")
@@ -61,9 +80,11 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
                 .filter(F.col("support") >= min_texts).select("leaf", "place", "token", F.lit(True).alias("constant")))
     shape = F.transform(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("part")))),
                         lambda x: x["part"])
+    fixed = F.count(F.when(F.col("constant") & ~F.col("token").rlike("[0-9]") & (F.col("token") != FIELD), True))
+    long_field = F.max(F.col("constant").isNull() & ~F.col("token").rlike(f"^{SHORT}$"))
     templates = (tokens.join(constant, ["leaf", "place", "token"], "left").groupBy("leaf", "line_key")
-                 .agg(shape.alias("shape"), (F.count("constant") / F.count(F.lit(1))).alias("share"))
-                 .select("line_key", F.when(F.col("share") >= min_constant, line_key(F.concat(F.lit("template "), F.array_join("shape", " "))))
+                 .agg(shape.alias("shape"), fixed.alias("fixed"), (fixed / F.count(F.lit(1))).alias("share"), long_field.alias("long_field"))
+                 .select("line_key", F.when((F.col("share") >= min_constant) & (F.col("fixed") >= MIN_FIXED) & ~F.col("long_field"), line_key(F.concat(F.lit("template "), F.array_join("shape", " "))))
                          .otherwise(F.col("line_key")).alias("template")))
 
     # lines and templates that many texts hold are dealt to several tasks
@@ -90,7 +111,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(row.alias("row"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"))
     text = F.col("row").getField(text_col)
     lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", line_key(masked(x)))))
+    both = F.arrays_zip(lines.alias("line"), masked_lines(text, min_constant).alias("words"))
+    stay = F.transform(F.filter(both, lambda x: ~F.array_contains("drop", line_key(x["words"]))), lambda x: x["line"])
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(stay)
     joined = rows.join(drops, "text_key", "left").select("row", F.col("drop").isNotNull().alias("touched"), F.size(lines).alias("before"), kept.alias("kept"))
     return joined.select(F.col("row").withField(text_col, F.when(F.col("touched"), F.array_join("kept", "\n")).otherwise(text)).alias("row"),
                          F.greatest("before", F.lit(0)).cast("long").alias("lines"),
