@@ -22,15 +22,22 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, language_id.fitted(docs))
 
 
+def with_n_chars(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in rows.columns else rows
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all texts but the first; ``n_chars`` follows, every document stays."""
-    rows = line_dedup.line_dedup(docs).select("row.*")
-    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in rows.columns else rows
+    return with_n_chars(line_dedup.line_dedup(docs).select("row.*"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
-    return near_dedup.without_near_duplicates(docs).select("row.*")
+    """One document of each class of near-duplicates stays; then equal long lines go from all of these but the first.
+
+    Before, the second step would take from near copies all but their edited lines, and leave these as documents.
+    """
+    apart = written(near_dedup.without_near_duplicates(docs).select("row.*"), "without-copies")
+    return with_n_chars(line_dedup.passage_dedup(apart).select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

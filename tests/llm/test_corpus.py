@@ -151,3 +151,15 @@ def test_pipeline_stages(spark):
             assert all(r.n_tokens == len(bpe.codec().encode(texts[r.doc_id])) // 4 for r in after.collect())
         before = after
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_drops_a_passage_shared_by_two_unlike_documents(spark, docs_of):
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(3)]
+    passage = "one passage of more than eight words that stands in two texts"
+    edited = prose[2].split()
+    edited[0] = "changed"
+    rows = [(1, f"{prose[0]}\n{passage}"), (2, f"{passage}\n{prose[1]}"), (3, f"{prose[2]}\nread more"), (4, f"{' '.join(edited)}\nread more")]
+    got = {r.doc_id: r for r in corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_lines(spark, docs_of(rows), SF), SF).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: prose[1], 3: rows[2][1]}
+    assert all(r.n_chars == len(r.text) for r in got.values())

@@ -80,3 +80,14 @@ def test_lines_of_fields_are_only_equal_to_themselves(docs_of):
     assert got[0].text == rows[0][1]
     for i in range(1, 12):      # the log line and the equal row go, all others differ
         assert got[i].text == "\n".join(rows[i][1].split("\n")[:8]) and got[i].dropped == 2
+
+
+def test_long_lines_go_from_the_second_text_on(docs_of):
+    passage, cjk = "one passage of more than eight words that stands in few texts", "第三段の文章は同じ内容である" * 5
+    rows = [(3, f"only three\n{passage}\nread more"), (1, f"{passage}\nonly one\n\nread more"), (2, f"only two\n  {passage} \n{cjk}\nread more"),
+            (4, f"{cjk}\n{passage} 4\nread more"), (5, None), (6, ""), (1, f"{passage}\nonly one\n\nread more"), (7, passage)]
+    got = {r.doc_id: r for r in line_dedup.passage_dedup(docs_of(rows, extra=["words", "drop"])).select("row.doc_id", "row.text", "lines", "dropped").collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[1][1], 2: f"only two\n{cjk}\nread more", 3: "only three\nread more", 4: f"{passage} 4\nread more",
+                                                   5: None, 6: "", 7: ""}
+    assert [got[i].dropped for i in range(1, 8)] == [0, 1, 1, 1, 0, 0, 1] and got[5].lines == 0
+    assert line_dedup.passage_dedup(docs_of([])).count() == 0

@@ -16,6 +16,9 @@ Texts are read twice: once to count the lines of each leaf, once for the lines
 of leaves that can hold a recurring template at all (screened by a bitmap of
 fixed size).  Between, only hashes and those lines are shuffled; the texts
 themselves go through one join at the end.
+
+``passage_dedup`` is for texts without near copies: there a long line goes from
+its second different text on, and only where it is equal.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ DEPTH = 3               # leading tokens that choose the leaf
 MIN_TEXTS = 10          # different texts that make a template recurring, and a token constant
 MIN_CONSTANT = 0.7      # share of constant tokens that makes a template; fields are not constant
 MIN_FIXED = 3           # constant tokens of a template at least
+LONG_WORDS, LONG_CHARS = 8, 60      # a line of so many words, or so many characters, is a passage
 FIELD = "<*>"
 #: A field has up to 64 characters; in scripts without spaces, where a word can be a paragraph, up to 8.
 UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
@@ -88,13 +92,26 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
                          .otherwise(F.col("line_key")).alias("template")))
 
     # lines and templates that many texts hold are dealt to several tasks
-    of = salted_join(held.select("line_key", "text_key", "doc_id"), templates, "line_key", ["text_key"])
+    return lost_lines(salted_join(held.select("line_key", "text_key", "doc_id"), templates, "line_key", ["text_key"]), min_texts)
+
+
+def lost_lines(of: DataFrame, min_texts: int) -> DataFrame:
+    """``text_key`` and ``drop`` from the lines' ``template``, ``line_key``, ``text_key`` and ``doc_id``: the text of the smallest id keeps a template."""
     recurring = (of.groupBy("template").agg(F.countDistinct("text_key").alias("texts"), F.min(F.struct("doc_id", "text_key")).alias("first"))
                  .filter(F.col("texts") >= min_texts).select("template", F.col("first.text_key").alias("keeper")))
     return (salted_join(of, recurring, "template", ["text_key"]).filter(F.col("text_key") != F.col("keeper"))
             .groupBy("text_key").agg(F.collect_set("line_key").alias("drop")))
 
 
+def passages(docs: DataFrame, long_words: int = LONG_WORDS, long_chars: int = LONG_CHARS, min_texts: int = 2) -> DataFrame:
+    """``text_key`` and ``drop``, as ``recurring_lines``, of equal long lines in at least ``min_texts`` different texts."""
+    lines = docs.filter("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"),
+                                                   F.explode(F.transform(F.split("text", "\n", -1), spaced)).alias("words"))
+    long = (F.size(F.split("words", " ")) >= long_words) | (F.length("words") >= long_chars)
+    held = written(lines.filter(long).groupBy(line_key(F.col("words")).alias("line_key"), "text_key").agg(F.min("doc_id").alias("doc_id")), "passages")
+    return lost_lines(held.withColumn("template", F.col("line_key")), min_texts)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS,
                min_constant: float = MIN_CONSTANT) -> DataFrame:
     """All rows and columns of ``docs``, the text without its recurring lines, as column ``row``, with ``lines`` and ``dropped`` counts.
@@ -106,12 +123,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drops = recurring_lines(slim, depth, min_texts, min_constant)
+    return without_lines(docs, recurring_lines(slim, depth, min_texts, min_constant), masked_lines(F.col("row").getField(text_col), min_constant), text_col)
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, long_chars: int = LONG_CHARS) -> DataFrame:
+    """As ``line_dedup``, the text without the long lines that stand in a text of a smaller id too."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    words = F.transform(F.split(F.col("row").getField(text_col), "\n", -1), spaced)
+    return without_lines(docs, passages(slim, long_words, long_chars), words, text_col)
+
+
+def without_lines(docs: DataFrame, drops: DataFrame, words: Column, text_col: str) -> DataFrame:
+    """The rows of ``line_dedup`` without the lines in ``drops``; ``words`` has what each line's key is taken of."""
     row = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select(row.alias("row"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"))
     text = F.col("row").getField(text_col)
     lines = F.split(text, "\n", -1)
-    both = F.arrays_zip(lines.alias("line"), masked_lines(text, min_constant).alias("words"))
+    both = F.arrays_zip(lines.alias("line"), words.alias("words"))
     stay = F.transform(F.filter(both, lambda x: ~F.array_contains("drop", line_key(x["words"]))), lambda x: x["line"])
     kept = F.when(F.col("drop").isNull(), lines).otherwise(stay)
     joined = rows.join(drops, "text_key", "left").select("row", F.col("drop").isNotNull().alias("touched"), F.size(lines).alias("before"), kept.alias("kept"))
