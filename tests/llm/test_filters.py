@@ -91,3 +91,23 @@ def test_long_lines_go_from_the_second_text_on(docs_of):
                                                    5: None, 6: "", 7: ""}
     assert [got[i].dropped for i in range(1, 8)] == [0, 1, 1, 1, 0, 0, 1] and got[5].lines == 0
     assert line_dedup.passage_dedup(docs_of([])).count() == 0
+
+
+def test_url_list_from_a_table_and_one_broadcast_at_a_time(spark, sql, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 50}.net/{i}", "mine") for i in range(300)] + [(300, None, "x"), (7, "http://h7.net/7", "x")], PAGES)
+    keys = spark.createDataFrame([(f"h{i % 50}.net", f"/{i}") for i in range(0, 300, 7)] + [("h0.net", "/0"), ("h1.net", "/none"), (None, "/1")], "host string, path string")
+    alive, most = set(), []
+    make = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        held = make(self, value)
+        alive.add(held)
+        most.append(len(alive))
+        destroy = held.destroy
+        held.destroy = lambda *a: (alive.discard(held), destroy(*a))
+        return held
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = url_filter.url_filter(pages, listed=keys, rules=(), keys_per_shard=20, broadcast_bytes=2000).collect()
+    assert len(most) > 1 and max(most) == 1 and not alive
+    assert sorted((r.page_id, r.verdict) for r in got) == sorted([(i, "allow" if i % 7 else "block") for i in range(300)] + [(300, "allow"), (7, "block")])
+    assert sorted(url_filter.url_filter(pages, listed=keys, rules=()).collect()) == sorted(got)

@@ -10,7 +10,8 @@ universe.  The first level that doesn't hold a key decides.
 Keys are dealt to shards of a bounded number of keys, each with a cascade of
 its own, built in one task.  Filters are broadcast; when all together exceed
 ``broadcast_bytes`` the table is judged in several passes, each with the
-filters of some of the shards, so what is broadcast at once stays bounded.
+filters of some of the shards.  A pass is written, and its filters given up on
+the driver and the executors, before the next collects its own.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ LATER_RATE = 0.5        # false positive rate of the levels after the first
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Hosts with one of these labels are listed.
+#: Hosts with one of these labels are listed, unless the caller gives another list; taken from the supplied pages.
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 JUDGED = T.StructType([T.StructField(c, t) for c, t in (("page_id", T.LongType()), ("host", T.StringType()), ("path", T.StringType()),
@@ -108,13 +109,13 @@ def listed_host(labels: Sequence[str]) -> Column:
     return F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))
 
 
-def url_filter(pages: DataFrame, listed: Column | None = None, rules: Sequence[tuple[str, str, str]] = RULES,
+def url_filter(pages: DataFrame, listed: Column | DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES,
                id_col: str = "page_id", url_col: str = "url", keys_per_shard: int = KEYS_PER_SHARD,
                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict`` (allow or block), ``listed``.
 
-    ``listed`` is a condition on ``host`` and ``path`` that says which keys of
-    the universe are on the list.  The longest fitting rule's verdict holds;
+    ``listed`` says which keys of the universe are on the list: a table of
+    ``host`` and ``path``, or a condition on both.  The longest fitting rule's verdict holds;
     elsewhere listed keys are blocked.  Equal urls get equal verdicts, each
     repeated row its own; null urls have the empty key; an empty table gives
     no rows; other columns are not read.
@@ -123,7 +124,11 @@ def url_filter(pages: DataFrame, listed: Column | None = None, rules: Sequence[t
     listed = listed_host(LISTED_LABELS) if listed is None else listed
     rows = parsed(pages, id_col, url_col)
     key = F.concat("host", "path")
-    universe = written(rows.select("host", "path").distinct().select(key.alias("key"), F.coalesce(listed, F.lit(False)).alias("listed")), "url-keys")
+    distinct = rows.select("host", "path").distinct()
+    if isinstance(listed, DataFrame):
+        on_list = listed.select("host", "path").distinct().withColumn("_listed", F.lit(True))
+        distinct, listed = distinct.join(on_list, ["host", "path"], "left"), F.col("_listed")
+    universe = written(distinct.select(key.alias("key"), F.coalesce(listed, F.lit(False)).alias("listed")), "url-keys")
     shards = max(1, math.ceil(universe.count() / keys_per_shard))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
 
@@ -154,7 +159,11 @@ def url_filter(pages: DataFrame, listed: Column | None = None, rules: Sequence[t
                 verdicts = [v or ("block" if x else "allow") for v, x in zip(batch.column(4).to_pylist(), on_list)]
                 yield arrow_batch(JUDGED, [*batch.columns[:4], verdicts, on_list.tolist()])
 
-        judged.append((keyed.filter(mine) if passes > 1 else keyed).mapInArrow(judge, JUDGED))
+        result = (keyed.filter(mine) if passes > 1 else keyed).mapInArrow(judge, JUDGED)
+        if passes == 1:
+            return result
+        judged.append(written(result, "url-verdicts"))
+        held.destroy()
     result = judged[0]
     for more in judged[1:]:
         result = result.unionByName(more)
