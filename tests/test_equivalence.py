@@ -12,7 +12,7 @@ from tripwire import constants as K
 from tripwire.functions import stats
 from tripwire.regex import to_java
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _py_chi2(text):

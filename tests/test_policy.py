@@ -12,7 +12,7 @@ from tripwire.operators.precheck import precheck
 from tripwire.plans.strategy import running_sum
 from tripwire.sources import tables
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_policy_cases(spark):

@@ -10,7 +10,7 @@ from tripwire.functions import codecs
 from tripwire.operators.scan import findings_table, scan_messages
 from tripwire.sources import tables
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _scan(spark, texts, uit=None):

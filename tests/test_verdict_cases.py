@@ -23,7 +23,7 @@ from tripwire.operators.scan import python_detector, scan_messages
 from tripwire.plans.strategy import asof_changes
 from tripwire.sources import tables
 
-from conftest import SF0001
+from paths import SF0001
 
 T0 = dt.datetime(2024, 1, 1)
 
