@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripwire.llm import ann, bpe, exact_dedup, language_id, lexical_search, line_dedup, mixing, near_dedup, quality, token_orc, url_filter
+from tripwire.llm import ann, bpe, collocations, exact_dedup, language_id, lexical_search, line_dedup, mixing, near_dedup, quality, resharding, token_orc, url_filter
 
 LLM_QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,8 @@ LLM_QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_ann": ann.op9_ann,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_resharding": resharding.op11_resharding,
+    "op12_collocations": collocations.op12_collocations,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
@@ -23,5 +25,6 @@ LLM_ORACLES = {
     "op3_line_dedup": line_dedup.oracle(),
     "op4_url_filter": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_lexical_search": lexical_search.ORACLE,
 }
