@@ -150,7 +150,7 @@ def placed_before(slim: DataFrame, rows: int) -> DataFrame:
     """
     digits = max(0, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
     leading = F.floor(F.log2("_size") * 8).cast("int")
-    cut = slim.withColumn("_class", -leading).withColumn("_bucket", F.shiftrightunsigned(F.col("_tie") + F.lit(-(1 << 63)), 64 - 4 * digits) if digits else F.lit(0).cast("long"))
+    cut = slim.withColumn("_class", -leading).withColumn("_bucket", F.shiftright("_tie", 64 - 4 * digits) if digits else F.lit(0).cast("long"))     # keeps the order
     sums = cut.groupBy("_old", "_class", "_size", "_bucket").agg(F.sum("_size").alias("bytes"))
     classes = sums.groupBy("_old", "_class").agg(F.sum("bytes").alias("bytes"))
     over = Window.partitionBy("_old").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
