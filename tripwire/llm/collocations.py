@@ -42,8 +42,9 @@ LENGTH = 5              # words of a phrase at most
 LEAST = 100             # occurrences of a candidate at least
 SHARE = 100             # percent of a phrase's occurrences that lie in a longer one, at which it is dropped
 TOP = 2000              # phrases of a language in the report
-BLOCK_TOKENS = 1 << 22  # tokens of a block, about; a longer text is a block
-FLUSH_PAIRS = 1 << 22   # pairs that a task holds before it counts them
+BLOCK_TOKENS = 1 << 21  # tokens of a block, about; a longer text is a block
+RUN_TOKENS = 1 << 18    # tokens of a row of coded words, about; a longer piece is a row
+FLUSH_PAIRS = 1 << 20   # pairs that a task holds before it counts them
 SIDE = 1 << 11          # ids on a side of a dense tile
 DENSE_IDS = 1 << 14     # ids that have dense tiles
 TILE_PAIRS = 1 << 22    # pairs of a sparse tile, about
@@ -130,12 +131,22 @@ def coded(blocks: DataFrame, words: DataFrame) -> DataFrame:
                 ranks = np.zeros(int(local.max(initial=0)) + 1, np.int64)
                 pairs = known.values
                 ranks[pairs.field(0).to_numpy() + 1] = pairs.field(1).to_numpy()
-                code = ranks[local].astype(np.int64)
-                raw = packed(code)
-                yield arrow_batch(CODED, [[raw], [raw]])
+                for run in runs(ranks[local]):
+                    raw = packed(run)
+                    yield arrow_batch(CODED, [[raw], [raw]])
     return kept(blocks.select("block", "ids").join(found, "block").select("ids", "known").mapInArrow(run, CODED), "coded")
 
 
+def runs(code: np.ndarray, size: int = RUN_TOKENS) -> Iterator[np.ndarray]:
+    """``code`` cut into runs of ``size`` ids or more, at zeros, which no phrase crosses."""
+    zeros, start = np.flatnonzero(code == 0), 0
+    while start < len(code):
+        at = np.searchsorted(zeros, start + size)
+        stop = int(zeros[at]) + 1 if at < len(zeros) else len(code)
+        yield code[start:stop]
+        start = stop
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids as little-endian integers of 4 bytes, or 8 where one needs it, which the first byte says."""
     wide = ids.max(initial=0) >= 1 << 32
