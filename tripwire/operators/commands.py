@@ -4,8 +4,10 @@ The reference keeps process-lifetime state changed by chat commands.  Here the
 commands are a table; the state at any time is what its changes have left:
 
 * ``parse_commands``: typed events (prefix optional, case-insensitive).
-* ``policy_changes``, ``reset_changes``, ``allowlist_changes``, ``allowlist_deltas``:
-  the changes of each piece of state, for ``plans.strategy.asof_changes``.
+* ``policy_changes``, ``reset_changes``, ``allowlist_changes``: the changes of each
+  piece of state; ``state_changes``: all of them, written once.
+* ``with_state``: rows under all that is in force at their time; ``payment_replay``
+  and ``policy_snapshot`` on top of it.
 * ``policy_checks``: answers to the ``check-policy`` commands.
 * ``allowlist_state`` / ``allowlist_show``: the final list, and as it is shown.
 * ``gate_outcomes``: one-slot confirmation gate per session.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tripwire.operators.policy import COMMAND_PREFIX, violations
 from tripwire.params import PolicyParams
-from tripwire.plans.strategy import asof_changes, materialized, neighbors, pushdown_barrier
+from tripwire.plans.strategy import asof_changes, asof_joint, materialized, neighbors, pushdown_barrier, running_sum
 from tripwire.regex import WS
 
 ADDRESS_FULL = r"(?i)^0x[0-9a-f]{40}\z"
@@ -122,34 +124,65 @@ def allowlist_changes(parsed: DataFrame) -> DataFrame:
         .select("ts", "seq", "address", (F.col("kind") == "allowlist_add").alias("present"))
 
 
-def allowlist_deltas(parsed: DataFrame) -> DataFrame:
-    """(ts, seq, list_size): by how much each command changes the number of listed
-    addresses (add is idempotent, remove of an absent address is a no-op)."""
-    ev = neighbors(allowlist_changes(parsed), ["address"], "ts", ["ts", "seq"], ["present"])
-    prev = F.coalesce(F.col("_prev")["present"], F.lit(False))
-    delta = F.when(F.col("present") & ~prev, 1).when(~F.col("present") & prev, -1).otherwise(0)
-    return ev.select("ts", "seq", delta.cast("bigint").alias("list_size"))
+STATE_KINDS = ("set_daily", "set_limit", "reset_daily", "allowlist_add", "allowlist_remove")
+
+
+def state_changes(parsed: DataFrame) -> DataFrame:
+    """Every valid change of the operator's state, written once: ``ts, seq, single_limit, daily_limit, segment, address, present, list_size``.
+
+    One row a command: a limit that it sets, a counter segment that it opens, an
+    address that it lists or takes off, and by how much it changes the number
+    of listed addresses.
+    """
+    ch = parsed.where(F.col("kind").isin(*STATE_KINDS) & F.col("valid"))
+    kind = F.col("kind")
+    none = F.lit(None)
+    keyless = ch.where(~kind.startswith("allowlist")).select(
+        "ts", "seq", F.when(kind == "set_limit", F.col("value")).alias("single_limit"), F.when(kind == "set_daily", F.col("value")).alias("daily_limit"),
+        F.when(kind == "reset_daily", F.lit(1).cast("bigint")).alias("segment"), none.cast("string").alias("address"), none.cast("boolean").alias("present"),
+        none.cast("bigint").alias("list_size"))
+    listed = neighbors(allowlist_changes(parsed), ["address"], "ts", ["ts", "seq"], ["present"], write=False)
+    was = F.coalesce(F.col("_prev")["present"], F.lit(False))
+    delta = F.when(F.col("present") & ~was, 1).when(~F.col("present") & was, -1).otherwise(0).cast("bigint")
+    return materialized(keyless.unionByName(listed.select("ts", "seq", "address", "present", delta.alias("list_size")), True), "state-changes")
+
+
+def with_state(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts", params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Rows with everything that is in force at their time: limits, counter ``segment``, ``list_size``, and whether their ``address`` is ``listed``."""
+    return with_changes(rows, state_changes(parsed), address, ts, params)
+
+
+def with_changes(rows: DataFrame, changes: DataFrame, address: str, ts: str = "ts", params: PolicyParams = PolicyParams()) -> DataFrame:
+    d = asof_joint(rows.withColumn("_address", F.lower(address)), changes, ts, "seq", last=["single_limit", "daily_limit"], sums=["segment", "list_size"],
+                   key=("_address", "address"), keyed=["present"])
+    return d.withColumns({"single_limit": F.coalesce("single_limit", F.lit(params.single_limit)),
+                          "daily_limit": F.coalesce("daily_limit", F.lit(params.daily_limit)),
+                          "listed": F.coalesce("present", F.lit(False))}).drop("_address", "present")
 
 
 def with_allowlist(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts") -> DataFrame:
     """Rows with ``list_size`` and whether their ``address`` is ``listed`` at their time."""
-    d = asof_changes(rows, allowlist_deltas(parsed), ts, "seq", sums=["list_size"])
-    return _listed(materialized(d, "list-size"), parsed, address, ts)
+    return with_state(rows, parsed, address, ts).drop("single_limit", "daily_limit", "segment")
 
 
-def _listed(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts") -> DataFrame:
-    d = asof_changes(rows.withColumn("_address", F.lower(address)), allowlist_changes(parsed), ts, "seq",
-                     keys=[("_address", "address")], last=["present"])
-    return d.select("*", F.coalesce("present", F.lit(False)).alias("listed")).drop("_address", "present")
+def payment_replay(tx: DataFrame, parsed: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Payments judged under all that is in force at their time: ``spend_before`` since the day's last reset, and ``violations``."""
+    d = with_state(tx.withColumn("day", F.to_date("ts")), parsed, "to_addr", "ts", params)
+    d = running_sum(d, ["account", "day", "segment"], "ts", "tx_id", "amount_usd", "spend_before")
+    return d.withColumn("violations", violations(F.col("amount_usd"), F.col("spend_before"), F.col("to_addr"), F.col("single_limit"), F.col("daily_limit"),
+                                                 F.col("list_size") > 0, F.col("listed")))
 
 
-def with_state(rows: DataFrame, parsed: DataFrame, address: str, ts: str = "ts", params: PolicyParams = PolicyParams()) -> DataFrame:
-    """Rows with limits, ``list_size`` and ``listed`` at their time."""
-    changes = policy_changes(parsed).unionByName(allowlist_deltas(parsed), True)
-    d = asof_changes(rows, changes, ts, "seq", last=["single_limit", "daily_limit"], sums=["list_size"])
-    d = d.withColumns({"single_limit": F.coalesce("single_limit", F.lit(params.single_limit)),
-                       "daily_limit": F.coalesce("daily_limit", F.lit(params.daily_limit))})
-    return _listed(materialized(d, "state"), parsed, address, ts)
+def policy_snapshot(tx: DataFrame, parsed: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Per account: the limits and the list's size at the end, and what its last active day has spent since the last reset."""
+    limits = policy_state(parsed, params)
+    listed = allowlist_state(parsed).select(F.count("*")).scalar()
+    reset = reset_changes(parsed).select(F.max("ts")).scalar()
+    counted = F.when(reset.isNull() | (F.col("ts") >= reset), F.col("amount_usd")).otherwise(F.lit(0)).cast("decimal(18,2)")
+    days = tx.groupBy("account", F.to_date("ts").alias("day")).agg(F.sum(counted).alias("spend"))
+    spend = days.groupBy("account").agg(F.max("day").alias("last_day"), F.max_by("spend", "day").alias("spend_last_day"))
+    return spend.select("account", "last_day", "spend_last_day", limits.select("single_limit").scalar().alias("single_limit"),
+                        limits.select("daily_limit").scalar().alias("daily_limit"), listed.cast("bigint").alias("allowlist_size"))
 
 
 def allowlist_state(parsed: DataFrame) -> DataFrame:
@@ -190,11 +223,8 @@ def policy_checks(parsed: DataFrame, tx: DataFrame, params: PolicyParams = Polic
     asked = parsed.where((F.col("kind") == "check_policy") & F.col("valid")).select(
         "session_id", "seq", "ts", F.col("value").alias("amount"), F.coalesce("address", F.lit("")).alias("to_address"))
     resets = reset_changes(parsed)
-    changes = policy_changes(parsed).unionByName(allowlist_deltas(parsed), True).unionByName(resets, True)
-    d = asof_changes(asked, changes, "ts", "seq", last=["single_limit", "daily_limit"], sums=["list_size", "segment"])
-    d = materialized(d.withColumns({"single_limit": F.coalesce("single_limit", F.lit(params.single_limit)),
-                                    "daily_limit": F.coalesce("daily_limit", F.lit(params.daily_limit)), "day": F.to_date("ts")}), "checks")
-    d = materialized(_listed(d, parsed, "to_address"), "checks")
+    d = with_state(asked, parsed, "to_address", "ts", params).withColumn("day", F.to_date("ts"))
+    d = materialized(d, "checks")
     spent = asof_changes(tx.select("tx_id", "ts", "amount_usd"), resets, "ts", "seq", sums=["segment"]).select(
         "ts", F.col("tx_id"), F.to_date("ts").alias("_tx_day"), F.col("segment").alias("_tx_segment"), F.col("amount_usd").alias("spend_so_far"))
     d = asof_changes(d, spent, "ts", "tx_id", keys=[("day", "_tx_day"), ("segment", "_tx_segment")], sums=["spend_so_far"])

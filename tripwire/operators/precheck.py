@@ -46,8 +46,11 @@ def python_int16_digits(raw: Column) -> Column:
 
 
 def precheck(tx: DataFrame, params: PolicyParams = PolicyParams(), daily_total: Column | None = None,
-             allowlist_active: Column | None = None, in_allowlist: Column | None = None) -> DataFrame:
-    """Staged so each derived value (validation error, USD value, call-data digits,
+             allowlist_active: Column | None = None, in_allowlist: Column | None = None,
+             single_limit: Column | None = None, daily_limit: Column | None = None) -> DataFrame:
+    """The limits are those of ``params``, or columns of the payments.
+
+    Staged so each derived value (validation error, USD value, call-data digits,
     violations) is computed once and later steps read it as a column."""
     to, frm, val, data = F.col("to_addr"), F.col("from_addr"), F.col("value_wei"), F.col("data")
     missing = _missing(tx)
@@ -70,7 +73,9 @@ def precheck(tx: DataFrame, params: PolicyParams = PolicyParams(), daily_total:
     ia = next(xs) if in_allowlist is not None else None
     ok = F.col("error").isNull()
     digits = F.col("_digits")
-    pv = violations(F.col("_usd"), dt, to, F.lit(params.single_limit), F.lit(params.daily_limit), aa, ia)
+    single = F.lit(params.single_limit) if single_limit is None else single_limit
+    daily = F.lit(params.daily_limit) if daily_limit is None else daily_limit
+    pv = violations(F.col("_usd"), dt, to, single, daily, aa, ia)
     transfer = F.when(digits.isNotNull(), F.struct(
         F.lit("ERC-20 transfer").alias("type"),
         F.concat(F.lit("0x"), F.substring(F.substring(data, 11, 64), -40, 40)).alias("to"),

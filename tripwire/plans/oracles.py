@@ -585,12 +585,13 @@ SELECT msg_id, encoding, plaintext FROM pick WHERE encoding IS NOT NULL"""
 ORACLES["policy_snapshot"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
 ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
 al AS (SELECT address FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev GROUP BY address) WHERE p),
-lastd AS (SELECT account, max(day) AS last_day FROM transactions GROUP BY account)
-SELECT t.account, l.last_day, sum(t.amount_usd) AS spend_last_day,
+lastd AS (SELECT account, max(day) AS last_day FROM transactions GROUP BY account),
+since AS (SELECT coalesce(max(ts), TIMESTAMP '0001-01-01') AS reset FROM parsed WHERE kind = 'reset_daily')
+SELECT t.account, l.last_day, sum(CASE WHEN t.ts >= reset THEN t.amount_usd ELSE 0 END) AS spend_last_day,
  coalesce((SELECT arg_max(value, (ts, seq)) FROM parsed WHERE kind = 'set_limit' AND valid), 500.0) AS single_limit,
  coalesce((SELECT arg_max(value, (ts, seq)) FROM parsed WHERE kind = 'set_daily' AND valid), 2000.0) AS daily_limit,
  (SELECT count(*) FROM al) AS allowlist_size
-FROM transactions t JOIN lastd l ON t.account = l.account AND t.day = l.last_day GROUP BY t.account, l.last_day"""
+FROM transactions t JOIN lastd l ON t.account = l.account AND t.day = l.last_day, since GROUP BY t.account, l.last_day"""
 
 ORACLES["report_markdown"] = f"""WITH {MESSAGES}, {SCAN},
 fl AS (SELECT msg_id, string_agg('| ' || severity || ' | `' || code || '` | ' || left(replace(detail, '|', '\\|'), 120) || ' |', chr(10) ORDER BY ord) AS rows
@@ -663,13 +664,52 @@ lim AS (SELECT t.tx_id, t.amount_usd, t.to_addr,
 SELECT tx_id, single_limit, daily_limit, amount_usd::DOUBLE > single_limit AS over_single,
  list_size > 0 AND NOT listed AND coalesce(to_addr, '') <> '' AS off_list FROM lim"""
 
-ORACLES["gate_decision"] = f"""WITH {MESSAGES}, {SCAN}, {TRANSACTIONS}, {RUNNING}, {PRE.replace('FROM transactions', 'FROM run')},
+# everything that is in force at a payment's time: limits, counter segment, allowlist
+REPLAY = """ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
+sets AS (SELECT ts, seq, kind, value FROM parsed WHERE kind IN ('set_daily','set_limit') AND valid),
+rs AS (SELECT ts, row_number() OVER (ORDER BY ts, seq) AS segment FROM parsed WHERE kind = 'reset_daily'),
+at_time AS (SELECT t.*,
+  coalesce((SELECT arg_max(value, (ts, seq)) FROM sets WHERE kind = 'set_limit' AND sets.ts <= t.ts), 500.0) AS single_limit,
+  coalesce((SELECT arg_max(value, (ts, seq)) FROM sets WHERE kind = 'set_daily' AND sets.ts <= t.ts), 2000.0) AS daily_limit,
+  (SELECT count(*) FROM (SELECT address, arg_max(present, (ts, seq)) AS p FROM ev WHERE ev.ts <= t.ts GROUP BY address) WHERE p) AS list_size,
+  coalesce((SELECT arg_max(present, (ts, seq)) FROM ev WHERE ev.address = lower(t.to_addr) AND ev.ts <= t.ts), false) AS listed,
+  coalesce((SELECT max(segment) FROM rs WHERE rs.ts <= t.ts), 0) AS segment FROM transactions t),
+replay AS (SELECT *, coalesce(sum(amount_usd) OVER (PARTITION BY account, day, segment ORDER BY ts, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before,
+  list_size > 0 AND coalesce(to_addr, '') <> '' AND NOT listed AS off_list FROM at_time)"""
+OFF_LIST = """'Recipient ' || CASE WHEN length(to_addr) > 10 THEN left(to_addr, 10) || '…' ELSE to_addr END
+  || ' is not in the approved allowlist. Add with: /guard allowlist add ' || to_addr"""
+
+
+def in_force(sql: str) -> str:
+    """``sql`` with the limits of columns in place of the default ones."""
+    for constant, column in (("500.0", "single_limit"), ("2000.0", "daily_limit")):
+        sql = sql.replace(money(constant), money(column)).replace(f"> {constant}", f"> {column}")
+    return sql
+
+
+_r5, _d5 = (in_force(x) for x in violations_sql("amount_usd", "spend_before"))
+ORACLES["payment_replay"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS}, {REPLAY}
+SELECT tx_id, single_limit, daily_limit, CAST(list_size AS BIGINT) AS list_size, listed, CAST(segment AS BIGINT) AS segment, spend_before,
+ concat_ws(',', NULLIF({_r5}, ''), CASE WHEN off_list THEN 'ALLOWLIST_VIOLATION' END) AS rules,
+ concat_ws(' ', NULLIF({_d5}, ''), CASE WHEN off_list THEN {OFF_LIST} END) AS details FROM replay"""
+
+REPLAY_FLAGS = f"""concat_ws(' | ',
+   CASE WHEN usd > single_limit THEN 'POLICY:SINGLE_TX_LIMIT — ' || {money('usd')} || ' exceeds the single-transaction limit of ' || {money('single_limit')} || '.' END,
+   CASE WHEN usd > daily_limit THEN 'POLICY:DAILY_LIMIT — This transaction would bring the daily total to ' || {money('0.0 + usd')} || ', exceeding the daily limit of ' || {money('daily_limit')} || '.' END,
+   CASE WHEN off_list THEN 'POLICY:ALLOWLIST_VIOLATION — ' || {OFF_LIST} END,
+   CASE WHEN lower(to_addr) IN ('0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead')
+     THEN 'SUSPICIOUS_RECIPIENT:burn/null address — funds will be unrecoverable' END)"""
+_REPLAY_PRE = PRE.replace("FROM transactions", "FROM replay")
+ORACLES["tx_precheck_replay"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS}, {REPLAY}, {_REPLAY_PRE}
+SELECT tx_id, success, CASE WHEN success THEN {REPLAY_FLAGS} END AS policy_flags, CASE WHEN success THEN {WARNINGS} END AS warnings FROM pre"""
+
+ORACLES["gate_decision"] = f"""WITH {MESSAGES}, {SCAN}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS}, {REPLAY}, {_REPLAY_PRE},
 mv AS (SELECT m.session_id, m.ts, m.seq, v.msg_id, v.requires_confirmation FROM verdicts v JOIN messages m USING (msg_id)),
 j AS (SELECT p.*, mv.msg_id, mv.requires_confirmation FROM pre p ASOF LEFT JOIN mv ON p.account = mv.session_id AND p.ts >= mv.ts)
 SELECT tx_id, msg_id,
  CASE WHEN coalesce(requires_confirmation, false) THEN 'BLOCK_CONFIRM'
-  WHEN amount_usd::DOUBLE > 500.0 OR (spend_before::DOUBLE + amount_usd::DOUBLE) > 2000.0 THEN 'BLOCK_POLICY'
-  WHEN success AND (usd > 500.0 OR usd > 2000.0 OR lower(to_addr) IN ('0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead'))
+  WHEN amount_usd::DOUBLE > single_limit OR (spend_before::DOUBLE + amount_usd::DOUBLE) > daily_limit OR off_list THEN 'BLOCK_POLICY'
+  WHEN success AND (usd > single_limit OR usd > daily_limit OR lower(to_addr) IN ('0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead'))
    THEN 'BLOCK_DRYRUN'
   ELSE 'ALLOW' END AS decision
 FROM j"""

@@ -468,14 +468,28 @@ def allowlist_violation(spark, sf):
 
 @query
 def policy_snapshot(spark, sf):
-    """Per account: limits in force at the end, spend on its last active day, allowlist size."""
-    parsed = _parsed(spark, sf)
-    limits = C.policy_state(parsed)
-    n_allow = C.allowlist_state(parsed).select(F.count("*")).scalar()
-    days = with_day(_tx(spark, sf)).groupBy("account", "day").agg(F.sum("amount_usd").alias("spend"))
-    spend = days.groupBy("account").agg(F.max("day").alias("last_day"), F.max_by("spend", "day").alias("spend_last_day"))
-    return spend.select("account", "last_day", "spend_last_day", limits.select("single_limit").scalar().alias("single_limit"),
-                        limits.select("daily_limit").scalar().alias("daily_limit"), n_allow.cast("bigint").alias("allowlist_size"))
+    """Per account: limits in force at the end, spend of its last active day since the last reset, allowlist size."""
+    return C.policy_snapshot(_tx(spark, sf), _parsed(spark, sf))
+
+
+def _rules_and_details(d: DataFrame, *columns: str) -> DataFrame:
+    return d.select(*columns, F.array_join(F.transform("violations", lambda x: x["rule"]), ",").alias("rules"),
+                    F.array_join(F.transform("violations", lambda x: x["detail"]), " ").alias("details"))
+
+
+@query
+def payment_replay(spark, sf):
+    """Every payment under the limits, the allowlist and the counter resets in force at its time, together."""
+    d = C.payment_replay(_tx(spark, sf), _parsed(spark, sf))
+    return _rules_and_details(d, "tx_id", "single_limit", "daily_limit", "list_size", "listed", "segment", "spend_before")
+
+
+@query
+def tx_precheck_replay(spark, sf):
+    """The dry run of every payment under the limits and the allowlist in force at its time (its daily total is 0)."""
+    d = C.with_state(_tx(spark, sf), _parsed(spark, sf), "to_addr")
+    p = precheck(d, single_limit=F.col("single_limit"), daily_limit=F.col("daily_limit"), allowlist_active=F.col("list_size") > 0, in_allowlist=F.col("listed"))
+    return p.select("tx_id", "success", F.array_join("policy_flags", " | ").alias("policy_flags"), F.array_join("warnings", " | ").alias("warnings"))
 
 
 @query
@@ -532,9 +546,9 @@ def stream_policy(spark, sf):
 
 @query
 def gate_decision(spark, sf):
-    """Scan -> policy -> precheck -> allow, one decision per payment request."""
+    """Scan -> policy -> precheck -> allow, one decision per payment request, under all that is in force at its time."""
     from tripwire.operators.decision import gate_decision as run
-    return run(_tx(spark, sf), _verdicts(spark, sf))
+    return run(_tx(spark, sf), _verdicts(spark, sf), _parsed(spark, sf))
 
 
 @query

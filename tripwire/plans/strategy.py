@@ -6,6 +6,7 @@
   within-chunk window.  The result equals the plain window.
 * ``asof_changes``: attach to each row the state that a log of changes has left
   at its time (latest values, running sums), linear in rows and changes.
+* ``asof_joint``: the same for state of no key and of the row's key at once, in one pass.
 * ``neighbors``: the next and the previous row of a key, by chunks.
 """
 
@@ -119,6 +120,90 @@ def asof_changes(rows: DataFrame, changes: DataFrame, ts: str, order: str, keys:
     return out.where("_side = 2").select("_row.*", *values)
 
 
+def _opening(slots: DataFrame, keys: Sequence[str], last: Sequence[str], sums: Sequence[str], chunk_seconds: int) -> DataFrame:
+    """``keys``, ``_chunk`` and the state before each chunk, from slots (one row a key and chunk) with the chunk's own changes.
+
+    A prefix in two levels: the days of a key, then the chunks of a day.
+    """
+    values = [*last, *sums]
+    types = dict(slots.dtypes)
+    slots = slots.withColumn("_day", F.floor(F.col("_chunk") * chunk_seconds / DAY_SECONDS))
+    days = slots.groupBy(*keys, "_day").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_chunk"))).alias(c) for c in last], *[F.sum(c).cast(types[c]).alias(c) for c in sums])
+
+    def before(w):
+        return [*[F.last(c, ignorenulls=True).over(w).alias(c) for c in last], *[F.sum(c).over(w).cast(types[c]).alias(c) for c in sums]]
+
+    by_day = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    in_day = Window.partitionBy(*keys, "_day").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    named = days.select(*keys, "_day", *before(by_day)).select(*[F.col(n).alias(f"_d{n}") for n in [*keys, "_day"]], *[F.col(c).alias(f"_d_{c}") for c in values])
+    chunks = slots.select(*keys, "_day", "_chunk", *before(in_day))
+    return chunks.join(named, [F.col(n).eqNullSafe(F.col(f"_d{n}")) for n in [*keys, "_day"]]).select(
+        *keys, "_chunk", *[F.coalesce(c, f"_d_{c}").alias(c) for c in last],
+        *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_d_{c}", F.lit(0))).cast(types[c]).alias(c) for c in sums])
+
+
+def asof_joint(rows: DataFrame, changes: DataFrame, ts: str, order: str, last: Sequence[str], sums: Sequence[str],
+               key: tuple[str, str], keyed: Sequence[str], chunk_seconds: int = 600, key_salts: int = 8, row_salts: int = 4) -> DataFrame:
+    """Add to each row the state left by all ``changes`` at or before its time: of no key and of the row's own key, in one pass.
+
+    ``last`` and ``sums`` are as in ``asof_changes``, over all changes; ``keyed``
+    are the latest non-null values among the changes whose ``key[1]`` equals
+    the row's ``key[0]``.  ``changes`` is read several times, so it should be a
+    written table; ``rows`` are read for their keys and for themselves.
+
+    Rows and changes of a time chunk are dealt to ``key_salts`` x ``row_salts``
+    tasks, by the key and by the row: a change of no key goes to all of them, a
+    keyed one to those of its key.  So one shuffle serves both states: a window
+    over a task's chunk, and one over each key in it.  A key or a chunk that
+    holds most rows is dealt out all the same.
+    """
+    values = [*last, *sums]
+    ch = changes.select(F.col(key[1]).alias("_key"), F.col(ts).alias("_ts"), F.col(order).alias("_order"), *values, *keyed, _chunk(ts, chunk_seconds).alias("_chunk"))
+    at = F.struct("_ts", "_order")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    summary = ch.groupBy("_chunk").agg(*[latest(c) for c in last], *[F.sum(c).alias(c) for c in sums])
+    types = dict(summary.dtypes) | {c: t for c, t in changes.dtypes if c in keyed}
+    of_key = ch.filter("_key IS NOT NULL")
+    key_summary = of_key.groupBy("_key", "_chunk").agg(*[latest(c) for c in keyed])
+    r = rows.select(F.struct("*").alias("_row"), F.col(key[0]).alias("_key"), F.col(ts).alias("_ts"), _chunk(ts, chunk_seconds).alias("_chunk"))
+    none = lambda names: [F.lit(None).cast(types[c]).alias(c) for c in names]
+
+    def slots(own: DataFrame, keys: list[str], names: Sequence[str]) -> DataFrame:
+        asked = r.filter(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, "_chunk"])).select(*keys, "_chunk").distinct()
+        return asked.select("*", *none(names)).unionByName(own).groupBy(*keys, "_chunk").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+
+    opening = _opening(slots(summary, [], values), [], last, sums, chunk_seconds)
+    key_opening = _opening(slots(key_summary, ["_key"], keyed), ["_key"], keyed, [], chunk_seconds)
+    cols = ["_key", "_chunk", "_ks", "_rs", "_ts", "_side", "_order", "_row", *values, *keyed]
+    key_salt = F.pmod(F.xxhash64("_key"), F.lit(key_salts)).cast("int")
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    filler = {"_key": F.lit(None).cast(dict(ch.dtypes)["_key"]), "_row": F.lit(None).cast(r.schema["_row"].dataType),
+              "_order": F.lit(None).cast(dict(ch.dtypes)["_order"]), "_ts": F.lit(None).cast("timestamp"), **{c: F.lit(None).cast(types[c]) for c in [*values, *keyed]}}
+
+    def event(df: DataFrame, side: int) -> DataFrame:
+        have = df.columns
+        return df.select(*[F.lit(side).alias(c) if c == "_side" else F.col(c).cast(types[c]).alias(c) if c in have and c in types else F.col(c) if c in have else filler[c].alias(c)
+                           for c in cols])
+
+    def everywhere(df: DataFrame) -> DataFrame:
+        return df.select("*", each(key_salts, "_ks")).select("*", each(row_salts, "_rs"))
+
+    some = F.coalesce(*[F.col(c).cast("string") for c in values]).isNotNull()
+    events = event(r.select("*", key_salt.alias("_ks"), F.pmod(F.xxhash64("_row"), F.lit(row_salts)).cast("int").alias("_rs")), 2)
+    for df in (event(everywhere(ch.filter(some).drop("_key", *keyed)), 1), event(everywhere(opening), 0),
+               event(of_key.drop(*values).select("*", key_salt.alias("_ks"), each(row_salts, "_rs")), 1),
+               event(key_opening.select("*", key_salt.alias("_ks"), each(row_salts, "_rs")), 0)):
+        events = events.unionByName(df)
+    in_order = [F.col("_ts").asc_nulls_first(), F.col("_side"), F.col("_order")]
+    whole = Window.partitionBy("_chunk", "_ks", "_rs").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
+    by_key = Window.partitionBy("_chunk", "_ks", "_rs", "_key").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
+    out = events.select("_chunk", "_ks", "_rs", "_key", "_ts", "_side", "_order", "_row", *keyed, *[F.last(c, ignorenulls=True).over(whole).alias(c) for c in last],
+                        *[F.coalesce(F.sum(c).over(whole), F.lit(0)).cast(types[c]).alias(c) for c in sums])
+    out = out.select("_row", "_side", *values, *[F.last(c, ignorenulls=True).over(by_key).alias(c) for c in keyed])
+    return out.where("_side = 2").select("_row.*", *values, *keyed)
+
+
 def pushdown_barrier(df: DataFrame) -> DataFrame:
     """Re-emit the columns through a one-row ``inline`` generator.
 
@@ -133,7 +218,7 @@ def pushdown_barrier(df: DataFrame) -> DataFrame:
 
 
 def neighbors(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], cols: Sequence[str],
-              chunk_seconds: int = 60) -> DataFrame:
+              chunk_seconds: int = 60, write: bool = True) -> DataFrame:
     """Add ``_next`` / ``_prev``: struct of ``cols`` of the following / preceding row of
     the same ``keys`` in ``order`` (whose first column is ``ts``); NULL at the ends.
 
@@ -141,9 +226,9 @@ def neighbors(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
     (keys, time chunk), so one hot key is spread over many tasks.  Chunk
     boundaries are stitched from a per-chunk first/last summary (one row per
     chunk), so only that small table is windowed per key.  The (slim) input is
-    written once, as both sides read it.
+    written once, as both sides read it (``write=False``: it is cheap to read twice).
     """
-    df = materialized(df, "events")
+    df = materialized(df, "events") if write else df
     rows = df.select("*", _chunk(ts, chunk_seconds).alias("_chunk"), F.struct(*[F.col(c) for c in cols]).alias("_v"),
                      F.struct(*[F.col(c) for c in order]).alias("_o"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
