@@ -446,6 +446,10 @@ WHERE coalesce(to_addr, '') <> '' AND lower(to_addr) NOT IN (SELECT address FROM
 
 
 
+# in whole milliseconds, as Spark keeps it
+WATERMARK = "(e.peak // 1000 - (hi - lo) // 6 // 1000) * 1000"
+
+
 def arrivals(rows: str, number: str, out: str) -> str:
     """``out``: the rows of a stream's table with the instalment they come in and whether they are late then."""
     return f"""span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM {rows}),
@@ -453,7 +457,7 @@ arrived AS (SELECT r.*, lo, hi, CASE WHEN {number} % 101 = 7 THEN 3
    ELSE least(3, ((epoch_us(ts) - lo) * 4) // (hi - lo + 1) + CASE WHEN {number} % 17 = 5 THEN 1 ELSE 0 END) END AS arrival FROM {rows} r, span),
 peaks AS (SELECT arrival, max(epoch_us(ts)) AS peak FROM arrived GROUP BY arrival),
 earlier AS (SELECT a.arrival, max(p.peak) AS peak FROM peaks a JOIN peaks p ON p.arrival < a.arrival GROUP BY a.arrival),
-{out} AS (SELECT a.* EXCLUDE (lo, hi), coalesce(epoch_us(ts) < e.peak - (hi - lo) // 6, false) AS late FROM arrived a LEFT JOIN earlier e USING (arrival))"""
+{out} AS (SELECT a.* EXCLUDE (lo, hi), coalesce(epoch_us(ts) <= {WATERMARK}, false) AS late FROM arrived a LEFT JOIN earlier e USING (arrival))"""
 
 
 _TX_ARRIVALS = TRANSACTIONS.replace("transactions AS (", "all_transactions AS (") + ", " + arrivals("all_transactions", "tx_id", "marked")
@@ -649,10 +653,17 @@ message_arrivals AS (SELECT m.*, t.arrival FROM all_messages m JOIN turn_arrival
 peaks AS (SELECT arrival, max(epoch_us(ts)) AS peak FROM message_arrivals GROUP BY arrival),
 earlier AS (SELECT a.arrival, max(p.peak) AS peak FROM peaks a JOIN peaks p ON p.arrival < a.arrival GROUP BY a.arrival),
 messages AS (SELECT a.* EXCLUDE (arrival) FROM message_arrivals a LEFT JOIN earlier e ON a.arrival = e.arrival, span
-   WHERE NOT coalesce(epoch_us(ts) < e.peak - (hi - lo) // 6, false))"""
+   WHERE NOT coalesce(epoch_us(ts) <= {WATERMARK}, false))""".replace("{WATERMARK}", WATERMARK)
 ORACLES["stream_gate"] = f"SELECT * FROM ({ORACLES['gate_outcomes'].replace(MESSAGES, _ON_TIME, 1)}) WHERE outcome <> 'PENDING'"
 
-ORACLES["stream_policy"] = f"""WITH {MESSAGES}, {COMMAND_LOG}, {PARSED}, {TRANSACTIONS},
+# the hours of which no message came after the watermark had passed their end
+_ALL_MESSAGES = _ON_TIME[:_ON_TIME.index("messages AS (SELECT a.* EXCLUDE")] + f"""messages AS (SELECT a.* EXCLUDE (arrival) FROM message_arrivals a LEFT JOIN earlier e ON a.arrival = e.arrival, span
+   WHERE NOT coalesce(epoch_us(date_trunc('hour', ts) + INTERVAL 1 HOUR) <= {WATERMARK}, false))"""
+ORACLES["stream_threat_hourly"] = ORACLES["threat_hourly"].replace(MESSAGES, _ALL_MESSAGES, 1)
+
+# commands and payments come with their event; both are dropped when it is late
+_ON_TIME_EVENTS = arrivals("events", "event_id", "marked_events") + ", on_time AS (SELECT * FROM marked_events WHERE NOT late)"
+ORACLES["stream_policy"] = f"""WITH {MESSAGES}, {_ON_TIME_EVENTS}, {COMMAND_LOG.replace('FROM events', 'FROM on_time')}, {PARSED}, {TRANSACTIONS.replace('FROM events', 'FROM on_time')},
 sets AS (SELECT ts, seq, kind, value FROM parsed WHERE kind IN ('set_daily','set_limit') AND valid),
 ev AS (SELECT address, kind = 'allowlist_add' AS present, ts, seq FROM parsed WHERE kind IN ('allowlist_add','allowlist_remove') AND valid),
 lim AS (SELECT t.tx_id, t.amount_usd, t.to_addr,

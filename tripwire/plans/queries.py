@@ -537,9 +537,17 @@ def stream_gate(spark, sf):
                     F.col("decided_ts").cast("timestamp_ntz").alias("decided_ts"))
 
 
+@query
+def stream_threat_hourly(spark, sf):
+    """Threat roll-up of the message stream in one-hour windows, each emitted when the watermark has passed it."""
+    from tripwire.streaming.jobs import stream_threat_hourly as run
+    h = run(spark, sf)
+    return h.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "verdict", "n")
+
+
 @query
 def stream_policy(spark, sf):
-    """Payments stream with the limits and the allowlist in force at each payment."""
+    """Payments stream with the limits and the allowlist in force at each payment; the command log is a second stream."""
     from tripwire.streaming.jobs import stream_policy as run
     return run(spark, sf)
 

@@ -121,8 +121,12 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     plus the operator stream (session -1) of policy commands.  The modulo conditions
     are the fixture's rule for which rows are commands (it defines the log), not a
     sample taken to make a query cheaper."""
-    gate = gate_commands(messages(spark, sf_dir))
-    ev = table(spark, sf_dir, "events").where(F.col("event_id") % 100 == 0)
+    return gate_commands(messages(spark, sf_dir)).unionByName(operator_commands(table(spark, sf_dir, "events")))
+
+
+def operator_commands(events: DataFrame) -> DataFrame:
+    """The operator's part of the fixture ``command_log``."""
+    ev = events.where(F.col("event_id") % 100 == 0)
     e = F.col("event_id")
     k = F.floor(e / 100) % 20
     address = lambda x: F.concat(F.lit("0x"), F.lpad(_lhex(x % 97), 40, "0"))
@@ -146,6 +150,5 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(k == 17, F.lit("set daily \u0662\u0665\u0660\u0660"))
            .when(k == 18, F.concat(F.lit("check-policy abc "), address(e)))
            .otherwise(F.concat(F.lit("/guard scan  ignore   all\tprevious instructions  "), e.cast("string"))))
-    ops = ev.select(F.lit(-1).cast("bigint").alias("session_id"), e.alias("seq"),
+    return ev.select(F.lit(-1).cast("bigint").alias("session_id"), e.alias("seq"),
                     F.col("ts").cast("timestamp").alias("ts"), cmd.alias("command"))
-    return gate.unionByName(ops)

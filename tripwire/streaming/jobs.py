@@ -1,22 +1,20 @@
 """Streaming forms of the batch jobs.
 
 * ``stream_scan``: conversation turns -> messages view -> scan -> parquet sink (no state).
-* ``stream_daily_spend``, ``stream_gate``: jobs whose result depends on event order.
-  ``Ordered`` holds rows back until the watermark (latest time seen less a delay)
-  has passed them, then applies them in event-time order on top of the state;
-  rows older than the watermark when they arrive go to a late side table.
-* ``stream_policy``: each payment gets the limits and the allowlist in force at its
-  time, from the command log as it is when the micro-batch runs.
-
-State, held-back rows and outputs of a micro-batch are tables in a folder of its
-number, made from those of the number before and overwritten when the batch is
-run again, so a retried batch changes nothing.  All live under the session's
-``spark.checkpoint.dir``, one fresh sub-folder per run.  The steps are the batch
-operators, so a hot key is handled as in a batch job.
+* ``stream_daily_spend``, ``stream_gate``, ``stream_policy``: jobs whose result depends
+  on event order, on Spark's keyed state (``streaming.ordered``): rows wait for the
+  watermark and are applied in event-time order; rows older than the watermark are
+  dropped by Spark, and ``stream_late`` writes them to a side table.
+* ``stream_threat_hourly``: threat roll-up in one-hour windows with a watermark.
+
+Sinks are Parquet files with a checkpoint, so a micro-batch that is run again adds
+nothing twice.  All files live under the session's ``spark.checkpoint.dir``, one
+fresh sub-folder per run.
 
 The registered streams read their table in ``ARRIVALS`` instalments, some rows an
 instalment late and some at the very end; each instalment is a run of its own that
-goes on from the checkpoint of the run before.
+goes on from the checkpoint of the run before.  A last row, far ahead in time,
+moves the watermark past all others; its own result never comes.
 """
 
 from __future__ import annotations
@@ -24,19 +22,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripwire.operators import commands as C
-from tripwire.operators.policy import dollars, fold_accepted, with_day
+from tripwire.operators.policy import dollars
 from tripwire.operators.scan import scan_messages
 from tripwire.params import PolicyParams
 from tripwire.session import scratch_path
 from tripwire.sources import tables as S
+from tripwire.streaming.ordered import in_order, late_rows
 
 ARRIVALS = 4
 DELAY_SHARE = 6     # the watermark's delay is a sixth of the time span of the table
+AHEAD_DAYS = 3      # the last row's time after that of all others, besides the delay
 CONVERSATIONS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                               T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -49,97 +50,47 @@ def _base(spark: SparkSession, name: str) -> str:
 
 
 class Instalments:
-    """A table dealt to ``ARRIVALS`` instalments by its time, with rows out of order and late (fixture)."""
+    """A table dealt to ``ARRIVALS`` instalments by its time, with rows out of order and late, and a last row far ahead (fixture)."""
 
-    def __init__(self, table: DataFrame, micros, number, schema: T.StructType, base: str):
+    def __init__(self, table: DataFrame, micros, number, schema: T.StructType, base: str, ahead: Callable[[int], dict]):
         self.spark, self.schema, self.folder = table.sparkSession, schema, base + "/in"
         low, high = table.agg(F.min(micros), F.max(micros)).first()
         low, high = low or 0, high or 0
-        self.delay_micros = (high - low) // DELAY_SHARE
+        self.delay = f"{(high - low) // DELAY_SHARE // 1000} milliseconds"
         regular = F.floor((micros - low) * ARRIVALS / F.lit(high - low + 1)) + F.when(number % 17 == 5, 1).otherwise(0)
         arrival = F.when(number % 101 == 7, ARRIVALS - 1).otherwise(F.least(F.lit(ARRIVALS - 1), regular))
         self.rows = table.select(*schema.names, arrival.alias("_arrival"))
+        values = ahead(high + (high - low) // DELAY_SHARE + AHEAD_DAYS * 86_400_000_000)
+        self.last = table.sparkSession.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
     def stream(self) -> DataFrame:
         return self.spark.readStream.schema(self.schema).parquet(self.folder)
 
-    def deliver(self, start: Callable[[], object]) -> None:
-        """Write each instalment and run the stream over what is new."""
-        for i in range(ARRIVALS):
-            self.rows.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(self.folder)
-            start().awaitTermination()
+    def deliver(self, *starts: Callable[[], object]) -> None:
+        """Write each instalment and run the streams over what is new."""
+        for i in range(ARRIVALS + 1):
+            rows = self.rows.where(F.col("_arrival") == i).drop("_arrival") if i < ARRIVALS else self.last
+            rows.write.mode("append").parquet(self.folder)
+            for start in starts:
+                start().awaitTermination()
 
 
 def _conversations(spark: SparkSession, sf_dir: str, base: str) -> Instalments:
     conv = S.table(spark, sf_dir, "conversations")
-    return Instalments(conv, (F.col("conv_id") * 1000 + F.col("turn")) * 1_000_000, F.col("conv_id") * 1000 + F.col("turn"), CONVERSATIONS, base)
+    # the view's time is conv_id * 1000 + turn seconds after its epoch; the last row is no command, and has no text
+    ahead = lambda micros: {"conv_id": F.lit(micros // 1_000_000_000 // 3 * 3 + 1), "turn": F.lit(0)}
+    return Instalments(conv, (F.col("conv_id") * 1000 + F.col("turn")) * 1_000_000, F.col("conv_id") * 1000 + F.col("turn"), CONVERSATIONS, base, ahead)
 
 
 def _events(spark: SparkSession, sf_dir: str, base: str) -> Instalments:
     ev = S.table(spark, sf_dir, "events")
-    return Instalments(ev, F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"), EVENTS, base)
-
-
-def _append(df: DataFrame, base: str):
-    return (df.writeStream.format("parquet").outputMode("append").option("path", base + "/out")
-            .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+    ahead = lambda micros: {"ts": F.timestamp_micros(F.lit(micros)).cast("timestamp_ntz")}
+    return Instalments(ev, F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"), EVENTS, base, ahead)
 
 
-class Ordered:
-    """Apply a stream's rows in event-time order.
-
-    ``step(ready, state)`` gets the rows that the watermark has passed and the
-    state table, and returns the output and the new state.
-    """
-
-    def __init__(self, spark: SparkSession, base: str, rows: T.StructType, state: T.StructType, delay_micros: int,
-                 step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]):
-        self.spark, self.base, self.delay, self.step = spark, base, delay_micros, step
-        self.schemas = {"held": rows, "state": state, "late": rows, "clock": T.StructType([T.StructField("latest", T.LongType())])}
-
-    def _path(self, kind: str, number) -> str:
-        return f"{self.base}/{kind}/{number}"
-
-    def _read(self, kind: str, number: int) -> DataFrame:
-        if number < 0:
-            return self.spark.createDataFrame([], self.schemas[kind])
-        return self.spark.read.schema(self.schemas[kind]).parquet(self._path(kind, number))
-
-    def _write(self, df: DataFrame, kind: str, number) -> None:
-        df.write.mode("overwrite").parquet(self._path(kind, number))
-
-    def batch(self, rows: DataFrame, number: int) -> None:
-        self._write(rows, "new", number)
-        new = self.spark.read.schema(self.schemas["held"]).parquet(self._path("new", number))
-        micros = F.unix_micros("ts")
-        before = self._read("clock", number - 1).agg(F.max("latest")).first()[0]
-        latest = new.agg(F.max(micros)).first()[0]
-        now = max((x for x in (before, latest) if x is not None), default=None)
-        late = F.lit(False) if before is None else micros < before - self.delay
-        self._write(new.where(late), "late", number)
-        rows = new.where(~late).unionByName(self._read("held", number - 1))
-        ready = F.lit(False) if now is None else micros < now - self.delay
-        self._write(rows.where(~ready), "held", number)
-        self._apply(rows.where(ready), number - 1, number)
-        self._write(self.spark.createDataFrame([(now,)], self.schemas["clock"]), "clock", number)
-        self.last = number
-
-    def _apply(self, ready: DataFrame, was: int, number) -> None:
-        out, state = self.step(ready, self._read("state", was))
-        self._write(out, "out", number)
-        self._write(state, "state", number)
-
-    def start(self, stream: DataFrame):
-        return (stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", self.base + "/checkpoint")
-                .trigger(availableNow=True).start())
-
-    def finish(self) -> tuple[DataFrame, DataFrame]:
-        """The stream has ended: apply what is held back; the outputs and the late rows of all batches."""
-        last = getattr(self, "last", -1)
-        self._apply(self._read("held", last), last, "end")
-        out = self.spark.read.parquet(self._path("out", "*"))
-        late = self.spark.read.schema(self.schemas["late"]).parquet(self._path("late", "*")) if last >= 0 else self._read("late", -1)
-        return out, late
+def _append(df: DataFrame, base: str, name: str = ""):
+    return (df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out{name}")
+            .option("checkpointLocation", f"{base}/checkpoint{name}").trigger(availableNow=True).start())
 
 
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,51 +107,82 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(base + "/out")
 
 
-PAYMENTS = T.StructType([T.StructField("tx_id", T.LongType()), T.StructField("account", T.LongType()), T.StructField("ts", T.TimestampType()),
-                         T.StructField("amount_usd", T.DecimalType(18, 2))])
-TOTALS = T.StructType([T.StructField("account", T.LongType()), T.StructField("day", T.DateType()), T.StructField("carry", T.LongType())])
+SPENT = T.StructType([T.StructField("tx_id", T.LongType()), T.StructField("account", T.LongType()), T.StructField("day", T.DateType()),
+                      T.StructField("before", T.LongType()), T.StructField("accepted", T.BooleanType())])
+DAY_MICROS = 86_400_000_000
 
 
-def spend_stream(spark: SparkSession, sf_dir: str, params: PolicyParams = PolicyParams()) -> tuple[DataFrame, DataFrame]:
-    """Accepted daily spend of the payments in event-time order, and the late payments."""
-    base = _base(spark, "stream_daily_spend")
-    arrivals = _events(spark, sf_dir, base)
+def payments(arrivals: Instalments) -> DataFrame:
+    """The payments stream, with its watermark."""
+    return S.transactions_from_events(arrivals.stream()).withWatermark("ts", arrivals.delay)
+
 
-    def step(ready: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        folded = fold_accepted(with_day(ready), state, params)
-        path = f"{base}/folded/{uuid.uuid4().hex}"
-        folded.write.parquet(path)
-        folded = spark.read.parquet(path)
-        out = folded.select("tx_id", "account", "day", dollars("before").alias("accepted_before"), "accepted")
-        # the total only grows, so a key's last total is its largest
-        totals = folded.select("account", "day", F.col("after").alias("carry")).unionByName(state).groupBy("account", "day").agg(F.max("carry").alias("carry"))
-        # a day that the watermark has left behind for the account gets no more rows than its latest one
-        return out, totals.select("account", "day", "carry")
+def accepted_in_order(tx: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """``tx_id, account, day, before, accepted`` (cents) of payments in event-time order per account and UTC day.
 
-    ordered = Ordered(spark, base, PAYMENTS, TOTALS, arrivals.delay_micros, step)
-    arrivals.deliver(lambda: ordered.start(S.transactions_from_events(arrivals.stream()).select(*PAYMENTS.names)))
-    return ordered.finish()
+    A key's state is the day's accepted total and the payments that wait for the
+    watermark; it goes when the watermark has passed the day.
+    """
+    single, daily = params.single_limit, params.daily_limit
+
+    def step(total, key, row):
+        _, tx_id, cents = row
+        total = total or 0
+        ok = cents is not None and cents / 100 <= single and (total + cents) / 100 <= daily
+        return total + int(cents) if ok else total, [(tx_id, key[0], key[1], total, ok)]
+
+    def end_of_day(key) -> int | None:
+        return None if pd.isna(key[1]) else int(pd.Timestamp(key[1]).value // 1000) + DAY_MICROS
+
+    rows = tx.select("account", F.to_date("ts").alias("day"), "ts", "tx_id", (F.col("amount_usd") * 100).cast("bigint").alias("cents"))
+    return in_order(rows, ["account", "day"], "ts", ["tx_id"], ["cents"], SPENT, step, end_of_day)
 
 
 def stream_daily_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, late = spend_stream(spark, sf_dir)
+    """Accepted daily spend of the payments in event-time order; a late payment has a row without a result."""
+    base = _base(spark, "stream_daily_spend")
+    arrivals = _events(spark, sf_dir, base)
+    arrivals.deliver(lambda: _append(accepted_in_order(payments(arrivals)), base), lambda: _append(late_payments(arrivals), base, "-late"))
+    out, late = spark.read.schema(SPENT).parquet(base + "/out"), spark.read.parquet(base + "/out-late")
     nothing = late.select("tx_id", "account", F.to_date("ts").alias("day"), F.lit(None).cast("decimal(18,2)").alias("accepted_before"),
                           F.lit(None).cast("boolean").alias("accepted"), F.lit(True).alias("late"))
-    return out.select("*", F.lit(False).alias("late")).unionByName(nothing)
+    return out.select("tx_id", "account", "day", dollars("before").alias("accepted_before"), "accepted", F.lit(False).alias("late")).unionByName(nothing)
+
+
+def late_payments(arrivals: Instalments) -> DataFrame:
+    return late_rows(payments(arrivals), ["account"], "ts", ["tx_id", "ts", "amount_usd"])
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The late side table of the payments stream."""
-    return spend_stream(spark, sf_dir)[1].select("tx_id", "account", "amount_usd")
+    base = _base(spark, "stream_late")
+    arrivals = _events(spark, sf_dir, base)
+    arrivals.deliver(lambda: _append(late_payments(arrivals), base))
+    return spark.read.parquet(base + "/out").select("tx_id", "account", "amount_usd")
 
 
-GATE_EVENTS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampType()),
-                            T.StructField("kind", T.IntegerType()), T.StructField("msg_id", T.LongType()), T.StructField("cmd", T.StringType())])
-TICK = 2    # any other message: it only moves the watermark
+DECIDED = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("msg_id", T.LongType()), T.StructField("seq", T.LongType()),
+                        T.StructField("event", T.StringType()), T.StructField("outcome", T.StringType()), T.StructField("decided", T.LongType())])
+
+
+def gate_in_order(events: DataFrame) -> DataFrame:
+    """The final decisions of ``gate_events`` in event-time order per session; a key's state is its pending scan and the events that wait."""
+    def step(pending, key, row):
+        micros, seq, kind, msg_id, cmd = row
+        session = key[0]
+        if kind == 0:
+            made = [] if pending is None else [(session, pending[0], pending[1], "scan", "SUPERSEDED", None)]
+            return (int(msg_id), int(seq)), made
+        if pending is None:
+            return None, [(session, None, int(seq), "command", "NOTHING_PENDING", micros)]
+        outcome = "CONFIRMED" if cmd == "confirm" else "CANCELLED"
+        return None, [(session, pending[0], pending[1], "scan", outcome, micros), (session, pending[0], int(seq), "command", outcome, micros)]
+
+    return in_order(events, ["session_id"], "ts", ["seq", "kind"], ["msg_id", "cmd"], DECIDED, step)
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmation gate over the message stream: the state is the scan pending in each session.
+    """Confirmation gate over the message stream.
 
     Only final decisions are emitted; the output equals the batch
     ``gate_outcomes`` of the messages that weren't late, without its PENDING rows.
@@ -211,39 +193,77 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def events() -> DataFrame:
         msgs = S.messages_from_conversations(arrivals.stream())
         v = scan_messages(msgs, keep=("msg_id", "session_id", "seq", "ts"))
-        scans = v.select("session_id", "seq", "ts", F.when(F.col("requires_confirmation"), 0).otherwise(TICK).alias("kind"), "msg_id",
-                         F.lit(None).cast("string").alias("cmd"))
-        commands = C.parse_commands(S.gate_commands(msgs))
-        return scans.unionByName(C.gate_events(v.where(F.lit(False)), commands))
+        scans = v.select("session_id", "seq", "ts", F.when(F.col("requires_confirmation"), F.lit(0)).alias("kind"), "msg_id", F.lit(None).cast("string").alias("cmd"))
+        commands = C.gate_events(v.where(F.lit(False)), C.parse_commands(S.gate_commands(msgs)))
+        # all messages move the watermark; those without a kind are no events
+        return scans.unionByName(commands).withWatermark("ts", arrivals.delay)
 
-    def step(ready: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        decided = C.gate_decisions(ready.where(F.col("kind") < TICK).unionByName(state))
-        pending = (F.col("event") == "scan") & (F.col("outcome") == "PENDING")
-        return decided.where(~pending), decided.where(pending).select(
-            "session_id", "seq", "ts", F.lit(0).alias("kind"), "msg_id", F.lit(None).cast("string").alias("cmd"))
+    arrivals.deliver(lambda: _append(gate_in_order(events()), base))
+    out = spark.read.schema(DECIDED).parquet(base + "/out")
+    return out.select("session_id", "msg_id", "seq", "event", "outcome", F.timestamp_micros("decided").alias("decided_ts"))
 
-    ordered = Ordered(spark, base, GATE_EVENTS, GATE_EVENTS, arrivals.delay_micros, step)
-    arrivals.deliver(lambda: ordered.start(events()))
-    return ordered.finish()[0].select("session_id", "msg_id", "seq", "event", "outcome", "decided_ts")
 
+def stream_threat_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts an hour, emitted once the watermark has passed the hour's end; messages of an hour that is over are dropped."""
+    base = _base(spark, "stream_threat_hourly")
+    arrivals = _conversations(spark, sf_dir, base)
 
-def stream_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payments with the limits and the allowlist in force at their time, and the single-payment check.
+    def hours() -> DataFrame:
+        v = scan_messages(S.messages_from_conversations(arrivals.stream()), keep=("ts",)).withWatermark("ts", arrivals.delay)
+        return v.groupBy(F.window("ts", "1 hour"), "verdict").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "verdict", "n")
+
+    arrivals.deliver(lambda: _append(hours(), base))
+    return spark.read.parquet(base + "/out")
+
+
+CHECKED = T.StructType([T.StructField("tx_id", T.LongType()), T.StructField("single_limit", T.DoubleType()), T.StructField("daily_limit", T.DoubleType()),
+                        T.StructField("over_single", T.BooleanType()), T.StructField("off_list", T.BooleanType())])
+LANES = 32      # keys that the payments are dealt to; each has the operator's state
 
-    The command log is read anew in every micro-batch, so changes reach payments
-    that come after them."""
+
+def operator_commands(arrivals: Instalments) -> DataFrame:
+    return C.parse_commands(S.operator_commands(arrivals.stream()))
+
+
+def policy_in_order(tx: DataFrame, parsed: DataFrame, delay: str, params: PolicyParams = PolicyParams(), lanes: int = LANES) -> DataFrame:
+    """Payments under the limits and the allowlist that the command stream has set at their time.
+
+    Payments are dealt to lanes by recipient; commands go to every lane.  A lane's
+    state is the limits, the list, and the rows that wait; a micro-batch works on
+    its new rows and the state, whatever the length of the log.
+    """
+    lane = lambda address: F.pmod(F.xxhash64(F.lower(F.coalesce(address, F.lit("")))), F.lit(lanes)).cast("int")
+    none = F.lit(None)
+    paid = tx.select(lane(F.col("to_addr")).alias("lane"), "ts", F.lit(1).alias("side"), F.col("tx_id").alias("number"), none.cast("string").alias("kind"),
+                     F.col("amount_usd").cast("double").alias("value"), F.lower("to_addr").alias("address"))
+    valid = F.col("kind").isin(*C.STATE_KINDS) & (F.col("kind") != "reset_daily") & F.col("valid")
+    said = parsed.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "ts", F.lit(0).alias("side"), F.col("seq").alias("number"),
+                         F.when(valid, F.col("kind")).otherwise("").alias("kind"), "value", F.lower("address").alias("address"))
+
+    def step(state, key, row):
+        _, side, number, kind, value, address = row
+        single, daily, listed = state or (params.single_limit, params.daily_limit, frozenset())
+        if side == 0:
+            if kind == "set_limit":
+                single = value
+            elif kind == "set_daily":
+                daily = value
+            elif kind == "allowlist_add":
+                listed = listed | {address}
+            elif kind == "allowlist_remove":
+                listed = listed - {address}
+            return (single, daily, listed), []
+        over = value is not None and value > single
+        off = bool(listed) and bool(address) and address not in listed
+        return (single, daily, listed), [(number, single, daily, over, off)]
+
+    rows = paid.unionByName(said).withWatermark("ts", delay)
+    return in_order(rows, ["lane"], "ts", ["side", "number"], ["kind", "value", "address"], CHECKED, step)
+
+
+def stream_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments that weren't late with the limits and the allowlist in force at their time; the command log is a second stream."""
     base = _base(spark, "stream_policy")
     arrivals = _events(spark, sf_dir, base)
-
-    def batch(rows: DataFrame, number: int) -> None:
-        path = f"{base}/new/{number}"
-        rows.write.mode("overwrite").parquet(path)
-        parsed = C.parse_commands(S.command_log(spark, sf_dir))
-        d = C.with_state(spark.read.schema(rows.schema).parquet(path), parsed, "to_addr")
-        d.select("tx_id", "single_limit", "daily_limit", (F.col("amount_usd").cast("double") > F.col("single_limit")).alias("over_single"),
-                 ((F.col("list_size") > 0) & ~F.col("listed") & (F.coalesce("to_addr", F.lit("")) != "")).alias("off_list")
-                 ).write.mode("overwrite").parquet(f"{base}/out/{number}")
-
-    arrivals.deliver(lambda: S.transactions_from_events(arrivals.stream()).select("tx_id", "ts", "amount_usd", "to_addr").writeStream.foreachBatch(batch)
-                     .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
-    return spark.read.parquet(f"{base}/out/*")
+    arrivals.deliver(lambda: _append(policy_in_order(S.transactions_from_events(arrivals.stream()), operator_commands(arrivals), arrivals.delay), base))
+    return spark.read.schema(CHECKED).parquet(base + "/out")
