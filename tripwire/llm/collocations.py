@@ -12,13 +12,15 @@ frequent are counted at all, as no other can be.
 How the steps stay whole and bounded at any size:
 
 * Texts are read once.  A task turns them into blocks: ids of a dictionary of
-  the block's own, and that dictionary.  Only dictionaries are joined with the
-  ranks, so the vocabulary is never broadcast, and tokens are never shuffled as
-  rows.
+  the block's own, and that dictionary.  Ranks replace these ids: the first
+  ``WORDS_AT_ONCE`` of them, of short words, from a broadcast; all others by a
+  join with the words of the blocks' dictionaries that the broadcast lacks.
+  Tokens are never shuffled as rows.
 * Counts leave a task as one packed row a tile, already summed; tiles are added
   in two levels, so a hot tile's rows are dealt out.
 * Frequent pairs are marked in the blocks from a broadcast of at most
   ``PAIRS_AT_ONCE`` of them; more are marked in further passes, each written.
+  Only stretches that can hold a longer frequent phrase go on to the next length.
 * Scores come from joins of the phrase tables.
 """
 
@@ -49,11 +51,14 @@ SIDE = 1 << 11          # ids on a side of a dense tile
 DENSE_IDS = 1 << 14     # ids that have dense tiles
 TILE_PAIRS = 1 << 22    # pairs of a sparse tile, about
 PAIRS_AT_ONCE = 1 << 22
+WORDS_AT_ONCE, WORD_BYTES = 1 << 19, 64     # words of a broadcast, and the bytes of one, at most
 SPLIT = 0xFF            # a byte that UTF-8 never has, for the marks between pieces
 BYTES = bytes(c + 32 if 65 <= c <= 90 else SPLIT if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 BLOCKS = T.StructType([T.StructField("block", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())),
                        T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType())])
+LACKING = T.StructType([T.StructField("block", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("word", T.StringType())])
+#: ``phrases`` is null where they are the words
 CODED = T.StructType([T.StructField("words", T.BinaryType()), T.StructField("phrases", T.BinaryType())])
 TILED = T.StructType([T.StructField("tile", T.LongType()), T.StructField("salt", T.LongType()), T.StructField("cells", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 PAIRED = T.StructType([T.StructField("prefix", T.LongType()), T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
@@ -119,22 +124,39 @@ def ranked(counts: DataFrame, n: str, *ties: str) -> DataFrame:
     return written(parts.join(F.broadcast(before), "_part").withColumn("id", (F.col("_before") + inside).cast("long")).drop("_part", "_before"), "ranked")
 
 
-def coded(blocks: DataFrame, words: DataFrame) -> DataFrame:
+def coded(blocks: DataFrame, words: DataFrame, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """The blocks with the words' ranks in place of the blocks' own ids; 0 for words that aren't frequent."""
-    local = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    found = local.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+    spark = blocks.sparkSession
+    near = (F.col("id") <= at_once) & (F.octet_length("word") <= WORD_BYTES)
+    top: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in words.filter(near).select("lang", "word", "id").toLocalIterator():     # at most ``at_once`` short words
+        top[r.lang][r.word] = r.id
+    held = spark.sparkContext.broadcast(dict(top))
+    rest = words.filter(~near).select("lang", "word", "id")
+    known = F.lit(None).cast("array<struct<place: int, id: bigint>>")
+    rows = blocks.select("lang", "words", "ids", known.alias("known"))
+    if rest.limit(1).count():
+        def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, lang, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    there = held.value.get(lang, {})
+                    some = [(i, w) for i, w in enumerate(own) if w not in there]
+                    yield arrow_batch(LACKING, [[block] * len(some), [lang] * len(some), *([x[k] for x in some] for k in range(2))])
+        found = blocks.select("block", "lang", "words").mapInArrow(lacking, LACKING).join(rest, ["lang", "word"])
+        found = found.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+        rows = blocks.join(found, "block", "left").select("lang", "words", "ids", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, known in zip(batch.column(0), batch.column(1)):
-                local = np.frombuffer(ids.as_buffer(), np.uint32)
-                ranks = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-                pairs = known.values
-                ranks[pairs.field(0).to_numpy() + 1] = pairs.field(1).to_numpy()
-                for run in runs(ranks[local]):
-                    raw = packed(run)
-                    yield arrow_batch(CODED, [[raw], [raw]])
-    return kept(blocks.select("block", "ids").join(found, "block").select("ids", "known").mapInArrow(run, CODED), "coded")
+            for lang, own, ids, known in zip(*batch.columns):
+                there, own = held.value.get(lang.as_py(), {}), own.as_py()
+                ranks = np.zeros(len(own) + 1, np.int64)
+                ranks[1:] = np.fromiter((there.get(w, 0) for w in own), np.int64, len(own))
+                if known.is_valid:
+                    ranks[known.values.field(0).to_numpy() + 1] = known.values.field(1).to_numpy()
+                for run in runs(ranks[np.frombuffer(ids.as_buffer(), np.uint32)]):
+                    yield arrow_batch(CODED, [[packed(run)], [None]])
+    return kept(rows.mapInArrow(run, CODED), "coded")
 
 
 def runs(code: np.ndarray, size: int = RUN_TOKENS) -> Iterator[np.ndarray]:
@@ -148,14 +170,43 @@ def runs(code: np.ndarray, size: int = RUN_TOKENS) -> Iterator[np.ndarray]:
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """Ids as little-endian integers of 4 bytes, or 8 where one needs it, which the first byte says."""
-    wide = ids.max(initial=0) >= 1 << 32
-    return (b"\x08" if wide else b"\x04") + ids.astype("<u8" if wide else "<u4").tobytes()
+    """Numbers from 0 up as little-endian integers of the fewest bytes that hold them all, which the first byte says."""
+    width = next(w for w in (1, 2, 4, 8) if int(ids.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
 
 
 def unpacked(raw: pa.Scalar) -> np.ndarray:
     buffer = raw.as_buffer()
-    return np.frombuffer(buffer, "<u8" if buffer[0] == 8 else "<u4", offset=1).astype(np.int64)
+    return np.frombuffer(buffer, f"<u{buffer[0]}", offset=1).astype(np.int64)
+
+
+def packed_cells(tile: int, cells: np.ndarray) -> bytes:
+    """Ascending cells by their distances; of a sparse tile the first halves of its pairs so, then the second halves."""
+    if tile >= 0:
+        return packed(np.diff(cells, prepend=0))
+    first, second = cells.reshape(-1, 2).T
+    return packed(np.concatenate([np.diff(first, prepend=0), second]))
+
+
+def unpacked_cells(tile: int, raw: pa.Scalar) -> np.ndarray:
+    numbers = unpacked(raw)
+    if tile >= 0:
+        return np.cumsum(numbers)
+    first, second = np.split(numbers, 2)
+    return np.stack([np.cumsum(first), second], axis=1).reshape(-1)
+
+
+def stretches(words: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words and phrases of the stretches where frequent phrases of ``length`` words begin at two places in a row, a 0 after each."""
+    on = phrases > 0
+    beside = on & (np.append(on[1:], False) | np.append(False, on[:-1]))
+    cover = np.zeros(len(words) + length + 1, np.int64)
+    starts = np.flatnonzero(beside)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + length, -1)
+    inside = np.cumsum(cover)[:len(words)] > 0
+    keep = inside | np.append(False, inside[:-1])
+    return np.where(inside, words, 0)[keep], np.where(beside, phrases, 0)[keep]
 
 
 def pairs_of(words: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,12 +285,13 @@ def pair_counts(blocks: DataFrame, length: int, least: int, sparse_tiles: int, s
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for tile, cells, counts in tiled(*(np.concatenate(x) for x in zip(*held)), sparse_tiles):
-                yield arrow_batch(TILED, [[tile], [salt], [packed(cells)], [packed(counts)]])
+                yield arrow_batch(TILED, [[tile], [salt], [packed_cells(tile, cells)], [packed(counts)]])
             held.clear()
 
         for batch in batches:
             for words, phrases in zip(batch.column(0), batch.column(1)):
-                prefix, word = pairs_of(unpacked(words), unpacked(phrases), length)
+                words = unpacked(words)
+                prefix, word = pairs_of(words, unpacked(phrases) if phrases.is_valid else words, length)
                 able = np.flatnonzero(prefix)
                 for start in range(0, len(able), FLUSH_PAIRS):
                     some = able[start:start + FLUSH_PAIRS]
@@ -251,18 +303,19 @@ def pair_counts(blocks: DataFrame, length: int, least: int, sparse_tiles: int, s
         if held:
             yield from flushed()
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def parts(tile: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            yield from zip(map(unpacked, batch.column(2)), map(unpacked, batch.column(3)))
+            for cells, counts in zip(batch.column(2), batch.column(3)):
+                yield unpacked_cells(tile, cells), unpacked(counts)
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = key[0].as_py()
-        cells, counts = added(tile, parts(batches))
-        yield arrow_batch(TILED, [[tile], [0], [packed(cells)], [packed(counts)]])
+        cells, counts = added(tile, parts(tile, batches))
+        yield arrow_batch(TILED, [[tile], [0], [packed_cells(tile, cells)], [packed(counts)]])
 
     def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = key[0].as_py()
-        cells, counts = added(tile, parts(batches))
+        cells, counts = added(tile, parts(tile, batches))
         side = DENSE_IDS // SIDE
         if tile >= 0:
             prefix, word = tile // side * SIDE + cells // SIDE, tile % side * SIDE + cells % SIDE
@@ -278,7 +331,7 @@ def pair_counts(blocks: DataFrame, length: int, least: int, sparse_tiles: int, s
 
 
 def marked(blocks: DataFrame, phrases: DataFrame, length: int, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
-    """The blocks with, at each place, the id of the frequent phrase of ``length`` words that begins there."""
+    """The stretches of the blocks with, at each place, the id of the frequent phrase of ``length`` words that begins there."""
     spark, total = blocks.sparkSession, phrases.count()
     before = blocks.select("words", "phrases", F.lit(None).cast("binary").alias("next"))
     schema = T.StructType([*CODED.fields, T.StructField("next", T.BinaryType())])
@@ -293,7 +346,7 @@ def marked(blocks: DataFrame, phrases: DataFrame, length: int, at_once: int = PA
         order = np.lexsort((word, prefix))
         held = spark.sparkContext.broadcast((prefix[order], word[order], ids[order]))
 
-        def mark(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def mark(batches: Iterator[pa.RecordBatch], held=held, done=first + at_once > total) -> Iterator[pa.RecordBatch]:
             prefix, word, ids = held.value
             heads, starts = np.unique(prefix, return_index=True)        # a prefix's pairs stand together, their words ascending
             ranks = np.repeat(np.arange(len(heads)), np.diff(np.append(starts, len(prefix))))
@@ -301,7 +354,8 @@ def marked(blocks: DataFrame, phrases: DataFrame, length: int, at_once: int = PA
             keys = ranks * width + word
             for batch in batches:
                 for words, phrases, following in zip(*batch.columns):
-                    words, phrases = unpacked(words), unpacked(phrases)
+                    words = unpacked(words)
+                    phrases = unpacked(phrases) if phrases.is_valid else words
                     p, w = pairs_of(words, phrases, length)
                     out = unpacked(following) if following.is_valid else np.zeros(len(words), np.int64)
                     able = np.flatnonzero((p > 0) & (w < width))
@@ -311,12 +365,18 @@ def marked(blocks: DataFrame, phrases: DataFrame, length: int, at_once: int = PA
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     hit = keys[at] == key
                     out[able[hit]] = ids[at[hit]]
-                    yield arrow_batch(schema, [[packed(words)], [packed(phrases)], [packed(out)]])
+                    if not done:
+                        yield arrow_batch(schema, [[packed(words)], [packed(phrases)], [packed(out)]])
+                        continue
+                    words, out = stretches(words, out, length)
+                    if len(words):
+                        yield arrow_batch(schema, [[packed(words)], [None], [packed(out)]])
         before = kept(before.mapInArrow(mark, schema), "marked")
     return before.select("words", F.col("next").alias("phrases"))
 
 
-def frequent_phrases(docs: DataFrame, length: int = LENGTH, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, length: int = LENGTH, least: int = LEAST, words_at_once: int = WORDS_AT_ONCE,
+                     pairs_at_once: int = PAIRS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``words``, ``f`` of all phrases of 1 to ``length`` words with ``least`` occurrences, and ``lang``, ``n``: all word occurrences."""
     blocks = kept(blocks_of(docs), "blocks")
     counts = blocks.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
@@ -328,7 +388,7 @@ def frequent_phrases(docs: DataFrame, length: int = LENGTH, least: int = LEAST)
     tokens = totals.agg(F.sum("n")).first()[0] or 0
     salts = max(1, math.isqrt(blocks.count()) // 2)
     sparse_tiles = max(1, math.ceil(tokens / TILE_PAIRS))
-    seq = coded(blocks, words)
+    seq = coded(blocks, words, words_at_once)
     for k in range(2, length + 1):
         pairs = ranked(pair_counts(seq, k, least, sparse_tiles, salts), "n", "prefix", "word")
         one = words.select(F.col("id").alias("word"), F.col("word").alias("last"))
@@ -337,7 +397,7 @@ def frequent_phrases(docs: DataFrame, length: int = LENGTH, least: int = LEAST)
         every = every.unionByName(phrases.drop("id"))
         if k == length or not phrases.limit(1).count():
             break
-        seq = marked(seq, pairs, k)
+        seq = marked(seq, pairs, k, pairs_at_once)
     return every, totals
 
 
@@ -353,8 +413,8 @@ def scored(every: DataFrame, totals: DataFrame, share: int = SHARE) -> DataFrame
             .join(of.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
             .join(totals, "lang"))
     exact = {c: F.col(c).cast("decimal(19,0)") for c in "alrn"}
-    # 1000 a n / (l r) of up to 38 digits: the quotient of whole decimals
-    score = F.call_function("div", (exact["a"] * F.lit(1000).cast("decimal(4,0)")).cast("decimal(19,0)") * exact["n"], exact["l"] * exact["r"])
+    # the quotient of whole decimals of up to 38 digits, enough for 10**17 words
+    score = F.call_function("div", exact["a"] * exact["n"] * F.lit(1000).cast("decimal(4,0)"), exact["l"] * exact["r"])
     cuts = cuts.withColumn("score", score.cast("long"))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("cut")).select("lang", "phrase", "cut.*")
     size = F.size("words")
