@@ -128,14 +128,15 @@ def levelled(load: list[int], capacities: list[float], more: int) -> list[int]:
 
 # ------------------------------------------------------------------ rows
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` of files with ``_old``, the number of its file, and ``_tie``, a hash of its place in the file."""
+    """Each row of files as a struct ``row``, with its ``file``, ``_old``, the number of the file, and ``_tie``, a hash of its place in the file."""
     names = rows.select(F.col("_metadata.file_path").alias("file")).distinct().orderBy("file").limit(MAX_OLD + 1).collect()
     file = F.col("_metadata.file_path")
     if len(names) > MAX_OLD:
         old = F.pmod(F.xxhash64(file), F.lit(MAX_OLD)).cast("int")
     else:
         old = (F.array_position(F.array(*[F.lit(r.file) for r in names]), file) - 1).cast("int") if names else F.lit(0)
-    return rows.select("*", old.alias("_old"), F.xxhash64(file, F.col("_metadata.row_index")).alias("_tie"))
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.select(whole.alias("row"), file.alias("file"), old.alias("_old"), F.xxhash64(file, F.col("_metadata.row_index")).alias("_tie"))
 
 
 def size_of(text: Column) -> Column:
@@ -207,6 +208,7 @@ def planned(slim: DataFrame, capacities: list[float]) -> Plan:
     for old, size, _ in loose:
         supply[old] -= size
     room = levelled(plan.load, capacities, sum(supply.values()))
+    full = [x + y for x, y in zip(plan.load, levelled(plan.load, capacities, sum(supply.values()) + sum(r[1] for r in loose)))]
     flows = min_cost_flow(supply, dict(enumerate(room)), lambda i, j: int(i != j))
     plan.transfers = {k: v for k, v in flows.items() if k[0] != k[1]}
     borders = []        # in bytes of an old shard's order: what stays, then the blocks that move
@@ -228,9 +230,13 @@ def planned(slim: DataFrame, capacities: list[float]) -> Plan:
     heap = [(plan.load[j] / capacities[j], j) for j in range(shards)]
     heapq.heapify(heap)
     for r in sorted(loose, key=lambda r: (-r[1], r[0], r[2])):
-        _, j = heapq.heappop(heap)
+        j = r[0]
+        if j >= shards or plan.load[j] + r[1] > full[j]:        # no room at home: the emptiest
+            while heap[0][0] != plan.load[heap[0][1]] / capacities[heap[0][1]]:
+                _, k = heapq.heappop(heap)      # it has grown since
+                heapq.heappush(heap, (plan.load[k] / capacities[k], k))
+            j = heap[0][1]
         plan.place(r, j)
-        heapq.heappush(heap, (plan.load[j] / capacities[j], j))
     return plan
 
 
@@ -253,14 +259,14 @@ def reshard(spark: SparkSession, path: str, shards: int | list[float] = SHARDS,
     capacities = [1.0] * shards if isinstance(shards, int) else list(shards)
     out = out or fresh_path(spark, "shards")
     docs = spark.read.parquet(path)
-    whole = F.struct(*[F.col(c) for c in docs.columns])
     named = numbered(docs)
-    slim = written(named.select("_old", size_of(F.col(text_col)).alias("_size"), "_tie"), "reshard-sizes")
+    size = size_of(F.col("row").getField(text_col)).alias("_size")
+    slim = written(named.select("_old", size, "_tie"), "reshard-sizes")
     plan = planned(slim, capacities)
     pieces = max(1, math.ceil(max(plan.load) / PIECE_BYTES))
     piece = F.pmod(F.xxhash64("_tie"), F.lit(pieces)).cast("int").alias("piece")
     moves = plan.apply(slim).groupBy("_old", "shard").agg(F.count(F.lit(1)).alias("rows"))
-    files = named.select("_old", F.col("_metadata.file_path").alias("file")).groupBy("_old").agg(F.min("file").alias("file"), F.max("file").alias("other")).collect()
+    files = named.groupBy("_old").agg(F.min("file").alias("file"), F.max("file").alias("other")).collect()
     pairs = [(r["_old"], r["shard"]) for r in moves.select("_old", "shard").collect()]      # old shards x shards at most
     stays = {i for i, j in pairs if i == j and sum(i == a for a, _ in pairs) == 1 and sum(j == b for _, b in pairs) == 1}
     kept = {r["_old"]: r["file"] for r in files if r["_old"] in stays and r["file"] == r["other"]}
@@ -271,7 +277,7 @@ def reshard(spark: SparkSession, path: str, shards: int | list[float] = SHARDS,
     sums = plan.apply(slim).filter(affected).select("shard", piece).groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("rows"))
     ahead = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)      # a row a piece
     bases = sums.select("shard", "piece", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("base"))
-    rows = plan.apply(named.select(whole.alias("row"), "_old", size_of(F.col(text_col)).alias("_size"), "_tie")).filter(affected).select("shard", piece, "_tie", "row")
+    rows = plan.apply(named.select("row", "_old", size, "_tie")).filter(affected).select("shard", piece, "_tie", "row")
     place = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("_tie")) - 1
     rows.join(bases, ["shard", "piece"]).select("shard", (F.col("base") + place).cast("long").alias("slot"), "row").write.partitionBy("shard").parquet(f"{out}/rows")
     return read_shards(spark, out, docs)
