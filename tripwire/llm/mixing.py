@@ -115,15 +115,38 @@ def mixture(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_ent
                          F.row_number().over(in_block).alias("position"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **target) -> DataFrame:
-    """The documents of the mixture, one row a copy, as struct ``row`` with all columns of ``docs``, in ascending order of block and position."""
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_key")]
-    plan = written(mixture(docs, id_col=id_col, text_col=text_col, **target).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_key").alias("_key"), F.col("nth").alias("_nth"), "block", "position"), "mixture")
-    again = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *key).withColumn("_nth", F.row_number().over(again))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.join(plan, ["_id", "_key", "_nth"]).select("row", "block", "position").repartitionByRange(parts, "block", "position").sortWithinPartitions("block", "position")
+PART_TOKENS = 2_000_000     # tokens of a written part of the mixture, about
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, **target) -> DataFrame:
+    """The documents of the mixture, one row a copy, as struct ``row`` with all columns of ``docs``, in ascending order of block and position.
+
+    A row meets the plan by id, text and source, so each gets the copies of its
+    own source.  Rows that are equal in all three share the copies of all of
+    them, dealt out by the rest of the row.  Null ids, texts and sources, empty
+    tables and long texts are as in ``mixture``; ``row`` holds all columns, so
+    none can clash.
+
+    Texts are shuffled twice: to meet the plan, and to the part of their block.
+    """
+    spark = docs.sparkSession
+    key = ["_id", "_key", "_source"]
+
+    def keyed(id_: str, text_key, source: str) -> list:
+        return [F.coalesce(F.col(id_).cast("string"), F.lit("none")).alias("_id"), text_key.alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source")]
+
+    plan = written(mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, block_tokens=block_tokens, **target).select(
+        *keyed("doc_id", F.unhex("text_key"), "source"), "nth", "block", "position"), "mixture")
+    blocks = (plan.agg(F.max("block")).first()[0] or 0) + 1
+    parts = max(1, math.ceil(blocks * block_tokens / PART_TOKENS))
+    copies = plan.groupBy(*key, "nth").agg(F.collect_list(F.struct("block", "position")).alias("copies"))
+    copies = copies.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "copies"))), lambda x: x["copies"]).alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keyed(id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), source_col))
+    both = rows.join(copies, key)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))      # in the join's own partitions
+    own = both.select("row", F.get("_copies", nth - 1).alias("_own")).select("row", F.inline("_own"))
+    part = F.floor(F.col("block") * parts / F.lit(blocks)).cast("int")
+    return own.repartitionById(parts, part).sortWithinPartitions("block", "position")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
