@@ -14,13 +14,13 @@ by a hash of the id; every document is scored whole.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +32,16 @@ UNKNOWN = "und"
 TRAIN_ROWS = 4000       # documents a language, about
 ROUNDS = 2
 LEAST_SCORE = 0.5       # a text below it is rejected
+LEAST_GAIN = 0.0        # and one whose language explains its letters no better than the background
 SMOOTHING = 0.1
+HELD_BYTES = 2 << 20    # texts whose words are held at once beside whole rows
 LATTICE_CHARS = 48      # words up to this length go through the joint lattice, longer ones alone
 SCALE = 32.0            # keeps products of probabilities in range: one factor a character
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")       # marks stay with the letters that they follow
 COUNTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 EXPECTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("n", T.DoubleType())])
 LABELLED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
-                         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+                         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("gain", T.DoubleType())])
 
 
 class Pieces:
@@ -192,32 +194,38 @@ def marked(token: str) -> list[str]:
 
 
 class Model:
+    """Piece probabilities of each language; the background model, which knows no language, gives every piece the same."""
+
     def __init__(self, languages: list[str], probabilities: np.ndarray):
         self.languages, self.probabilities = languages, probabilities
 
-    def choose(self, total: np.ndarray) -> tuple[str, float]:
-        """The likeliest language and its share; ``total`` has the log-likelihoods and the number of words."""
+    def choose(self, total: np.ndarray) -> tuple[str, float, float]:
+        """The likeliest language, its share of the likelihood, and its gain a letter over the background.
+
+        ``total`` has the log-likelihoods of the languages and the background, then the number of letters.
+        """
         if total[-1] == 0 or not self.languages:
-            return UNKNOWN, 0.0
-        best = int(total[:-1].argmax())
-        return self.languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())
+            return UNKNOWN, 0.0, 0.0
+        best = int(total[:-2].argmax())
+        return self.languages[best], float(1 / np.exp(total[:-2] - total[best]).sum()), float((total[best] - total[-2]) / total[-1])
 
     def scorer(self, vocabulary: Pieces) -> TokenTable:
-        """Per token its log-likelihoods, and as last column its number of words."""
+        """Per token its log-likelihoods, the background last, and its number of letters."""
+        models = np.column_stack([self.probabilities, np.full(len(self.probabilities), 1 / len(self.probabilities))])
+        width = len(self.languages)
+
         def compute(tokens: list[str]) -> np.ndarray:
             words = [marked(t) for t in tokens]
             distinct = list(dict.fromkeys(w for ws in words for w in ws))
-            out = np.zeros((len(tokens), len(self.languages) + 1))
-            if distinct and self.languages:
+            out = np.zeros((len(tokens), width + 2))
+            out[:, -1] = [sum(map(len, ws)) - len(ws) for ws in words]
+            if distinct and width:
                 place = {w: i for i, w in enumerate(distinct)}
-                scores = word_scores(distinct, self.probabilities, vocabulary)
+                scores = word_scores(distinct, models, vocabulary)
                 of = np.array([i for i, ws in enumerate(words) for _ in ws], np.int64)
                 np.add.at(out[:, :-1], of, scores[[place[w] for ws in words for w in ws]])
-                np.add.at(out[:, -1], of, 1)
-            elif distinct:
-                out[:, -1] = [len(ws) for ws in words]
             return out
-        return TokenTable(len(self.languages) + 1, compute)
+        return TokenTable(width + 2, compute)
 
 
 def fit(train: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Model:
@@ -275,12 +283,15 @@ def fit(train: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS,
 
 
 def predict(docs: DataFrame, model: Model, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``lang_pred``, ``score`` for every row's whole text.
+    """``doc_id``, ``held_out``, ``lang_pred``, ``score``, ``gain`` for every row's whole text.
 
     ``score`` is the language's share of the likelihood of all languages; ties
-    go to the first in the alphabet.  A null text, one without a letter, or a
-    model without languages gives ``und`` and score 0.  Repeated rows are
-    scored each; other columns are not read.
+    go to the first in the alphabet.  ``gain`` is by how much the language
+    explains a letter better than the background model, in nats: below 0 for
+    gibberish and for languages that weren't learned.  A null text, one without
+    a letter (category L; digits-like symbols aren't letters), or a model
+    without languages gives ``und``, score 0 and gain 0.  Long texts are scored
+    whole; repeated rows are scored each; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -289,20 +300,21 @@ def predict(docs: DataFrame, model: Model, vocabulary: str | None = None, id_col
         scorer = own.scorer(pieces(vocabulary))
         for batch in slices(batches):
             chosen = [own.choose(scorer.values[at].sum(axis=0)) for at in scorer.places([(t or "").split() for t in batch.column(1).to_pylist()])]
-            yield arrow_batch(LABELLED, [batch.column(0), batch.column(2), [x for x, _ in chosen], [x for _, x in chosen]])
+            yield arrow_batch(LABELLED, [batch.column(0), batch.column(2), *([x[k] for x in chosen] for k in range(3))])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out")).mapInArrow(run, LABELLED)
 
 
-def identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
-    """The whole rows of ``docs`` whose text has a language with at least ``least_score``; one narrow pass, no join."""
+def identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE, least_gain: float = LEAST_GAIN, vocabulary: str | None = None,
+               text_col: str = "text") -> DataFrame:
+    """The whole rows of ``docs`` whose text has a language with at least ``least_score`` and ``least_gain``; one narrow pass, no join."""
     held, schema, column = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer(pieces(vocabulary))
-        for batch in slices(batches, text=column):
+        for batch in slices(batches, text=column, size=HELD_BYTES):
             chosen = [held.value.choose(scorer.values[at].sum(axis=0))
                       for at in scorer.places([(t or "").split() for t in batch.column(column).to_pylist()])]
-            yield batch.filter(pa.array([name != UNKNOWN and score >= least_score for name, score in chosen], pa.bool_()))
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least_score and gain >= least_gain for name, score, gain in chosen], pa.bool_()))
     return docs.mapInArrow(run, schema)
 
 
