@@ -13,12 +13,17 @@ them, so their table is bounded and broadcast.  They are found in two passes: a
 sketch of fixed size over all shingles, summed over tasks in a tree, names the
 cells that can hold one; then the shingles of those cells are counted exactly.
 
+Texts are read once: the pass that makes the sketches also writes each text's
+words as hashes, which all later passes read.
+
 A bucket's members aren't paired with each other.  They are compared with the
-bucket's first member; those left outside its class are compared, as further
-pivots, in rounds of more and more pivots, until every pair of a bucket is
-compared, known to be in one class, or out of reach: two texts can't be more
-similar than the shingles that they share with any other text of such buckets
-allow.  Texts of equal words are one node.
+bucket's most central member, the one with the least of its weight on rare
+shingles: of a large group of near copies the one with the fewest edits, which
+all others are nearer to than to each other.  Those left outside its class are
+compared, as further pivots, in rounds of more and more pivots, until every
+pair of a bucket is compared, known to be in one class, or out of reach: two
+texts can't be more similar than the shingles that they share with any other
+text of such buckets allow.  Texts of equal words are one node.
 """
 
 from __future__ import annotations
@@ -57,7 +62,9 @@ EDGE = re.compile(r"^\W+|\W+$")
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))     # fixed values: multipliers of a 64-bit finalizer
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("content", T.BinaryType()),
-                       T.StructField("buckets", T.ArrayType(T.LongType()))])
+                       T.StructField("rare", T.DoubleType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+WORDED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("content", T.BinaryType()),
+                       T.StructField("words", T.BinaryType()), T.StructField("block", T.IntegerType()), T.StructField("task", T.LongType()), T.StructField("cells", T.BinaryType())])
 SKETCHED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("task", T.LongType()), T.StructField("cells", T.BinaryType())])
 COUNTED = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("documents", T.LongType())])
 WEIGHED = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("weight", T.DoubleType()),
@@ -108,14 +115,23 @@ class Weights:
         self.shingle = shingle[order]
         self.idf = np.log(total / np.maximum(documents[order], total * RARE)) / math.log(1 / RARE)
 
+    def _find(self, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles aren't rare, and their places."""
+        if not len(self.shingle):
+            return np.zeros(len(shingle), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.shingle, shingle), len(self.shingle) - 1)
+        found = self.shingle[at] == shingle
+        return found, at[found]
+
     def __call__(self, shingle: np.ndarray, times: np.ndarray) -> np.ndarray:
         idf = np.ones(len(shingle))
-        if len(self.shingle):
-            at = np.minimum(np.searchsorted(self.shingle, shingle), len(self.shingle) - 1)
-            found = self.shingle[at] == shingle
-            idf[found] = self.idf[at[found]]
+        found, at = self._find(shingle)
+        idf[found] = self.idf[at]
         return (1 + np.log(times)) * (1 + idf)
 
+    def rare(self, shingle: np.ndarray) -> np.ndarray:
+        return ~self._find(shingle)[0]
+
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two weighted sets (ascending shingles, weights); two empty sets are equal."""
@@ -165,45 +181,71 @@ def band_keys(samples: np.ndarray, rows: int = BAND_SAMPLES) -> np.ndarray:
     return keys
 
 
-def _document_shingles(batch: pa.RecordBatch, column: int, words: BoundedCache) -> Iterator[np.ndarray]:
-    for hashes in words_of([t or "" for t in batch.column(column).to_pylist()], words):
-        yield shingles(hashes)[0]
+def words_in(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each row of a binary column."""
+    for raw in column:
+        yield np.frombuffer(raw.as_buffer(), np.uint64)
 
 
 def _cells(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(64 - int(math.log2(SKETCH_CELLS)))).astype(np.int64)
 
 
-def _flushed(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The distinct shingles of each document, many documents joined."""
-    words, held, size = word_table(), [], 0
-    for batch in slices(batches, text=0):
-        for shingle in _document_shingles(batch, 0, words):
-            held.append(shingle)
-            size += len(shingle)
-        if size >= FLUSH:
-            yield np.concatenate(held)
-            held, size = [], 0
-    if size:
-        yield np.concatenate(held)
+class Joined:
+    """Shingles of many documents, joined to arrays of about ``FLUSH`` shingles."""
 
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
 
-def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in more than ``RARE`` of all ``total`` documents (and in two at least), with their exact document counts."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    least = max(2, math.floor(RARE * total) + 1)
+    def add(self, shingle: np.ndarray) -> Iterator[np.ndarray]:
+        self.held.append(shingle)
+        self.size += len(shingle)
+        if self.size >= FLUSH:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[np.ndarray]:
+        if self.size:
+            yield np.concatenate(self.held)
+        self.held, self.size = [], 0
+
+
+def worded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``text_key``, ``content`` (the digest of its words) and ``words`` (their hashes) of every row, and the sketches of all tasks."""
     per_block = SKETCH_CELLS // SKETCH_BLOCKS
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(SKETCH_CELLS, np.uint32)
-        for shingle in _flushed(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, joined, cells = word_table(), Joined(), np.zeros(SKETCH_CELLS, np.uint32)
+        for batch in slices(batches):
+            contents, raw, none = [], [], [None] * batch.num_rows
+            for hashes in words_of([t or "" for t in batch.column(1).to_pylist()], words):
+                raw.append(hashes.tobytes())
+                contents.append(hashlib.md5(raw[-1]).digest())
+                for shingle in joined.add(shingles(hashes)[0]):
+                    cells += np.bincount(_cells(shingle), minlength=SKETCH_CELLS).astype(np.uint32)
+            yield arrow_batch(WORDED, [batch.column(0), batch.column(2), contents, raw, none, none, none])
+        for shingle in joined.rest():
             cells += np.bincount(_cells(shingle), minlength=SKETCH_CELLS).astype(np.uint32)
         task = TaskContext.get().partitionId()
         for block in range(SKETCH_BLOCKS):
             part = cells[block * per_block:(block + 1) * per_block]
             if part.any():
-                yield arrow_batch(SKETCHED, [[block], [task], [part.tobytes()]])
+                yield arrow_batch(WORDED, [[None], [None], [None], [None], [block], [task], [part.tobytes()]])
+
+    rows = written(docs.select("doc_id", "text", "text_key").mapInArrow(run, WORDED), "words", "zstd")
+    return rows.filter("block IS NULL").select("doc_id", "text_key", "content", "words"), rows.filter("block IS NOT NULL").select("block", "task", "cells")
+
+
+def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``counted_shingles``, of the texts of ``docs``."""
+    return counted_shingles(*worded(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("text_key"))), total)
+
+
+def counted_shingles(rows: DataFrame, sketches: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in more than ``RARE`` of all ``total`` documents (and in two at least), with their exact document counts."""
+    spark = rows.sparkSession
+    least = max(2, math.floor(RARE * total) + 1)
+    per_block = SKETCH_CELLS // SKETCH_BLOCKS
 
     def add(group: pa.Table) -> pa.Table:
         cells = np.zeros(per_block, np.uint64)
@@ -212,8 +254,7 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
         cells = np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32)
         return pa.Table.from_batches([arrow_batch(SKETCHED, [[group["block"][0].as_py()], [group["task"][0].as_py() // FANIN], [cells.tobytes()]])])
 
-    sketches = texts.mapInArrow(sketch, SKETCHED)
-    tasks = texts.rdd.getNumPartitions()
+    tasks = (sketches.agg(F.max("task")).first()[0] or 0) + 1
     while True:     # a tree: each turn adds FANIN sketches of a block
         sketches = sketches.groupBy("block", F.floor(F.col("task") / FANIN).alias("_group")).applyInArrow(add, SKETCHED)
         tasks = math.ceil(tasks / FANIN)
@@ -225,42 +266,50 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
     held = spark.sparkContext.broadcast(np.packbits(busy))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(held.value).astype(bool)
-        for shingle in _flushed(batches):
-            found, times = np.unique(shingle[marks[_cells(shingle)]], return_counts=True)
-            yield arrow_batch(COUNTED, [found.view(np.int64), times])
+        marks, joined = np.unpackbits(held.value).astype(bool), Joined()
+
+        def counts(some: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for shingle in some:
+                found, times = np.unique(shingle, return_counts=True)
+                yield arrow_batch(COUNTED, [found.view(np.int64), times])
+
+        for batch in batches:
+            for hashes in words_in(batch.column(0)):
+                shingle = shingles(hashes)[0]
+                yield from counts(joined.add(shingle[marks[_cells(shingle)]]))
+        yield from counts(joined.rest())
 
-    counted = texts.mapInArrow(count, COUNTED).groupBy("shingle").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
+    counted = rows.select("words").mapInArrow(count, COUNTED).groupBy("shingle").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
 
-    rows = [np.frombuffer(r.both, np.int64).reshape(2, -1) for r in counted.mapInArrow(packed, "both binary").collect()]
-    both = np.concatenate(rows, axis=1) if rows else np.zeros((2, 0), np.int64)
+    parts = [np.frombuffer(r.both, np.int64).reshape(2, -1) for r in counted.mapInArrow(packed, "both binary").collect()]
+    both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
     return both[0].view(np.uint64), both[1]
 
 
-def signatures(docs: DataFrame, held: Broadcast) -> DataFrame:
-    """``doc_id``, ``text_key``, ``content`` (the digest of its words) and ``buckets`` of every row."""
+def signatures(rows: DataFrame, held: Broadcast) -> DataFrame:
+    """``doc_id``, ``text_key``, ``content``, ``rare`` (the share of its weight on rare shingles) and ``buckets`` of every row of ``worded``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sampler, weights = word_table(), Sampler(), held.value
-        for batch in slices(batches):
-            contents, sets = [], []
-            for hashes in words_of([t or "" for t in batch.column(1).to_pylist()], words):
-                contents.append(hashlib.md5(hashes.tobytes()).digest())
-                sets.append(shingles(hashes))
+        sampler, weights = Sampler(), held.value
+        for batch in slices(batches, text=3):
+            sets = [shingles(hashes) for hashes in words_in(batch.column(3))]
             full = [i for i, (s, _) in enumerate(sets) if len(s)]
             buckets: list[list[int]] = [[] for _ in sets]
+            rare = np.zeros(len(sets))
             if full:
                 shingle, times = (np.concatenate([sets[i][c] for i in full]) for c in (0, 1))
                 starts = np.concatenate([[0], np.cumsum([len(sets[i][0]) for i in full])[:-1]])
-                keys = band_keys(sampler.sample(shingle, weights(shingle, times), starts))
+                weight = weights(shingle, times)
+                rare[full] = np.add.reduceat(np.where(weights.rare(shingle), weight, 0), starts) / np.add.reduceat(weight, starts)
+                keys = band_keys(sampler.sample(shingle, weight, starts))
                 for i, row in zip(full, keys.view(np.int64).tolist()):
                     buckets[i] = row
-            yield arrow_batch(SIGNED, [batch.column(0), batch.column(2), contents, buckets])
-    return docs.select("doc_id", "text", "text_key").mapInArrow(run, SIGNED)
+            yield arrow_batch(SIGNED, [batch.column(0), batch.column(1), batch.column(2), rare, buckets])
+    return rows.mapInArrow(run, SIGNED)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
@@ -271,10 +320,10 @@ def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
         dealt.select("pivot", "chunk", F.col("pivot").alias("content")).distinct())
 
     def verify(group: pa.Table) -> pa.Table:
-        weights, words = held.value, word_table()
+        weights = held.value
         pivot, contents = group["pivot"][0].as_py(), group["content"].to_pylist()
         sets = []
-        for hashes in words_of(group["text"].to_pylist(), words):
+        for hashes in words_in(group["words"]):
             shingle, times = shingles(hashes)
             sets.append((shingle, weights(shingle, times)))
         own = sets[contents.index(pivot)]
@@ -293,14 +342,14 @@ def bounds(texts: DataFrame, held: Broadcast, similarity: float) -> DataFrame:
     weights taken anew among the others.  ``node`` is the hash of ``content``.
     """
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words = held.value, word_table()
+        weights = held.value
         for batch in slices(batches, rows=64):
-            for node, hashes in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist(), words)):
+            for node, hashes in zip(batch.column(0).to_pylist(), words_in(batch.column(1))):
                 shingle, times = shingles(hashes)
                 weight = weights(shingle, times)
                 yield arrow_batch(WEIGHED, [np.full(len(shingle), node), shingle.view(np.int64), weight, np.full(len(shingle), weight.sum())])
 
-    rows = written(texts.select(F.xxhash64("content").alias("node"), "text").mapInArrow(weigh, WEIGHED), "weights")
+    rows = written(texts.select(F.xxhash64("content").alias("node"), "words").mapInArrow(weigh, WEIGHED), "weights")
     alive = None
     for _ in range(PRUNINGS):
         mine = rows if alive is None else rows.join(alive.select("node"), "node", "left_semi")
@@ -313,18 +362,21 @@ def bounds(texts: DataFrame, held: Broadcast, similarity: float) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``text_key`` and ``label`` of every row; rows of one label are a class.  ``docs`` has ``doc_id``, ``text``, ``text_key``."""
     spark = docs.sparkSession
-    total = docs.count()
-    held = spark.sparkContext.broadcast(Weights(*common_shingles(docs, total), total))
-    signed = written(signatures(docs, held), "signatures")
-    nodes = signed.groupBy("content").agg(F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets"))
-    members = nodes.select("content", "text_key", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("content").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(members.join(shared, "bucket").select("bucket", "pivot", F.col("content").alias("member"), "text_key"), "buckets")
-
-    # the whole texts of the nodes that meet others, one of each content
-    wanted = buckets.groupBy("text_key").agg(F.first("member").alias("content"))
-    found = passes(docs.select("text_key", F.coalesce("text", F.lit("")).alias("text")), sieve(wanted, ["text_key"]), ["text_key"], "wanted").filter("wanted")
-    texts = written(found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("content", "text"), "texts")
+    rows, sketches = worded(docs)
+    total = rows.count()
+    held = spark.sparkContext.broadcast(Weights(*counted_shingles(rows, sketches, total), total))
+    signed = written(signatures(rows, held), "signatures")
+    nodes = signed.groupBy("content").agg(F.first("rare").alias("rare"), F.first("buckets").alias("buckets"))
+    members = nodes.select("content", "rare", F.explode("buckets").alias("bucket"))
+    central = F.min(F.struct("rare", "content")).alias("central")
+    shared = members.groupBy("bucket").agg(central, F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", F.col("central.content").alias("pivot"))
+    met = salted_join(members.drop("rare"), shared, "bucket", ["content"]).filter("pivot IS NOT NULL")
+    buckets = written(met.select("bucket", "pivot", F.col("content").alias("member")), "buckets")
+
+    # the words of the nodes that meet others, once each
+    wanted = buckets.select(F.col("member").alias("content")).distinct()
+    found = passes(rows.select("content", "words"), sieve(wanted, ["content"]), ["content"], "wanted").filter("wanted")
+    texts = written(found.groupBy("content").agg(F.first("words").alias("words")).join(wanted, "content", "left_semi"), "texts", "zstd")
 
     def compared(pairs: DataFrame) -> DataFrame:
         return written(verified(pairs, texts, held), "similarities")
