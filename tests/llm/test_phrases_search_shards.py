@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests_llm_same import same
@@ -62,7 +63,7 @@ class memory:
         self.raw = raw
 
     def as_buffer(self):
-        return self.raw
+        return pa.py_buffer(self.raw)
 
 
 def test_stretches_and_runs_lose_no_phrase():

@@ -46,7 +46,7 @@ SHARE = 100             # percent of a phrase's occurrences that lie in a longer
 TOP = 2000              # phrases of a language in the report
 BLOCK_TOKENS = 1 << 21  # tokens of a block, about; a longer text is a block
 RUN_TOKENS = 1 << 18    # tokens of a row of coded words, about; a longer piece is a row
-FLUSH_PAIRS = 1 << 20   # pairs that a task holds before it counts them
+FLUSH_PAIRS = 1 << 21   # pairs that a task holds before it counts them
 SIDE = 1 << 11          # ids on a side of a dense tile
 DENSE_IDS = 1 << 14     # ids that have dense tiles
 TILE_PAIRS = 1 << 22    # pairs of a sparse tile, about
@@ -180,16 +180,28 @@ def unpacked(raw: pa.Scalar) -> np.ndarray:
     return np.frombuffer(buffer, f"<u{buffer[0]}", offset=1).astype(np.int64)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """``packed`` numbers, compressed, for the shuffle."""
+    raw = packed(numbers)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expanded(raw: pa.Scalar) -> np.ndarray:
+    buffer = raw.as_buffer()
+    plain = pa.decompress(buffer.slice(8), int.from_bytes(buffer.slice(0, 8).to_pybytes(), "little"), codec="zstd")
+    return np.frombuffer(plain, f"<u{plain[0]}", offset=1).astype(np.int64)
+
+
 def packed_cells(tile: int, cells: np.ndarray) -> bytes:
     """Ascending cells by their distances; of a sparse tile the first halves of its pairs so, then the second halves."""
     if tile >= 0:
-        return packed(np.diff(cells, prepend=0))
+        return squeezed(np.diff(cells, prepend=0))
     first, second = cells.reshape(-1, 2).T
-    return packed(np.concatenate([np.diff(first, prepend=0), second]))
+    return squeezed(np.concatenate([np.diff(first, prepend=0), second]))
 
 
 def unpacked_cells(tile: int, raw: pa.Scalar) -> np.ndarray:
-    numbers = unpacked(raw)
+    numbers = expanded(raw)
     if tile >= 0:
         return np.cumsum(numbers)
     first, second = np.split(numbers, 2)
@@ -285,7 +297,7 @@ def pair_counts(blocks: DataFrame, length: int, least: int, sparse_tiles: int, s
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for tile, cells, counts in tiled(*(np.concatenate(x) for x in zip(*held)), sparse_tiles):
-                yield arrow_batch(TILED, [[tile], [salt], [packed_cells(tile, cells)], [packed(counts)]])
+                yield arrow_batch(TILED, [[tile], [salt], [packed_cells(tile, cells)], [squeezed(counts)]])
             held.clear()
 
         for batch in batches:
@@ -306,12 +318,12 @@ def pair_counts(blocks: DataFrame, length: int, least: int, sparse_tiles: int, s
     def parts(tile: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for cells, counts in zip(batch.column(2), batch.column(3)):
-                yield unpacked_cells(tile, cells), unpacked(counts)
+                yield unpacked_cells(tile, cells), expanded(counts)
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = key[0].as_py()
         cells, counts = added(tile, parts(tile, batches))
-        yield arrow_batch(TILED, [[tile], [0], [packed_cells(tile, cells)], [packed(counts)]])
+        yield arrow_batch(TILED, [[tile], [0], [packed_cells(tile, cells)], [squeezed(counts)]])
 
     def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = key[0].as_py()
