@@ -18,7 +18,11 @@ ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or without a language that is likelier than the others together, go."""
+    """Texts without a letter, without a language likelier than the others together, or in no language that was learned, go.
+
+    A null or empty text has no letter and goes.  Repeated rows are judged each,
+    alike; an empty table stays empty; the columns stay as they are.
+    """
     return language_id.identified(docs, language_id.fitted(docs))
 
 
@@ -27,25 +31,38 @@ def with_n_chars(rows: DataFrame) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all texts but the first; ``n_chars`` follows, every document stays."""
-    return with_n_chars(line_dedup.line_dedup(docs).select("row.*"))
+    """Recurring lines go from all texts but the first; ``n_chars`` follows, every document stays.
+
+    Long lines that only few texts share wait for the next stage: here they
+    would go from near copies, which would then no longer be similar.  Null and
+    empty texts, repeated rows and empty tables are as in ``line_dedup``; other
+    columns stay.
+    """
+    return with_n_chars(line_dedup.line_dedup(docs, long_texts=None).select("row.*"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays; then equal long lines go from all of these but the first.
 
     Before, the second step would take from near copies all but their edited lines, and leave these as documents.
+    The document of the smallest id stays; null, empty and wordless texts are
+    one class, and repeated rows another.  All columns of a row stay.
     """
     apart = written(near_dedup.without_near_duplicates(docs).select("row.*"), "without-copies")
     return with_n_chars(line_dedup.passage_dedup(apart).select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated up to the limit; rows come in the order of the mixture's blocks."""
+    """Small sources are repeated up to the limit; rows come in the order of the mixture's blocks.
+
+    A null source is the source ''; null and empty texts count one token;
+    repeated rows have copies each.  All columns of a row stay.
+    """
     return mixing.mixed(docs).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row's whole text; a null text is empty, repeated rows have a result each."""
     return bpe.round_trip_digests(docs)
 
 
