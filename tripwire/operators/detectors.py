@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tripwire import constants as K
 from tripwire.functions import codecs, stats
 from tripwire.functions.text import cut, cut_ellipsis, py_fixed, py_percent
+from tripwire.operators.patterns import HITS, runs_on_jvm
+from tripwire.operators.patterns import lane as patterns_lane
 from tripwire.params import ScanParams
 from tripwire.regex import B_AFTER_WORD, B_BEFORE_WORD, NOT_WS, WS, _group_alternatives, literal_prefix, to_java
 
@@ -262,8 +264,8 @@ def add_entropy(df: DataFrame, p: ScanParams = ScanParams(), t: str = "_text", o
 
 # --------------------------------------------------------------------------- keywords
 def compiled_patterns(patterns=None) -> list[tuple[str, str, str, str | None]]:
-    """Registry entries as (java_regex, label, severity, required_literal)."""
-    return [(to_java(p), label, sev, literal_prefix(p)) for p, label, sev in (patterns or K.INJECTION_PATTERNS)]
+    """Registry entries as (java_regex, label, severity, required_literal); None stays."""
+    return [p and (to_java(p[0]), p[1], p[2], literal_prefix(p[0])) for p in (patterns or K.INJECTION_PATTERNS)]
 
 
 def _sql_str(v: str) -> str:
@@ -280,13 +282,16 @@ def keyword_hits(lower_col: str, patterns=None) -> Column:
     """
     c = f"`{lower_col}`"
     items = []
-    for i, (rx, label, sev, lit) in enumerate(compiled_patterns(patterns)):
+    for i, entry in enumerate(compiled_patterns(patterns)):
+        if entry is None:       # it has its place in the order, but runs elsewhere
+            continue
+        rx, label, sev, lit = entry
         test = f"{c} RLIKE {_sql_str(rx)}"
         if lit is not None:
             test = f"contains({c}, {_sql_str(lit)}) AND {test}"
         items.append(f"CASE WHEN {test} THEN named_struct('pos', {i}, 'label', {_sql_str(label)}, "
                      f"'severity', {_sql_str(sev)}, 'rank', {SEV_RANK[sev]}) END")
-    return F.expr("array_compact(array(" + ", ".join(items) + "))")
+    return F.expr("array_compact(array(" + ", ".join(items) + "))") if items else F.array().cast(HITS)
 
 
 def keywords_from_hits(hits: Column) -> Column:
@@ -298,10 +303,29 @@ def keywords_from_hits(hits: Column) -> Column:
 
 def add_keywords(df: DataFrame, t: str = "_text", out: str = "_kw", patterns=None, when: Column | None = None
                  ) -> DataFrame:
+    """One finding of all patterns that match; patterns that the JVM can't take run in a contained lane.
+
+    If a pattern of that lane fails on a text, its finding is SCAN_ERROR.
+    """
     lc = F.lower(F.col(t))
     df = _stage(df, **{out + "_lc": lc if when is None else F.when(when, lc)})
-    df = _stage(df, **{out + "_h": keyword_hits(out + "_lc", patterns)})
-    return _stage(df, **{out: keywords_from_hits(F.col(out + "_h"))})
+    every = list(patterns or K.INJECTION_PATTERNS)
+    apart = [(i, *p) for i, p in enumerate(every) if not on_jvm(p)]
+    if not apart:
+        df = _stage(df, **{out + "_h": keyword_hits(out + "_lc", every)})
+        return _stage(df, **{out: keywords_from_hits(F.col(out + "_h"))})
+    df = _stage(df, **{out + "_j": keyword_hits(out + "_lc", [p if on_jvm(p) else None for p in every]), out + "_p": patterns_lane(F.col(out + "_lc"), apart)})
+    df = _stage(df, **{out + "_h": F.array_sort(F.concat(F.col(out + "_j"), F.coalesce(F.col(out + "_p")["hits"], F.array().cast(HITS))))})
+    error = F.col(out + "_p")["error"]
+    failed = finding("INFO", "SCAN_ERROR", _fmt(K.DETAIL_SCAN_ERROR, error=error))
+    return _stage(df, **{out: F.when(error.isNotNull(), failed).otherwise(keywords_from_hits(F.col(out + "_h")))})
+
+
+def on_jvm(pattern: tuple[str, str, str]) -> bool:
+    return tuple(pattern) in BUILT_IN or runs_on_jvm(pattern[0])
+
+
+BUILT_IN = {tuple(p) for p in K.INJECTION_PATTERNS}
 
 
 # --------------------------------------------------------------------------- intent

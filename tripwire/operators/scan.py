@@ -9,6 +9,7 @@ referenced more than once instead of inlining it twice).
 
 from __future__ import annotations
 
+import re
 from typing import Callable, Iterable
 
 import pandas as pd
@@ -42,8 +43,12 @@ _EXTRA_PATTERNS: list[tuple[str, str, str]] = []
 
 
 def register_pattern(pattern: str, label: str, severity: str = "HIGH") -> None:
-    """Add a keyword pattern (Python regex, matched against the lower-cased text) to every later scan."""
-    import re
+    """Add a keyword pattern (Python regex, matched against the lower-cased text) to every later scan.
+
+    A pattern that the JVM doesn't take, or that could backtrack without end, is
+    matched in Python, contained: a text on which it fails gets a SCAN_ERROR
+    finding after those found before; the scan goes on.
+    """
     re.compile(pattern)
     if severity not in K.SEVERITY_ORDER:
         raise ValueError(f"unknown severity: {severity!r}")
@@ -160,11 +165,14 @@ def scan_messages(df: DataFrame, params: ScanParams = ScanParams(), *, text_col:
     d = d.select("*", payload.alias("_payload"))
     p = F.col("_payload")
     d = D.add_keywords(d, t="_payload", out="_kw2", patterns=patterns, when=(p != "") & (p != t))
-    all_findings = F.concat(
-        _single(F.col("_inv")), _single(F.col("_zal")), F.col("_b64"), F.col("_hx0"), F.col("_hxb"),
-        _single(F.col("_mor")), _single(F.col("_cae")), _single(F.col("_ent")), _single(F.col("_kw")),
-        _single(F.col("_kw2")), _single(F.col("_itn")),
-        *([_contained([F.col(f"_x{i}") for i in range(len(extra))])] if extra else []))
+    before = [_single(F.col("_inv")), _single(F.col("_zal")), F.col("_b64"), F.col("_hx0"), F.col("_hxb"),
+              _single(F.col("_mor")), _single(F.col("_cae")), _single(F.col("_ent"))]
+    later = [_single(F.col("_kw")), _single(F.col("_kw2")), _single(F.col("_itn"))]
+    users = [F.col(f"_x{i}") for i in range(len(extra))]
+    if all(map(D.on_jvm, patterns)):        # the built-in detectors can't fail
+        all_findings = F.concat(*before, *later, *([_contained(users)] if users else []))
+    else:
+        all_findings = F.concat(*before, _contained([*later, *users]))
     too_short = F.array(D.finding("INFO", "TOO_SHORT", F.lit(K.DETAIL_TOO_SHORT)))
     scan_error = F.array(D.finding("INFO", "SCAN_ERROR",
                                    F.lit(K.DETAIL_SCAN_ERROR.format(error="text is NULL"))))

@@ -278,6 +278,15 @@ k AS (SELECT msg_id, {KW_FLAGS} FROM messages)
     f"SELECT msg_id, CAST({i} AS BIGINT) AS pos, {q(label)} AS label, {q(sev)} AS severity FROM k WHERE m{i}"
     for i, (_, label, sev) in enumerate(_KW))
 
+ORACLES["pattern_table_hits"] = ORACLES["keyword_hits"]
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+# three words in a row of a text
+ORACLES["pattern_table_documents"] = f"""WITH items AS (SELECT item_id AS pos, {_WORDS} AS w FROM benchmark),
+texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
+places AS (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM texts),
+threes AS (SELECT DISTINCT doc_id, t[i] AS a, t[i + 1] AS b, t[i + 2] AS c FROM places)
+SELECT doc_id, pos, 'item ' || pos AS label FROM threes JOIN items ON a = w[1] AND b = w[2] AND c = w[3]"""
+
 ORACLES["keyword_severity"] = f"""WITH {MESSAGES},
 k AS (SELECT msg_id, {KW_FLAGS} FROM messages)
 SELECT msg_id, {KW_TOP} AS top_severity, CAST({' + '.join(f'CAST(m{i} AS INTEGER)' for i in range(len(_KW)))} AS BIGINT) AS n_patterns

@@ -316,6 +316,31 @@ def custom_pattern(spark, sf):
     return t.where((F.col("code") == "INJECTION_KEYWORD") & F.col("detail").contains("custom exfiltration probe")).select("msg_id", "severity", "detail")
 
 
+def _pattern_table(spark, rows):
+    from tripwire.operators.patterns import PATTERNS
+    return spark.createDataFrame(rows, PATTERNS)
+
+
+@query
+def pattern_table_hits(spark, sf):
+    """The built-in patterns as a table, through the index of the literals that they need."""
+    from tripwire.constants import INJECTION_PATTERNS
+    from tripwire.operators.patterns import pattern_table_hits as run
+    patterns = _pattern_table(spark, [(i, *p) for i, p in enumerate(INJECTION_PATTERNS)])
+    return run(_base(spark, sf), patterns, text_col="_text").where("error IS NULL").select("msg_id", "pos", "label", "severity")
+
+
+@query
+def pattern_table_documents(spark, sf):
+    """A pattern of the first three words of each benchmark item, in all documents."""
+    from tripwire.operators.patterns import pattern_table_hits as run
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    items = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), words.alias("w")).where(F.size("w") >= 3)
+    patterns = items.select("pos", F.concat(F.lit(r"\b"), F.array_join(F.slice("w", 1, 3), r"\W+"), F.lit(r"\b")).alias("pattern"),
+                            F.concat(F.lit("item "), F.col("pos").cast("string")).alias("label"), F.lit("MEDIUM").alias("severity"))
+    return run(S.table(spark, sf, "documents"), patterns, id_col="doc_id").where("error IS NULL").select("doc_id", "pos", "label")
+
+
 # ------------------------------------------------------------------ transactions
 def _tx(spark, sf):
     return S.transactions(spark, sf)
