@@ -35,8 +35,8 @@ LATER_RATE = 0.5        # false positive rate of the levels after the first
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Hosts with one of these labels are listed, unless the caller gives another list; taken from the supplied pages.
-LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: A host is listed, unless the caller gives a list, if one of its labels is words joined by hyphens, as spam hosts often are.
+HYPHENATED = r"(^|\.)[a-z0-9]+(-[a-z0-9]+)+(\.|$)"
 
 JUDGED = T.StructType([T.StructField(c, t) for c, t in (("page_id", T.LongType()), ("host", T.StringType()), ("path", T.StringType()),
                                                          ("rule", T.StringType()), ("verdict", T.StringType()), ("listed", T.BooleanType()))])
@@ -99,14 +99,16 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> D
 def rule_columns(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule, as its text, and its verdict; both null where none fits."""
     rule = verdict = F.lit(None).cast("string")
-    for host, path, decision in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):
+    # the last that fits wins: the longest, of equal ones the first in the alphabet
+    for host, path, decision in sorted(sorted(rules, key=lambda r: r[0] + r[1], reverse=True), key=lambda r: len(r[0] + r[1])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, decision).otherwise(verdict)
     return rule, verdict
 
 
-def listed_host(labels: Sequence[str]) -> Column:
-    return F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))
+def hyphenated_keys(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The list that ``pages`` themselves give: ``host`` and ``path`` of those with a hyphenated host."""
+    return parsed(pages, id_col, url_col).filter(F.col("host").rlike(HYPHENATED)).select("host", "path").distinct()
 
 
 def url_filter(pages: DataFrame, listed: Column | DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES,
@@ -115,13 +117,15 @@ def url_filter(pages: DataFrame, listed: Column | DataFrame | None = None, rules
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict`` (allow or block), ``listed``.
 
     ``listed`` says which keys of the universe are on the list: a table of
-    ``host`` and ``path``, or a condition on both.  The longest fitting rule's verdict holds;
-    elsewhere listed keys are blocked.  Equal urls get equal verdicts, each
-    repeated row its own; null urls have the empty key; an empty table gives
-    no rows; other columns are not read.
+    ``host`` and ``path``, or a condition on both; without it, the table of
+    ``hyphenated_keys``.  The longest fitting rule's verdict holds, of rules of
+    equal length the first in the alphabet; elsewhere listed keys are blocked.
+    Equal urls get equal verdicts, each repeated row its own; null urls have the
+    empty key, long ones are taken whole; an empty table gives no rows; other
+    columns are not read.
     """
     spark = pages.sparkSession
-    listed = listed_host(LISTED_LABELS) if listed is None else listed
+    listed = hyphenated_keys(pages, id_col, url_col) if listed is None else listed
     rows = parsed(pages, id_col, url_col)
     key = F.concat("host", "path")
     distinct = rows.select("host", "path").distinct()
@@ -184,7 +188,7 @@ WITH parts AS (
 ruled AS (
   SELECT *, CASE {' '.join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for h, p, _ in _LONGEST_FIRST)} END AS rule,
          CASE {' '.join(f"WHEN {_FITS.format(h, p)} THEN '{v}'" for h, p, v in _LONGEST_FIRST)} END AS by_rule,
-         list_has_any(string_split(host, '.'), {list(LISTED_LABELS)}) AS listed
+         regexp_matches(host, '{HYPHENATED}') AS listed
   FROM parts)
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
 FROM ruled
