@@ -756,6 +756,12 @@ SELECT tx_id, 'payment', 'dry_run', CASE WHEN flags <> '' THEN 'DRY_RUN_FLAGS' E
  CASE WHEN flags <> '' THEN 'WARNING' ELSE 'INFO' END, NULL
 FROM (WITH {TRANSACTIONS}, {PRE} SELECT tx_id, {FLAGS} AS flags FROM pre WHERE success)"""
 
+# a sink gives back the rows of a run once, however often it was written
+ORACLES["sink_findings"] = ORACLES["scan_findings"]
+ORACLES["sink_verdicts"] = f"SELECT * EXCLUDE (codes) FROM ({ORACLES['scan_verdicts']})"
+ORACLES["sink_audit"] = ORACLES["audit_log"]
+ORACLES["sink_reports"] = ORACLES["report_json"]
+
 ORACLES["scan_errors"] = f"WITH {MESSAGES}, {SCAN} SELECT msg_id, code, detail FROM findings WHERE severity = 'INFO'"
 
 _r3, _d3 = violations_sql("amount_usd", "spend_before")

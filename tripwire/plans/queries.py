@@ -594,11 +594,8 @@ def custom_detector(spark, sf):
                     F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
 
 
-@query
-def audit_log(spark, sf):
-    """Operator audit: scan events, allowlist changes, human confirm/cancel, dry-run results."""
+def _audit_log(spark, sf, v: DataFrame) -> DataFrame:
     lit_null = F.lit(None).cast("string")
-    v = _verdicts(spark, sf, with_text=True)
     scan = R.audit_events(v).select(
         F.col("msg_id").alias("ref_id"), F.lit("scan").alias("source"), "event", "code", "level", "severity")
     parsed = _parsed(spark, sf)
@@ -619,6 +616,69 @@ def audit_log(spark, sf):
     return scan.unionByName(allow).unionByName(gate).unionByName(dry)
 
 
+@query
+def audit_log(spark, sf):
+    """Operator audit: scan events, allowlist changes, human confirm/cancel, dry-run results."""
+    return _audit_log(spark, sf, _verdicts(spark, sf, with_text=True))
+
+
+def _twice(spark, name: str, write):
+    """What is read back of a sink after a run was written twice, and another one between."""
+    from uuid import uuid4
+
+    from tripwire.operators.sinks import read_runs
+    from tripwire.session import scratch_path
+    path = scratch_path(spark, f"{name}-{uuid4().hex}")
+    write(path, "today", True)
+    write(path, "yesterday", False)
+    schema = write(path, "today", True)
+    back = read_runs(spark, path, schema, "json" if name == "reports" else "parquet")
+    return back.where("run_id = 'today'").drop("run_id")
+
+
+def _written_verdicts(spark, sf) -> DataFrame:
+    from tripwire.plans.strategy import materialized
+    return materialized(_verdicts(spark, sf, with_text=True), "verdicts")
+
+
+@query
+def sink_findings(spark, sf):
+    """The findings sink, a run written twice beside another, read back."""
+    from tripwire.operators.sinks import findings_run
+    v = _written_verdicts(spark, sf)
+    t = _twice(spark, "findings", lambda path, run, whole: findings_run(v if whole else v.where("risk_score >= 60"), path, run))
+    return t.select("msg_id", F.col("ord").cast("bigint").alias("ord"), "severity", "code", "detail", "decoded",
+                    F.col("sev_rank").cast("bigint").alias("sev_rank"), F.col("weight").cast("bigint").alias("weight"))
+
+
+@query
+def sink_verdicts(spark, sf):
+    """The verdicts sink, a run written twice beside another, read back."""
+    from tripwire.operators.sinks import verdicts_run
+    v = _written_verdicts(spark, sf)
+    t = _twice(spark, "verdicts", lambda path, run, whole: verdicts_run(v if whole else v.where("risk_score >= 60"), path, run))
+    return t.select("msg_id", F.col("risk_score").cast("bigint").alias("risk_score"), "verdict", "requires_confirmation", "decoded_payload",
+                    F.col("n_findings").cast("bigint").alias("n_findings"))
+
+
+@query
+def sink_audit(spark, sf):
+    """The append-only audit log, a run written twice beside another, read back."""
+    from tripwire.operators.sinks import audit_run
+    from tripwire.plans.strategy import materialized
+    events = materialized(_audit_log(spark, sf, _written_verdicts(spark, sf)), "audit")
+    return _twice(spark, "audit", lambda path, run, whole: audit_run(events if whole else events.where("level = 'WARNING'"), path, run))
+
+
+@query
+def sink_reports(spark, sf):
+    """The JSON report files, a run written twice beside another, read back as they are reported."""
+    from tripwire.operators.sinks import reports_run
+    v = _written_verdicts(spark, sf)
+    t = _twice(spark, "reports", lambda path, run, whole: reports_run(v if whole else v.where("risk_score >= 60"), path, run))
+    return t.select("msg_id", F.to_json(F.struct("input_preview", "risk_score", "verdict", "decoded_payload", "findings")).alias("report_json"))
+
+
 @query
 def policy_check(spark, sf):
     """Full policy rule per payment: single limit, daily total (earlier attempts that day),
