@@ -3,7 +3,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tripwire import constants as K
 from tripwire import register_pattern, unregister_pattern

@@ -6,7 +6,6 @@ from decimal import Decimal
 
 import pytest
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripwire.session import scratch_path
