@@ -35,6 +35,7 @@ MIN_CONSTANT = 0.7      # share of constant tokens that makes a template; fields
 MIN_FIXED = 3           # constant tokens of a template at least
 LONG_WORDS, LONG_CHARS = 8, 60      # a line of so many words, or so many characters, is a passage
 LONG_TEXTS = 2          # different texts that make a passage recurring
+COPY_TASKS = 4          # copies of a text are dealt to so many tasks in the last join, each with what the text loses
 FIELD = "<*>"
 #: A field has up to 64 characters; in scripts without spaces, where a word can be a paragraph, up to 8.
 UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
@@ -73,9 +74,10 @@ def is_long(line: Column) -> Column:
 
 
 def template_lines(docs: DataFrame, depth: int, min_constant: float) -> DataFrame:
-    """The lines with words: ``doc_id``, ``text_key``, ``spaced``, ``words``, ``leaf``, and ``equal``, a hash of a long line."""
+    """The lines with words: ``doc_id``, ``text_key``, ``text_hash``, ``spaced``, ``words``, ``leaf``, and ``equal``, a hash of a long line."""
     # the generator makes the lines columns of their own, so the expressions over them don't repeat the masking
-    lines = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.inline(lines_of(F.col("text"), min_constant))).filter("words <> ''")
+    lines = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.xxhash64("text").alias("text_hash"),
+                                                   F.inline(lines_of(F.col("text"), min_constant))).filter("words <> ''")
     tokens = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     return lines.select("*", F.xxhash64(tokens, F.substring_index("words", " ", depth)).alias("leaf"), F.when(is_long(F.col("spaced")), F.xxhash64(F.lit("long"), "spaced")).alias("equal"))
 
@@ -86,8 +88,10 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
     either = F.array(F.struct(F.lit(False).alias("long"), F.col("leaf").alias("hash")), F.struct(F.lit(True).alias("long"), F.col("equal").alias("hash")))
     if long_texts is None:
         either = F.slice(either, 1, 1)
-    counts = lines.select(F.inline(either)).filter("hash IS NOT NULL").groupBy("long", "hash").count()
-    busy = written(sieve(counts.filter(F.when(F.col("long"), F.col("count") >= (long_texts or 0)).otherwise(F.col("count") >= min_texts)), ["hash"]), "busy-lines")
+    counts = (lines.select("text_hash", F.inline(either)).filter("hash IS NOT NULL").groupBy("long", "hash")
+              .agg(F.count(F.lit(1)).alias("count"), (F.min("text_hash") < F.max("text_hash")).alias("apart")))
+    least = F.when(F.col("long"), F.col("apart") & (F.col("count") >= (long_texts or 0))).otherwise(F.col("count") >= min_texts)     # the lines of copies aren't apart
+    busy = written(sieve(counts.filter(least), ["hash"]), "busy-lines")
     screened = passes(passes(lines.withColumn("hash", F.col("leaf")), busy, ["hash"], "busy").withColumn("hash", F.col("equal")), busy, ["hash"], "again")
     if long_texts is None:
         screened = screened.withColumn("again", F.lit(False))
@@ -113,7 +117,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
     # lines and templates that many texts hold are dealt to several tasks
     lost = lost_lines(salted_join(held.select("line_key", "text_key", "doc_id"), templates, "line_key", ["text_key"]), min_texts)
     if long_texts is not None:
-        lost = lost.unionByName(lost_lines(both.filter("long").select("line_key", "text_key", "doc_id", F.col("line_key").alias("template")), long_texts))
+        lost = lost.unionByName(lost_passages(both.filter("long").select("line_key", "text_key", "doc_id"), long_texts))
     return lost.groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
 
 
@@ -124,11 +128,18 @@ def lost_lines(of: DataFrame, min_texts: int) -> DataFrame:
     return salted_join(of, recurring, "template", ["text_key"]).filter(F.col("text_key") != F.col("keeper")).select("text_key", "line_key")
 
 
+def lost_passages(of: DataFrame, min_texts: int) -> DataFrame:
+    """As ``lost_lines`` for lines that are only equal to themselves, one row a line and text."""
+    recurring = (of.groupBy("line_key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "text_key")).alias("first"))
+                 .filter(F.col("texts") >= min_texts).select("line_key", F.col("first.text_key").alias("keeper")))
+    return salted_join(of, recurring, "line_key", ["text_key"]).filter(F.col("text_key") != F.col("keeper")).select("text_key", "line_key")
+
+
 def passages(docs: DataFrame, min_texts: int = LONG_TEXTS) -> DataFrame:
     """``text_key`` and ``drop``, as ``recurring_lines``, of equal long lines in at least ``min_texts`` different texts."""
     lines = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.explode(F.transform(F.split("text", "\n", -1), spaced)).alias("words"))
     held = written(lines.filter(is_long(F.col("words"))).groupBy(line_key(F.col("words")).alias("line_key"), "text_key").agg(F.min("doc_id").alias("doc_id")), "passages")
-    return lost_lines(held.withColumn("template", F.col("line_key")), min_texts).groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
+    return lost_passages(held, min_texts).groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS,
@@ -167,7 +178,7 @@ def without_lines(docs: DataFrame, drops: DataFrame, keys: Column, id_col: str,
     gone = lambda x: F.array_contains("drop", line_key(x["keys"]["words"])) | (is_long(x["keys"]["spaced"]) & F.array_contains("drop", line_key(x["keys"]["spaced"])))
     stay = F.transform(F.filter(both, lambda x: ~gone(x)), lambda x: x["line"])
     kept = F.when(F.col("drop").isNull(), lines).otherwise(stay)
-    joined = salted_join(rows, drops, "text_key", ["_of"]).select("row", F.col("drop").isNotNull().alias("touched"), F.size(lines).alias("before"), kept.alias("kept"))
+    joined = salted_join(rows, drops, "text_key", ["_of"], COPY_TASKS).select("row", F.col("drop").isNotNull().alias("touched"), F.size(lines).alias("before"), kept.alias("kept"))
     return joined.select(F.col("row").withField(text_col, F.when(F.col("touched"), F.array_join("kept", "\n")).otherwise(text)).alias("row"),
                          F.greatest("before", F.lit(0)).cast("long").alias("lines"),
                          F.when(F.col("touched"), F.col("before") - F.size("kept")).otherwise(0).cast("long").alias("dropped"))
