@@ -55,6 +55,7 @@ SLOTS = 1 << 15                 # rows of the table of random numbers
 CHUNK = 48                      # members verified against one pivot in a task, about
 FANIN = 64                      # sketches added in a task
 FLUSH = 2_000_000
+USUAL_WEIGHT = 2.0              # of a rare shingle that occurs once
 WORD_ENTRIES = 400_000
 FIRST_PIVOTS, MORE_PIVOTS = 16, 16     # of a bucket in the first round, and how many times more in each further one
 PRUNINGS = 2
@@ -153,21 +154,33 @@ class Sampler:
         self.beta = rng.uniform(0, 1, (samples, SLOTS)).astype(np.float32)
         self.spread = rng.integers(1 << 62, 1 << 63, samples, dtype=np.uint64) | np.uint64(1)
         self.shift = np.uint64(64 - int(math.log2(SLOTS)))
+        # most shingles are rare and occur once: for their weight the keys are a table too
+        self.usual = np.float32(math.log(USUAL_WEIGHT))
+        self.usual_key = self._keys(self.usual, self.r, self.log_c, self.beta)[0]
+
+    @staticmethod
+    def _keys(log_weight, r: np.ndarray, log_c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, of which the smallest is drawn, and the levels of the weights."""
+        level = np.floor(log_weight / r + beta)
+        return log_c - r * (level - beta + 1), level
 
     def sample(self, shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For texts that begin at ``starts`` (none empty) one 64-bit sample for each number: rows texts, columns samples."""
         log_weight = np.log(weight).astype(np.float32)
+        other = np.flatnonzero(log_weight != self.usual)
+        other_weight = log_weight[other]
         lengths = np.diff(np.append(starts, len(shingle)))
-        of = np.repeat(np.arange(len(starts)), lengths)
         out = np.empty((len(starts), self.samples), np.uint64)
         for k in range(self.samples):
             slot = (shingle * self.spread[k]) >> self.shift
-            r, beta = self.r[k][slot], self.beta[k][slot]
-            level = np.floor(log_weight / r + beta)
-            key = self.log_c[k][slot] - r * (level - beta + 1)
-            hit = np.flatnonzero(key == np.minimum.reduceat(key, starts)[of])
+            key = self.usual_key[k][slot]
+            some = slot[other]
+            key[other] = self._keys(other_weight, self.r[k][some], self.log_c[k][some], self.beta[k][some])[0]
+            hit = np.flatnonzero(key == np.repeat(np.minimum.reduceat(key, starts), lengths))
             first = hit[np.searchsorted(hit, starts)]
-            out[:, k] = _mix(shingle[first] + level[first].astype(np.int64).view(np.uint64) * MIX[0])
+            at = slot[first]
+            level = self._keys(log_weight[first], self.r[k][at], self.log_c[k][at], self.beta[k][at])[1]
+            out[:, k] = _mix(shingle[first] + level.astype(np.int64).view(np.uint64) * MIX[0])
         return out
 
 
