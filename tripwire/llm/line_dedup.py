@@ -95,8 +95,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
     screened = passes(passes(lines.withColumn("hash", F.col("leaf")), busy, ["hash"], "busy").withColumn("hash", F.col("equal")), busy, ["hash"], "again")
     if long_texts is None:
         screened = screened.withColumn("again", F.lit(False))
+    screened = screened.withColumn("again", F.col("again") & F.col("equal").isNotNull()).filter("busy OR again")
     ways = F.array(F.when(F.col("busy"), F.struct(F.lit(False).alias("long"), F.col("leaf"), F.col("words"))),
-                   F.when(F.col("again") & F.col("equal").isNotNull(), F.struct(F.lit(True).alias("long"), F.col("equal").alias("leaf"), F.col("spaced").alias("words"))))
+                   F.when(F.col("again"), F.struct(F.lit(True).alias("long"), F.col("equal").alias("leaf"), F.col("spaced").alias("words"))))
     both = screened.select("doc_id", "text_key", F.inline(F.array_compact(ways))).withColumn("line_key", line_key(F.col("words")))
     both = written(both.groupBy("long", "leaf", "line_key", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first(F.when(~F.col("long"), F.col("words"))).alias("words")), "template-lines")
     held = both.filter("NOT long")
