@@ -112,3 +112,20 @@ def test_rows_out_of_order_are_applied_in_order_and_late_ones_go_aside(spark, fe
     run()
     assert sorted(feed.out(OUT)) == [(1, 1, 1), (1, 2, 1011), (1, 3, 1111), (1, 4, 1001), (2, 7, 1), (2, 9, 6)]
     assert sorted(feed.out("k long, n long", "late")) == [(1, 5), (1, 6)]
+
+
+def test_keys_share_the_states_of_lanes_and_stay_apart(spark, few_partitions):
+    feed = Feed(spark, NUMBERS)
+    large = 2 ** 60 + 1         # not a double, and nulls stand beside it
+    keys = [None, *range(large, large + 1499)]
+    feed.put([(k, large + i, at(1, 0, 30 - i), 10 ** i) for k in keys for i in range(3)])
+    held = feed.run(summed(feed.rows()))["stateOperators"][0]["numRowsTotal"]
+    assert held <= 1024         # not one a key
+    feed.run(late_rows(feed.rows().withWatermark("ts", "10 minutes"), ["k"], "ts", ["n"]), "late")
+    feed.put([(None, None, at(3, 0), None), *((k, large + 9, at(1, 0, 1), 5) for k in keys[:2])])
+    feed.run(summed(feed.rows()))
+    feed.run(late_rows(feed.rows().withWatermark("ts", "10 minutes"), ["k"], "ts", ["n"]), "late")
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = [(k, large + i, sum(10 ** j for j in range(i, 3))) for k in keys for i in range(3)]
+    assert sorted(feed.out(OUT), key=key) == sorted(want, key=key)
+    assert sorted(feed.out("k long, n long", "late"), key=key) == [(large, large + 9), (None, large + 9)]
