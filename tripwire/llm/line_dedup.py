@@ -161,10 +161,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``line_dedup``, the text without the long lines that stand in a text of a smaller id too."""
+    """As ``line_dedup``, the text without the long lines that stand in a text of a smaller id too.
+
+    A bitmap of fixed size tells texts that are certain to lose nothing: they
+    stay where they are, and only the others are shuffled.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = F.transform(F.transform(F.split(F.col("row").getField(text_col), "\n", -1), spaced), lambda line: F.struct(line.alias("spaced"), line.alias("words")))
-    return without_lines(docs, passages(slim), lines, id_col, text_col)
+    drops = written(passages(slim), "lost-passages")
+    text = F.col("row").getField(text_col)
+    every = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_key(F.col(text_col)).alias("text_key"))
+    screened = passes(every, sieve(drops, ["text_key"]), ["text_key"], "loses")
+    lines = F.transform(F.transform(F.split(text, "\n", -1), spaced), lambda line: F.struct(line.alias("spaced"), line.alias("words")))
+    whole = screened.filter("NOT loses").select("row", F.greatest(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("lines"), F.lit(0).cast("long").alias("dropped"))
+    return whole.unionByName(without_lines(screened.filter("loses").select("row.*"), drops, lines, id_col, text_col))
 
 
 def without_lines(docs: DataFrame, drops: DataFrame, keys: Column, id_col: str, text_col: str) -> DataFrame:
