@@ -23,7 +23,8 @@ all others are nearer to than to each other.  Those left outside its class are
 compared, as further pivots, in rounds of more and more pivots, until every
 pair of a bucket is compared, known to be in one class, or out of reach: two
 texts can't be more similar than the shingles that they share with any other
-text of such buckets allow.  Texts of equal words are one node.
+text of such buckets allow.  A pair that meets in several buckets is made in
+the first of them alone.  Texts of equal words are one node.
 """
 
 from __future__ import annotations
@@ -31,18 +32,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.common import BoundedCache, arrow_batch, salted_join, slices, table, written
+from tripwire.llm.common import arrow_batch, salted_join, slices, table, written
 from tripwire.llm.components import connected_components
 from tripwire.llm.sieve import passes, sieve
 
@@ -56,10 +58,12 @@ CHUNK = 48                      # members verified against one pivot in a task,
 FANIN = 64                      # sketches added in a task
 FLUSH = 2_000_000
 USUAL_WEIGHT = 2.0              # of a rare shingle that occurs once
-WORD_ENTRIES = 400_000
+PIECE_CHARS = 1 << 18           # characters whose words are hashed at once, about
+WORD_BASE = 0x2545F4914F6CDD1D  # fixed value: the base of word hashes, odd
 FIRST_PIVOTS, MORE_PIVOTS = 16, 16     # of a bucket in the first round, and how many times more in each further one
 PRUNINGS = 2
-EDGE = re.compile(r"^\W+|\W+$")
+COPY_BITS = 1 << 25             # of the bitmap of rows in classes of several, 4 MB
+SPACE = re.compile(r"\s")
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))     # fixed values: multipliers of a 64-bit finalizer
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("content", T.BinaryType()),
@@ -79,22 +83,86 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hash(token: str) -> int:
-    """The hash of a token's lower-cased word without marks at its ends; 0 for a token without a word."""
-    word = EDGE.sub("", token.lower())
-    return xxhash.xxh3_64_intdigest(word) or 1 if word else 0
-
-
-def word_table() -> BoundedCache:
-    return BoundedCache(_word_hash, WORD_ENTRIES)
-
-
-def words_of(texts: list[str], words: BoundedCache) -> Iterator[np.ndarray]:
+class WordTable:
+    """What hashing words needs: of every code point 0 for white space, 1 for a mark, 2 for a character of words; powers of the base, and of its inverse."""
+
+    def __init__(self, places: int):
+        code_points = range(sys.maxunicode + 1)
+        self.kinds = np.fromiter((0 if (c := chr(i)).isspace() else 2 if c.isalnum() or c == "_" else 1 for i in code_points), np.uint8, len(code_points))
+        up, down = np.full(places, WORD_BASE, np.uint64), np.full(places, pow(WORD_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+@lru_cache(maxsize=1)
+def word_table(places: int = 2 * PIECE_CHARS) -> WordTable:
+    """The worker's table."""
+    return WordTable(places)
+
+
+def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """The lower-cased texts with their places, about ``PIECE_CHARS`` characters at a time; long texts are cut where white space is."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            stop = len(text)
+            if stop - at > PIECE_CHARS and (space := SPACE.search(text, at + PIECE_CHARS)):
+                stop = space.end()
+            piece = text[at:stop].lower()
+            if held and size + len(piece) > PIECE_CHARS:
+                yield held
+                held, size = [], 0
+            held.append((i, piece))
+            size += len(piece) + 1
+            at = max(stop, 1)
+    if held:
+        yield held
+
+
+def _hashes_in(text: str, words: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """The places and the hashes of the words of a lower-cased text: what stands between white space, without marks at its ends."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = words.kinds[code]
+    inner = np.flatnonzero(kind == 2)
+    if not len(inner):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    token = np.cumsum(kind == 0, dtype=np.int32)[inner]
+    last = np.flatnonzero(np.append(token[1:] != token[:-1], True))
+    first = inner[np.append(0, last[:-1] + 1)]
+    end = inner[last] + 1
+    up, down = words.up, words.down
+    if len(code) < len(up):
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(code * up[:len(code)], out=sums[1:])
+        hashes = (sums[end] - sums[first]) * down[first]
+    else:       # a word longer than a piece
+        hashes = np.empty(len(first), np.uint64)
+        for i, (a, b) in enumerate(zip(first.tolist(), end.tolist())):
+            total, factor = 0, 1
+            for start in range(a, b, len(up)):
+                some = code[start:min(b, start + len(up))]
+                total += factor * int((some * up[:len(some)]).sum())
+                factor = factor * int(up[-1]) * WORD_BASE
+            hashes[i] = total % (1 << 64)
+    return first, _mix(hashes + (end - first).astype(np.uint64) * MIX[1])
+
+
+def words_of(texts: list[str], words: WordTable) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order."""
-    for text in texts:
-        tokens = text.split()
-        hashes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-        yield hashes[hashes != 0]
+    parts: list[np.ndarray] = []
+    of = 0
+    for some in _pieces(texts):
+        first, hashes = _hashes_in("\n".join(piece for _, piece in some), words)
+        starts = np.cumsum([0] + [len(piece) + 1 for _, piece in some])
+        cuts = np.searchsorted(first, starts).tolist()
+        for (i, _), a, b in zip(some, cuts, cuts[1:]):
+            if i != of:
+                yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+                of, parts = i, []
+            parts.append(hashes[a:b])
+    if parts:
+        yield parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def shingles(words: np.ndarray, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -372,6 +440,24 @@ def bounds(texts: DataFrame, held: Broadcast, similarity: float) -> DataFrame:
     return alive
 
 
+def open_pairs(named: DataFrame, pivots: int, similarity: float) -> DataFrame:
+    """``pivot``, ``member``: of each bucket, its first ``pivots`` members outside its largest class with all members of other classes in reach.
+
+    ``named`` has each bucket's members (``bucket``, ``member``, all its ``buckets``, ``shared``, ``total``, ``label``) and ``largest`` class.
+    A pair is made once: in the first bucket of both, and of two outside members by the one that comes first.
+    """
+    in_order = Window.partitionBy("bucket").orderBy("member")
+    outside = (named.filter("label <> largest").select(
+        F.col("bucket").alias("outside_bucket"), F.col("member").alias("outsider"), F.col("label").alias("outside_label"), F.col("shared").alias("outside_shared"),
+        F.col("total").alias("outside_total"), F.col("buckets").alias("outside_buckets"), F.row_number().over(in_order).alias("place")).filter(F.col("place") <= pivots))
+    least = F.least("shared", "outside_shared")
+    reach = least >= (similarity - 1e-9) * (F.col("total") + F.col("outside_total") - least)
+    once = (F.col("label") == F.col("largest")) | (F.col("outsider") < F.col("member"))
+    once = once & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "outside_buckets")))
+    both = named.join(outside, (F.col("bucket") == F.col("outside_bucket")) & (F.col("label") != F.col("outside_label")) & reach & once)
+    return both.select(F.least("outsider", "member").alias("pivot"), F.greatest("outsider", "member").alias("member"))
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``text_key`` and ``label`` of every row; rows of one label are a class.  ``docs`` has ``doc_id``, ``text``, ``text_key``."""
     spark = docs.sparkSession
@@ -404,24 +490,20 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     open_ = with_labels(buckets.select("bucket", "member"), labels).groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     left = written(buckets.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "member"), "open-buckets")
     able = bounds(texts.join(left.select(F.col("member").alias("content")).distinct(), "content", "left_semi"), held, similarity)
-    left = written(left.withColumn("node", F.xxhash64("member")).join(able, "node").select("bucket", "member", "shared", "total"), "able-members")
+    left = left.withColumn("node", F.xxhash64("member")).join(able, "node").groupBy("member").agg(
+        F.collect_set("bucket").alias("buckets"), F.first("shared").alias("shared"), F.first("total").alias("total"))
+    left = written(left.select("*", F.explode("buckets").alias("bucket")), "able-members")
     pivots = FIRST_PIVOTS
     while True:
-        # of each bucket, the members outside its first member's class, in order; the first so many become pivots
+        # of each bucket, the members outside its largest class, in order; the first so many become pivots
         named = with_labels(left, labels)
-        first = named.groupBy("bucket").agg(F.min_by("label", "member").alias("first_label"))
-        named = written(named.join(first, "bucket"), "named")
-        in_order = Window.partitionBy("bucket").orderBy("member")
-        outside = (named.filter("label <> first_label").select(
-            "bucket", F.col("member").alias("outsider"), F.col("label").alias("outside_label"), F.col("shared").alias("outside_shared"),
-            F.col("total").alias("outside_total"), F.row_number().over(in_order).alias("place")).filter(F.col("place") <= pivots))
-        least = F.least("shared", "outside_shared")
-        reach = least >= (similarity - 1e-9) * (F.col("total") + F.col("outside_total") - least)
-        both = named.join(outside, (named["bucket"] == outside["bucket"]) & (F.col("label") != F.col("outside_label")) & reach)
-        pairs = both.select(F.least("outsider", "member").alias("pivot"), F.greatest("outsider", "member").alias("member")).distinct()
+        sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+        largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("members", "label")).alias("largest"))
+        named = written(named.join(largest, "bucket"), "named")
+        pairs = open_pairs(named, pivots, similarity)
         known = done.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
         pairs = written(pairs.join(known, ["pivot", "member"], "left_anti"), "pairs")
-        most = named.filter("label <> first_label").groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+        most = named.filter("label <> largest").groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
         if pairs.limit(1).count():
             more = compared(pairs)
             done = done.unionByName(more)
@@ -456,12 +538,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all columns as a struct ``row``."""
-    kept = near_dedup(docs, id_col, text_col, similarity).filter("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_key").alias("_key")).distinct()
+    """The rows of ``docs`` that stay, one of each class, with all columns as a struct ``row``.
+
+    A bitmap of fixed size tells rows that are certain to be a class of their
+    own: they stay where they are, and only the others are shuffled.
+    """
+    keys = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_key").alias("_key")
+    copies = written(near_dedup(docs, id_col, text_col, similarity).filter("class_size > 1").select(*keys, "kept").distinct(), "copies")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none")).alias("_id"),
                        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_key"))
-    return rows.join(kept, ["_id", "_key"]).groupBy("_id", "_key").agg(F.first("row").alias("row")).select("row")
+    screened = passes(rows, sieve(copies, ["_id", "_key"], COPY_BITS), ["_id", "_key"], "shared", COPY_BITS)
+    asked = screened.filter("shared").select("row", "_id", "_key").join(copies, ["_id", "_key"], "left").filter("kept IS NULL OR kept")
+    return screened.filter("NOT shared").select("row").unionByName(asked.groupBy("_id", "_key").agg(F.first("row").alias("row")).select("row"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
