@@ -1,6 +1,7 @@
 """BPE and the ORC output against the tokenizers library."""
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripwire.llm import bpe, token_orc
+from tripwire.llm import bpe, language_id, token_orc
 from tripwire.llm.common import BoundedCache
 
 EDGES = ["", " ", "  ", "a  b", " a", "a ", "a\n b\n", "x\x85 y", "x\x1c y", "\x1c\x1d  b", "<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>  x",
@@ -81,3 +82,10 @@ def test_orc_files(spark, docs_of, folder, library):
     assert token_orc.read_tokens(spark, folder + "/t").filter(F.col("doc_id") == 7).count() == 1
     token_orc.write_tokens(docs_of([]), folder + "/none", parts=2)
     assert token_orc.read_tokens(spark, folder + "/none").count() == 0
+
+
+def test_a_worker_keeps_one_operators_state():
+    kept = weakref.ref(bpe.codec())
+    assert bpe.codec() is kept()
+    language_id.pieces()
+    assert kept() is None       # the vocabulary and the caches of the operator before

@@ -17,7 +17,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.common import BoundedCache, arrow_batch, slices, table
+from tripwire.llm.common import BoundedCache, arrow_batch, held_alone, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE_ENTRIES = 600_000
@@ -137,7 +136,7 @@ class BpeCodec:
         return b"".join(self.string_of[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@held_alone
 def codec(path: str | None = None) -> BpeCodec:
     """The worker's codec; by default of the installed public vocabulary."""
     if path is None:

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.common import TokenTable, arrow_batch, held_out, slices, table, written
+from tripwire.llm.common import TokenTable, arrow_batch, held_alone, held_out, slices, table, written
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -118,7 +117,7 @@ class Pieces:
         return np.column_stack([word[at], start, start + length, ids])
 
 
-@lru_cache(maxsize=1)
+@held_alone
 def pieces(path: str | None = None) -> Pieces:
     if path is None:
         import public_tokenizers

@@ -34,7 +34,6 @@ import math
 import re
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.common import arrow_batch, salted_join, slices, table, written
+from tripwire.llm.common import arrow_batch, held_alone, salted_join, slices, table, written
 from tripwire.llm.components import connected_components
 from tripwire.llm.sieve import passes, sieve
 
@@ -94,7 +93,7 @@ class WordTable:
         self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-@lru_cache(maxsize=1)
+@held_alone
 def word_table(places: int = 2 * PIECE_CHARS) -> WordTable:
     """The worker's table."""
     return WordTable(places)

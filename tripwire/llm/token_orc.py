@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripwire.llm.bpe import VOCABULARY
-from tripwire.llm.common import arrow_batch, fresh_path, slices, table
+from tripwire.llm.common import arrow_batch, fresh_path, held_alone, slices, table
 
 END_ID = 2
 CACHE_ENTRIES = 500_000
@@ -123,7 +122,7 @@ class LibraryEncoder:
         return [h.tobytes() + b"".join(r) for h, r in zip(self._encode(heads), rests)]
 
 
-@lru_cache(maxsize=1)
+@held_alone
 def encoder(path: str | None = None) -> LibraryEncoder:
     if path is None:
         import public_tokenizers
