@@ -3,9 +3,11 @@ import hashlib
 import random
 import weakref
 import zlib
+from zlib import crc32 as zlib_crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -84,6 +86,30 @@ def test_orc_files(spark, docs_of, folder, library):
     assert token_orc.read_tokens(spark, folder + "/none").count() == 0
 
 
+def test_new_runs_are_encoded_once(library):
+    orc = token_orc.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache_entries=3)
+    asked, encode = [], orc._encode
+    orc._encode = lambda some: asked.extend(some) or encode(some)
+    for text, fresh in [("a bb cc bb", " bb cc"), ("a bb dd cc", " dd"), ("b ee ff! bb", " ee ff!"), ("c bb cc", "")]:
+        asked.clear()
+        assert np.frombuffer(orc.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert sorted("".join(a for a in asked if a[0] == " ").split()) == sorted(fresh.split())
+
+
+def test_checksums_copy_no_batch(monkeypatch):
+    """The ids of a batch are read where they are, however many slices it has."""
+    seen = []
+    monkeypatch.setattr(token_orc.zlib, "crc32", lambda ids: seen.append(ids) or zlib_crc32(ids))
+    tokens = type("Tokens", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, schema: run})()
+    lists = pa.array([[1, 2], [], None, [3]] * 300, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(range(1200)), pa.array([1] * 1200), lists], names=["doc_id", "start", "n_tokens", "ids"])
+    out = pa.Table.from_batches(list(token_orc.checksums(tokens)(iter([batch]))))
+    want = [zlib_crc32(np.array(x or [], "<u4").tobytes()) for x in lists.to_pylist()]
+    assert out.column("ids_crc32").to_pylist() == want and out.column("n_tokens").to_pylist() == [len(x or []) for x in lists.to_pylist()]
+    start, size = lists.values.buffers()[1].address, lists.values.buffers()[1].size
+    assert all(start <= x.__array_interface__["data"][0] <= start + size for x in seen if len(x))
+
+
 def test_a_worker_keeps_one_operators_state():
     kept = weakref.ref(bpe.codec())
     assert bpe.codec() is kept()

@@ -33,42 +33,12 @@ from tripwire.llm.common import arrow_batch, fresh_path, held_alone, slices, tab
 
 END_ID = 2
 CACHE_ENTRIES = 500_000
-JOINED_RUNS = 500
+JOINED_RUNS = 200
 STRIPE_BYTES = 64 << 20
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()),
                      T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
-class _Runs(dict):
-    """Ids of known runs; an unknown one gets a place that is filled when the slice's new runs are encoded."""
-
-    def __init__(self, added: list[str]):
-        super().__init__()
-        self.added, self.old, self.fresh, self.open = added, {}, {}, False
-        self.with_marks = not any(a.isalnum() for a in added)     # then letters and digits alone hold no added token
-
-    def alone(self, run: str) -> bool:
-        """Whether a run after a space is encoded alike wherever it stands."""
-        return (self.with_marks and run.isalnum()) or (bool(run) and run[0].isprintable() and run[-1].isprintable() and not run[0].isspace() and not run[-1].isspace()
-                                                       and not any(a in run for a in self.added))
-
-    def __missing__(self, run: str):
-        found = self.old.get(run)
-        if found is None:
-            if not self.alone(run):
-                self.open = True
-                return b""
-            found = self.fresh[run] = bytearray()
-        self[run] = found
-        return found
-
-    def turn(self, entries: int) -> None:
-        """Keep two generations of about ``entries`` runs."""
-        if len(self) > entries:
-            self.old = dict(self)
-            self.clear()
-
-
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library, each distinct run once."""
 
@@ -85,41 +55,54 @@ class LibraryEncoder:
         self.lengths = np.zeros(1 + max(spec["model"]["vocab"].values()), np.int64)      # bytes of each id
         for string, i in spec["model"]["vocab"].items():
             self.lengths[i] = len(string)       # one character a byte in this format
-        self.cache_entries, self.runs = cache_entries, _Runs([t["content"] for t in spec["added_tokens"]])
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.with_marks = not any(a.isalnum() for a in self.added)     # then letters and digits alone hold no added token
+        self.cache_entries, self.runs, self.old = cache_entries, {}, {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Encode the new runs, many as one text; a run's ids are those of its bytes."""
-        fresh, runs = self.runs.fresh, self.runs
-        names = list(fresh)
+    def alone(self, run: str) -> bool:
+        """Whether a run after a space is encoded alike wherever it stands."""
+        return (self.with_marks and run.isalnum()) or (bool(run) and run[0].isprintable() and run[-1].isprintable() and not run[0].isspace() and not run[-1].isspace()
+                                                       and not any(a in run for a in self.added))
+
+    def _learn(self, names: list[str]) -> None:
+        """Encode new runs, many as one text; a run's ids are those of its bytes."""
         for start in range(0, len(names), JOINED_RUNS):
             some = names[start:start + JOINED_RUNS]
             joined = " " + " ".join(some)
             ids = self._encode([joined])[0]
             ends = np.cumsum([1 + len(r) for r in some] if joined.isascii() else [1 + len(r.encode()) for r in some])
             cuts = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()
-            raw, at = ids.tobytes(), 0
-            for run, cut in zip(some, cuts):
-                fresh[run][:] = runs[run] = raw[at:cut]
-                at = cut
-        fresh.clear()
+            raw = ids.tobytes()
+            self.runs.update(zip(some, [raw[at:cut] for at, cut in zip([0, *cuts], cuts)]))
+
+    def _open(self, texts: list[list[str]]) -> set[str]:
+        """Make the ids of all runs of a slice known, each distinct run looked up once; the runs that can't be encoded by themselves.
+
+        Two generations of about ``cache_entries`` runs are kept.
+        """
+        if len(self.runs) > self.cache_entries:
+            self.old, self.runs = self.runs, {}
+        lacking = set().union(*texts).difference(self.runs)
+        again = self.old.keys() & lacking
+        self.runs.update(zip(again, map(self.old.__getitem__, again)))
+        lacking -= again
+        fresh = list(filter(str.isalnum, lacking)) if self.with_marks else []       # the most, without a call each
+        lacking.difference_update(fresh)
+        unfit = {r for r in lacking if not self.alone(r)}
+        self._learn(fresh + list(lacking - unfit))
+        return unfit
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = self.runs
-        runs.turn(self.cache_entries)
-        find, heads, rests = runs.__getitem__, [], []
-        for text in texts:
-            first, *others = text.split(" ")
-            runs.open = False
-            rest = list(map(find, others))
-            if others and (runs.open or not runs.alone(first[-1:])):    # the library gets the whole text
-                first, rest = text, []
-            heads.append(first)
-            rests.append(rest)
-        self._learn()
-        return [h.tobytes() + b"".join(r) for h, r in zip(self._encode(heads), rests)]
+        rests = [t.split(" ") for t in texts]
+        heads = [r.pop(0) for r in rests]
+        unfit, find = self._open(rests), self.runs.__getitem__
+        for i, rest in enumerate(rests):
+            if rest and (not self.alone(heads[i][-1:]) or not unfit.isdisjoint(rest)):      # the library gets the whole text
+                heads[i], rests[i] = texts[i], []
+        return [h.tobytes() + b"".join(map(find, r)) for h, r in zip(self._encode(heads), rests)]
 
 
 @held_alone
@@ -176,9 +159,10 @@ def checksums(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=-1):
             lists = batch.column(3)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-            yield arrow_batch(schema, [batch.column(0), batch.column(1), [int(b - a) for a, b in zip(at[:-1], at[1:])], sums])
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4", copy=False)      # the whole batch's ids: a view, never copied
+            cuts = at.tolist()
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(cuts, cuts[1:])]
+            yield arrow_batch(schema, [batch.column(0), batch.column(1), np.diff(at), sums])
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, schema)
 
 
