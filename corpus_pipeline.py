@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwire.llm import bpe, language_id, line_dedup, mixing, near_dedup
-from tripwire.llm.common import table, written
+from tripwire.llm.common import settled, table
 
 #: Languages, weighted shingles and tokens aren't expressed in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The document of the smallest id stays; null, empty and wordless texts are
     one class, and repeated rows another.  All columns of a row stay.
     """
-    apart = written(near_dedup.without_near_duplicates(docs).select("row.*"), "without-copies")
+    apart = near_dedup.without_near_duplicates(docs).select("row.*")
     return with_n_chars(line_dedup.passage_dedup(apart).select("row.*"))
 
 
@@ -70,8 +70,10 @@ STAGES = [("language ID", identify), ("line dedup", drop_lines), ("near dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; each result is written as Parquet and read again by the next, after which it goes."""
+    def after(stages: int) -> DataFrame:
+        if not stages:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[stages - 1]
+        return settled(lambda: stage(spark, after(stages - 1), sf_dir), spark, name.replace(" ", "-"))
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import salted_join, table, written
+from tripwire.llm.common import salted_join, settled, table, written
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 200_000
@@ -135,8 +135,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     def keyed(id_: str, text_key, source: str) -> list:
         return [F.coalesce(F.col(id_).cast("string"), F.lit("none")).alias("_id"), text_key.alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source")]
 
-    plan = written(mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, block_tokens=block_tokens, **target).select(
-        *keyed("doc_id", F.unhex("text_key"), "source"), "nth", "block", "position"), "mixture")
+    plan = settled(lambda: mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, block_tokens=block_tokens, **target).select(
+        *keyed("doc_id", F.unhex("text_key"), "source"), "nth", "block", "position"), spark, "mixture")
     blocks = (plan.agg(F.max("block")).first()[0] or 0) + 1
     parts = max(1, math.ceil(blocks * block_tokens / PART_TOKENS))
     copies = plan.groupBy(*key, "nth").agg(F.collect_list(F.struct("block", "position")).alias("copies"))

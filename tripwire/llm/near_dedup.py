@@ -43,7 +43,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.common import arrow_batch, held_alone, salted_join, slices, table, written
+from tripwire.llm.common import arrow_batch, held_alone, salted_join, settled, slices, table, written
 from tripwire.llm.components import connected_components
 from tripwire.llm.sieve import passes, sieve
 
@@ -528,7 +528,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("text_key"))
-    classes = written(near_duplicate_classes(slim, similarity), "classes")
+    classes = settled(lambda: near_duplicate_classes(slim, similarity), docs.sparkSession, "classes")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     chosen = classes.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
     joined = salted_join(classes, chosen, "label", ["text_key", "doc_id"])
@@ -543,7 +543,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     own: they stay where they are, and only the others are shuffled.
     """
     keys = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_key").alias("_key")
-    copies = written(near_dedup(docs, id_col, text_col, similarity).filter("class_size > 1").select(*keys, "kept").distinct(), "copies")
+    copies = settled(lambda: near_dedup(docs, id_col, text_col, similarity).filter("class_size > 1").select(*keys, "kept").distinct(), docs.sparkSession, "copies")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none")).alias("_id"),
                        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_key"))
     screened = passes(rows, sieve(copies, ["_id", "_key"], COPY_BITS), ["_id", "_key"], "shared", COPY_BITS)
