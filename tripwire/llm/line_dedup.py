@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import salted_join, table, written
+from tripwire.llm.common import salted_join, settled, table, written
 from tripwire.llm.sieve import passes, sieve
 
 DEPTH = 3               # leading tokens that choose the leaf
@@ -42,17 +42,22 @@ UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Tha
 SHORT = rf"(?:[^ {UNSPACED}]{{1,64}}|[^ ]{{1,8}})"
 
 
-def spaced(line: Column) -> Column:
-    """The line's words, single-spaced."""
-    return F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+def spaced_lines(text: Column) -> Column:
+    """The text's lines, single-spaced; their ends are still to be trimmed.  What is a single space already is left alone."""
+    return F.split(F.regexp_replace(text, r"[ \t\r\f\x0B](?:(?<! )[ \t\r\f\x0B]*|[ \t\r\f\x0B]+)", " "), "\n", -1)
+
+
+def n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def masked(words: Column, min_constant: float) -> Column:
     """A line's words with short words that hold a digit as variable fields; only where the others are ``MIN_FIXED`` and that share of it."""
-    every = F.split(words, " ")
-    fixed = F.size(F.filter(every, lambda w: ~w.rlike("[0-9]")))
+    every = n_words(words)
+    fixed = every - F.regexp_count(words, F.lit("[0-9][^ ]*"))
     fields = F.regexp_replace(words, rf"(?<![^ ])(?=[^ 0-9]*+[0-9]){SHORT}(?![^ ])", FIELD)
-    return F.when(words.rlike("[0-9]") & (fixed >= MIN_FIXED) & (fixed / F.size(every) >= min_constant), fields).otherwise(words)
+    # nested: most lines have no digit, and their words aren't looked at
+    return F.when(words.rlike("[0-9]"), F.when((fixed >= MIN_FIXED) & (fixed / every >= min_constant), fields).otherwise(words)).otherwise(words)
 
 
 def line_key(words: Column) -> Column:
@@ -62,7 +67,7 @@ def line_key(words: Column) -> Column:
 def lines_of(text: Column, min_constant: float) -> Column:
     """The text's lines as structs: ``spaced`` and ``words``, with fields masked."""
     # two transforms: the second uses the spaced line several times
-    return F.transform(F.transform(F.split(text, "\n", -1), spaced), lambda line: F.struct(line.alias("spaced"), masked(line, min_constant).alias("words")))
+    return F.transform(F.transform(spaced_lines(text), lambda line: F.trim(line)), lambda line: F.struct(line.alias("spaced"), masked(line, min_constant).alias("words")))
 
 
 def text_key(text: Column) -> Column:
@@ -70,16 +75,19 @@ def text_key(text: Column) -> Column:
 
 
 def is_long(line: Column) -> Column:
-    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1 >= LONG_WORDS) | (F.length(line) >= LONG_CHARS)
+    return (n_words(line) >= LONG_WORDS) | (F.length(line) >= LONG_CHARS)
 
 
 def template_lines(docs: DataFrame, depth: int, min_constant: float) -> DataFrame:
     """The lines with words: ``doc_id``, ``text_key``, ``text_hash``, ``spaced``, ``words``, ``leaf``, and ``equal``, a hash of a long line."""
-    # the generator makes the lines columns of their own, so the expressions over them don't repeat the masking
-    lines = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.xxhash64("text").alias("text_hash"),
-                                                   F.inline(lines_of(F.col("text"), min_constant))).filter("words <> ''")
-    tokens = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
-    return lines.select("*", F.xxhash64(tokens, F.substring_index("words", " ", depth)).alias("leaf"), F.when(is_long(F.col("spaced")), F.xxhash64(F.lit("long"), "spaced")).alias("equal"))
+    # a generator's other columns are computed once a row that it makes, so the text's hashes come before it;
+    # the columns of the lines come after it, one upon the other, as code that Spark compiles
+    texts = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.xxhash64("text").alias("text_hash"), "text")
+    lines = (texts.select("doc_id", "text_key", "text_hash", F.explode(spaced_lines(F.col("text"))).alias("line"))
+             .select("doc_id", "text_key", "text_hash", F.trim("line").alias("spaced")).filter("spaced <> ''")
+             .select("*", masked(F.col("spaced"), min_constant).alias("words")))
+    return lines.select("*", F.xxhash64(n_words(F.col("words")), F.substring_index("words", " ", depth)).alias("leaf"),
+                        F.when(is_long(F.col("spaced")), F.xxhash64(F.lit("long"), "spaced")).alias("equal"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, min_constant: float = MIN_CONSTANT, long_texts: int | None = LONG_TEXTS) -> DataFrame:
@@ -138,7 +146,8 @@ def lost_passages(of: DataFrame, min_texts: int) -> DataFrame:
 
 def passages(docs: DataFrame, min_texts: int = LONG_TEXTS) -> DataFrame:
     """``text_key`` and ``drop``, as ``recurring_lines``, of equal long lines in at least ``min_texts`` different texts."""
-    lines = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.explode(F.transform(F.split("text", "\n", -1), spaced)).alias("words"))
+    texts = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), "text")      # once a text, not once a line
+    lines = texts.select("doc_id", "text_key", F.explode(spaced_lines(F.col("text"))).alias("line")).select("doc_id", "text_key", F.trim("line").alias("words"))
     held = written(lines.filter(is_long(F.col("words"))).groupBy(line_key(F.col("words")).alias("line_key"), "text_key").agg(F.min("doc_id").alias("doc_id")), "passages")
     return lost_passages(held, min_texts).groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
 
@@ -156,7 +165,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no rows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drops = recurring_lines(slim, depth, min_texts, min_constant, long_texts)
+    drops = settled(lambda: recurring_lines(slim, depth, min_texts, min_constant, long_texts), docs.sparkSession, "lost-lines")
     return without_lines(docs, drops, lines_of(F.col("row").getField(text_col), min_constant), id_col, text_col)
 
 
@@ -167,11 +176,11 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stay where they are, and only the others are shuffled.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drops = written(passages(slim), "lost-passages")
+    drops = settled(lambda: passages(slim), docs.sparkSession, "lost-passages")
     text = F.col("row").getField(text_col)
     every = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_key(F.col(text_col)).alias("text_key"))
     screened = passes(every, sieve(drops, ["text_key"]), ["text_key"], "loses")
-    lines = F.transform(F.transform(F.split(text, "\n", -1), spaced), lambda line: F.struct(line.alias("spaced"), line.alias("words")))
+    lines = F.transform(F.transform(spaced_lines(text), lambda line: F.trim(line)), lambda line: F.struct(line.alias("spaced"), line.alias("words")))
     whole = screened.filter("NOT loses").select("row", F.greatest(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("lines"), F.lit(0).cast("long").alias("dropped"))
     return whole.unionByName(without_lines(screened.filter("loses").select("row.*"), drops, lines, id_col, text_col))
 
@@ -186,11 +195,11 @@ def without_lines(docs: DataFrame, drops: DataFrame, keys: Column, id_col: str,
     lines = F.split(text, "\n", -1)
     both = F.arrays_zip(lines.alias("line"), keys.alias("keys"))
     gone = lambda x: F.array_contains("drop", line_key(x["keys"]["words"])) | (is_long(x["keys"]["spaced"]) & F.array_contains("drop", line_key(x["keys"]["spaced"])))
-    stay = F.transform(F.filter(both, lambda x: ~gone(x)), lambda x: x["line"])
-    kept = F.when(F.col("drop").isNull(), lines).otherwise(stay)
-    joined = salted_join(rows, drops, "text_key", ["_of"], COPY_TASKS).select("row", F.col("drop").isNotNull().alias("touched"), F.size(lines).alias("before"), kept.alias("kept"))
+    kept = F.when(F.col("drop").isNotNull(), F.transform(F.filter(both, lambda x: ~gone(x)), lambda x: x["line"]))
+    before = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    joined = salted_join(rows, drops, "text_key", ["_of"], COPY_TASKS).select("row", F.col("drop").isNotNull().alias("touched"), before.alias("before"), kept.alias("kept"))
     return joined.select(F.col("row").withField(text_col, F.when(F.col("touched"), F.array_join("kept", "\n")).otherwise(text)).alias("row"),
-                         F.greatest("before", F.lit(0)).cast("long").alias("lines"),
+                         F.col("before").cast("long").alias("lines"),
                          F.when(F.col("touched"), F.col("before") - F.size("kept")).otherwise(0).cast("long").alias("dropped"))
 
 
